@@ -28,3 +28,33 @@ SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_
         OR length(regexp_replace(t, '\P{Lu}+', '', 'g')) * 2 > word_chars) AS kept
 FROM judged
 """
+
+SOURCE_MIX = r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS k
+    FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighted AS (
+    SELECT *, 3 * source_size AS cap,
+        [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+    FROM sources
+), levels AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / sum(weight) OVER (b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM weighted WINDOW b AS (ORDER BY cap / weight, source NULLS LAST)
+), aimed AS (
+    SELECT source, source_size,
+        least(cap::DOUBLE, weight * coalesce(max(level) FILTER (cap / weight > level) OVER (), 0)) AS target
+    FROM levels
+), quotas AS (
+    SELECT *, floor(target + 0.5)::BIGINT AS quota FROM aimed
+), lines AS (
+    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS UNBOUNDED PRECEDING) - size AS begins FROM sized
+)
+SELECT doc_id, size, source_size, target,
+    (CASE WHEN size = 0 THEN 0 ELSE quota // source_size * size
+        + greatest(0, least(size, quota % source_size - begins)) END)::BIGINT AS taken
+FROM lines JOIN quotas ON lines.source IS NOT DISTINCT FROM quotas.source
+"""

@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from allometra.llm import oracles
 from allometra.llm.common import table
+from allometra.llm.page_text import extract
 from allometra.llm.quality_rules import BASE_MEASURES, score_documents
 from allometra.llm.secret_scan import secret_report
+from allometra.llm.source_mix import mix
+
+
+def op2_html_extraction(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
 
 
 def op3_secret_scan(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mix(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op9_quality_rules(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents")).select("doc_id", *BASE_MEASURES, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op9_quality_rules)}
-ORACLES = {"op9_quality_rules": oracles.QUALITY_RULES}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_secret_scan, op7_source_mix, op9_quality_rules)}
+ORACLES = {"op7_source_mix": oracles.SOURCE_MIX, "op9_quality_rules": oracles.QUALITY_RULES}
