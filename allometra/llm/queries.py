@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from allometra.llm import oracles
+from allometra.llm import oracles, toxicity
 from allometra.llm.common import table
+from allometra.llm.decontaminate import find_leaks
 from allometra.llm.page_text import extract
 from allometra.llm.quality_rules import BASE_MEASURES, score_documents
 from allometra.llm.secret_scan import secret_report
 from allometra.llm.source_mix import mix
+from allometra.llm.token_pack import pack
 
 
 def op2_html_extraction(spark, sf_dir):
@@ -18,6 +20,14 @@ def op3_secret_scan(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op5_token_pack(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_source_mix(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -26,5 +36,22 @@ def op9_quality_rules(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents")).select("doc_id", *BASE_MEASURES, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_secret_scan, op7_source_mix, op9_quality_rules)}
+def op10_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(*toxicity.training_sample(documents, table(spark, sf_dir, "labels")))
+    return toxicity.score_documents(documents, model)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_html_extraction,
+        op3_secret_scan,
+        op5_token_pack,
+        op6_decontamination,
+        op7_source_mix,
+        op9_quality_rules,
+        op10_toxicity,
+    )
+}
 ORACLES = {"op7_source_mix": oracles.SOURCE_MIX, "op9_quality_rules": oracles.QUALITY_RULES}
