@@ -5,6 +5,7 @@ from __future__ import annotations
 from allometra.llm import oracles, toxicity
 from allometra.llm.common import table
 from allometra.llm.decontaminate import find_leaks
+from allometra.llm.jaccard_join import duplicate_components
 from allometra.llm.page_text import extract
 from allometra.llm.quality_rules import BASE_MEASURES, score_documents
 from allometra.llm.secret_scan import secret_report
@@ -32,6 +33,10 @@ def op7_source_mix(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return duplicate_components(table(spark, sf_dir, "documents"), size=3, similarity=(9, 10))
+
+
 def op9_quality_rules(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents")).select("doc_id", *BASE_MEASURES, "base_failed", "kept")
 
@@ -50,6 +55,7 @@ QUERIES = {
         op5_token_pack,
         op6_decontamination,
         op7_source_mix,
+        op8_jaccard_join,
         op9_quality_rules,
         op10_toxicity,
     )
