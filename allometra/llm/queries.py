@@ -7,6 +7,7 @@ from allometra.llm.common import table
 from allometra.llm.decontaminate import find_leaks
 from allometra.llm.jaccard_join import duplicate_components
 from allometra.llm.page_text import extract
+from allometra.llm.paragraph_dedup import repeated_paragraphs
 from allometra.llm.quality_rules import BASE_MEASURES, score_documents
 from allometra.llm.secret_scan import secret_report
 from allometra.llm.source_mix import mix
@@ -21,6 +22,10 @@ def op3_secret_scan(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op4_paragraph_dedup(spark, sf_dir):
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op5_token_pack(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     for f in (
         op2_html_extraction,
         op3_secret_scan,
+        op4_paragraph_dedup,
         op5_token_pack,
         op6_decontamination,
         op7_source_mix,
