@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from allometra.llm.common import cut
 from allometra.llm.shingles import digest, shingle_set, word_hashes
-from allometra.llm.similarity import linked_components, semi_join, signature
+from allometra.llm.similarity import PARITY, linked_components, parity, semi_join, signature
 
 SHINGLE = 5
 SIMILARITY = (8, 10)
@@ -80,7 +80,7 @@ def prefix_size(n: int, num: int, den: int) -> int:
 
 
 def signed(documents: DataFrame, size: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, set_digest, sig, grp (digest of the prefix) and keys (the prefix) of every row."""
+    """doc_id, n, set_digest, sig, grp (digest of the prefix), keys (the prefix) and parity bits of every row."""
     held = documents.sparkSession.sparkContext.broadcast(levels)
     bits = len(levels).bit_length() - 1
 
@@ -90,15 +90,15 @@ def signed(documents: DataFrame, size: int, num: int, den: int, levels: np.ndarr
             for hashes in _sets(batch, size):
                 level = held.value[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
                 prefix = hashes[np.argsort(level, kind="stable")[: prefix_size(len(hashes), num, den)]] if len(hashes) else hashes
-                rows.append((len(hashes), digest(hashes), signature(hashes), digest(prefix), prefix.view(np.int64)))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+                rows.append((len(hashes), digest(hashes), signature(hashes), digest(prefix), prefix.view(np.int64), *parity(hashes).tolist()))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * len(PARITY))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True))],
-                ["doc_id", "n", "set_digest", "sig", "grp", "keys"],
+                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 9, kinds, strict=True))],
+                ["doc_id", "n", "set_digest", "sig", "grp", "keys", *PARITY],
             )
 
     rows = documents.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, set_digest binary, sig binary, grp binary, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, set_digest binary, sig binary, grp binary, keys array<long>, " + ", ".join(f"{s} long" for s in PARITY))
 
 
 def duplicate_components(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, bits: int = COUNT_BITS) -> DataFrame:
@@ -112,8 +112,8 @@ def duplicate_components(documents: DataFrame, size: int = SHINGLE, similarity:
     """
     num, den = similarity
     rows = cut(signed(documents, size, num, den, commonness(documents, size, bits)))
-    classes = rows.where("n > 0").groupBy("set_digest").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "sig", "grp", "keys")])
-    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    classes = rows.where("n > 0").groupBy("set_digest").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "sig", "grp", "keys", *PARITY)])
+    classes = cut(classes.withColumns({"id": F.monotonically_increasing_id(), "hub_rank": F.lit(0)}))
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = classes.select("id", "first_id", "set_digest").join(ids, "id")
@@ -128,7 +128,7 @@ def duplicate_components(documents: DataFrame, size: int = SHINGLE, similarity:
         found = texts.mapInArrow(run, "set_digest binary, grams binary")
         return found.join(wanted.select("id", "set_digest"), "set_digest").groupBy("id").agg(F.first("grams").alias("grams"))
 
-    labels = linked_components(classes, fetch, num, den)
+    labels = linked_components(classes, fetch, num, den, ordered=True)
     named = classes.select("id", "set_digest", "first_id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "component").select("set_digest", "component_id")

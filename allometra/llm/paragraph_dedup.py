@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from allometra.llm.common import cut
 from allometra.llm.shingles import digest, mix, shingle_set, word_hashes
-from allometra.llm.similarity import linked_components, semi_join, signature
+from allometra.llm.similarity import PARITY, linked_components, parity, semi_join, signature
 
 SHINGLE = 5
 SIMILARITY = (8, 10)
@@ -70,18 +70,18 @@ def _signed(documents: DataFrame, min_words: int, size: int, bands: int, rows: i
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [
-                    (i, number, n_words, len(grams), digest(grams), signature(grams), band_keys(grams, bands, rows))
+                    (i, number, n_words, len(grams), digest(grams), signature(grams), band_keys(grams, bands, rows), *parity(grams).tolist())
                     for i, text in enumerate(part.column("text").cast(pa.binary()))
                     for number, n_words, grams in paragraphs_of(text.as_py(), min_words, size)
                 ]
-                columns = list(zip(*found, strict=True)) or [()] * 7
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+                columns = list(zip(*found, strict=True)) or [()] * 11
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * len(PARITY))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(columns[0], pa.int32())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))],
-                    ["doc_id", "paragraph", "n_words", "n", "set_digest", "sig", "keys"],
+                    ["doc_id", "paragraph", "n_words", "n", "set_digest", "sig", "keys", *PARITY],
                 )
 
-    return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, paragraph int, n_words int, n long, set_digest binary, sig binary, keys array<long>")
+    return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, paragraph int, n_words int, n long, set_digest binary, sig binary, keys array<long>, " + ", ".join(f"{s} long" for s in PARITY))
 
 
 def repeated_paragraphs(
@@ -102,8 +102,8 @@ def repeated_paragraphs(
     bands, rows = tune_bands(num / den, recall)
     signed = cut(_signed(documents, min_words, size, bands, rows))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "paragraph")
-    classes = signed.groupBy("set_digest").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "sig", "keys")])
-    classes = cut(classes.withColumns({"id": F.monotonically_increasing_id(), "grp": F.lit(None).cast("binary")}))
+    classes = signed.groupBy("set_digest").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "sig", "keys", *PARITY)])
+    classes = cut(classes.withColumns({"id": F.monotonically_increasing_id(), "grp": F.lit(None).cast("binary"), "hub_rank": 127 - F.least("copies", F.lit(127))}))
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = classes.join(ids, "id").select("id", "set_digest", F.col("place.doc_id").alias("_wanted"))
@@ -119,7 +119,7 @@ def repeated_paragraphs(
         found = texts.mapInArrow(run, "set_digest binary, grams binary")
         return found.join(wanted.select("id", "set_digest"), "set_digest").groupBy("id").agg(F.first("grams").alias("grams"))
 
-    labels = linked_components(classes, fetch, num, den)
+    labels = linked_components(classes, fetch, num, den, ordered=False)
     named = classes.select("id", "set_digest", "place", "copies").join(labels, "id", "left").where("component IS NOT NULL OR copies > 1")
     named = named.withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("place").alias("_first"))

@@ -12,6 +12,11 @@ from allometra.llm.quality_rules import BASE_MEASURES, score_documents
 from allometra.llm.secret_scan import secret_report
 from allometra.llm.source_mix import mix
 from allometra.llm.token_pack import pack
+from allometra.llm.tool_calls import format_conversations
+
+
+def op1_chat_format(spark, sf_dir):
+    return format_conversations(table(spark, sf_dir, "conversations"))
 
 
 def op2_html_extraction(spark, sf_dir):
@@ -55,6 +60,7 @@ def op10_toxicity(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_chat_format,
         op2_html_extraction,
         op3_secret_scan,
         op4_paragraph_dedup,

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from allometra.llm.common import cut
 
 SIGNATURE = 64
+#: Long columns of parity bits.
+PARITY = ("s0", "s1", "s2", "s3")
 #: Most ids that go to the executors as a broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -35,6 +37,12 @@ def signature(hashes: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Whether the number of elements in each of 256 buckets is odd, as four longs: each differing element flips one bit."""
+    counts = np.bincount(((hashes >> np.uint64(8)) & np.uint64(255)).astype(np.int64), minlength=256)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and component (its least id) of every end of the undirected ``edges`` (a, b).
 
@@ -106,51 +114,72 @@ def verify(pairs: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], Data
     return both.mapInArrow(run, "a long, b long")
 
 
-def linked_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+def linked_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int, ordered: bool) -> DataFrame:
     """id and component of every item with a link; links are pairs that share a key and reach similarity num / den.
 
-    ``items``: id, n (size of its set), sig (its signature), grp (items of one group stand for each other as
-    candidates; null: alone) and keys (array of long). It should be checkpointed, as it is read often.
+    ``items``: id, n (size of its set), sig and s0 to s3 (its signature and parity bits), grp (items of one group
+    stand for each other as candidates; null: alone), keys (array of long) and hub_rank (0 to 127, low for good hubs).
+    It should be checkpointed, as it is read often. ``ordered`` says that keys are the items' prefixes in one common
+    order, which allows filters by place and makes the item with the earliest place of a key its hub.
 
     Groups: one member, the leader, carries the group's keys. Members are candidates of their own leader, leaders
-    of their key's hub (the least id); in the second round pairs of groups are expanded to pairs of members.
+    of their key's hub; in the second round pairs of groups are expanded to pairs of members.
     """
     grouped = items.where("grp IS NOT NULL").groupBy("grp", "n").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("gsize"))
     members = items.select("id", "grp", "n").join(grouped.where("gsize > 1"), ["grp", "n"])
     members = cut(members.select("id", "gid", "gsize"))
-    leaders = items.select("id", "n", "keys").join(members.where("id <> gid").select("id"), "id", "left_anti")
-    postings = leaders.select("id", "n", F.explode("keys").alias("key"))
-    hubs = postings.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("_count")).where("_count > 1")
-    pairs = postings.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    leaders = items.join(members.where("id <> gid").select("id"), "id", "left_anti")
+    postings = leaders.select("id", "hub_rank", F.posexplode("keys").alias("pos", "key"))
+    rank = F.least("pos", F.lit(127)) if ordered else F.col("hub_rank")
+    code = F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.col("id"))
+    hubs = postings.groupBy("key").agg(F.min(code).alias("_code"), F.count(F.lit(1)).alias("_count")).where("_count > 1")
+    hubs = hubs.select("key", F.col("_code").bitwiseAND((1 << 56) - 1).alias("hub"), "_count")
+    shared = cut(postings.select("key", "id", "pos").join(hubs, "key"))
+    pairs = shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     pairs = cut(pairs.union(members.where("id <> gid").select(F.col("id").alias("a"), F.col("gid").alias("b"))).distinct())
     first = cut(verify(pairs, items, fetch, num, den))
     labels = components(first)
 
     own = F.coalesce("component", "id")
     spread = members.join(labels, "id", "left").groupBy("gid").agg(F.min(own).alias("_low"), F.max(own).alias("_high"), F.max("gsize").alias("_size"))
-    spread = spread.select(F.col("gid").alias("id"), "_low", "_high", "_size")
-    placed = leaders.select("id").join(labels, "id", "left").join(spread, "id", "left")
-    placed = cut(placed.select("id", F.coalesce("_low", "component", "id").alias("low"), F.coalesce("_high", "component", "id").alias("high"), F.coalesce("_size", F.lit(1)).alias("size")))
-
+    spread = cut(spread.select(F.col("gid").alias("id"), "_low", "_high", "_size"))
+    placed = leaders.select("id", "n", *PARITY).join(labels, "id", "left").join(spread, "id", "left")
+    placed = placed.select("id", "n", *PARITY, F.coalesce("_low", "component", "id").alias("low"), F.coalesce("_high", "component", "id").alias("high"), F.coalesce("_size", F.lit(1)).alias("size"))
     # Keys whose items are all in one component, or whose two items were all that there was to compare, are done.
-    left = postings.join(hubs, "key").join(placed, "id")
-    sums = left.groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_n"))
-    open_keys = sums.where("_low < _high AND (_n > 2 OR _size > 1)").select("key")
-    left = left.join(open_keys, "key").select("key", "hub", "id", "n", "low", "high", "size")
+    left = shared.join(placed.select("id", "low", "high", "size"), "id")
+    sums = left.groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high"), F.max("size").alias("_size"), F.max("_count").alias("_n"))
+    open_keys = cut(sums.where("_low < _high AND (_n > 2 OR _size > 1)").select("key"))
+    left = cut(shared.join(open_keys, "key").select("key", "hub", "id", "pos").join(placed, "id"))
     a, b = left.alias("a"), left.alias("b")
-    done = (F.col("a.size") == 1) & (F.col("b.size") == 1) & (F.col("a.id") == F.col("a.hub"))
+    col = lambda name: (F.col(f"a.{name}"), F.col(f"b.{name}"))
+    done = (F.col("a.size") == 1) & (F.col("b.size") == 1) & ((F.col("a.id") == F.col("a.hub")) | (F.col("b.id") == F.col("b.hub")))
     apart = (F.col("a.low") != F.col("b.low")) | (F.col("a.low") != F.col("a.high")) | (F.col("b.low") != F.col("b.high"))
-    near = F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num
+    total = F.col("a.n") + F.col("b.n")
+    least = F.expr(f"(({num}L * (a.n + b.n) + {num + den - 1}) div {num + den})")
+    near = F.least(*col("n")) * den >= F.greatest(*col("n")) * num
+    if ordered:
+        # The common key is early enough in both, and what can stand before and after it suffices.
+        near = near & (F.col("a.pos") <= F.col("a.n") - least) & (F.col("b.pos") <= F.col("b.n") - least)
+        near = near & (F.least(*col("pos")) + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= least)
+    flips = sum(F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in PARITY)
+    # Members of a group have parity bits of their own.
+    near = near & ((F.col("a.size") > 1) | (F.col("b.size") > 1) | (flips <= total - 2 * least))
     crossing = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & ~done & apart & near)
     crossing = crossing.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     inside = spread.where("_low < _high").select(F.col("id").alias("a"), F.col("id").alias("b"))
     group_pairs = cut(crossing.union(inside).distinct())
 
-    of = members.select(F.col("gid"), "id")
-    expand = lambda df, end: df.join(of.select(F.col("gid").alias(end), F.col("id").alias(f"_{end}")), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
-    found = expand(expand(group_pairs, "a"), "b").where("a <> b")
-    la, lb = labels.select(F.col("id").alias("a"), F.col("component").alias("_la")), labels.select(F.col("id").alias("b"), F.col("component").alias("_lb"))
-    found = found.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("_la", "a") != F.coalesce("_lb", "b"))
+    own_bits = items.select("id", "n", *PARITY).join(labels, "id", "left").select("id", "n", *PARITY, own.alias("own"))
+    of = members.select("gid", F.col("id").alias("_member"))
+
+    def expand(df: DataFrame, end: str) -> DataFrame:
+        wide = df.join(of.withColumnRenamed("gid", end), end, "left").withColumn(end, F.coalesce("_member", end)).drop("_member")
+        return wide.join(own_bits.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("n", "own", *PARITY)]), end)
+
+    flips = sum(F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in PARITY)
+    total = F.col("a_n") + F.col("b_n")
+    found = expand(expand(group_pairs, "a"), "b").where((F.col("a") != F.col("b")) & (F.col("a_own") != F.col("b_own")))
+    found = found.where(flips <= total - 2 * F.expr(f"(({num}L * (a_n + b_n) + {num + den - 1}) div {num + den})"))
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = verify(found.join(tried, ["a", "b"], "left_anti"), items, fetch, num, den)
