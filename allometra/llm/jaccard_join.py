@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from allometra.llm.common import cut
 from allometra.llm.shingles import digest, shingle_set, word_hashes
-from allometra.llm.similarity import PARITY, linked_components, parity, semi_join, signature
+from allometra.llm.similarity import PARITY, Bitmap, id_place, linked_components, parity, signature
 
 SHINGLE = 5
 SIMILARITY = (8, 10)
 COUNT_BITS = 21
 _BLOCK_BITS = 14
+#: Most ids that go to the executors as a broadcast, at 16 bytes each.
+BROADCAST_IDS = 500_000
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
@@ -117,12 +119,12 @@ def duplicate_components(documents: DataFrame, size: int = SHINGLE, similarity:
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = classes.select("id", "first_id", "set_digest").join(ids, "id")
-        own = wanted.select(F.col("first_id").alias("_wanted")).distinct()
-        texts = semi_join(documents.select("doc_id", "text"), own, F.col("doc_id").eqNullSafe(F.col("_wanted")))
+        asked = Bitmap(wanted.select(id_place("first_id")))
+        texts = documents.select("text", id_place("doc_id"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = list(_sets(batch, size))
+                sets = list(_sets(batch.filter(pa.array(asked.holds(batch.column("place").to_numpy()))), size))
                 yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_digest", "grams"])
 
         found = texts.mapInArrow(run, "set_digest binary, grams binary")
@@ -146,10 +148,13 @@ def keep_first(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int,
     going = cut(found.where("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct())
     twice = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_twice"))
     twice = cut(twice)
-    on = lambda ids, name: F.broadcast(ids) if ids.count() <= 1_000_000 else ids
-    kept = documents.join(on(going, "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    # Ids are longs, so that a broadcast of the least number stays small; beyond it, texts are shuffled once.
+    on = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    kept = documents.join(on(going), F.col("doc_id") == F.col("_gone"), "left_anti")
+    if not going.where("_gone IS NULL").isEmpty():
+        kept = kept.where("doc_id IS NOT NULL")
     if twice.isEmpty():
         return kept
-    once = kept.join(on(twice, "_twice"), F.col("doc_id") == F.col("_twice"), "left_anti")
-    again = kept.join(on(twice, "_twice"), F.col("doc_id") == F.col("_twice"), "left_semi")
+    once = kept.join(on(twice), F.col("doc_id") == F.col("_twice"), "left_anti")
+    again = kept.join(on(twice), F.col("doc_id") == F.col("_twice"), "left_semi")
     return once.unionByName(again.dropDuplicates(["doc_id", "text"]))

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allometra.llm.common import cut
-from allometra.llm.shingles import digest, mix, shingle_set, word_hashes
-from allometra.llm.similarity import PARITY, linked_components, parity, semi_join, signature
+from allometra.llm.shingles import digest, mix, shingle_sets, word_hashes
+from allometra.llm.similarity import PARITY, SIGNATURE, Bitmap, digest_place, digest_places, id_place, linked_components
 
 SHINGLE = 5
 SIMILARITY = (8, 10)
@@ -43,43 +43,77 @@ def _seeds(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One hash a band of the band's minima; permutations are odd multiplications followed by a shift-xor."""
-    mixed = hashes[None, :] * _seeds(bands * rows)[:, None]
-    least = (mixed ^ (mixed >> np.uint64(32))).min(axis=1).reshape(bands, rows)
-    out = np.arange(1, bands + 1, dtype=np.uint64)
+def band_keys(hashes: np.ndarray, begins: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each set a row with one hash a band of the band's minima; permutations are odd multiplications and a shift-xor."""
+    least = []
+    for seed in _seeds(bands * rows):
+        mixed = hashes * seed
+        least.append(np.minimum.reduceat(mixed ^ (mixed >> np.uint64(32)), begins))
+    least = np.stack(least).reshape(bands, rows, len(begins))
+    out = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(begins), axis=1)
     for k in range(rows):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
-    return out.view(np.int64)
+    return np.ascontiguousarray(out.T).view(np.int64)
 
 
-def paragraphs_of(text: str | bytes | None, min_words: int, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Number, words and shingle set of each line with ``min_words`` or more words."""
-    raw = text.encode() if isinstance(text, str) else text or b""
-    for number, line in enumerate(raw.split(b"\n")):
-        words = word_hashes(line)
-        if len(words) >= min_words:
-            yield number, len(words), shingle_set(words, size)
+class Paragraphs:
+    """The lines with ``min_words`` or more words of some texts, and their shingle sets one after the other."""
+
+    def __init__(self, texts: pa.Array, min_words: int, size: int):
+        self.owners, self.numbers, sizes, words = [], [], [], []
+        for i, text in enumerate(texts.cast(pa.binary())):
+            for number, line in enumerate((text.as_py() or b"").split(b"\n")):
+                own = word_hashes(line) if len(line) >= 2 * min_words - 1 else ()
+                if len(own) >= min_words:
+                    self.owners.append(i)
+                    self.numbers.append(number)
+                    sizes.append(len(own))
+                    words.append(own)
+        self.sizes = np.array(sizes, dtype=np.int64)
+        self.hashes, self.begins = shingle_sets(np.concatenate(words) if words else np.zeros(0, dtype=np.uint64), self.sizes, size)
+        self.counts = np.diff(np.append(self.begins, len(self.hashes)))
+        self.digests = [digest(s) for s in self.sets()]
+
+    def sets(self) -> list[np.ndarray]:
+        return [self.hashes[b : b + n] for b, n in zip(self.begins, self.counts, strict=True)]
+
+    def bucket_counts(self, buckets: int, shift: int = 0) -> np.ndarray:
+        owner = np.repeat(np.arange(len(self.counts)), self.counts)
+        place = ((self.hashes >> np.uint64(shift)) & np.uint64(buckets - 1)).astype(np.int64)
+        return np.bincount(owner * buckets + place, minlength=buckets * len(self.counts)).reshape(-1, buckets)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts whose arrays stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256)
 
 
 def _signed(documents: DataFrame, min_words: int, size: int, bands: int, rows: int) -> DataFrame:
     own = documents.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [
-                    (i, number, n_words, len(grams), digest(grams), signature(grams), band_keys(grams, bands, rows), *parity(grams).tolist())
-                    for i, text in enumerate(part.column("text").cast(pa.binary()))
-                    for number, n_words, grams in paragraphs_of(text.as_py(), min_words, size)
-                ]
-                columns = list(zip(*found, strict=True)) or [()] * 11
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * len(PARITY))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(columns[0], pa.int32())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))],
-                    ["doc_id", "paragraph", "n_words", "n", "set_digest", "sig", "keys", *PARITY],
-                )
+        for batch in _texts(batches):
+            found = Paragraphs(batch.column("text"), min_words, size)
+            if not found.numbers:
+                continue
+            signatures = np.minimum(found.bucket_counts(SIGNATURE), 255).astype(np.uint8)
+            odd = np.packbits((found.bucket_counts(256, 8) & 1).astype(np.uint8), axis=1).view(np.int64)
+            keys = band_keys(found.hashes, found.begins, bands, rows)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(found.owners, pa.int32())),
+                    pa.array(found.numbers, pa.int32()),
+                    pa.array(found.sizes, pa.int32()),
+                    pa.array(found.counts, pa.int64()),
+                    pa.array(found.digests, pa.binary()),
+                    pa.array([s.tobytes() for s in signatures], pa.binary()),
+                    pa.array(list(keys), pa.list_(pa.int64())),
+                    *(pa.array(np.ascontiguousarray(c)) for c in odd.T),
+                ],
+                ["doc_id", "paragraph", "n_words", "n", "set_digest", "sig", "keys", *PARITY],
+            )
 
     return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, paragraph int, n_words int, n long, set_digest binary, sig binary, keys array<long>, " + ", ".join(f"{s} long" for s in PARITY))
 
@@ -106,15 +140,20 @@ def repeated_paragraphs(
     classes = cut(classes.withColumns({"id": F.monotonically_increasing_id(), "grp": F.lit(None).cast("binary"), "hub_rank": 127 - F.least("copies", F.lit(127))}))
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = classes.join(ids, "id").select("id", "set_digest", F.col("place.doc_id").alias("_wanted"))
-        texts = semi_join(documents.select("doc_id", "text"), wanted.select("_wanted").distinct(), F.col("doc_id").eqNullSafe(F.col("_wanted")))
+        wanted = classes.join(ids, "id").select("id", "set_digest", F.col("place.doc_id").alias("first_id"))
+        asked, needed = Bitmap(wanted.select(id_place("first_id"))), Bitmap(wanted.select(digest_place("set_digest")))
+        texts = documents.select("text", id_place("doc_id"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for text in batch.column("text").cast(pa.binary()):
-                    sets = [grams for *_, grams in paragraphs_of(text.as_py(), min_words, size)]
-                    if sets:
-                        yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_digest", "grams"])
+            for batch in _texts(batches):
+                own = batch.filter(pa.array(asked.holds(batch.column("place").to_numpy())))
+                found = Paragraphs(own.column("text"), min_words, size)
+                if found.numbers:
+                    taken = np.flatnonzero(needed.holds(digest_places(found.digests)))
+                    sets = found.sets()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([found.digests[i] for i in taken], pa.binary()), pa.array([sets[i].tobytes() for i in taken], pa.binary())], ["set_digest", "grams"]
+                    )
 
         found = texts.mapInArrow(run, "set_digest binary, grams binary")
         return found.join(wanted.select("id", "set_digest"), "set_digest").groupBy("id").agg(F.first("grams").alias("grams"))

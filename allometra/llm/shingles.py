@@ -34,5 +34,26 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(hashed)
 
 
+def shingle_sets(words: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of many texts at once, all of ``size`` or more words: hashes, one set after the other, and where each begins.
+
+    ``words`` are the texts' word hashes, ``sizes`` how many each text has.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    n = len(words) - size + 1
+    if len(sizes) == 0 or n < 1:
+        return words[:0], np.zeros(len(sizes), dtype=np.int64)
+    hashed = np.full(n, size, dtype=np.uint64)
+    for k in range(size):
+        hashed = mix(hashed * _MULTIPLIERS[0] + words[k : n + k])
+    whole = owner[:n] == owner[size - 1 :]
+    hashed, owner = hashed[whole], owner[:n][whole]
+    order = np.lexsort((hashed, owner))
+    hashed, owner = hashed[order], owner[order]
+    new = np.append(True, (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1]))
+    hashed, owner = hashed[new], owner[new]
+    return hashed, np.searchsorted(owner, np.arange(len(sizes)))
+
+
 def digest(hashes: np.ndarray) -> bytes:
     return blake2b(hashes.tobytes(), digest_size=16).digest()

@@ -22,8 +22,8 @@ from allometra.llm.common import cut
 SIGNATURE = 64
 #: Long columns of parity bits.
 PARITY = ("s0", "s1", "s2", "s3")
-#: Most ids that go to the executors as a broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: A bitmap of 2 MB.
+FILTER_BITS = 24
 
 
 def least_overlap(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -72,9 +72,33 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def semi_join(df: DataFrame, ids: DataFrame, on: Column) -> DataFrame:
-    """Rows of ``df`` that match ``ids``, which is broadcast only if it is small."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
+class Bitmap:
+    """Which of 2**FILTER_BITS places are taken: what it lets through besides what was asked for is dropped by a later join.
+
+    Its size is the same for any number of ids. ``places`` has the one column ``place``.
+    """
+
+    def __init__(self, places: DataFrame):
+        bits = places.select(F.expr("shiftright(place, 6)").alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+        words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        taken = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+        taken[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+        self.held = places.sparkSession.sparkContext.broadcast(taken)
+
+    def holds(self, places: np.ndarray) -> np.ndarray:
+        return (self.held.value[places >> 6] >> (places & 63)) & 1 == 1
+
+
+def id_place(value: str) -> Column:
+    return F.xxhash64(value).bitwiseAND((1 << FILTER_BITS) - 1).alias("place")
+
+
+def digest_place(value: str) -> Column:
+    return F.conv(F.hex(F.substring(value, 1, 4)), 16, 10).cast("long").bitwiseAND((1 << FILTER_BITS) - 1).alias("place")
+
+
+def digest_places(digests: list[bytes]) -> np.ndarray:
+    return np.array([int.from_bytes(d[:4]) for d in digests], dtype=np.int64) & ((1 << FILTER_BITS) - 1)
 
 
 def _similar_signatures(pairs: DataFrame, items: DataFrame, num: int, den: int) -> DataFrame:
