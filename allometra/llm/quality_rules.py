@@ -194,5 +194,6 @@ def keep_documents(documents: DataFrame, sample_rows: int = 1000) -> DataFrame:
     """
     rules = plan_order(documents, default_rules(), sample_rows)
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc_id"), "text")
-    passed = cascade(packed, rules).where(F.col("rejected_by").isNull())
-    return passed.select(*[F.col("doc_id").getField(c).alias(c) for c in documents.columns])
+    judged = cascade(packed, rules)
+    # A filter would be pushed through every step, copying the cascade into itself; a generator is not.
+    return judged.select(F.inline(F.when(F.col("rejected_by").isNull(), F.array("doc_id"))))
