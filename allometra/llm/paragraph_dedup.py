@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allometra.llm.common import cut
+from allometra.llm.common import materialise
 from allometra.llm.shingles import digest, mix, shingle_sets, word_hashes
 from allometra.llm.similarity import PARITY, SIGNATURE, Bitmap, digest_place, digest_places, id_place, linked_components
 
@@ -134,10 +134,10 @@ def repeated_paragraphs(
     """
     num, den = similarity
     bands, rows = tune_bands(num / den, recall)
-    signed = cut(_signed(documents, min_words, size, bands, rows))
+    signed = materialise(_signed(documents, min_words, size, bands, rows))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "paragraph")
     classes = signed.groupBy("set_digest").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "sig", "keys", *PARITY)])
-    classes = cut(classes.withColumns({"id": F.monotonically_increasing_id(), "grp": F.lit(None).cast("binary"), "hub_rank": 127 - F.least("copies", F.lit(127))}))
+    classes = materialise(classes.withColumns({"id": F.monotonically_increasing_id(), "grp": F.lit(None).cast("binary"), "hub_rank": 127 - F.least("copies", F.lit(127))}))
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = classes.join(ids, "id").select("id", "set_digest", F.col("place.doc_id").alias("first_id"))
@@ -158,7 +158,7 @@ def repeated_paragraphs(
         found = texts.mapInArrow(run, "set_digest binary, grams binary")
         return found.join(wanted.select("id", "set_digest"), "set_digest").groupBy("id").agg(F.first("grams").alias("grams"))
 
-    labels = linked_components(classes, fetch, num, den, ordered=False)
+    labels = linked_components(classes, fetch, num, den, ordered=False, hold=materialise)
     named = classes.select("id", "set_digest", "place", "copies").join(labels, "id", "left").where("component IS NOT NULL OR copies > 1")
     named = named.withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("place").alias("_first"))

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from allometra.llm.common import cut
 
+#: How an intermediate result is written to the shared folder, where it no longer depends on executors.
+Hold = Callable[[DataFrame], DataFrame]
+
 SIGNATURE = 64
 #: Long columns of parity bits.
 PARITY = ("s0", "s1", "s2", "s3")
@@ -43,32 +46,32 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hold: Hold = cut) -> DataFrame:
     """id and component (its least id) of every end of the undirected ``edges`` (a, b).
 
     Each round hooks every node to its least neighbour, follows these pointers to their roots and contracts the
     edges, which leaves at most half of the nodes that still have an edge.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    edges = hold(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     labels = None
     while not edges.isEmpty():
-        parents = cut(both(edges).groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("parent")))
+        parents = hold(both(edges).groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("parent")))
         moved = True
         while moved:
             up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("_up"))
-            parents = cut(parents.join(up, "parent").select("id", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("_moved")))
+            parents = hold(parents.join(up, "parent").select("id", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("_moved")))
             moved = not parents.where("_moved").isEmpty()
             parents = parents.select("id", "parent")
         if labels is None:
             labels = parents.withColumnRenamed("parent", "component")
         else:
             to = parents.select(F.col("id").alias("component"), "parent")
-            labels = cut(labels.join(to, "component", "left").select("id", F.coalesce("parent", "component").alias("component")))
+            labels = hold(labels.join(to, "component", "left").select("id", F.coalesce("parent", "component").alias("component")))
         a = parents.select(F.col("id").alias("a"), F.col("parent").alias("_a"))
         b = parents.select(F.col("id").alias("b"), F.col("parent").alias("_b"))
         edges = edges.join(a, "a").join(b, "b").where("_a <> _b")
-        edges = cut(edges.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        edges = hold(edges.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
     return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
@@ -118,10 +121,10 @@ def _similar_signatures(pairs: DataFrame, items: DataFrame, num: int, den: int)
     return both.mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+def verify(pairs: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int, hold: Hold = cut) -> DataFrame:
     """The pairs (a, b) whose sets have Jaccard similarity num / den or more. ``fetch`` gives (id, grams) of the ids asked for."""
-    pairs = cut(_similar_signatures(pairs, items, num, den))
-    asked = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    pairs = hold(_similar_signatures(pairs, items, num, den))
+    asked = hold(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     sets = fetch(asked)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("_a")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("_b")), "b")
@@ -138,12 +141,13 @@ def verify(pairs: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], Data
     return both.mapInArrow(run, "a long, b long")
 
 
-def linked_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int, ordered: bool) -> DataFrame:
+def linked_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int, ordered: bool, hold: Hold = cut) -> DataFrame:
     """id and component of every item with a link; links are pairs that share a key and reach similarity num / den.
 
     ``items``: id, n (size of its set), sig and s0 to s3 (its signature and parity bits), grp (items of one group
     stand for each other as candidates; null: alone), keys (array of long) and hub_rank (0 to 127, low for good hubs).
-    It should be checkpointed, as it is read often. ``ordered`` says that keys are the items' prefixes in one common
+    It should be written before, as it is read often. ``hold`` writes the intermediate results: checkpoints by default; Parquet
+    (``materialise``) makes fewer tasks of many small ones. ``ordered`` says that keys are the items' prefixes in one common
     order, which allows filters by place and makes the item with the earliest place of a key its hub.
 
     Groups: one member, the leader, carries the group's keys. Members are candidates of their own leader, leaders
@@ -151,29 +155,29 @@ def linked_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     """
     grouped = items.where("grp IS NOT NULL").groupBy("grp", "n").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("gsize"))
     members = items.select("id", "grp", "n").join(grouped.where("gsize > 1"), ["grp", "n"])
-    members = cut(members.select("id", "gid", "gsize"))
+    members = hold(members.select("id", "gid", "gsize"))
     leaders = items.join(members.where("id <> gid").select("id"), "id", "left_anti")
     postings = leaders.select("id", "hub_rank", F.posexplode("keys").alias("pos", "key"))
     rank = F.least("pos", F.lit(127)) if ordered else F.col("hub_rank")
     code = F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.col("id"))
     hubs = postings.groupBy("key").agg(F.min(code).alias("_code"), F.count(F.lit(1)).alias("_count")).where("_count > 1")
     hubs = hubs.select("key", F.col("_code").bitwiseAND((1 << 56) - 1).alias("hub"), "_count")
-    shared = cut(postings.select("key", "id", "pos").join(hubs, "key"))
+    shared = hold(postings.select("key", "id", "pos").join(hubs, "key"))
     pairs = shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    pairs = cut(pairs.union(members.where("id <> gid").select(F.col("id").alias("a"), F.col("gid").alias("b"))).distinct())
-    first = cut(verify(pairs, items, fetch, num, den))
-    labels = components(first)
+    pairs = hold(pairs.union(members.where("id <> gid").select(F.col("id").alias("a"), F.col("gid").alias("b"))).distinct())
+    first = hold(verify(pairs, items, fetch, num, den, hold))
+    labels = components(first, hold)
 
     own = F.coalesce("component", "id")
     spread = members.join(labels, "id", "left").groupBy("gid").agg(F.min(own).alias("_low"), F.max(own).alias("_high"), F.max("gsize").alias("_size"))
-    spread = cut(spread.select(F.col("gid").alias("id"), "_low", "_high", "_size"))
+    spread = hold(spread.select(F.col("gid").alias("id"), "_low", "_high", "_size"))
     placed = leaders.select("id", "n", *PARITY).join(labels, "id", "left").join(spread, "id", "left")
     placed = placed.select("id", "n", *PARITY, F.coalesce("_low", "component", "id").alias("low"), F.coalesce("_high", "component", "id").alias("high"), F.coalesce("_size", F.lit(1)).alias("size"))
     # Keys whose items are all in one component, or whose two items were all that there was to compare, are done.
     left = shared.join(placed.select("id", "low", "high", "size"), "id")
     sums = left.groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high"), F.max("size").alias("_size"), F.max("_count").alias("_n"))
-    open_keys = cut(sums.where("_low < _high AND (_n > 2 OR _size > 1)").select("key"))
-    left = cut(shared.join(open_keys, "key").select("key", "hub", "id", "pos").join(placed, "id"))
+    open_keys = hold(sums.where("_low < _high AND (_n > 2 OR _size > 1)").select("key"))
+    left = hold(shared.join(open_keys, "key").select("key", "hub", "id", "pos").join(placed, "id"))
     a, b = left.alias("a"), left.alias("b")
     col = lambda name: (F.col(f"a.{name}"), F.col(f"b.{name}"))
     done = (F.col("a.size") == 1) & (F.col("b.size") == 1) & ((F.col("a.id") == F.col("a.hub")) | (F.col("b.id") == F.col("b.hub")))
@@ -191,7 +195,7 @@ def linked_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     crossing = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & ~done & apart & near)
     crossing = crossing.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     inside = spread.where("_low < _high").select(F.col("id").alias("a"), F.col("id").alias("b"))
-    group_pairs = cut(crossing.union(inside).distinct())
+    group_pairs = hold(crossing.union(inside).distinct())
 
     own_bits = items.select("id", "n", *PARITY).join(labels, "id", "left").select("id", "n", *PARITY, own.alias("own"))
     of = members.select("gid", F.col("id").alias("_member"))
@@ -206,5 +210,5 @@ def linked_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     found = found.where(flips <= total - 2 * F.expr(f"(({num}L * (a_n + b_n) + {num + den - 1}) div {num + den})"))
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = verify(found.join(tried, ["a", "b"], "left_anti"), items, fetch, num, den)
-    return components(first.union(second))
+    second = verify(found.join(tried, ["a", "b"], "left_anti"), items, fetch, num, den, hold)
+    return components(first.union(second), hold)
