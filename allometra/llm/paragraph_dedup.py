@@ -1,6 +1,6 @@
-"""Repeated paragraphs by MinHash banding, verified by exact Jaccard similarity.
+"""Repeated paragraphs by MinHash banding, verified by exact Jaccard similarity, and passages repeated word for word.
 
-Paragraphs are lines. Equal ones collapse into a class first. Bands of minimal hashes over word shingles make
+Passages (``passages``) are found wherever lines break. Paragraphs are lines. Equal ones collapse into a class first. Bands of minimal hashes over word shingles make
 similar classes collide; every collision that matters is verified on the exact sets, and the components of the
 verified pairs say which paragraphs repeat. The first of each component stays, the others are removals.
 """
@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allometra.llm.common import materialise
+from allometra.llm.passages import repeated_passages, without
 from allometra.llm.shingles import digest, mix, shingle_sets, word_hashes
 from allometra.llm.similarity import PARITY, SIGNATURE, Bitmap, digest_place, digest_places, id_place, linked_components
 
 SHINGLE = 5
 SIMILARITY = (8, 10)
 RECALL = 0.99
-#: Shorter lines (titles, list items, single sentences) are no passages.
+#: Shorter lines (titles, list items, single sentences) are no paragraphs; a passage of 50 words may lie over many.
 MIN_WORDS = 20
 MAX_BANDS = 64
 
@@ -121,6 +122,16 @@ def _signed(documents: DataFrame, min_words: int, size: int, bands: int, rows: i
 def repeated_paragraphs(
     documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, min_words: int = MIN_WORDS, recall: float = RECALL
 ) -> DataFrame:
+    """Repeated lines, and repeated passages however they are wrapped: a row for each of both kinds.
+
+    Rows of passages are those of ``repeated_passages``; first_word and component_word are null in rows of lines.
+    """
+    lines = _repeated_lines(documents, size, similarity, min_words, recall)
+    names = [*lines.columns, "first_word", "component_word"]
+    return lines.unionByName(repeated_passages(documents).select(*names), allowMissingColumns=True)
+
+
+def _repeated_lines(documents: DataFrame, size: int, similarity: tuple[int, int], min_words: int, recall: float) -> DataFrame:
     """One row for each paragraph that has an equal or similar one: where it is, which group it is in and whether it goes.
 
     Returns doc_id, paragraph (line number from 0), n_words, component_doc and component_paragraph (the first
@@ -170,12 +181,17 @@ def repeated_paragraphs(
     )
 
 
-def remove_repeats(documents: DataFrame, **options) -> DataFrame:
+def remove_repeats(
+    documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, min_words: int = MIN_WORDS, recall: float = RECALL
+) -> DataFrame:
     """``documents`` with the removals cut out of their texts; all other columns and rows stay as they are."""
-    gone = repeated_paragraphs(documents, **options).where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("_gone"))
+    gone = _repeated_lines(documents, size, similarity, min_words, recall).where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("_lines"))
+    gone = gone.select(F.col("doc_id").alias("_id"), "_lines")
+    runs = repeated_passages(documents).where("removed").groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("first_word", "n_words")).alias("_runs"))
+    runs = runs.select(F.col("doc_id").alias("_own"), F.col("text_id").alias("_text"), "_runs")
     names = documents.columns
-    gone = gone.select(F.col("doc_id").alias("_id"), "_gone")
     both = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    both = both.join(runs, F.col("doc_id").eqNullSafe(F.col("_own")) & (F.xxhash64("text") == F.col("_text")), "left")
+    rest = F.udf(lambda text, lines, runs: None if text is None else without(text, lines, runs), "string")
+    text = F.when(F.col("_lines").isNull() & F.col("_runs").isNull(), F.col("text")).otherwise(rest("text", "_lines", "_runs"))
     return both.withColumn("text", text).select(*[F.col(f"`{c}`") for c in names])

@@ -76,15 +76,15 @@ def components(edges: DataFrame, hold: Hold = cut) -> DataFrame:
 
 
 class Bitmap:
-    """Which of 2**FILTER_BITS places are taken: what it lets through besides what was asked for is dropped by a later join.
+    """Which of 2**filter_bits places are taken: what it lets through besides what was asked for is dropped by a later join.
 
     Its size is the same for any number of ids. ``places`` has the one column ``place``.
     """
 
-    def __init__(self, places: DataFrame):
+    def __init__(self, places: DataFrame, filter_bits: int = FILTER_BITS):
         bits = places.select(F.expr("shiftright(place, 6)").alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
         words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-        taken = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+        taken = np.zeros(1 << (filter_bits - 6), dtype=np.int64)
         taken[words.column("word").to_numpy()] = words.column("bits").to_numpy()
         self.held = places.sparkSession.sparkContext.broadcast(taken)
 

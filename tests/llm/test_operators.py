@@ -85,6 +85,35 @@ def test_paragraphs(spark):
     assert cleaned == {0: texts[0], 1: "", 2: texts[2], 3: "short", 4: None, 5: ""}
 
 
+def test_passages_however_they_are_wrapped(spark):
+    rng = np.random.default_rng(3)
+    word = iter(f"v{i}" for i in rng.permutation(2000)).__next__
+    fresh = lambda n: [word() for _ in range(n)]
+    wrap = lambda words, n: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    passage, other = fresh(55), fresh(49)
+    heads = [fresh(n) for n in (30, 7, 90, 40)]
+    tails = [fresh(n) for n in (25, 60, 3, 40)]
+    texts = [
+        " ".join([*heads[0], *passage, *tails[0]]),
+        wrap([*heads[1], *passage, *tails[1]], 9),
+        " ".join([*heads[2], *map(str.upper, passage), *tails[2]]),
+        " ".join([*heads[3], *other, *tails[3]]),
+        wrap(other, 8),
+        wrap(passage, 8),
+    ]
+    df = documents(spark, texts).repartition(3)
+    rows = paragraph_dedup.repeated_paragraphs(df).where("first_word IS NOT NULL").orderBy("doc_id").collect()
+    assert [(r.doc_id, r.paragraph, r.first_word, r.n_words, r.component_doc, r.component_word, r.removed) for r in rows] == [
+        (0, 0, 30, 55, 0, 30, False),
+        (1, 0, 7, 55, 0, 30, True),
+        (2, 0, 90, 55, 0, 30, True),
+        (5, 0, 0, 55, 0, 30, True),
+    ]
+    cleaned = {r.doc_id: r.text for r in paragraph_dedup.remove_repeats(df).collect()}
+    assert cleaned[0] == texts[0] and cleaned[3] == texts[3] and cleaned[4] == texts[4] and cleaned[5] == ""
+    assert cleaned[1].split() == heads[1] + tails[1] and cleaned[2] == " ".join(heads[2] + tails[2])
+
+
 def test_bands_reach_the_recall():
     bands, rows = paragraph_dedup.tune_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= paragraph_dedup.RECALL
