@@ -44,6 +44,12 @@ NAMES = frozenset(
     toolbar pagination pager widget widgets search hidden
     """.split()
 )
+# Words that may stand beside a name in a class, as in site-nav, sidebar-left or related-3; any other makes it another class.
+BESIDE = frozenset("site page main global top bottom left right primary secondary post entry article content wrap wrapper container box list area section block item items inner outer links buttons bar".split())
+#: What no class or id makes an aside: it holds the page's text.
+WHOLE = frozenset("html body main article".split())
+#: Of RAW, what HTML reads to the page's end if no end tag comes.
+TO_THE_END = frozenset("script style textarea title iframe".split())
 CLOSES_P = BLOCKS - {"body", "html", "head"}
 
 TOKEN = re.compile(
@@ -71,6 +77,28 @@ class Block:
     stop_share: float = field(default=0.0)
 
 
+def _names(value: str) -> set[str]:
+    """What the classes or ids in ``value`` name, each taken as a whole."""
+    out = set()
+    for token in value.split():
+        parts = {p for p in re.split(r"[_-]+", token) if p and not p.isdigit()}
+        out |= {token} if token in NAMES else (parts - BESIDE if parts - BESIDE <= NAMES | {"header"} else set())
+    return out
+
+
+def _end_of(name: str, page: str, at: int) -> int | None:
+    """Where the element that begins before ``at`` ends, by its own end tag; None without one."""
+    if name in TO_THE_END:
+        m = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
+        return m.end() if m else len(page)
+    depth = 1
+    for m in re.compile(rf"<(/?){name}\b[^>]*>", re.IGNORECASE).finditer(page, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if depth == 0:
+            return m.end()
+    return None
+
+
 def _is_aside(name: str, rest: str, in_article: bool) -> bool:
     if name in ASIDE or (name == "header" and not in_article):
         return True
@@ -82,8 +110,8 @@ def _is_aside(name: str, rest: str, in_article: bool) -> bool:
             return True
         if key.lower() == "role" and value in ROLES:
             return True
-        if key.lower() in ("class", "id"):
-            parts = set(re.split(r"[\s_-]+", value))
+        if key.lower() in ("class", "id") and name not in WHOLE:
+            parts = _names(value)
             if parts & NAMES or ("header" in parts and not in_article):
                 return True
     return False
@@ -94,7 +122,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # element, whether aside, article it belongs to
     pieces: list[str] = []
-    linked = articles = links = 0
+    linked = articles = links = dropped = 0
 
     def close() -> None:
         nonlocal linked
@@ -107,15 +135,16 @@ def blocks_of(page: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not dropped:
             pieces.append(text)
             if links:
                 linked += len(" ".join(html.unescape(text).split()))
 
     def leave(name: str) -> None:
-        nonlocal links
+        nonlocal links, dropped
         while stack:
             top = stack.pop()[0]
+            dropped -= top in RAW
             links -= top == "a"
             if top == name:
                 return
@@ -143,12 +172,21 @@ def blocks_of(page: str) -> list[Block]:
         if name in RAW:
             if name in BLOCKS:
                 close()
-            stop = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = stop.end() if stop and not m["rest"].endswith("/") else at if m["rest"].endswith("/") else end
+            if m["rest"].endswith("/"):
+                continue
+            stop = None if name == "option" else _end_of(name, page, at)
+            if stop is not None:
+                at = stop
+                continue
+            # Its parent's end tag closes it.
+            if name == "option" and stack and stack[-1][0] == name:
+                leave(name)
+            stack.append((name, True, stack[-1][2] if stack else 0))
+            dropped += 1
             continue
         if name in BLOCKS:
             close()
-            if name in CLOSES_P and stack and any(x[0] == "p" for x in stack[-4:]):
+            if name in CLOSES_P and not dropped and stack and any(x[0] == "p" for x in stack[-4:]):
                 leave("p")
             if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                 leave(name)
@@ -159,7 +197,7 @@ def blocks_of(page: str) -> list[Block]:
             articles += 1
             article = articles
         if name == "a":
-            if links and any(x[0] == "a" for x in stack):
+            if links and not dropped and any(x[0] == "a" for x in stack):
                 leave("a")
             links += 1
         stack.append((name, aside or _is_aside(name, m["rest"], bool(article)), article))

@@ -255,6 +255,23 @@ def test_main_text():
     assert page_text.main_text(None) == page_text.main_text("") == ""
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar">{}</body>',
+        '<body class="no-sidebar hidden"><main class="overflow-hidden">{}</main></body>',
+        '<body><article class="post related-3">{}</article></body>',
+        '<body><div class="has-sidebar">{}</div><div class="site-nav">It is the nav of the site and not of the article as it was.</div></body>',
+        "<body><datalist><option value=a>A<option value=b>B</datalist>{}<select><option>C</option></select></body>",
+        "<body><div><video src=v>No video</div>{}<div><video src=v></video></div></body>",
+        "<body><div><svg><path d=x></div>{}</body>",
+    ],
+)
+def test_main_text_is_not_lost(page):
+    text = "This is the first paragraph of the article and it says what it is for."
+    assert page_text.main_text(page.format(f"<p>{text}</p>")) == text
+
+
 def test_extract_keeps_every_page(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "<p>x", 2), (2, None, "<p>x", 2)], "page_id long, url string, html string, text int")
     assert [r.n_chars for r in page_text.extract(pages).orderBy("page_id").collect()][0] == 0
