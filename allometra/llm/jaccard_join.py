@@ -25,7 +25,7 @@ SHINGLE = 5
 SIMILARITY = (8, 10)
 COUNT_BITS = 21
 _BLOCK_BITS = 14
-#: Most ids that go to the executors as a broadcast, at 16 bytes each.
+#: Most ids that go to the executors as a broadcast, at 24 bytes each with the hash of the text.
 BROADCAST_IDS = 500_000
 
 
@@ -82,9 +82,10 @@ def prefix_size(n: int, num: int, den: int) -> int:
 
 
 def signed(documents: DataFrame, size: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, set_digest, sig, grp (digest of the prefix), keys (the prefix) and parity bits of every row."""
+    """n, set_digest, sig, grp (digest of the prefix), keys (the prefix) and parity bits of every row, after all columns but text."""
     held = documents.sparkSession.sparkContext.broadcast(levels)
     bits = len(levels).bit_length() - 1
+    own = [c for c in documents.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,23 +96,16 @@ def signed(documents: DataFrame, size: int, num: int, den: int, levels: np.ndarr
                 rows.append((len(hashes), digest(hashes), signature(hashes), digest(prefix), prefix.view(np.int64), *parity(hashes).tolist()))
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * len(PARITY))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 9, kinds, strict=True))],
-                ["doc_id", "n", "set_digest", "sig", "grp", "keys", *PARITY],
+                [*(batch.column(c) for c in own), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 9, kinds, strict=True))],
+                [*own, "n", "set_digest", "sig", "grp", "keys", *PARITY],
             )
 
-    rows = documents.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, set_digest binary, sig binary, grp binary, keys array<long>, " + ", ".join(f"{s} long" for s in PARITY))
+    kinds = dict(documents.dtypes)
+    return documents.mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in own) + "n long, set_digest binary, sig binary, grp binary, keys array<long>, " + ", ".join(f"{s} long" for s in PARITY))
 
 
-def duplicate_components(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, bits: int = COUNT_BITS) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links lead to, itself included) of every row.
-
-    Two rows link when the Jaccard similarity of their sets of ``size``-word shingles is ``similarity`` (a fraction)
-    or more. A text with fewer words is one shingle. Null, empty and blank texts have no shingle, link with nothing
-    and are their own component. Rows with one doc_id and different texts each have their own links. A null doc_id
-    takes part; it is the component only where no other id is. An empty table gives an empty result; other columns
-    of the input are ignored. Whole texts are read.
-    """
+def _linked(documents: DataFrame, size: int, similarity: tuple[int, int], bits: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows; and id, set_digest, first_id and component of every class of equal sets."""
     num, den = similarity
     rows = cut(signed(documents, size, num, den, commonness(documents, size, bits)))
     classes = rows.where("n > 0").groupBy("set_digest").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "sig", "grp", "keys", *PARITY)])
@@ -132,6 +126,19 @@ def duplicate_components(documents: DataFrame, size: int = SHINGLE, similarity:
 
     labels = linked_components(classes, fetch, num, den, ordered=True)
     named = classes.select("id", "set_digest", "first_id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return rows, named
+
+
+def duplicate_components(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, bits: int = COUNT_BITS) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id that links lead to, itself included) of every row.
+
+    Two rows link when the Jaccard similarity of their sets of ``size``-word shingles is ``similarity`` (a fraction)
+    or more. A text with fewer words is one shingle. Null, empty and blank texts have no shingle, link with nothing
+    and are their own component. Rows with one doc_id and different texts each have their own links. A null doc_id
+    takes part; it is the component only where no other id is. An empty table gives an empty result; other columns
+    of the input are ignored. Whole texts are read.
+    """
+    rows, named = _linked(documents.select("doc_id", "text"), size, similarity, bits)
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "component").select("set_digest", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_digest").join(named, "set_digest", "left")
@@ -139,22 +146,28 @@ def duplicate_components(documents: DataFrame, size: int = SHINGLE, similarity:
 
 
 def keep_first(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, bits: int = COUNT_BITS) -> DataFrame:
-    """The rows of ``documents`` that are their component's own row, with their columns as they came.
+    """One row of ``documents`` of each component, with its columns as they came; all rows without a shingle stay.
 
-    That is the row whose doc_id is the component's. Of rows that share this id those with different texts stay,
-    and one of those with the same.
+    That is the row with the least doc_id, a null one last; among rows of one doc_id the set and then the text decide.
+    Of rows with equal doc_id and text one stays; without a shingle, only if the doc_id is not null.
     """
-    found = duplicate_components(documents, size, similarity, bits)
-    going = cut(found.where("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct())
-    twice = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_twice"))
-    twice = cut(twice)
+    text_id = F.xxhash64("text").alias("_text_id")
+    rows, named = _linked(documents.select("doc_id", text_id, "text"), size, similarity, bits)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_digest", "_text_id")
+    some = rows.where("n > 0")
+    first = some.groupBy("set_digest").agg(F.min(place).alias("_place")).join(named.select("set_digest", "component"), "set_digest")
+    first = first.groupBy("component").agg(F.min("_place").alias("_place")).select(F.col("_place.doc_id").alias("_doc"), F.col("_place._text_id").alias("_text"))
+    own = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("_text_id") == F.col(b))
+    going = some.select("doc_id", "_text_id").distinct().join(first, own("_doc", "_text"), "left_anti")
+    going = cut(going.select(F.col("doc_id").alias("_gone"), F.col("_text_id").alias("_gone_text")))
+    twice = rows.where("n > 0 OR doc_id IS NOT NULL").groupBy("doc_id", "_text_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    twice = twice.join(going, own("_gone", "_gone_text"), "left_anti")
+    twice = cut(twice.select(F.col("doc_id").alias("_twice"), F.col("_text_id").alias("_twice_text")))
     # Ids are longs, so that a broadcast of the least number stays small; beyond it, texts are shuffled once.
     on = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    kept = documents.join(on(going), F.col("doc_id") == F.col("_gone"), "left_anti")
-    if not going.where("_gone IS NULL").isEmpty():
-        kept = kept.where("doc_id IS NOT NULL")
-    if twice.isEmpty():
-        return kept
-    once = kept.join(on(twice), F.col("doc_id") == F.col("_twice"), "left_anti")
-    again = kept.join(on(twice), F.col("doc_id") == F.col("_twice"), "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    kept = documents.withColumn("_text_id", text_id).join(on(going), own("_gone", "_gone_text"), "left_anti")
+    if not twice.isEmpty():
+        once = kept.join(on(twice), own("_twice", "_twice_text"), "left_anti")
+        again = kept.join(on(twice), own("_twice", "_twice_text"), "left_semi")
+        kept = once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    return kept.drop("_text_id")

@@ -73,6 +73,21 @@ def test_jaccard_join_of_nothing(spark):
     assert duplicate_components(documents(spark, [])).count() == 0
 
 
+def test_keep_first_with_shared_and_null_ids(spark):
+    rng = np.random.default_rng(7)
+    a, b, c, d = ([f"{x}{i}" for i in rng.permutation(60)] for x in "abcd")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    text = " ".join
+    rows = [(3, text(a)), (7, near(a)), (7, text(b)), (8, near(b)), (None, near(b)), (None, text(c)), (None, text(d)), (None, near(d)), (9, text(b)), (3, text(a)), (None, text(c)), (None, None), (None, "")]
+    kept = keep_first(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string"))
+    assert kept.columns == ["doc_id", "text", "lang"]
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    of_d = [x for x in found if x[1] in (text(d), near(d))]
+    assert len(of_d) == 1
+    rest = [(3, text(a)), (7, text(b)), (None, text(c)), (None, None), (None, "")]
+    assert sorted(map(str, found)) == sorted(map(str, rest + of_d))
+
+
 def test_paragraphs(spark):
     rng = np.random.default_rng(2)
     base = rng.choice(WORDS, 40).tolist()
