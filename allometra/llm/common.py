@@ -25,9 +25,26 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
 
 
+_to_delete: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where none is configured, as in local tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A folder of this application's own in the one that driver and executors share, deleted when the driver ends.
+
+    The shared one is ``spark.checkpoint.dir``. Where that is unset, a session on one machine, as in tests, has a folder
+    of its own; on a cluster this is an error, as each machine would write to its own disk.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = "/tmp/checkpoints"
+    folder = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if folder not in _to_delete:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _to_delete.add(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,6 +58,6 @@ def cut(df: DataFrame) -> DataFrame:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
