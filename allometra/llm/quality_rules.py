@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, native DataFrame functions only.
 
-Each rule has measures and a test. ``plan_order`` estimates every rule's cost and rejection rate on a
-sample and puts the rules with the most rejections per second first; ``cascade`` then evaluates a
-rule only for the rows that the rules before it let through. The verdict is a conjunction, so it does
-not depend on the order: the sample decides how fast the cascade runs and never what it returns.
+A rule is a test on measures of a text. ``plan_order`` estimates on a sample what each measure costs and which rows
+each rule rejects, and puts first the rule with the most rejections per second that it adds. ``keep_documents`` runs
+the rules one after the other in that order: a rejected row is gone before the next rule's measures are taken, and
+arrays that no later rule needs are dropped on the way. The verdict is a conjunction, so the sample decides how
+fast the cascade runs and never what it returns.
 
 There is no shuffle: a text's words, lines and windows stay in arrays of its own row.
 """
@@ -11,7 +12,7 @@ There is no shuffle: a text's words, lines and windows stay in arrays of its own
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,99 +24,76 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = "[#*$%&|<>]+"
-
-#: One step adds columns computed from the ones before; a rule is a list of such steps.
-Step = Callable[[], dict[str, Column]]
+SAMPLE_ROWS = 1000
 
 
 @dataclass(frozen=True)
-class Rule:
-    """``steps`` add the rule's measures in turn, ``rejects`` is its test on them."""
-
-    name: str
-    steps: Sequence[Step]
-    rejects: Callable[[], Column]
-
-
-def _words() -> dict[str, Column]:
-    return {"_words": word_array(F.col("_text"))}
-
-
-def _n_words() -> dict[str, Column]:
-    return {"n_words": F.size("_words").cast("long")}
-
+class Measure:
+    """A column computed from the columns named in ``needs``, which are ``_text`` or other measures."""
 
-def _word_chars() -> dict[str, Column]:
-    return {"word_chars": F.length(F.array_join("_words", "")).cast("long")}
+    needs: tuple[str, ...]
+    make: Callable[[], Column]
 
 
-def _n_symbols() -> dict[str, Column]:
-    return {"n_symbols": (F.length("_text") - F.length(F.regexp_replace("_text", SYMBOLS, ""))).cast("long")}
-
-
-def _lines() -> dict[str, Column]:
-    return {"_lines": F.filter(F.split("_text", "\n"), lambda line: F.regexp_replace(line, SPACE_CLASS + "+", "") != "")}
-
-
-def _n_dup_lines() -> dict[str, Column]:
-    return {"_n_lines": F.size("_lines"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")}
-
-
-def _word_hashes() -> dict[str, Column]:
-    return {"_hashes": F.transform("_words", lambda w: F.xxhash64(w))}
-
-
-def _windows() -> dict[str, Column]:
+def _windows() -> Column:
     window = lambda i: F.xxhash64(*[F.get("_hashes", i + k) for k in range(WINDOW)])
-    return {"_windows": F.when(F.size("_hashes") > WINDOW, F.transform(F.sequence(F.lit(0), F.size("_hashes") - WINDOW), window))}
+    return F.when(F.size("_hashes") > WINDOW, F.transform(F.sequence(F.lit(0), F.size("_hashes") - WINDOW), window))
 
 
-def _placed_windows() -> dict[str, Column]:
+def _placed() -> Column:
     """Windows with their places, in order of the window; null where all windows differ."""
     repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    placed = F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    return {"_placed": F.when(repeated, F.sort_array(placed))}
+    return F.when(repeated, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
 
 
-def _repeat_starts() -> dict[str, Column]:
+def _starts() -> Column:
+    """Where the windows begin that stand twice or more."""
     same = lambda w, j: (F.get("_placed", j - 1)["h"] == w["h"]) | (F.get("_placed", j + 1)["h"] == w["h"])
     twice = F.filter("_placed", lambda w, j: F.coalesce(same(w, j), F.get("_placed", j + 1)["h"] == w["h"], F.lit(False)))
-    return {"_starts": F.sort_array(F.transform(twice, lambda w: w["i"]))}
+    return F.sort_array(F.transform(twice, lambda w: w["i"]))
 
 
-def _n_repeat_words() -> dict[str, Column]:
+def _n_repeat_words() -> Column:
     """Each start covers the words that no earlier start covers."""
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("covered"))
-    covered = F.aggregate(
-        "_starts",
-        start,
-        lambda acc, i: F.struct(i.alias("last"), (acc["covered"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("covered")),
-        lambda acc: acc["covered"],
-    )
-    return {"n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long")}
+    add = lambda acc, i: F.struct(i.alias("last"), (acc["covered"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("covered"))
+    return F.coalesce(F.aggregate("_starts", start, add, lambda acc: acc["covered"]), F.lit(0)).cast("long")
+
+
+MEASURES = {
+    "_words": Measure(("_text",), lambda: word_array(F.col("_text"))),
+    "n_words": Measure(("_words",), lambda: F.size("_words").cast("long")),
+    "word_chars": Measure(("_words",), lambda: F.length(F.array_join("_words", "")).cast("long")),
+    "n_symbols": Measure(("_text",), lambda: (F.length("_text") - F.length(F.regexp_replace("_text", SYMBOLS, ""))).cast("long")),
+    "_lines": Measure(("_text",), lambda: F.filter(F.split("_text", "\n"), lambda line: F.regexp_replace(line, SPACE_CLASS + "+", "") != "")),
+    "_n_lines": Measure(("_lines",), lambda: F.size("_lines")),
+    "n_dup_lines": Measure(("_lines",), lambda: (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")),
+    "_hashes": Measure(("_words",), lambda: F.transform("_words", lambda w: F.xxhash64(w))),
+    "_windows": Measure(("_hashes",), _windows),
+    "_placed": Measure(("_windows",), _placed),
+    "_starts": Measure(("_placed",), _starts),
+    "n_repeat_words": Measure(("_starts",), _n_repeat_words),
+    "_n_upper": Measure(("_text",), lambda: F.length(F.regexp_replace("_text", r"\P{Lu}+", ""))),
+}
+
 
+@dataclass(frozen=True)
+class Rule:
+    """``rejects`` is a test on the measures named in ``needs``."""
 
-def _upper() -> dict[str, Column]:
-    return {"_n_upper": F.length(F.regexp_replace("_text", r"\P{Lu}+", ""))}
+    name: str
+    needs: tuple[str, ...]
+    rejects: Callable[[], Column]
 
 
 def default_rules() -> list[Rule]:
-    words = [_words, _n_words]
     return [
-        Rule("too_few_words", words, lambda: F.col("n_words") < MIN_WORDS),
-        Rule("symbols", [*words, _n_symbols], lambda: F.col("n_symbols") * 10 > F.col("n_words")),
-        Rule(
-            "repeated_words",
-            [*words, _word_hashes, _windows, _placed_windows, _repeat_starts, _n_repeat_words],
-            lambda: F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT,
-        ),
-        Rule("duplicate_lines", [_lines, _n_dup_lines], lambda: (F.col("n_dup_lines") > 2) & (F.col("n_dup_lines") * 10 > F.col("_n_lines") * 3)),
-        Rule(
-            "word_length",
-            [*words, _word_chars],
-            lambda: (F.col("word_chars") < F.col("n_words") * 2) | (F.col("word_chars") > F.col("n_words") * 20),
-        ),
-        Rule("upper_case", [*words, _word_chars, _upper], lambda: F.col("_n_upper") * 2 > F.col("word_chars")),
+        Rule("too_few_words", ("n_words",), lambda: F.col("n_words") < MIN_WORDS),
+        Rule("symbols", ("n_words", "n_symbols"), lambda: F.col("n_symbols") * 10 > F.col("n_words")),
+        Rule("repeated_words", ("n_words", "n_repeat_words"), lambda: F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT),
+        Rule("duplicate_lines", ("n_dup_lines", "_n_lines"), lambda: (F.col("n_dup_lines") > 2) & (F.col("n_dup_lines") * 10 > F.col("_n_lines") * 3)),
+        Rule("word_length", ("n_words", "word_chars"), lambda: (F.col("word_chars") < F.col("n_words") * 2) | (F.col("word_chars") > F.col("n_words") * 20)),
+        Rule("upper_case", ("word_chars", "_n_upper"), lambda: F.col("_n_upper") * 2 > F.col("word_chars")),
     ]
 
 
@@ -124,76 +102,108 @@ BASE_RULES = ("too_few_words", "repeated_words")
 BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _apply(df: DataFrame, steps: Sequence[Step], alive: Column | None) -> DataFrame:
-    for step in steps:
-        new = {name: made for name, made in step().items() if name not in df.columns}
-        if new:
-            df = df.withColumns(new if alive is None else {name: F.when(alive, made) for name, made in new.items()})
-    return df
+def chain(names: Collection[str], have: Collection[str] = ("_text",)) -> list[str]:
+    """The measures that ``names`` take, each after those that it needs, without those that are there."""
+    out: list[str] = []
+    for name in names:
+        if name not in have and name not in out:
+            out += [m for m in chain(MEASURES[name].needs, have) if m not in out] + [name]
+    return out
+
 
+def measured(df: DataFrame, names: Collection[str], keep: Collection[str]) -> DataFrame:
+    """``df`` with the measures ``names``; of other measures and the text just those in ``keep`` stay."""
+    for name in chain(names, df.columns):
+        df = df.withColumn(name, MEASURES[name].make())
+    return df.select([c for c in df.columns if c in names or c in keep])
 
-def plan_order(documents: DataFrame, rules: Sequence[Rule], sample_rows: int = 1000, seed: int = 7) -> list[Rule]:
-    """Rules by rejections per second of work, most first, as a Bernoulli sample of about ``sample_rows`` rows shows them."""
+
+def plan_order(documents: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Rule]:
+    """Rules by rejections per second of added work, most first, as a Bernoulli sample of about ``sample_rows`` rows shows them.
+
+    A measure's cost is the time that a job with it takes over the one that stops before it, each the least of three
+    runs after one that compiles. A rule is charged with the measures that no rule before it has taken, and
+    credited with the rows that none before it rejects.
+    """
     total = documents.count()
     if total == 0:
         return list(rules)
-    sample = documents.select(F.coalesce("text", F.lit("")).alias("_text")).sample(min(1.0, sample_rows / total), seed).persist()
+    sample = documents.select(F.coalesce("text", F.lit("")).alias("_text")).sample(min(1.0, sample_rows / total), seed).repartition(4).persist()
     sample.count()
-    ranked = []
-    for rule in rules:
-        began = time.perf_counter()
-        seen, rejected = _apply(sample, rule.steps, None).agg(F.count(F.lit(1)), F.count_if(rule.rejects())).first()
-        cost = time.perf_counter() - began
-        ranked.append((-(rejected / max(seen, 1)) / cost, rule.name, rule))
-    sample.unpersist()
-    return [rule for _, _, rule in sorted(ranked, key=lambda r: r[:2])]
 
-
-def cascade(documents: DataFrame, rules: Sequence[Rule], measure_all: Sequence[Step] = ()) -> DataFrame:
-    """Add ``rejected_by`` (the first rule in this order that rejects, null if none) to ``doc_id`` and the measures.
-
-    ``measure_all`` are steps whose columns are wanted for every row; all others run only for rows still alive.
-    A null text counts as an empty one; repeated rows are judged one by one.
+    def seconds(names: Sequence[str]) -> float:
+        runs = []
+        for _ in range(4):
+            began = time.perf_counter()
+            measured(sample, names, ()).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - began)
+        return min(runs[1:])
+
+    cost = {}
+    for name in chain([m for rule in rules for m in rule.needs]):
+        needs = MEASURES[name].needs
+        cost[name] = max(1e-4, seconds((name,)) - seconds([n for n in needs if n != "_text"]))
+    verdicts = measured(sample, [m for rule in rules for m in rule.needs], ()).select(*[F.coalesce(rule.rejects(), F.lit(False)).alias(rule.name) for rule in rules]).collect()
+    sample.unpersist()
+    left, done, order = list(rules), ["_text"], []
+    while left:
+        added = {rule.name: sum(cost[m] for m in chain(rule.needs, done)) or 1e-4 for rule in left}
+        best = max(left, key=lambda rule: (sum(v[rule.name] for v in verdicts) / added[rule.name], -added[rule.name], rule.name))  # noqa: B023
+        order.append(best)
+        left.remove(best)
+        done += chain(best.needs, done)
+        verdicts = [v for v in verdicts if not v[best.name]]
+    return order
+
+
+def cascade(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The rows (``_row``, ``_text``) that no rule rejects, as ``_row``.
+
+    Between two rules stands a generator, through which no filter is pushed and no projection is merged: each rule is
+    compiled alone and sees just the rows that are left.
     """
-    df = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    df = _apply(df, measure_all, None).withColumn("rejected_by", F.lit(None).cast("string"))
-    for rule in rules:
-        alive = F.col("rejected_by").isNull()
-        # A measure that an earlier rule made null for some rows is null only where the verdict is known.
-        df = _apply(df, rule.steps, alive)
-        df = df.withColumn("rejected_by", F.when(alive & rule.rejects(), F.lit(rule.name)).otherwise(F.col("rejected_by")))
-    return df
+    for k, rule in enumerate(rules):
+        have = {*rows.columns, *chain(rule.needs, rows.columns)}
+        asked = [m for r in rules[k + 1 :] for m in r.needs]
+        inputs = {n for m in chain(asked, have) for n in MEASURES[m].needs}
+        kept = ["_row", *sorted(have & {*asked, *inputs})]
+        alive = ~F.coalesce(rule.rejects(), F.lit(False))
+        rows = measured(rows, rule.needs, kept).select(F.inline(F.when(alive, F.array(F.struct(*kept)))))
+    return rows.select("_row")
 
 
-def base_steps() -> list[Step]:
-    return [_words, _n_words, _word_chars, _n_symbols, _lines, _n_dup_lines, _word_hashes, _windows, _placed_windows, _repeat_starts, _n_repeat_words]
-
-
-def score_documents(documents: DataFrame, sample_rows: int = 1000) -> DataFrame:
+def score_documents(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Measures and verdict of every document.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept
-    and rejected_by (the rule that spoke first; it depends on the planned order, the verdict does not).
+    and rejected_by (the rule that spoke first; it depends on the planned order, the verdict does not). The five
+    measures are asked for of every row; what else a rule needs is taken only where no rule before it rejects.
 
     Null or empty text: no words, all measures 0, base_failed. Very long texts are measured whole. Repeated
     rows each give a row; an empty table gives an empty result; other columns of the input are ignored.
     Windows are compared by 64-bit hashes within one text.
     """
     rules = plan_order(documents, default_rules(), sample_rows)
-    df = cascade(documents, rules, measure_all=base_steps())
+    df = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    df = measured(df, (*BASE_MEASURES, "_n_lines"), ("doc_id", "_text"))
+    rejected = F.lit(None).cast("string")
+    for rule in rules:
+        for name in chain(rule.needs, df.columns):
+            df = df.withColumn(name, F.when(rejected.isNull(), MEASURES[name].make()))
+        rejected = F.coalesce(rejected, F.when(rule.rejects(), F.lit(rule.name)))
     base = {rule.name: rule for rule in rules}
     failed = base["too_few_words"].rejects() | base["repeated_words"].rejects()
+    df = df.withColumn("rejected_by", rejected)
     return df.select("doc_id", *BASE_MEASURES, failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"), "rejected_by")
 
 
-def keep_documents(documents: DataFrame, sample_rows: int = 1000) -> DataFrame:
+def keep_documents(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``documents`` that every rule lets through, with their columns as they came.
 
     The cascade runs over the rows themselves, packed in one struct, so that extra columns keep their names,
-    repeated rows stay repeated and nothing is joined back.
+    repeated rows stay repeated and nothing is joined back. Null and empty texts have too few words and go; very long
+    texts are judged whole; an empty table gives an empty result.
     """
     rules = plan_order(documents, default_rules(), sample_rows)
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc_id"), "text")
-    judged = cascade(packed, rules)
-    # A filter would be pushed through every step, copying the cascade into itself; a generator is not.
-    return judged.select(F.inline(F.when(F.col("rejected_by").isNull(), F.array("doc_id"))))
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
+    return cascade(packed, rules).select("_row.*")
