@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from allometra.llm.source_mix import golden
+
 QUALITY_RULES = r"""
 WITH texts AS (
     SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents
@@ -51,10 +53,37 @@ WITH sized AS (
 ), quotas AS (
     SELECT *, floor(target + 0.5)::BIGINT AS quota FROM aimed
 ), lines AS (
-    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS UNBOUNDED PRECEDING) - size AS begins FROM sized
+    SELECT *, row_number() OVER () AS row_id, sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS UNBOUNDED PRECEDING) - size AS begins FROM sized
+), divided AS (
+    SELECT *, (source_size + 2047) // 2048 AS blocks, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS passes FROM quotas
+), slotted AS (
+    SELECT *, quota - passes * source_size AS rest, passes * blocks + (quota - passes * source_size + 2047) // 2048 AS slots FROM divided
+), shares AS (
+    SELECT *, sum(slots) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) / greatest(sum(slots) OVER (), 1) AS hi FROM slotted
+), bounds AS (
+    SELECT *, coalesce(lag(hi) OVER (ORDER BY source NULLS LAST), 0) AS lo FROM shares
+), points AS (
+    SELECT i AS slot, (i // 1048576 * GOLDEN_20::DOUBLE + (i % 1048576 + 0.5)::DOUBLE * GOLDEN_0::DOUBLE) % 1.0::DOUBLE AS u
+    FROM (SELECT unnest(range(sum(slots)::BIGINT)) AS i FROM slotted)
+), drawn AS (
+    SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM points JOIN bounds ON lo <= u AND u < hi
+), had AS (
+    SELECT b.source, slots, count(d.slot) AS n FROM bounds AS b LEFT JOIN drawn AS d ON b.source IS NOT DISTINCT FROM d.source GROUP BY ALL
+), owed AS (
+    SELECT source, unnest(range(n, slots::BIGINT)) AS rank FROM had
+), ranked AS (
+    SELECT slot, source, rank FROM drawn UNION ALL SELECT (SELECT sum(slots) FROM slotted) + rank, source, rank FROM owed
+), schedule AS (
+    SELECT r.slot, r.source, rank % blocks AS block, least((rank % blocks + 1) * 2048, CASE WHEN rank // blocks < passes THEN source_size ELSE rest END) AS ends
+    FROM ranked AS r JOIN slotted AS s ON r.source IS NOT DISTINCT FROM s.source WHERE rank < slots
+), starts AS (
+    SELECT row_id, min(slot)::BIGINT AS first_slot FROM lines AS l JOIN schedule AS s ON l.source IS NOT DISTINCT FROM s.source AND block = begins // 2048
+    WHERE size > 0 AND ends > begins GROUP BY row_id
 )
 SELECT doc_id, size, source_size, target,
     (CASE WHEN size = 0 THEN 0 ELSE quota // source_size * size
-        + greatest(0, least(size, quota % source_size - begins)) END)::BIGINT AS taken
-FROM lines JOIN quotas ON lines.source IS NOT DISTINCT FROM quotas.source
+        + greatest(0, least(size, quota % source_size - begins)) END)::BIGINT AS taken, first_slot
+FROM lines JOIN quotas ON lines.source IS NOT DISTINCT FROM quotas.source LEFT JOIN starts USING (row_id)
 """
+for _power in (20, 0):
+    SOURCE_MIX = SOURCE_MIX.replace(f"GOLDEN_{_power}", repr(golden(_power)))

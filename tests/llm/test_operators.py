@@ -262,6 +262,56 @@ def test_mix_reaches_its_targets(spark):
     assert source_mix.mix(df.limit(0)).isEmpty()
 
 
+def test_schedule_keeps_to_the_weights_all_along(spark):
+    rows = [(False, s, size, float(quota), quota) for s, size, quota in (("a", 90_000, 150_000), ("b", 300_000, 80_000), ("c", 50_000, 21_111))]
+    sources = spark.createDataFrame(rows, "_no_source boolean, _source string, source_size long, target double, quota long")
+    slots = source_mix.schedule(sources, 64).orderBy("slot").collect()
+    shares = {s: sum(r._source == s for r in slots) / len(slots) for s in "abc"}
+    seen = dict.fromkeys("abc", 0)
+    for k, r in enumerate(slots, 1):
+        assert r.rank == seen[r._source] and r.end > r.begin
+        seen[r._source] += 1
+        assert all(abs(seen[s] - k * shares[s]) < 6 for s in "abc")
+    words = {s: sum(r.end - r.begin for r in slots if r._source == s) for s in "abc"}
+    assert words == {s: quota for _, s, _, _, quota in rows}
+
+
+def test_taken_documents_stand_in_slot_order(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(WORDS, 1 + i % 90)) for i in range(400)]
+    df = documents(spark, texts, [["a", "b", "c"][i % 3] for i in range(400)])
+    slot = {r.doc_id: r.first_slot for r in source_mix.mix(df, block=64).collect()}
+    first = []
+    for r in source_mix.take(df, block=64).select("doc_id").collect():
+        if r.doc_id not in first:
+            first.append(r.doc_id)
+    assert [slot[i] for i in first] == sorted(slot[i] for i in first)
+    assert set(first) == {i for i, s in slot.items() if s is not None}
+
+
+def test_mix_of_equal_and_null_rows(spark):
+    rows = [(None, "a b c", "x")] * 50 + [(1, "a b", None)] * 7 + [(1, "a b c d", "x"), (2, None, "x"), (None, None, None), (3, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_key", F.lit(1)).withColumn("block", F.lit("b"))
+    mixed = source_mix.mix(df, block=4).collect()
+    assert len(mixed) == len(rows)
+    by = {}
+    for r in mixed:
+        assert r.taken <= 3 * r.size and (r.first_slot is None) == (r.taken == 0)
+        by.setdefault((r.source, r.target), []).append(r.taken)
+    assert all(abs(sum(t) - target) <= 1 for (_, target), t in by.items())
+    taken = source_mix.take(df, block=4)
+    assert taken.columns == df.columns and taken.where("text = ''").isEmpty()
+
+
+def test_cascade_in_any_order(spark, corpus):
+    df = documents(spark, [*corpus, "# " * 30 + "w", "A B C " * 9, "x\n" * 40, *[" ".join(WORDS)] * 2])
+    expected = sorted(str(r) for r in quality_rules.score_documents(df).where("kept").select("doc_id").collect())
+    for rules in (quality_rules.default_rules(), quality_rules.default_rules()[::-1]):
+        packed = df.select(F.struct("doc_id").alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
+        assert sorted(str(r) for r in quality_rules.cascade(packed, rules).select("_row.*").collect()) == expected
+    assert quality_rules.keep_documents(df.limit(0)).isEmpty() and quality_rules.score_documents(df.limit(0)).isEmpty()
+
+
 def test_main_text():
     page = """<html><head><title>T</title><script>var x;</script></head><body><nav><a href=/>Home</a></nav><div class="sidebar">More of the same</div>
     <article><h1>A &amp; B</h1><p>This is the first paragraph of the article and it says <b>what</b>  it is for.</p><p>Short one.</p>
