@@ -18,6 +18,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 ERROR_RATE = 0.15
 #: Most bytes of item text that one block holds, as a driver and a Python worker have to hold it.
@@ -67,7 +68,7 @@ def myers_search(pattern: list[str], text: list[str], budget: int) -> tuple[int,
 
 @dataclass(frozen=True)
 class Item:
-    item_id: int
+    item_id: object
     words: list[str]
     budget: int
 
@@ -75,7 +76,7 @@ class Item:
 class Matcher:
     """All items of one block behind one automaton over their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[object, str]], rate: float):
         import ahocorasick
 
         self.items = [Item(i, w, error_budget(len(w), rate)) for i, text in items if (w := normal_words(text))]
@@ -90,7 +91,7 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not found
 
-    def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
+    def search(self, text: str | None) -> list[tuple[object, int, int, int]]:
         """Best match of each item in the text: item_id, distance, begin and end in words."""
         words = normal_words(text)
         if self.empty or not words:
@@ -117,7 +118,7 @@ class Matcher:
                 low = max(0, end - len(item.words) - item.budget)
                 back = myers_search(item.words[::-1], words[low:end][::-1], item.budget)
                 out.append((item.item_id, distance, end - (back[1] if back else end - low), end))
-        return sorted(out)
+        return out
 
 
 def _joined(origins: list[int], size: int, budget: int) -> list[tuple[int, int]]:
@@ -132,7 +133,7 @@ def _joined(origins: list[int], size: int, budget: int) -> list[tuple[int, int]]
     return [(low, high) for low, high in out]
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of at most about ``block_bytes``; the driver holds one block at a time."""
     rows = benchmark.select("item_id", "text").where("text IS NOT NULL")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -153,6 +154,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_R
     """
     rows = documents.select("doc_id", "text")
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, distance int, begin int, end int"
+    ids = to_arrow_type(benchmark.schema["item_id"].dataType)
     found = []
     for items in item_blocks(benchmark, block_bytes):
 
@@ -163,11 +165,11 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_R
                 if hits:
                     places, *columns = zip(*hits, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(places)), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:])],
+                        [batch.column("doc_id").take(pa.array(places)), pa.array(columns[0], ids), *(pa.array(c, pa.int32()) for c in columns[1:])],
                         ["doc_id", "item_id", "distance", "begin", "end"],
                     )
 
-        found.append(rows.mapInArrow(run, schema.replace(f"item_id {dict(benchmark.dtypes)['item_id']}", "item_id long")))
+        found.append(rows.mapInArrow(run, schema))
     return reduce(DataFrame.union, found)
 
 
