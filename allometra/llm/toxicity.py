@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,7 +197,8 @@ def training_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in chosen], f"doc_id {dict(documents.dtypes)['doc_id']}"))
     found = documents.select("doc_id", "text").where("text IS NOT NULL").join(wanted, "doc_id", "left_semi")
     sizes = found.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).collect()
-    rank = {i: k for k, i in enumerate(sorted(chosen, key=lambda i: hash((seed, i))))}
+    # A digest of its own, as Python's hash of a text differs from process to process.
+    rank = {i: k for k, i in enumerate(sorted(chosen, key=lambda i: xxhash.xxh64_intdigest(str(i), seed)))}
     held, kept = 0, set()
     for r in sorted(sizes, key=lambda r: rank[r.doc_id]):
         if held + r.n <= size:
