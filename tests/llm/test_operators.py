@@ -239,7 +239,11 @@ def test_decontamination_against_brute_force(spark):
     found = decontaminate.find_leaks(df, benchmark)
     assert {(r.doc_id, r.item_id, r.distance) for r in found.collect()} == expected
     assert {r.doc_id for r in decontaminate.drop_leaks(df, benchmark).collect()} == set(range(len(texts))) - {d for d, *_ in expected}
-    assert decontaminate.find_leaks(df, benchmark.limit(0)).isEmpty()
+    named = benchmark.withColumn("item_id", F.concat(F.lit("x"), "item_id"))
+    assert {(r.doc_id, int(r.item_id[1:]), r.distance) for r in decontaminate.find_leaks(df, named).collect()} == expected
+    assert decontaminate.find_leaks(df, benchmark.limit(0)).isEmpty() and decontaminate.find_leaks(df.limit(0), benchmark).isEmpty()
+    twice = decontaminate.find_leaks(df.union(df), benchmark.union(benchmark))
+    assert twice.count() == 4 * len(expected)
 
 
 @pytest.mark.parametrize(("name", "sql"), [("op7_source_mix", oracles.SOURCE_MIX), ("op9_quality_rules", oracles.QUALITY_RULES)])
