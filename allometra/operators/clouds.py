@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,9 @@ from allometra.functions import geometry as g
 from allometra.operators.statistics import quartile_fence
 
 XYZ = ("x", "y", "z")
+#: Faces of a mesh that go out as a broadcast (16 bytes each), and faces of one row of it.
+MAX_FACES = 4_000_000
+FACE_BLOCK = 65_536
 
 
 def mean_shape(vertices: DataFrame, *by: str) -> DataFrame:
@@ -66,26 +70,47 @@ def dispersion(vertices: DataFrame, *by: str) -> DataFrame:
     return vertices.groupBy(*by, "vertex_id").agg(F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("dispersion"))
 
 
-def face_areas(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """cloud_id, face_id, i0, i1, i2, a0 to a2 (corner structs) and area."""
-    corner = F.struct(*XYZ)
-    out = faces
+def face_areas(clouds: DataFrame, faces: DataFrame) -> DataFrame:
+    """cloud_id, face_id, i0, i1, i2, a0 to a2 (corner structs) and area.
+
+    ``clouds`` are packed, or in long form and are packed first; vertices are numbered from 0 without gaps. Faces go to
+    the clouds in blocks, as a broadcast up to ``MAX_FACES``, and each cloud reads its corners from its own array, so no
+    vertex is shuffled. Larger meshes are joined corner by corner.
+    """
+    if faces.count() > MAX_FACES:
+        return _face_areas_by_joins(unpack(clouds) if "pos" in clouds.columns else clouds, faces)
+    packed = clouds if "pos" in clouds.columns else pack(clouds)
+    ids = ("face_id", "i0", "i1", "i2")
+    blocks = faces.groupBy(F.expr(f"face_id div {FACE_BLOCK}")).agg(F.collect_list(F.struct(*ids)).alias("_faces")).select("_faces")
+    corner = lambda i: F.struct(*[F.get("pos", i * 3 + k).alias(c) for k, c in enumerate(XYZ)])
+    of = lambda f: F.struct(*[f[n].alias(n) for n in ids], *[corner(f[f"i{k}"]).alias(f"a{k}") for k in range(3)])
+    out = packed.select("cloud_id", "pos").join(F.broadcast(blocks)).select("cloud_id", F.inline(F.transform("_faces", of)))
+    return out.withColumn("area", g.triangle_area(*[g.point(f"a{k}") for k in range(3)]))
+
+
+def _face_areas_by_joins(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    out = faces.select("face_id", "i0", "i1", "i2")
     for k in range(3):
-        own = vertices.select("cloud_id", F.col("vertex_id").alias(f"i{k}"), corner.alias(f"a{k}"))
+        own = vertices.select("cloud_id", F.col("vertex_id").alias(f"i{k}"), F.struct(*XYZ).alias(f"a{k}"))
         out = out.join(own, ["cloud_id", f"i{k}"] if k else f"i{k}")
+    out = out.select("cloud_id", "face_id", "i0", "i1", "i2", "a0", "a1", "a2")
     return out.withColumn("area", g.triangle_area(*[g.point(f"a{k}") for k in range(3)]))
 
 
-def face_scaling(base: DataFrame, other: DataFrame, logarithm: bool = False) -> DataFrame:
+def face_scaling(base: DataFrame, other: DataFrame, logarithm: bool = False, vertices: DataFrame | None = None) -> DataFrame:
     """Per cloud and vertex the mean ratio of the areas of its faces, other over base; 0 where no face has a usable ratio.
 
-    ``base`` and ``other`` come from ``face_areas``; ``base`` is one cloud. Ratios that are 0 or no finite number are left out.
+    ``base`` and ``other`` come from ``face_areas``; ``base`` is one cloud. Ratios that are 0 or no finite number are left
+    out. Vertices without a face have rows, of 0, if ``vertices`` (cloud_id, vertex_id) name them.
     """
     ratio = F.try_divide(F.col("area"), F.col("_base"))
     usable = F.when((ratio > 2.3e-308) & (ratio < float("inf")), F.log10(ratio) if logarithm else ratio)
     both = other.join(base.select("face_id", F.col("area").alias("_base")), "face_id")
     corners = both.select("cloud_id", F.explode(F.array("i0", "i1", "i2")).alias("vertex_id"), usable.alias("_r"))
-    return corners.groupBy("cloud_id", "vertex_id").agg(F.coalesce(F.avg("_r"), F.lit(0.0)).alias("scaling"))
+    out = corners.groupBy("cloud_id", "vertex_id").agg(F.coalesce(F.avg("_r"), F.lit(0.0)).alias("scaling"))
+    if vertices is not None:
+        out = vertices.select("cloud_id", "vertex_id").join(out, ["cloud_id", "vertex_id"], "left").fillna(0.0, ["scaling"])
+    return out
 
 
 def reject_by_scaling(base: DataFrame, other: DataFrame, low: float = 0.25, high: float = 4.0) -> DataFrame:
@@ -113,6 +138,11 @@ def rejection_rates(rejected: DataFrame, n_clouds: int) -> DataFrame:
     return rejected.groupBy("vertex_id").agg(F.count(F.lit(1)).alias("n_rejected")).withColumn("rate", F.col("n_rejected") / F.lit(n_clouds))
 
 
+def rejections_by_cloud(rejected: DataFrame, n_vertices: int) -> DataFrame:
+    """cloud_id, n_rejected and rate over the vertices; clouds without a rejected vertex are not listed."""
+    return rejected.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n_rejected")).withColumn("rate", F.col("n_rejected") / F.lit(n_vertices))
+
+
 def whitelist(vertices: DataFrame, rates: DataFrame, most: int) -> DataFrame:
     """vertex_id of the vertices that at most ``most`` clouds reject."""
     out = vertices.select("vertex_id").distinct().join(rates.select("vertex_id", "n_rejected"), "vertex_id", "left")
@@ -139,7 +169,20 @@ def unpack(clouds: DataFrame, *keep: str) -> DataFrame:
 
 
 def permute(vertices: DataFrame, order: list[int]) -> DataFrame:
-    """Vertices ``order`` of each cloud, renumbered from 0 in that order."""
-    place = F.array(*[F.lit(i) for i in order])
-    new = F.explode(F.filter(F.transform(place, lambda v, k: F.when(v == F.col("vertex_id"), k)), lambda k: k.isNotNull()))
-    return vertices.withColumn("vertex_id", new)
+    """Vertices ``order`` of each cloud, renumbered from 0 in that order; a number may stand more than once."""
+    places = vertices.sparkSession.createDataFrame(pa.table({"vertex_id": pa.array(order, pa.int32()), "_new": pa.array(range(len(order)), pa.int32())}))
+    return vertices.join(places, "vertex_id").withColumn("vertex_id", F.col("_new")).select(*vertices.columns)
+
+
+def scale_positions(vertices: DataFrame, factor: float) -> DataFrame:
+    return vertices.withColumns({c: F.col(c) * factor for c in XYZ})
+
+
+def flip(vertices: DataFrame, *axes: str) -> DataFrame:
+    """The signs of some coordinates turned round: ``flip(v, "x")`` is the mirror image in the plane x = 0."""
+    return vertices.withColumns({c: -F.col(c) for c in axes})
+
+
+def masked_rms(pairs: DataFrame, allowed: DataFrame, *by: str) -> DataFrame:
+    """``rms_distance`` over the vertices (vertex_id) of ``allowed``."""
+    return rms_distance(pairs.join(allowed.select("vertex_id"), "vertex_id", "left_semi"), *by)

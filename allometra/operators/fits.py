@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_SIDE = 4096
+#: Most rows and bytes of packed rows in one block.
 BLOCK = 256
+BLOCK_BYTES = 16 << 20
 RIGID = "cloud_id long, offs array<double>, cs double, rot array<double>, pos array<double>"
 
 
@@ -72,22 +74,28 @@ def fit_to(clouds: DataFrame, target: np.ndarray, allow: np.ndarray | None = Non
     return clouds.select("cloud_id", "pos").mapInArrow(run, RIGID)
 
 
-def mean_of(clouds: DataFrame) -> np.ndarray:
-    """Mean points of packed clouds; a partition sends one sum."""
+def mean_row(clouds: DataFrame) -> np.ndarray:
+    """Mean of the arrays of packed rows; a partition sends one sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
         for batch in batches:
-            for x in _points(batch):
-                total, n = x + (0 if total is None else total), n + 1
+            for r in batch.column("pos"):
+                total, n = r.values.to_numpy(zero_copy_only=False) + (0 if total is None else total), n + 1
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["total", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.ravel()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["i", "row", "n"])
 
-    parts = clouds.select("pos").mapInArrow(run, "total array<double>, n long")
-    sums = parts.select("n", F.posexplode("total").alias("i", "v")).groupBy("i").agg((F.sum("v") / F.sum("n")).alias("mean")).toPandas()
-    if sums.empty:
+    parts = clouds.select("pos").mapInArrow(run, "i int, row array<double>, n long")
+    sums = _sum_rows(parts.repartition("i"))
+    if not sums:
         raise ValueError("no clouds")
-    return sums.sort_values("i")["mean"].to_numpy().reshape(-1, 3)
+    ((_, total, n),) = sums
+    return total / n
+
+
+def mean_of(clouds: DataFrame) -> np.ndarray:
+    """Mean points of packed clouds."""
+    return mean_row(clouds).reshape(-1, 3)
 
 
 def _normalised(x: np.ndarray) -> np.ndarray:
@@ -105,9 +113,10 @@ class GpaResult:
 def gpa(clouds: DataFrame, max_iterations: int = 150, tolerance: float = 1e-5) -> GpaResult:
     """Generalised Procrustes: clouds fitted to their mean and the mean taken again until it settles.
 
-    Starts with the cloud of least id, centred and of size 1; fitted clouds have size 1. Each round reads the clouds and sends one mean back; no
-    lineage grows. At least 4 points a cloud.
+    Starts with the cloud of least id, centred and of size 1; fitted clouds have size 1. The clouds are held on the executors
+    (memory, then disk; lost parts are read again); each round sends one mean back and no lineage grows. At least 4 points a cloud.
     """
+    clouds = clouds.select("cloud_id", "pos").persist()
     first = clouds.orderBy("cloud_id").select("pos").first()
     if first is None or len(first.pos) < 12:
         raise ValueError("clouds of 4 points at least")
@@ -122,47 +131,71 @@ def gpa(clouds: DataFrame, max_iterations: int = 150, tolerance: float = 1e-5) -
     return GpaResult(mean, fit_to(clouds, _normalised(mean)), errors)
 
 
-def distance_matrix(clouds: DataFrame, align: bool = False) -> DataFrame:
-    """a_id, b_id and distance of all pairs with a_id <= b_id: root mean square over vertices.
+def _blocked(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Packed rows in blocks of at most about ``BLOCK_BYTES`` and ``BLOCK`` rows (block, rows: ids and pos), and their number.
 
-    ``align`` fits b to a by a rigid motion first (sizes stay). The result is the matrix, so it has n (n + 1) / 2 rows;
-    clouds travel in blocks of ``BLOCK``, each block once for every other block.
+    Blocks are drawn by hashed id, so they hold about as many rows each whatever the ids are.
     """
-    n_blocks = max(1, -(-clouds.count() // BLOCK))
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("pos")), F.lit(1)).alias("width")).first()
+    n_blocks = max(1, -(-facts.n // max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, facts.width))))))
     block = F.pmod(F.xxhash64("cloud_id"), F.lit(n_blocks))
-    packed = clouds.select(block.alias("block"), "cloud_id", "pos").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("cloud_id", "pos"))).alias("rows"))
+    return rows.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("cloud_id", "pos"))).alias("rows")), n_blocks
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Each pair of blocks once, those of a block with itself included: a, b, _a, _b."""
+    packed, n_blocks = _blocked(rows)
     left = packed.select(F.col("block").alias("a"), F.col("rows").alias("_a"), F.explode(F.sequence(F.col("block"), F.lit(n_blocks - 1).cast("long"))).alias("b"))
-    both = left.join(packed.select(F.col("block").alias("b"), F.col("rows").alias("_b")), "b").repartition("a", "b")
+    return left.join(packed.select(F.col("block").alias("b"), F.col("rows").alias("_b")), "b").repartition("a", "b")
+
 
-    def matrix(cell) -> tuple[np.ndarray, np.ndarray]:
-        rows = cell.values
-        return rows.field("cloud_id").to_numpy(), np.array(rows.field("pos").to_pylist())
+def _block(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    rows = cell.values
+    ids = rows.field("cloud_id").to_numpy()
+    return ids, rows.field("pos").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+
+def distance_matrix(clouds: DataFrame, align: bool = False) -> DataFrame:
+    """a_id, b_id and distance of all pairs with a_id <= b_id: root mean square over vertices.
+
+    ``align`` fits b to a by a rigid motion first (sizes stay). The result is the matrix, so it has n (n + 1) / 2 rows;
+    clouds travel in blocks, each block once for every other block, and a pair of blocks is a handful of matrix products.
+    """
+    both = _block_pairs(clouds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                (ids, x), (jds, y) = matrix(batch.column("_a")[k]), matrix(batch.column("_b")[k])
-                m = x.shape[1] // 3
-                same = batch.column("a")[k].as_py() == batch.column("b")[k].as_py()
-                for i, row in enumerate(x):
-                    use = np.arange(i, len(y)) if same else np.arange(len(y))
-                    if align:
-                        a = row.reshape(-1, 3)
-                        d = np.array([_rigid_rms(a, b.reshape(-1, 3)) for b in y[use]])
-                    else:
-                        d = np.sqrt(((y[use] - row) ** 2).sum(axis=1) / m)
-                    lo, hi = np.minimum(ids[i], jds[use]), np.maximum(ids[i], jds[use])
-                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(d)], ["a_id", "b_id", "distance"])
+                (ids, x), (jds, y) = _block(batch.column("_a")[k]), _block(batch.column("_b")[k])
+                d = (_rigid_rms if align else _raw_rms)(x, y)
+                i, j = np.triu_indices(len(ids)) if batch.column("a")[k].as_py() == batch.column("b")[k].as_py() else (c.ravel() for c in np.indices(d.shape))
+                lo, hi = np.minimum(ids[i], jds[j]), np.maximum(ids[i], jds[j])
+                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(d[i, j])], ["a_id", "b_id", "distance"])
 
     return both.mapInArrow(run, "a_id long, b_id long, distance double")
 
 
-def _rigid_rms(a: np.ndarray, b: np.ndarray) -> float:
-    """Least root mean square distance over rotations and translations."""
-    p, q = a - a.mean(axis=0), b - b.mean(axis=0)
-    u, s, vt = np.linalg.svd(q.T @ p)
-    s[-1] *= np.sign(np.linalg.det(u @ vt))
-    return float(np.sqrt(max(0.0, (p**2).sum() + (q**2).sum() - 2 * s.sum()) / len(a)))
+def _raw_rms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Root mean square distances of all rows of x and y; sums of squared differences, as products would cancel."""
+    out = np.empty((len(x), len(y)))
+    for i, row in enumerate(x):
+        out[i] = ((y - row) ** 2).sum(axis=1)
+    return np.sqrt(out / (x.shape[1] // 3))
+
+
+def _rigid_rms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least root mean square distances of all rows of x and y over rotations and translations.
+
+    All cross-covariances are one product and their singular values one call; the least sum of squares follows from them.
+    """
+    m = x.shape[1] // 3
+    p, q = (v.reshape(len(v), m, 3) for v in (x, y))
+    p, q = p - p.mean(axis=1, keepdims=True), q - q.mean(axis=1, keepdims=True)
+    cross = (p.transpose(0, 2, 1).reshape(-1, m) @ q.transpose(1, 0, 2).reshape(m, -1)).reshape(len(x), 3, len(y), 3).transpose(0, 2, 1, 3)
+    s = np.linalg.svd(cross, compute_uv=False)
+    best = s[..., 0] + s[..., 1] + np.sign(np.linalg.det(cross)) * s[..., 2]
+    squares = (p**2).sum(axis=(1, 2))[:, None] + (q**2).sum(axis=(1, 2))[None] - 2 * best
+    return np.sqrt(np.maximum(squares, 0) / m)
 
 
 @dataclass(frozen=True)
@@ -196,19 +229,95 @@ def _sums(rows: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
             )
 
     parts = rows.select("pos").mapInArrow(run, "i int, row array<double>, n long")
-    sums = parts.select("i", "n", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas()
-    if sums.empty:
+    sums = _sum_rows(parts.repartition("i"))
+    if not sums:
         raise ValueError("no rows")
     out = np.zeros((width + 1, width))
-    out[sums.i, sums.j] = sums.v
-    return int(sums.n.iloc[0]), out[0], out[1:]
+    for i, row, _ in sums:
+        out[i] = row
+    return int(sums[0][2]), out[0], out[1:]
+
+
+def _sum_rows(parts: DataFrame) -> list[tuple[int, np.ndarray, int]]:
+    """Sums of the arrays ``row`` and of ``n`` by ``i``, which lie together: one array a row of the matrix comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            for i, row, n in zip(batch.column("i").to_pylist(), batch.column("row"), batch.column("n").to_pylist(), strict=True):
+                own = total.setdefault(i, [0.0, 0])
+                own[0], own[1] = own[0] + row.values.to_numpy(zero_copy_only=False), own[1] + n
+        if total:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(total, pa.int32()), pa.array([r for r, _ in total.values()], pa.list_(pa.float64())), pa.array([n for _, n in total.values()], pa.int64())], ["i", "row", "n"]
+            )
+
+    found = parts.mapInArrow(run, parts.schema).toArrow()
+    return [(i, r.values.to_numpy(zero_copy_only=False), n) for i, r, n in zip(found.column("i").to_pylist(), found.column("row"), found.column("n").to_pylist(), strict=True)]
+
+
+def centred_gram(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Ids in order and the matrix of products of all rows, less ``mean`` and times ``scale``; blocks of it come back, never the rows."""
+    ids = [r.cloud_id for r in rows.select("cloud_id").orderBy("cloud_id").collect()]
+    held = rows.sparkSession.sparkContext.broadcast((mean, scale))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, scale = held.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (own, x), (other, y) = _block(batch.column("_a")[k]), _block(batch.column("_b")[k])
+                products = ((x - mean) * scale) @ ((y - mean) * scale).T
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([other] * len(own), pa.list_(pa.int64())), pa.array(list(products), pa.list_(pa.float64()))], ["i", "j", "v"])
+
+    found = _block_pairs(rows).mapInArrow(run, "i long, j array<long>, v array<double>").toArrow()
+    at = np.array(ids)
+    out = np.zeros((len(ids), len(ids)))
+    for i, j, v in zip(found.column("i").to_pylist(), found.column("j"), found.column("v"), strict=True):
+        i, j, v = np.searchsorted(at, i), np.searchsorted(at, j.values.to_numpy()), v.values.to_numpy(zero_copy_only=False)
+        out[i, j] = v
+        out[j, i] = v
+    return ids, out
+
+
+def weighted_sums(rows: DataFrame, ids: list[int], weights: np.ndarray) -> np.ndarray:
+    """One sum of the rows for each row of ``weights`` (a column for each id); a partition sends its partial sums."""
+    held = rows.sparkSession.sparkContext.broadcast((np.array(ids), weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, weights = held.value
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = weights[:, np.searchsorted(ids, batch.column("cloud_id").to_numpy())]
+                part = own @ np.stack([r.values.to_numpy(zero_copy_only=False) for r in batch.column("pos")])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64())), pa.array([0] * len(total), pa.int64())], ["i", "row", "n"])
+
+    parts = rows.select("cloud_id", "pos").mapInArrow(run, "i int, row array<double>, n long")
+    return np.stack([row for _, row, _ in sorted(_sum_rows(parts.repartition("i")), key=lambda x: x[0])])
+
+
+def _variances(rows: DataFrame, mean: np.ndarray) -> np.ndarray:
+    """Sample variance of each coordinate; a partition sends one sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(mean)), 0
+        for batch in batches:
+            for r in batch.column("pos"):
+                total, n = total + (r.values.to_numpy(zero_copy_only=False) - mean) ** 2, n + 1
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["i", "row", "n"])
+
+    ((_, total, n),) = _sum_rows(rows.select("pos").mapInArrow(run, "i int, row array<double>, n long").repartition("i"))
+    return total / (n - 1)
 
 
 def pca(rows: DataFrame, n_components: int | None = None, correlation: bool = False, allow: np.ndarray | None = None) -> PcaModel:
     """Principal components of packed rows (cloud_id, pos), largest first, each of unit length with its largest loading positive.
 
-    Wide rows (more coordinates than rows) go through the Gram matrix of the rows, long tables through the covariance of
-    the coordinates; whichever side is shorter has to be at most ``MAX_SIDE``. ``allow`` picks the coordinates that
+    Wide rows (more coordinates than rows) go through the Gram matrix of the rows, taken in blocks, long tables through the
+    covariance of the coordinates; whichever side is shorter has to be at most ``MAX_SIDE``. The driver gets that matrix, the
+    mean and the components, no rows; cloud_id is unique. ``allow`` picks the coordinates that
     count; components cover all of them. ``correlation`` scales the coordinates to unit variance first.
     """
     count = rows.count()
@@ -234,16 +343,16 @@ def pca(rows: DataFrame, n_components: int | None = None, correlation: bool = Fa
         components = (covariance[:, used] @ weights).T
         variances = variances[order]
     else:
-        data = rows.select("cloud_id", "pos").orderBy("cloud_id").toPandas()
-        x = np.stack(data.pos.to_numpy())
-        mean = x.mean(axis=0)
-        x = x - mean
-        part = x[:, used]
+        mean, scale = mean_row(rows), used.astype(float)
         if correlation:
-            part = part / np.sqrt(np.maximum(part.var(axis=0, ddof=1), 1e-300))
-        variances, vectors = np.linalg.eigh(part @ part.T / (count - 1))
+            scale = scale / np.sqrt(np.maximum(_variances(rows, mean), 1e-300))
+        ids, products = centred_gram(rows, mean, scale)
+        variances, vectors = np.linalg.eigh(products / (count - 1))
         order = np.argsort(variances)[::-1][:keep]
-        components, variances = vectors[:, order].T @ x, variances[order]
+        variances = variances[order]
+        weights = vectors[:, order].T
+        # Weights of a component sum up to 0 but for rounding: taking the mean off makes it exact.
+        components = weighted_sums(rows, ids, weights) - weights.sum(axis=1, keepdims=True) * mean
     length = np.sqrt((components**2).sum(axis=1, keepdims=True))
     components = np.divide(components, length, out=np.zeros_like(components), where=length > 1e-12)
     sign = np.sign(components[np.arange(len(components)), np.abs(components).argmax(axis=1)])
@@ -265,12 +374,16 @@ def pca_scores(rows: DataFrame, model: PcaModel, allow: np.ndarray | None = None
     return rows.select("cloud_id", "pos").mapInArrow(run, "cloud_id long, scores array<double>")
 
 
-def gram_matrix(rows: DataFrame, key: str = "cloud_id") -> DataFrame:
-    """i, j and covariance of the coordinates of packed rows, in DataFrame operations."""
-    n = F.count(F.lit(1))
-    long = rows.select("pos", F.posexplode("pos").alias("i", "_x"))
-    pairs = long.select("i", "_x", F.posexplode("pos").alias("j", "_y")).where("i <= j")
-    return pairs.groupBy("i", "j").agg(F.covar_samp("_x", "_y").alias("covariance"), n.alias("n"))
+def gram_matrix(rows: DataFrame) -> DataFrame:
+    """i, j (i <= j), covariance and n of the coordinates of packed rows; each partition sums its own products."""
+    width = rows.select(F.size("pos").alias("m")).first()
+    if width is None:
+        return rows.sparkSession.createDataFrame([], "i int, j int, covariance double, n long")
+    n, total, outer = _sums(rows, width.m)
+    covariance = (outer - np.outer(total, total) / n) / max(1, n - 1)
+    i, j = np.triu_indices(width.m)
+    table = pa.table({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "covariance": covariance[i, j], "n": np.full(len(i), n)})
+    return rows.sparkSession.createDataFrame(table)
 
 
 def kmeans(rows: DataFrame, k: int, seed: int = 1) -> DataFrame:

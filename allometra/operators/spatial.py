@@ -1,7 +1,8 @@
 """Spatial joins: nearest point, nearest triangle and first ray hit.
 
-Points and triangles meet by mesh in blocks of bounded size; a task tests one block against another with numpy, and
-the best of the blocks is an aggregate by point. A block pair whose boxes are too far apart is left out first.
+Points and triangles lie in blocks of bounded size, each in one cell of a uniform grid over its mesh. First the boxes of the
+blocks meet, without what is in them, and pairs that are too far apart, or that a ray misses, are left out. A task then tests one block against
+another with numpy, and the best of the blocks is an aggregate by point.
 """
 
 from __future__ import annotations
@@ -10,11 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from allometra.functions.geometry import ray_box
+from allometra.operators.clouds import face_areas
+
 XYZ = ("x", "y", "z")
+CORNERS = [f"{k}{c}" for k in "abc" for c in XYZ]
 BLOCK = 512
+PER_CELL = 64
+MAX_CELLS = 16
 
 
 def closest_on_triangles(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,19 +78,84 @@ def ray_hits(o: np.ndarray, d: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.n
     return np.where(hit, t, np.inf), u, v
 
 
-def _blocks(df: DataFrame, ident: str, fields: list[str], name: str) -> DataFrame:
-    """mesh_id and arrays of at most about ``BLOCK`` rows each."""
-    block = F.expr(f"{ident} div {BLOCK}")
-    return df.groupBy("mesh_id", block.alias(f"_{name}_block")).agg(F.sort_array(F.collect_list(F.struct(ident, *fields))).alias(name), *[f(c).alias(f"_{name}_{n}_{c[-1]}") for n, f in (("lo", F.min), ("hi", F.max)) for c in fields[:3]])
+def _total(values: list) -> Column:
+    return sum(values, F.lit(0.0))
+
+
+def _grid(triangles: DataFrame) -> DataFrame:
+    """mesh_id, box of the triangles' centres and the number of cells an axis: about ``PER_CELL`` triangles a cell, ``MAX_CELLS`` an axis at most."""
+    centre = {c: (F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3 for c in XYZ}
+    facts = [f(centre[c]).alias(f"_{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
+    cells = F.greatest(F.lit(1), F.least(F.lit(MAX_CELLS), F.floor(F.cbrt(F.count(F.lit(1)) / PER_CELL)))).cast("int")
+    return triangles.groupBy("mesh_id").agg(*facts, cells.alias("_cells"))
+
+
+def _blocks(df: DataFrame, grid: DataFrame, ident: str, fields: list[str], centre: dict[str, Column], low: dict[str, Column], high: dict[str, Column], name: str) -> DataFrame:
+    """Rows in blocks: mesh_id, block, ``name`` (array of at most about ``BLOCK`` rows), n, and the box l_x to h_z of what is in it.
+
+    A block lies in one cell of the grid over its mesh; what lies outside of the grid counts to the next cell. A cell
+    with many rows makes several blocks.
+    """
+    at = df.join(grid, "mesh_id")
+    cells = F.col("_cells")
+    place = {c: F.coalesce(F.floor(F.try_divide((centre[c] - F.col(f"_lo{c}")) * cells, F.col(f"_hi{c}") - F.col(f"_lo{c}"))), F.lit(0)) for c in XYZ}
+    code = F.lit(0).cast("long")
+    for c in XYZ:
+        code = code * MAX_CELLS + F.greatest(F.lit(0), F.least(cells - 1, place[c]))
+    at = at.select("mesh_id", ident, *fields, code.alias("_cell"), *[low[c].alias(f"_l{c}") for c in XYZ], *[high[c].alias(f"_h{c}") for c in XYZ])
+    sizes = at.groupBy("mesh_id", "_cell").agg(F.expr(f"(count(1) + {BLOCK - 1}) div {BLOCK}").alias("_parts"))
+    at = at.join(sizes, ["mesh_id", "_cell"])
+    block = F.struct("_cell", F.pmod(F.xxhash64(ident), F.col("_parts")).alias("part")).alias("block")
+    boxes = [F.min(f"_l{c}").alias(f"l{c}") for c in XYZ] + [F.max(f"_h{c}").alias(f"h{c}") for c in XYZ]
+    return at.groupBy("mesh_id", block).agg(F.sort_array(F.collect_list(F.struct(ident, *fields))).alias(name), F.count(F.lit(1)).alias("n"), *boxes)
+
+
+def _near_pairs(left: DataFrame, right: DataFrame, max_distance: float, least_rows: int = 1) -> DataFrame:
+    """mesh_id, block of left and block of right for the pairs that can hold a nearest match.
+
+    The boxes alone meet here. Some row of a right block is never farther than the corners of the boxes allow; what the
+    nearest such block promises rules out all blocks that begin farther off. Blocks of fewer than ``least_rows`` promise nothing.
+    """
+    box = lambda df, p: df.select("mesh_id", F.col("block").alias(f"{p}_block"), *[F.col(f"{e}{c}").alias(f"{p}{e}{c}") for e in "lh" for c in XYZ], F.col("n").alias(f"{p}n"))
+    both = box(left, "p").join(box(right, "q"), "mesh_id")
+    gap = [F.greatest(F.lit(0.0), F.col(f"pl{c}") - F.col(f"qh{c}"), F.col(f"ql{c}") - F.col(f"ph{c}")) for c in XYZ]
+    reach = [F.greatest(F.abs(F.col(f"ph{c}") - F.col(f"ql{c}")), F.abs(F.col(f"qh{c}") - F.col(f"pl{c}"))) for c in XYZ]
+    promise = F.when(F.col("qn") >= least_rows, _total([x * x for x in reach])).otherwise(float("inf"))
+    both = both.select("mesh_id", "p_block", "q_block", _total([x * x for x in gap]).alias("_gap"), promise.alias("_reach"))
+    best = F.min("_reach").over(Window.partitionBy("mesh_id", "p_block"))
+    # A little more than the bound, as the tasks round differently.
+    near = both.withColumn("_best", F.least(best, F.lit(max_distance * max_distance)) * (1 + 1e-9))
+    return near.where("_gap <= _best").select("mesh_id", "p_block", "q_block")
+
+
+def _meet(pairs: DataFrame, left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
+    """mesh_id and the arrays of both blocks of each pair."""
+    out = pairs.join(left.select("mesh_id", F.col("block").alias("p_block"), left_name), ["mesh_id", "p_block"])
+    return out.join(right.select("mesh_id", F.col("block").alias("q_block"), right_name), ["mesh_id", "q_block"]).select("mesh_id", left_name, right_name)
+
 
+def triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """mesh_id, face_id and the nine coordinates ax to cz; ``vertices`` (mesh_id, vertex_id, x, y, z) share the faces, or faces have a mesh_id of their own."""
+    if "mesh_id" in faces.columns:
+        out = faces.select("mesh_id", "face_id", "i0", "i1", "i2")
+        for k, corner in enumerate("abc"):
+            own = vertices.select("mesh_id", F.col("vertex_id").alias(f"i{k}"), *[F.col(c).alias(f"{corner}{c}") for c in XYZ])
+            out = out.join(own, ["mesh_id", f"i{k}"])
+    else:
+        areas = face_areas(vertices.withColumnRenamed("mesh_id", "cloud_id"), faces)
+        out = areas.select(F.col("cloud_id").alias("mesh_id"), "face_id", *[F.col(f"a{k}.{c}").alias(f"{corner}{c}") for k, corner in enumerate("abc") for c in XYZ])
+    return out.select("mesh_id", F.col("face_id").cast("long").alias("face_id"), *CORNERS)
 
-def _triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """mesh_id, face_id and the nine coordinates ax to cz; faces without a mesh_id belong to every mesh."""
-    out = faces
-    for k, corner in enumerate("abc"):
-        own = vertices.select("mesh_id", F.col("vertex_id").alias(f"i{k}"), *[F.col(c).alias(f"{corner}{c}") for c in XYZ])
-        out = out.join(own, [f"i{k}", "mesh_id"] if "mesh_id" in out.columns else f"i{k}")
-    return out.select("mesh_id", F.col("face_id").cast("long").alias("face_id"), *[f"{k}{c}" for k in "abc" for c in XYZ])
+
+def _triangle_blocks(soup: DataFrame, grid: DataFrame) -> DataFrame:
+    side = lambda f: {c: f(*[F.col(f"{k}{c}") for k in "abc"]) for c in XYZ}
+    middle = lambda *v: (v[0] + v[1] + v[2]) / 3
+    return _blocks(soup, grid, "face_id", CORNERS, side(middle), side(F.least), side(F.greatest), "faces")
+
+
+def _point_blocks(points: DataFrame, grid: DataFrame, ident: str, name: str) -> DataFrame:
+    own = {c: F.col(c) for c in XYZ}
+    return _blocks(points, grid, ident, list(XYZ), own, own, own, name)
 
 
 def _columns(cell: pa.Scalar, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,21 +163,17 @@ def _columns(cell: pa.Scalar, names: list[str]) -> tuple[np.ndarray, np.ndarray]
     return rows.field(0).to_numpy(), np.stack([rows.field(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
 
 
-def nearest_triangle(points: DataFrame, vertices: DataFrame, faces: DataFrame, max_distance: float = float("inf")) -> DataFrame:
-    """For each point (mesh_id, point_id, x, y, z) the nearest point of its mesh.
-
-    Returns mesh_id, point_id, face_id, distance, u, v, px, py, pz; no row where nothing is within ``max_distance``. Of
-    equally near faces the least number counts.
-    """
-    corners = [f"{k}{c}" for k in "abc" for c in XYZ]
-    left, right = _blocks(points, "point_id", list(XYZ), "points"), _blocks(_triangles(vertices, faces), "face_id", corners, "faces")
-    both = left.join(right, "mesh_id").select("mesh_id", "points", "faces")
+def nearest_on(points: DataFrame, soup: DataFrame, max_distance: float = float("inf")) -> DataFrame:
+    """``nearest_triangle`` over triangles (mesh_id, face_id, ax to cz) as ``triangles`` gives them."""
+    grid = _grid(soup)
+    left, right = _point_blocks(points.select("mesh_id", "point_id", *XYZ), grid, "point_id", "points"), _triangle_blocks(soup, grid)
+    both = _meet(_near_pairs(left, right, max_distance), left, right, "points", "faces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, p = _columns(batch.column("points")[k], list(XYZ))
-                faces_, t = _columns(batch.column("faces")[k], corners)
+                faces_, t = _columns(batch.column("faces")[k], CORNERS)
                 d, u, v = closest_on_triangles(p, t[:, :3], t[:, 3:6], t[:, 6:])
                 j = d.argmin(axis=1)
                 i = np.arange(len(p))
@@ -120,27 +188,60 @@ def nearest_triangle(points: DataFrame, vertices: DataFrame, faces: DataFrame, m
     return found.groupBy("mesh_id", "point_id").agg(best).select("mesh_id", "point_id", "best.face_id", "best.distance", "best.u", "best.v", "best.px", "best.py", "best.pz")
 
 
-def raycast(rays: DataFrame, vertices: DataFrame, faces: DataFrame, invert: bool = False) -> DataFrame:
-    """First hit of each ray (mesh_id, point_id, x, y, z, dx, dy, dz): mesh_id, point_id, face_id, t, u, v; misses give no row."""
-    corners = [f"{k}{c}" for k in "abc" for c in XYZ]
+def nearest_triangle(points: DataFrame, vertices: DataFrame, faces: DataFrame, max_distance: float = float("inf")) -> DataFrame:
+    """For each point (mesh_id, point_id, x, y, z) the nearest point of its mesh.
+
+    Returns mesh_id, point_id, face_id, distance, u, v, px, py, pz; no row where nothing is within ``max_distance``. Of
+    equally near faces the least number counts.
+    """
+    return nearest_on(points, triangles(vertices, faces), max_distance)
+
+
+def first_hits(rays: DataFrame, soup: DataFrame, both_ways: bool = False) -> DataFrame:
+    """First hit of each ray (mesh_id, point_id, x, y, z, dx, dy, dz) with triangles as ``triangles`` gives them.
+
+    Returns mesh_id, point_id, ahead and, with ``both_ways``, back (first hit the other way): structs t, face_id, u, v.
+    A ray goes to the blocks of triangles whose boxes it meets, and to no others.
+    """
     fields = [*XYZ, "dx", "dy", "dz"]
-    left, right = _blocks(rays, "point_id", fields, "rays"), _blocks(_triangles(vertices, faces), "face_id", corners, "faces")
-    both = left.join(right, "mesh_id").select("mesh_id", "rays", "faces")
-    sign = -1.0 if invert else 1.0
+    blocks = _triangle_blocks(soup, _grid(soup))
+    boxes = blocks.select("mesh_id", F.col("block").alias("q_block"), *[f"{e}{c}" for e in "lh" for c in XYZ])
+    side = lambda e: [F.col(f"{e}{c}") for c in XYZ]
+    meets = lambda sign: ray_box([F.col(c) for c in XYZ], [sign * F.col(f"d{c}") for c in XYZ], side("l"), side("h")).isNotNull()
+    own = rays.select("mesh_id", F.col("point_id").cast("long").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in fields])
+    aimed = own.join(boxes, "mesh_id").where(meets(1) | meets(-1) if both_ways else meets(1))
+    aimed = aimed.groupBy("mesh_id", "q_block", F.expr(f"point_id div {BLOCK}").alias("_part")).agg(F.collect_list(F.struct("point_id", *fields)).alias("rays"))
+    both = aimed.join(blocks.select("mesh_id", F.col("block").alias("q_block"), "faces"), ["mesh_id", "q_block"]).select("mesh_id", "rays", "faces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, r = _columns(batch.column("rays")[k], fields)
-                faces_, t = _columns(batch.column("faces")[k], corners)
-                hit, u, v = ray_hits(r[:, :3], sign * r[:, 3:], t[:, :3], t[:, 3:6], t[:, 6:])
-                j, i = hit.argmin(axis=1), np.arange(len(r))
-                ok = np.isfinite(hit[i, j])
-                arrays = [np.full(len(r), batch.column("mesh_id")[k].as_py()), ids, faces_[j], hit[i, j], u[i, j], v[i, j]]
-                yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in arrays], ["mesh_id", "point_id", "face_id", "t", "u", "v"])
+                faces_, t = _columns(batch.column("faces")[k], CORNERS)
+                for at in range(0, len(r), BLOCK):
+                    for back in (False, True)[: 1 + both_ways]:
+                        o, d = r[at : at + BLOCK, :3], r[at : at + BLOCK, 3:] * (-1 if back else 1)
+                        hit, u, v = ray_hits(o, d, t[:, :3], t[:, 3:6], t[:, 6:])
+                        j, i = hit.argmin(axis=1), np.arange(len(o))
+                        ok = np.isfinite(hit[i, j])
+                        arrays = [np.full(len(o), batch.column("mesh_id")[k].as_py()), ids[at : at + BLOCK], np.full(len(o), back), hit[i, j], faces_[j], u[i, j], v[i, j]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in arrays], ["mesh_id", "point_id", "back", "t", "face_id", "u", "v"])
+
+    found = both.mapInArrow(run, "mesh_id long, point_id long, back boolean, t double, face_id long, u double, v double")
+    hit = F.struct("t", "face_id", "u", "v")
+    wanted = [F.min(F.when(~F.col("back"), hit)).alias("ahead")] + [F.min(F.when(F.col("back"), hit)).alias("back")] * both_ways
+    return found.groupBy("mesh_id", "point_id").agg(*wanted)
 
-    found = both.mapInArrow(run, "mesh_id long, point_id long, face_id long, t double, u double, v double")
-    return found.groupBy("mesh_id", "point_id").agg(F.min(F.struct("t", "face_id", "u", "v")).alias("best")).select("mesh_id", "point_id", "best.face_id", "best.t", "best.u", "best.v")
+
+def raycast(rays: DataFrame, vertices: DataFrame, faces: DataFrame, invert: bool = False) -> DataFrame:
+    """First hit of each ray (mesh_id, point_id, x, y, z, dx, dy, dz): mesh_id, point_id, face_id, t, u, v, w; misses give no row.
+
+    u, v and w weigh the face's second, third and first corner. Of equally near faces the least number counts. ``invert`` casts the other way.
+    """
+    if invert:
+        rays = rays.withColumns({f"d{c}": -F.col(f"d{c}") for c in XYZ})
+    hits = first_hits(rays, triangles(vertices, faces))
+    return hits.select("mesh_id", "point_id", "ahead.face_id", "ahead.t", "ahead.u", "ahead.v", (1 - F.col("ahead.u") - F.col("ahead.v")).alias("w"))
 
 
 def project(points: DataFrame, vertices: DataFrame, faces: DataFrame, max_ratio: float = 3.0) -> DataFrame:
@@ -149,11 +250,11 @@ def project(points: DataFrame, vertices: DataFrame, faces: DataFrame, max_ratio:
     The nearest point counts where no ray hits or the best ray goes further than ``max_ratio`` times the nearest distance.
     Returns mesh_id, point_id, x, y, z and by_ray.
     """
-    near = nearest_triangle(points, vertices, faces)
+    soup = triangles(vertices, faces)
+    near = nearest_on(points, soup)
     rays = points.select("mesh_id", "point_id", *XYZ, F.col("nx").alias("dx"), F.col("ny").alias("dy"), F.col("nz").alias("dz")).where("dx IS NOT NULL")
-    ahead = raycast(rays, vertices, faces).select("mesh_id", "point_id", F.col("t").alias("_ahead"))
-    back = raycast(rays, vertices, faces, invert=True).select("mesh_id", "point_id", F.col("t").alias("_back"))
-    out = points.join(near, ["mesh_id", "point_id"]).join(ahead, ["mesh_id", "point_id"], "left").join(back, ["mesh_id", "point_id"], "left")
+    hits = first_hits(rays, soup, both_ways=True).select("mesh_id", "point_id", F.col("ahead.t").alias("_ahead"), F.col("back.t").alias("_back"))
+    out = points.join(near, ["mesh_id", "point_id"]).join(hits, ["mesh_id", "point_id"], "left")
     t = F.when(F.coalesce("_ahead", F.lit(float("inf"))) <= F.coalesce("_back", F.lit(float("inf"))), F.col("_ahead")).otherwise(-F.col("_back"))
     by_ray = F.coalesce(F.abs(t) <= max_ratio * F.col("distance"), F.lit(False))
     along = lambda c: F.when(by_ray, F.col(c) + t * F.col(f"n{c}")).otherwise(F.col(f"p{c}")).alias(c)
@@ -163,19 +264,40 @@ def project(points: DataFrame, vertices: DataFrame, faces: DataFrame, max_ratio:
 def nearest_point(points: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """Of the other points with the same ``key`` the nearest to each point: key, point_id, nearest_id, distance.
 
-    A key is one cloud. Of equally near points the least number counts.
+    A key is one cloud; both sides go through the grid of its points. A point is no neighbour of one with its own number. Of
+    equally near points the least number counts.
     """
-    other = others.select(key, F.col("point_id").alias("nearest_id"), *[F.col(c).alias(f"_{c}") for c in XYZ])
-    d = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in XYZ), F.lit(0.0)))
-    pairs = points.join(other, key).where("point_id <> nearest_id")
-    best = F.min(F.struct(d.alias("distance"), "nearest_id")).alias("best")
-    return pairs.groupBy(key, "point_id").agg(best).select(key, "point_id", "best.nearest_id", "best.distance")
+    left, right = (df.select(F.col(key).alias("mesh_id"), F.col("point_id").cast("long").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in XYZ]) for df in (points, others))
+    grid = _grid(right.select("mesh_id", *[F.col(c).alias(f"{k}{c}") for k in "abc" for c in XYZ]))
+    left, right = _point_blocks(left, grid, "point_id", "points"), _point_blocks(right, grid, "point_id", "others")
+    both = _meet(_near_pairs(left, right, float("inf"), 2), left, right, "points", "others")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (ids, p), (jds, q) = _columns(batch.column("points")[k], list(XYZ)), _columns(batch.column("others")[k], list(XYZ))
+                d = sum((p[:, None, c] - q[None, :, c]) ** 2 for c in range(3))
+                d[ids[:, None] == jds[None]] = np.inf
+                j, i = d.argmin(axis=1), np.arange(len(p))
+                ok = np.isfinite(d[i, j])
+                arrays = [np.full(len(p), batch.column("mesh_id")[k].as_py()), ids, jds[j], np.sqrt(d[i, j])]
+                yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in arrays], ["mesh_id", "point_id", "nearest_id", "distance"])
+
+    found = both.mapInArrow(run, "mesh_id long, point_id long, nearest_id long, distance double")
+    best = F.min(F.struct("distance", "nearest_id")).alias("best")
+    return found.groupBy(F.col("mesh_id").alias(key), "point_id").agg(best).select(key, "point_id", "best.nearest_id", "best.distance")
+
+
+def hit_objects(objects: DataFrame, vertices: DataFrame, faces: DataFrame, origin: tuple[float, float, float], direction: tuple[float, float, float]) -> DataFrame:
+    """Objects (mesh_id, lox to hiz) that a ray hits, nearest first by t: those whose boxes it meets, then exactly by their faces."""
+    coarse = hit_boxes(objects, origin, direction).select("mesh_id")
+    lit = dict(zip([*XYZ, "dx", "dy", "dz"], [*origin, *direction], strict=True))
+    rays = coarse.select("mesh_id", F.lit(0).cast("long").alias("point_id"), *[F.lit(float(v)).alias(n) for n, v in lit.items()])
+    return raycast(rays, vertices.join(coarse, "mesh_id", "left_semi"), faces).select("mesh_id", "face_id", "t").orderBy("t", "mesh_id")
 
 
 def hit_boxes(objects: DataFrame, origin: tuple[float, float, float], direction: tuple[float, float, float]) -> DataFrame:
     """Objects with boxes (lox to hiz) that a ray meets, and where it enters: the coarse part of a hit test."""
-    from allometra.functions.geometry import ray_box
-
     lit = lambda v: [F.lit(float(x)) for x in v]
     side = lambda n: [F.col(f"{n}{c}") for c in XYZ]
     enter: Column = ray_box(lit(origin), lit(direction), side("lo"), side("hi"))

@@ -53,10 +53,15 @@ def grid_controls(x: np.ndarray, allowed: np.ndarray, cells: int) -> np.ndarray:
 
 
 def impute(template: np.ndarray, data: np.ndarray, allowed: np.ndarray, cells: int = 8, least_squares: bool = False, replace_all: bool = False) -> np.ndarray:
-    """``data`` with the vertices that are not allowed (or all) put where a spline from the template takes them."""
-    if allowed.all() and not replace_all:
+    """``data`` with the vertices that are not allowed (or all) put where a spline from the template takes them.
+
+    Where fewer than four controls are left there is no spline, and ``data`` stays as it is.
+    """
+    if (allowed.all() and not replace_all) or allowed.sum() < 4:
         return data
     controls = grid_controls(data, allowed, cells)
+    if len(controls) < 4:
+        controls = np.flatnonzero(allowed)
     if least_squares:
         numbers = np.flatnonzero(allowed)
         spline = fit_spline(template[numbers], data[numbers], np.searchsorted(numbers, controls))

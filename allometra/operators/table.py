@@ -113,15 +113,15 @@ def pairs(df: DataFrame, ident: str, order: str, first: str, second: str, row_in
     return df.groupBy(F.col(ident).alias("id")).agg(at(first).alias("first_row"), at(second).alias("second_row")).where("first_row IS NOT NULL AND second_row IS NOT NULL")
 
 
-def series(df: DataFrame, ident: str, row_index: str, min_points: int = 2) -> DataFrame:
-    """One row a point: series_id, pos (from 0, in row order), row_index; series with fewer points are left out.
+def series(df: DataFrame, ident: str, row_index: str, min_points: int = 2, *keep: str) -> DataFrame:
+    """One row a point: series_id, pos (from 0, in row order), row_index and the columns ``keep``; series with fewer points are left out.
 
     A series is one entity's repeated measurements; the window runs over one of them at a time.
     """
-    out = df.select(F.col(ident).alias("series_id"), F.col(row_index).alias("row_index"))
+    out = df.select(F.col(ident).alias("series_id"), F.col(row_index).alias("row_index"), *keep)
     own = Window.partitionBy("series_id")
     out = out.withColumns({"_n": F.count(F.lit(1)).over(own), "pos": F.row_number().over(own.orderBy("row_index")) - 1})
-    return out.where(F.col("_n") >= min_points).select("series_id", "pos", "row_index")
+    return out.where(F.col("_n") >= min_points).select("series_id", "pos", "row_index", *keep)
 
 
 def merge(left: DataFrame, right: DataFrame, row_index: str = "row_index", overwrite: bool = False, simple_only: bool = False) -> DataFrame:
