@@ -36,6 +36,13 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cloud_id"), "label", F.inline(points))
 
 
+def sheet_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheets, packed: cloud_id, label, pos."""
+    e = F.col("embedding")
+    points = F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda k: F.array((k % SIDE).cast("double"), F.floor(k / SIDE).cast("double"), F.get(e, k).cast("double")))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cloud_id"), "label", F.flatten(points).alias("pos"))
+
+
 def sheet_faces(spark: SparkSession) -> DataFrame:
     """The 98 triangles that all sheets share."""
     q = spark.range(49).select(F.col("id").cast("int").alias("q"), F.expr("cast((id div 7) * 8 + id % 7 as int)").alias("p"))
@@ -57,10 +64,17 @@ SHEETS_SQL = """sh AS (
 FACES_SQL = """faces AS (
     SELECT 2 * q AS face_id, p AS i0, p + 1 AS i1, p + 8 AS i2 FROM (SELECT q, q // 7 * 8 + q % 7 AS p FROM range(0, 49) AS r(q))
     UNION ALL SELECT 2 * q + 1, p + 1, p + 9, p + 8 FROM (SELECT q, q // 7 * 8 + q % 7 AS p FROM range(0, 49) AS r(q)))"""
-AREAS_SQL = """corners AS (
-    SELECT a.cloud_id, f.*, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz
-    FROM faces AS f JOIN sh AS a ON a.vertex_id = i0 JOIN sh AS b ON b.vertex_id = i1 AND b.cloud_id = a.cloud_id
-    JOIN sh AS c ON c.vertex_id = i2 AND c.cloud_id = a.cloud_id
+
+
+def areas_sql(x: str = "{} % 8", y: str = "{} // 8", z: str = "embedding[{} + 1]") -> str:
+    """corners, crossed and areas of every sheet's faces; x, y, z are those of a vertex by its number."""
+    at = {c: lambda i, c=c: f"({c.format(i)})::DOUBLE" for c in (x, y, z)}
+    step = lambda c, i, name: f"{at[c](i)} - {at[c]('i0')} AS {name}"
+    steps = ", ".join(step(c, i, f"{v}{n}") for i, v in (("i1", "u"), ("i2", "v")) for c, n in zip((x, y, z), "xyz", strict=True))
+    return f"""corners AS (SELECT vec_id AS cloud_id, f.*, {steps} FROM embeddings, faces AS f
 ), crossed AS (
     SELECT *, uy * vz - uz * vy AS cx, uz * vx - ux * vz AS cy, ux * vy - uy * vx AS cz FROM corners
 ), areas AS (SELECT *, 0.5 * sqrt(cx * cx + cy * cy + cz * cz) AS area FROM crossed)"""
+
+
+AREAS_SQL = areas_sql()
