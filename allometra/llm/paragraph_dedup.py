@@ -172,7 +172,7 @@ def _repeated_lines(documents: DataFrame, size: int, similarity: tuple[int, int]
     labels = linked_components(classes, fetch, num, den, ordered=False, hold=materialise)
     named = classes.select("id", "set_digest", "place", "copies").join(labels, "id", "left").where("component IS NOT NULL OR copies > 1")
     named = named.withColumn("component", F.coalesce("component", "id"))
-    least = named.groupBy("component").agg(F.min("place").alias("_first"))
+    least = materialise(named.groupBy("component").agg(F.min("place").alias("_first")))
     named = named.join(least, "component").select("set_digest", "_first")
     out = signed.select("doc_id", "paragraph", "n_words", "set_digest").join(named, "set_digest")
     first = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("paragraph") == F.col("_first.paragraph"))
