@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allometra.llm.common import cut
+from allometra.llm.common import materialise
 from allometra.llm.shingles import digest, shingle_set, word_hashes
 from allometra.llm.similarity import PARITY, Bitmap, id_place, linked_components, parity, signature
 
 SHINGLE = 5
 SIMILARITY = (8, 10)
-COUNT_BITS = 21
+#: The table of counts has 2**COUNT_BITS[0] places, for large corpora up to 2**COUNT_BITS[1] (16 MB).
+COUNT_BITS = (21, 24)
 _BLOCK_BITS = 14
 #: Most ids that go to the executors as a broadcast, at 24 bytes each with the hash of the text.
 BROADCAST_IDS = 500_000
@@ -34,7 +35,12 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
         yield shingle_set(word_hashes(text.as_py() or b""), size)
 
 
-def commonness(documents: DataFrame, size: int = SHINGLE, bits: int = COUNT_BITS) -> np.ndarray:
+def count_bits(n_documents: int) -> int:
+    """Bits of the table of counts: sixteen places a document, within ``COUNT_BITS``."""
+    return max(COUNT_BITS[0], min(COUNT_BITS[1], n_documents.bit_length() + 4))
+
+
+def commonness(documents: DataFrame, size: int, bits: int) -> np.ndarray:
     """For each bucket of shingle hashes, the logarithm of how many documents' shingles fall in it: 2**bits bytes.
 
     Tasks send blocks of counts, sparse or dense, whichever is shorter; the blocks are summed where they meet.
@@ -104,12 +110,12 @@ def signed(documents: DataFrame, size: int, num: int, den: int, levels: np.ndarr
     return documents.mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in own) + "n long, set_digest binary, sig binary, grp binary, keys array<long>, " + ", ".join(f"{s} long" for s in PARITY))
 
 
-def _linked(documents: DataFrame, size: int, similarity: tuple[int, int], bits: int) -> tuple[DataFrame, DataFrame]:
+def _linked(documents: DataFrame, size: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """The signed rows; and id, set_digest, first_id and component of every class of equal sets."""
     num, den = similarity
-    rows = cut(signed(documents, size, num, den, commonness(documents, size, bits)))
+    rows = materialise(signed(documents, size, num, den, commonness(documents, size, count_bits(documents.count()))))
     classes = rows.where("n > 0").groupBy("set_digest").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "sig", "grp", "keys", *PARITY)])
-    classes = cut(classes.withColumns({"id": F.monotonically_increasing_id(), "hub_rank": F.lit(0)}))
+    classes = materialise(classes.withColumns({"id": F.monotonically_increasing_id(), "hub_rank": F.lit(0)}))
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = classes.select("id", "first_id", "set_digest").join(ids, "id")
@@ -124,12 +130,12 @@ def _linked(documents: DataFrame, size: int, similarity: tuple[int, int], bits:
         found = texts.mapInArrow(run, "set_digest binary, grams binary")
         return found.join(wanted.select("id", "set_digest"), "set_digest").groupBy("id").agg(F.first("grams").alias("grams"))
 
-    labels = linked_components(classes, fetch, num, den, ordered=True)
+    labels = linked_components(classes, fetch, num, den, ordered=True, hold=materialise)
     named = classes.select("id", "set_digest", "first_id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return rows, named
 
 
-def duplicate_components(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, bits: int = COUNT_BITS) -> DataFrame:
+def duplicate_components(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links lead to, itself included) of every row.
 
     Two rows link when the Jaccard similarity of their sets of ``size``-word shingles is ``similarity`` (a fraction)
@@ -138,31 +144,34 @@ def duplicate_components(documents: DataFrame, size: int = SHINGLE, similarity:
     takes part; it is the component only where no other id is. An empty table gives an empty result; other columns
     of the input are ignored. Whole texts are read.
     """
-    rows, named = _linked(documents.select("doc_id", "text"), size, similarity, bits)
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "component").select("set_digest", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_digest").join(named, "set_digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows, named = _linked(documents.select("doc_id", "text"), size, similarity)
+    # Held, so that the joins read plain tables, whose large keys Spark can split.
+    least = materialise(named.groupBy("component").agg(F.min("first_id").alias("component_id")))
+    named = materialise(named.join(least, "component").select("set_digest", "component_id"))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_digest")
+    some = out.where("n_shingles > 0").join(named, "set_digest").select("doc_id", "n_shingles", "component_id")
+    # Rows without a shingle all have one digest and link with nothing: they stay out of the join.
+    return some.unionByName(out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def keep_first(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, bits: int = COUNT_BITS) -> DataFrame:
+def keep_first(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """One row of ``documents`` of each component, with its columns as they came; all rows without a shingle stay.
 
     That is the row with the least doc_id, a null one last; among rows of one doc_id the set and then the text decide.
     Of rows with equal doc_id and text one stays; without a shingle, only if the doc_id is not null.
     """
     text_id = F.xxhash64("text").alias("_text_id")
-    rows, named = _linked(documents.select("doc_id", text_id, "text"), size, similarity, bits)
+    rows, named = _linked(documents.select("doc_id", text_id, "text"), size, similarity)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_digest", "_text_id")
     some = rows.where("n > 0")
     first = some.groupBy("set_digest").agg(F.min(place).alias("_place")).join(named.select("set_digest", "component"), "set_digest")
     first = first.groupBy("component").agg(F.min("_place").alias("_place")).select(F.col("_place.doc_id").alias("_doc"), F.col("_place._text_id").alias("_text"))
     own = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("_text_id") == F.col(b))
     going = some.select("doc_id", "_text_id").distinct().join(first, own("_doc", "_text"), "left_anti")
-    going = cut(going.select(F.col("doc_id").alias("_gone"), F.col("_text_id").alias("_gone_text")))
+    going = materialise(going.select(F.col("doc_id").alias("_gone"), F.col("_text_id").alias("_gone_text")))
     twice = rows.where("n > 0 OR doc_id IS NOT NULL").groupBy("doc_id", "_text_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     twice = twice.join(going, own("_gone", "_gone_text"), "left_anti")
-    twice = cut(twice.select(F.col("doc_id").alias("_twice"), F.col("_text_id").alias("_twice_text")))
+    twice = materialise(twice.select(F.col("doc_id").alias("_twice"), F.col("_text_id").alias("_twice_text")))
     # Ids are longs, so that a broadcast of the least number stays small; beyond it, texts are shuffled once.
     on = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     kept = documents.withColumn("_text_id", text_id).join(on(going), own("_gone", "_gone_text"), "left_anti")
