@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -60,6 +61,7 @@ WORD = re.compile(r"\w+")
 
 LINK_SHARE = 0.35
 SHORT_WORDS = 10
+CHARS_PER_WORD = 6
 STOP_HIGH = 0.12
 STOP_LOW = 0.05
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -75,6 +77,7 @@ class Block:
     first: str | None = None
     label: str | None = None
     stop_share: float = field(default=0.0)
+    n_words: int = 0
 
 
 def _names(value: str) -> set[str]:
@@ -86,21 +89,31 @@ def _names(value: str) -> set[str]:
     return out
 
 
-def _end_of(name: str, page: str, at: int) -> int | None:
-    """Where the element that begins before ``at`` ends, by its own end tag; None without one."""
-    if name in TO_THE_END:
-        m = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
-        return m.end() if m else len(page)
-    depth = 1
-    for m in re.compile(rf"<(/?){name}\b[^>]*>", re.IGNORECASE).finditer(page, at):
-        depth += -1 if m[1] else not m[0].endswith("/>")
-        if depth == 0:
-            return m.end()
-    return None
+class _Ends:
+    """Where elements of the page end by their own end tags; the tags of a name are matched once a page."""
 
+    def __init__(self, page: str):
+        self.page = page
+        self.known: dict[str, dict[int, int]] = {}
 
-def _is_aside(name: str, rest: str, in_article: bool) -> bool:
-    if name in ASIDE or (name == "header" and not in_article):
+    def of(self, name: str, begin: int, at: int) -> int | None:
+        """End of the element whose start tag stands from ``begin`` to ``at``; None without an end tag."""
+        if name in TO_THE_END:
+            m = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(self.page, at)
+            return m.end() if m else len(self.page)
+        if name not in self.known:
+            ends, opened = {}, []
+            for m in re.compile(rf"<(/?){name}\b[^>]*>", re.IGNORECASE).finditer(self.page):
+                if not m[1] and not m[0].endswith("/>"):
+                    opened.append(m.start())
+                elif m[1] and opened:
+                    ends[opened.pop()] = m.end()
+            self.known[name] = ends
+        return self.known[name].get(begin)
+
+
+def _is_aside(name: str, rest: str, in_article: bool, forms: bool = True) -> bool:
+    if (name in ASIDE and (forms or name != "form")) or (name == "header" and not in_article):
         return True
     if not rest.strip(" /\n\t"):
         return False
@@ -117,9 +130,14 @@ def _is_aside(name: str, rest: str, in_article: bool) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text in order, with what the rules need to know of each."""
+def blocks_of(page: str, forms: bool = True) -> list[Block]:
+    """The page's blocks of text in order, with what the rules need to know of each; ``forms`` says that forms are asides.
+
+    Each tag is handled once: open elements are counted by name, and an end tag pops what it closes.
+    """
     out: list[Block] = []
+    counts: Counter[str] = Counter()
+    ends = _Ends(page)
     stack: list[tuple[str, bool, int]] = []  # element, whether aside, article it belongs to
     pieces: list[str] = []
     linked = articles = links = dropped = 0
@@ -144,6 +162,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links, dropped
         while stack:
             top = stack.pop()[0]
+            counts[top] -= 1
             dropped -= top in RAW
             links -= top == "a"
             if top == name:
@@ -163,7 +182,7 @@ def blocks_of(page: str) -> list[Block]:
         if m["end"]:
             if name in BLOCKS:
                 close()
-            if any(x[0] == name for x in stack):
+            if counts[name]:
                 leave(name)
             continue
         if name == "br":
@@ -174,7 +193,7 @@ def blocks_of(page: str) -> list[Block]:
                 close()
             if m["rest"].endswith("/"):
                 continue
-            stop = None if name == "option" else _end_of(name, page, at)
+            stop = None if name == "option" else ends.of(name, m.start(), at)
             if stop is not None:
                 at = stop
                 continue
@@ -182,6 +201,7 @@ def blocks_of(page: str) -> list[Block]:
             if name == "option" and stack and stack[-1][0] == name:
                 leave(name)
             stack.append((name, True, stack[-1][2] if stack else 0))
+            counts[name] += 1
             dropped += 1
             continue
         if name in BLOCKS:
@@ -197,24 +217,37 @@ def blocks_of(page: str) -> list[Block]:
             articles += 1
             article = articles
         if name == "a":
-            if links and not dropped and any(x[0] == "a" for x in stack):
+            if links and not dropped and counts["a"]:
                 leave("a")
             links += 1
-        stack.append((name, aside or _is_aside(name, m["rest"], bool(article)), article))
+        stack.append((name, aside or _is_aside(name, m["rest"], bool(article), forms), article))
+        counts[name] += 1
     close()
     return out
 
 
 def decide(blocks: list[Block]) -> None:
-    """Label every block good or bad."""
+    """Label every block good or bad.
+
+    Where too few words of the long blocks are known stop words for any of them to be decided so, the page is in a language that the list does not cover: there
+    length and link density decide alone, length in characters too, as some scripts have no blanks.
+    """
+    stops = total = 0
     for b in blocks:
         words = WORD.findall(b.text.lower())
-        b.stop_share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        found = sum(w in STOP_WORDS for w in words)
+        b.stop_share, b.n_words = found / max(1, len(words)), len(words)
+        if not b.aside and b.link_chars <= LINK_SHARE * len(b.text) and max(len(words), len(b.text) // CHARS_PER_WORD) >= SHORT_WORDS:
+            stops, total = stops + found, total + len(words)
+    foreign = stops < STOP_HIGH * total
+    for b in blocks:
         if b.aside or b.link_chars > LINK_SHARE * len(b.text):
             b.first = "bad"
-        elif len(words) >= SHORT_WORDS and b.stop_share >= STOP_HIGH:
+        elif foreign and max(b.n_words, len(b.text) // CHARS_PER_WORD) >= SHORT_WORDS:
+            b.first = "good"
+        elif b.n_words >= SHORT_WORDS and b.stop_share >= STOP_HIGH:
             b.first = "good"
-        elif len(words) >= SHORT_WORDS and b.stop_share < STOP_LOW and not b.article and not b.heading:
+        elif b.n_words >= SHORT_WORDS and b.stop_share < STOP_LOW and not b.article and not b.heading:
             b.first = "bad"
         b.label = b.first
     if not any(b.first for b in blocks):
@@ -247,13 +280,18 @@ def _neighbours(blocks: list[Block]) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
+    """The page's good blocks, those of articles alone if there are any. If none is good but for a form around them, forms are no asides."""
     if not page:
         return ""
-    blocks = blocks_of(page)
-    decide(blocks)
-    if any(b.article and b.label == "good" for b in blocks):
-        blocks = [b for b in blocks if b.article]
-    return "\n\n".join(b.text for b in blocks if b.label == "good")
+    for forms in (True, False):
+        blocks = blocks_of(page, forms)
+        decide(blocks)
+        if any(b.article and b.label == "good" for b in blocks):
+            blocks = [b for b in blocks if b.article]
+        good = [b.text for b in blocks if b.label == "good"]
+        if good or "<form" not in page.lower():
+            return "\n\n".join(good)
+    return "\n\n".join(good)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -341,6 +342,30 @@ def test_main_text_is_not_lost(page):
     assert page_text.main_text(page.format(f"<p>{text}</p>")) == text
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Nel mezzo del cammin ci ritrovammo dentro selve oscure dove ogni strada dritta era smarrita ormai.",
+        "这是一篇关于城市历史的长文章,作者在其中详细描述了几百年来这座城市的变化以及居民的生活方式,内容十分丰富,值得仔细阅读,读者可以从中学到许多知识。",
+    ],
+)
+def test_main_text_in_other_languages(text):
+    assert page_text.main_text(f"<body><nav><a href=/>Home</a></nav><p>{text}</p><p>{text}</p></body>") == f"{text}\n\n{text}"
+
+
+def test_a_form_around_the_page_is_no_aside():
+    text = "This is the first paragraph of the article and it says what it is for."
+    assert page_text.main_text(f'<body><form id="aspnetForm"><p>{text}</p></form></body>') == text
+    assert page_text.main_text(f"<body><p>{text}</p><form><p>{text} Or not.</p></form></body>") == text
+
+
+@pytest.mark.parametrize("page", ["<span>" * 40_000 + "x" + "<b>y</b>" * 40_000, "<svg>" * 20_000 + "<p>x", "<a href=x>" * 40_000 + "</q>" * 40_000])
+def test_page_time_is_linear(page):
+    began = time.perf_counter()
+    page_text.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
 def test_extract_keeps_every_page(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "<p>x", 2), (2, None, "<p>x", 2)], "page_id long, url string, html string, text int")
     assert [r.n_chars for r in page_text.extract(pages).orderBy("page_id").collect()][0] == 0
