@@ -36,8 +36,8 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
 
 
 def count_bits(n_documents: int) -> int:
-    """Bits of the table of counts: sixteen places a document, within ``COUNT_BITS``."""
-    return max(COUNT_BITS[0], min(COUNT_BITS[1], n_documents.bit_length() + 4))
+    """Bits of the table of counts: at least four places a document, within ``COUNT_BITS``."""
+    return max(COUNT_BITS[0], min(COUNT_BITS[1], n_documents.bit_length() + 2))
 
 
 def commonness(documents: DataFrame, size: int, bits: int) -> np.ndarray:
