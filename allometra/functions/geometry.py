@@ -153,3 +153,41 @@ def sum_of_squares(values: Column) -> Column:
 def quantise(value: Column, low: Column, high: Column, bits: int = 16) -> Column:
     """Code of ``value`` between ``low`` and ``high``, truncated; 0 where both are equal."""
     return F.coalesce(F.floor(F.try_divide((value - low) * ((1 << bits) - 1), high - low)), F.lit(0)).cast("int")
+
+
+def invert_rigid(rigid: str) -> Column:
+    """The transform (offs, cs, rot of 9) that takes back what ``apply_rigid`` does."""
+    offs, cs, rot = (F.col(f"{rigid}.{n}") for n in ("offs", "cs", "rot"))
+    back = F.array(*[-sum((rot[3 * k + i] * offs[k] for k in range(3)), F.lit(0.0)) / cs for i in range(3)])
+    return F.struct(back.alias("offs"), (1 / cs).alias("cs"), F.array(*[rot[3 * j + i] for i in range(3) for j in range(3)]).alias("rot"))
+
+
+def compose_rigid(first: str, second: str) -> Column:
+    """The transform that does ``first`` and then ``second``."""
+    a, b = ({n: F.col(f"{r}.{n}") for n in ("offs", "cs", "rot")} for r in (first, second))
+    rot = F.array(*[sum((a["rot"][3 * i + k] * b["rot"][3 * k + j] for k in range(3)), F.lit(0.0)) for i in range(3) for j in range(3)])
+    moved = [a["offs"][i] + a["cs"] * sum((a["rot"][3 * i + k] * b["offs"][k] for k in range(3)), F.lit(0.0)) for i in range(3)]
+    return F.struct(F.array(*moved).alias("offs"), (a["cs"] * b["cs"]).alias("cs"), rot.alias("rot"))
+
+
+def turn_z(angle: Column) -> Column:
+    """A turn by ``angle`` (radians) around the z axis, from x to y."""
+    c, s, one, none = F.cos(angle), F.sin(angle), F.lit(1.0), F.lit(0.0)
+    return F.struct(F.array(none, none, none).alias("offs"), one.alias("cs"), F.array(c, s, none, -s, c, none, none, none, one).alias("rot"))
+
+
+def rigid_matrix(rigid: str) -> Column:
+    """The 4 by 4 matrix of a transform, row by row, for points as columns."""
+    offs, cs, rot = (F.col(f"{rigid}.{n}") for n in ("offs", "cs", "rot"))
+    rows = [[*[rot[3 * k + i] / cs for k in range(3)], -sum((rot[3 * k + i] * offs[k] for k in range(3)), F.lit(0.0)) / cs] for i in range(3)]
+    return F.array(*[v for row in rows for v in row], F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+
+def index_field(vertex_id: Column, n_vertices: int) -> Column:
+    """The number of a vertex between 0 and 1; 0 for a single one."""
+    return vertex_id / F.lit(max(1, n_vertices - 1))
+
+
+def below(value: Column, threshold: Column) -> Column:
+    """Whether a value lies strictly below a threshold."""
+    return value < threshold
