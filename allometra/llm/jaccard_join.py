@@ -23,8 +23,10 @@ from allometra.llm.similarity import PARITY, Bitmap, id_place, linked_components
 
 SHINGLE = 5
 SIMILARITY = (8, 10)
-#: The table of counts has 2**COUNT_BITS[0] places, for large corpora up to 2**COUNT_BITS[1] (16 MB).
-COUNT_BITS = (21, 24)
+#: The table of counts has 2**COUNT_BITS places, 16 MB as a broadcast, for any corpus.
+COUNT_BITS = 24
+#: A task counts no further in a place: between batches, so that two bytes hold what a batch adds.
+_MOST = 32767
 _BLOCK_BITS = 14
 #: Most ids that go to the executors as a broadcast, at 24 bytes each with the hash of the text.
 BROADCAST_IDS = 500_000
@@ -35,12 +37,7 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
         yield shingle_set(word_hashes(text.as_py() or b""), size)
 
 
-def count_bits(n_documents: int) -> int:
-    """Bits of the table of counts: at least four places a document, within ``COUNT_BITS``."""
-    return max(COUNT_BITS[0], min(COUNT_BITS[1], n_documents.bit_length() + 2))
-
-
-def commonness(documents: DataFrame, size: int, bits: int) -> np.ndarray:
+def commonness(documents: DataFrame, size: int, bits: int = COUNT_BITS) -> np.ndarray:
     """For each bucket of shingle hashes, the logarithm of how many documents' shingles fall in it: 2**bits bytes.
 
     Tasks send blocks of counts, sparse or dense, whichever is shorter; the blocks are summed where they meet.
@@ -48,12 +45,13 @@ def commonness(documents: DataFrame, size: int, bits: int) -> np.ndarray:
     width = 1 << _BLOCK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.uint32)
+        counts = np.zeros(1 << bits, dtype="<u2")
         for batch in batches:
             for hashes in _sets(batch, size):
-                np.add.at(counts, (hashes >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+                np.add.at(counts, (hashes >> np.uint64(64 - bits)).astype(np.int64), np.uint16(1))
+            np.minimum(counts, _MOST, out=counts)
         blocks, places, values = [], [], []
-        for k, block in enumerate(np.minimum(counts, 65535).astype("<u2").reshape(-1, width)):
+        for k, block in enumerate(counts.reshape(-1, width)):
             used = np.flatnonzero(block).astype("<u2")
             if len(used):
                 sparse = 4 * len(used) < 2 * width
@@ -113,7 +111,7 @@ def signed(documents: DataFrame, size: int, num: int, den: int, levels: np.ndarr
 def _linked(documents: DataFrame, size: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """The signed rows; and id, set_digest, first_id and component of every class of equal sets."""
     num, den = similarity
-    rows = materialise(signed(documents, size, num, den, commonness(documents, size, count_bits(documents.count()))))
+    rows = materialise(signed(documents, size, num, den, commonness(documents, size)))
     classes = rows.where("n > 0").groupBy("set_digest").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "sig", "grp", "keys", *PARITY)])
     classes = materialise(classes.withColumns({"id": F.monotonically_increasing_id(), "hub_rank": F.lit(0)}))
 

@@ -180,11 +180,11 @@ def linked_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     sums = left.groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high"), F.max("size").alias("_size"), F.max("_count").alias("_n"))
     open_keys = hold(sums.where("_low < _high AND (_n > 2 OR _size > 1)").select("key"))
     left = hold(shared.join(open_keys, "key").select("key", "hub", "id", "pos").join(placed, "id"))
-    # Sets that are similar enough lie in the same or in neighbouring bins of size; a key's items meet by bin.
+    # Of two sets that are similar enough, the larger lies in the smaller one's bin of size or in the next; a key's items meet by bin.
     width = math.log(den / num) * 1.001
     bins = F.floor(F.log(F.col("n")) / width)
     a = left.withColumn("bin", bins).alias("a")
-    b = left.withColumn("bin", F.explode(F.array(bins - 1, bins, bins + 1))).alias("b")
+    b = left.withColumn("bin", F.explode(F.array(bins, bins + 1))).alias("b")
     col = lambda name: (F.col(f"a.{name}"), F.col(f"b.{name}"))
     done = (F.col("a.size") == 1) & (F.col("b.size") == 1) & ((F.col("a.id") == F.col("a.hub")) | (F.col("b.id") == F.col("b.hub")))
     apart = (F.col("a.low") != F.col("b.low")) | (F.col("a.low") != F.col("a.high")) | (F.col("b.low") != F.col("b.high"))
@@ -198,7 +198,7 @@ def linked_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     flips = sum(F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in PARITY)
     # Members of a group have parity bits of their own.
     near = near & ((F.col("a.size") > 1) | (F.col("b.size") > 1) | (flips <= total - 2 * least))
-    crossing = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.id") < F.col("b.id")) & ~done & apart & near)
+    crossing = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.bin") == F.col("b.bin")) & (F.struct("a.n", "a.id") > F.struct("b.n", "b.id")) & ~done & apart & near)
     crossing = crossing.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     inside = spread.where("_low < _high").select(F.col("id").alias("a"), F.col("id").alias("b"))
     group_pairs = hold(crossing.union(inside).distinct())
