@@ -1,6 +1,7 @@
 """The training-data operators on small cases: brute force, round trips, edge cases."""
 
 import hashlib
+import json
 import re
 import time
 from itertools import combinations
@@ -413,3 +414,42 @@ def test_held_out_toxicity(spark, sf_dir):
     rows = queries.op10_toxicity(spark, sf_dir).where("held_out").join(labels, "doc_id").collect()
     right = sum(r.predicted == r.toxic for r in rows)
     assert right >= 0.9 * len(rows)
+
+
+def test_tool_calls_against_a_plain_topological_order(spark):
+    rng = np.random.default_rng(5)
+    rows, expected = [], {}
+    for conv in range(60):
+        names = [f"c{k}" for k in range(6)]
+        needs = {c: [str(n) for n in rng.choice([*names, "none"], rng.integers(0, 2 + (conv % 2)), replace=False)] for c in names}
+        said = {c: conv % 3 > 0 or c != "c0" for c in names}
+        for turn, k in enumerate(rng.permutation(6).tolist()):
+            arguments = {"expression": "1", "more": [{"$result": n} for n in needs[names[k]]]}
+            call = {"tool_calls": [{"id": names[k], "function": {"name": "calculate", "arguments": arguments}}]}
+            rows.append((conv, turn, "assistant", tool_calls.canonical(call)))
+            if said[names[k]]:
+                rows.append((conv, 10 + turn, "tool", tool_calls.canonical({"tool_call_id": names[k], "content": "x"})))
+        turn_of = {json.loads(t)["tool_calls"][0]["id"]: turn for c, turn, role, t in rows if c == conv and role == "assistant"}
+        done: dict[str, tuple[int, int]] = {}
+        while ready := [c for c in names if c not in done and all(n in done for n in needs[c] if n != "none")]:
+            for c in ready:
+                last = max((done[n] for n in needs[c] if n != "none"), default=(-1, 0))
+                done[c] = (turn_of[c], 0) if turn_of[c] > last[0] else (last[0], last[1] + 2)
+        for c in names:
+            status = "cycle" if c not in done else "unmet_need" if "none" in needs[c] else "ok" if said[c] else "no_result"
+            expected[conv, c] = (status, *done.get(c, (turn_of[c], 0)))
+    found = tool_calls.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert len(found) == len(rows)
+    assert {(r.conv_id, r.call_id): (r.status, r.anchor, r.level) for r in found if r.kind == "call"} == expected
+    assert {s for s, *_ in expected.values()} == {"cycle", "unmet_need", "ok", "no_result"}
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    nothing = documents(spark, [])
+    assert secret_scan.secret_report(nothing).count() == 0
+    assert page_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert tool_calls.format_conversations(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+    twice = documents(spark, ["password=abcdefgh1", None]).unionByName(documents(spark, ["password=abcdefgh1", None]))
+    assert sorted((r.doc_id, r.n_assign) for r in secret_scan.secret_report(twice).collect()) == [(0, 1), (0, 1), (1, 0), (1, 0)]
+    long = documents(spark, ["x " * 2_000_000 + "AKIA" + "Q7" * 8])
+    assert secret_scan.secret_report(long).first().n_access == 1
