@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` as the struct ``_row``, in which no name can clash with an operator's own columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body``: the lambda variable stands for the result."""
     return F.transform(F.array(value), body)[0]

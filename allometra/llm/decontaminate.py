@@ -174,13 +174,19 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_R
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``documents`` in which no item occurs within the error budget, with their columns as they came."""
+    """The rows of ``documents`` in which no item occurs within the error budget, with their columns as they came.
+
+    Null and empty texts stay, repeated rows stay or go together; an empty benchmark drops nothing.
+    """
+    names, place = documents.columns, documents.columns.index("text")
+    # By number, as mapInArrow takes no names with a dot in them.
+    kept = documents.toDF(*[f"c{k}" for k in range(len(names))])
     for items in item_blocks(benchmark, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, rate)
             for batch in batches:
-                yield batch.filter(pa.array([not matcher.search(text.as_py()) for text in batch.column("text")], pa.bool_()))
+                yield batch.filter(pa.array([not matcher.search(text.as_py()) for text in batch.column(place)], pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+        kept = kept.mapInArrow(run, kept.schema)
+    return kept.toDF(*names)

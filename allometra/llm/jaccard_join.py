@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allometra.llm.common import materialise
+from allometra.llm.common import materialise, packed
 from allometra.llm.shingles import digest, shingle_set, word_hashes
 from allometra.llm.similarity import PARITY, Bitmap, id_place, linked_components, parity, signature
 
@@ -172,9 +172,9 @@ def keep_first(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int,
     twice = materialise(twice.select(F.col("doc_id").alias("_twice"), F.col("_text_id").alias("_twice_text")))
     # Ids are longs, so that a broadcast of the least number stays small; beyond it, texts are shuffled once.
     on = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    kept = documents.withColumn("_text_id", text_id).join(on(going), own("_gone", "_gone_text"), "left_anti")
+    kept = documents.select(packed(documents), "doc_id", text_id).join(on(going), own("_gone", "_gone_text"), "left_anti")
     if not twice.isEmpty():
         once = kept.join(on(twice), own("_twice", "_twice_text"), "left_anti")
         again = kept.join(on(twice), own("_twice", "_twice_text"), "left_semi")
-        kept = once.unionByName(again.dropDuplicates(["doc_id", "text"]))
-    return kept.drop("_text_id")
+        kept = once.unionByName(again.withColumn("text", F.col("_row.text")).dropDuplicates(["doc_id", "text"]).drop("text"))
+    return kept.select("_row.*")

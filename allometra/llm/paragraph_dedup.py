@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allometra.llm.common import materialise
+from allometra.llm.common import materialise, packed
 from allometra.llm.passages import repeated_passages, without
 from allometra.llm.shingles import digest, mix, shingle_sets, word_hashes
 from allometra.llm.similarity import PARITY, SIGNATURE, Bitmap, digest_place, digest_places, id_place, linked_components
@@ -184,14 +184,18 @@ def _repeated_lines(documents: DataFrame, size: int, similarity: tuple[int, int]
 def remove_repeats(
     documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, min_words: int = MIN_WORDS, recall: float = RECALL
 ) -> DataFrame:
-    """``documents`` with the removals cut out of their texts; all other columns and rows stay as they are."""
+    """``documents`` with the removals cut out of their texts; all other columns and rows stay as they are.
+
+    A null text stays null; a text of which nothing is left becomes empty. Repeated rows, or rows that share a doc_id,
+    lose the same lines; an empty table gives an empty result. Other columns may have any names.
+    """
     gone = _repeated_lines(documents, size, similarity, min_words, recall).where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("_lines"))
     gone = gone.select(F.col("doc_id").alias("_id"), "_lines")
     runs = repeated_passages(documents).where("removed").groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("first_word", "n_words")).alias("_runs"))
     runs = runs.select(F.col("doc_id").alias("_own"), F.col("text_id").alias("_text"), "_runs")
-    names = documents.columns
-    both = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    rows = documents.select(packed(documents), "doc_id", "text")
+    both = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     both = both.join(runs, F.col("doc_id").eqNullSafe(F.col("_own")) & (F.xxhash64("text") == F.col("_text")), "left")
     rest = F.udf(lambda text, lines, runs: None if text is None else without(text, lines, runs), "string")
     text = F.when(F.col("_lines").isNull() & F.col("_runs").isNull(), F.col("text")).otherwise(rest("text", "_lines", "_runs"))
-    return both.withColumn("text", text).select(*[F.col(f"`{c}`") for c in names])
+    return both.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in documents.columns])

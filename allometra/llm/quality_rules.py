@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allometra.llm.common import SPACE_CLASS, word_array
+from allometra.llm.common import SPACE_CLASS, packed, word_array
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -205,5 +205,5 @@ def keep_documents(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Data
     texts are judged whole; an empty table gives an empty result.
     """
     rules = plan_order(documents, default_rules(), sample_rows)
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
-    return cascade(packed, rules).select("_row.*")
+    rows = documents.select(packed(documents), F.coalesce("text", F.lit("")).alias("_text"))
+    return cascade(rows, rules).select("_row.*")

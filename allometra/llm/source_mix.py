@@ -18,7 +18,7 @@ from decimal import Decimal, getcontext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from allometra.llm.common import WORD_PATTERN, materialise
+from allometra.llm.common import WORD_PATTERN, materialise, packed
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -184,18 +184,19 @@ def take(documents: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bl
     """
     shares = _mixed(documents, weights, max_epochs, block, seed).where("taken > 0").groupBy("doc_id", "source", "size")
     shares = shares.agg(F.expr("sum(taken) div count(1)").alias("_taken"), F.min("starts").alias("_starts"))
-    names = [F.col(f"d.`{c}`") for c in documents.columns]
-    left = documents.select("*", _n_words().alias("_size")).alias("d")
+    left = documents.select(packed(documents), "doc_id", "source", _n_words().alias("_size")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._size") == F.col("s.size")) & F.col("d.source").eqNullSafe(F.col("s.source"))
     both = left.join(shares.alias("s"), same)
     whole = F.expr("s._taken div d._size")
-    copies = both.select(*names, (F.col("s._taken") - whole * F.col("d._size")).alias("_part"), F.explode(F.sequence(F.lit(0).cast("long"), whole)).alias("_copy"), whole.alias("_whole"), "s._starts")
+    copies = both.select("d._row", "d.doc_id", (F.col("s._taken") - whole * F.col("d._size")).alias("_part"), F.explode(F.sequence(F.lit(0).cast("long"), whole)).alias("_copy"), whole.alias("_whole"), "s._starts")
     copies = copies.where("_copy < _whole OR _part > 0")
     last = F.element_at("_starts", -1)
     copies = copies.withColumn("_slot", F.coalesce(F.get("_starts", F.col("_copy").cast("int")), last)).drop("_starts")
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), 1, F.col("_part").cast("int")), " ")
-    copies = copies.withColumn("text", F.when(F.col("_copy") < F.col("_whole"), F.col("text")).otherwise(first))
+    entire, own = F.col("_copy") < F.col("_whole"), F.col("_row.text")
+    first = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(WORD_PATTERN), F.lit(0)), 1, F.col("_part").cast("int")), " ")
+    text = F.when(entire, own).otherwise(first)
+    changed = {"text": text}
     if "n_chars" in documents.columns:
-        copies = copies.withColumn("n_chars", F.when(F.col("_copy") < F.col("_whole"), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
+        changed["n_chars"] = F.when(entire, F.col("_row.n_chars")).otherwise(F.length(text)).cast(documents.schema["n_chars"].dataType)
     ordered = copies.repartitionByRange("_slot", "doc_id").sortWithinPartitions("_slot", "doc_id")
-    return ordered.select(*[F.col(f"`{c}`") for c in documents.columns])
+    return ordered.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in documents.columns])
