@@ -87,3 +87,40 @@ FROM lines JOIN quotas ON lines.source IS NOT DISTINCT FROM quotas.source LEFT J
 """
 for _power in (20, 0):
     SOURCE_MIX = SOURCE_MIX.replace(f"GOLDEN_{_power}", repr(golden(_power)))
+
+SOURCE_DIVERGENCE = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), terms AS (
+    SELECT row_id, lang, source, unnest(w) AS term FROM texts
+), kept AS (
+    SELECT lang, term, count(*) AS total FROM terms GROUP BY ALL HAVING count(DISTINCT row_id) >= 3
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+    SELECT DISTINCT lang, source FROM texts
+), langs AS (
+    SELECT lang, count(*) AS v, sum(total) AS n_lang FROM kept GROUP BY lang
+), sizes AS (
+    SELECT lang, source, sum(n) AS size FROM counts GROUP BY ALL
+), rates AS (
+    SELECT lang, source, term, coalesce(n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (coalesce(size, 0) + v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (total + 1)) // (n_lang + v)::HUGEINT AS q
+    FROM groups JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN counts USING (lang, source, term) LEFT JOIN sizes USING (lang, source)
+), sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM rates AS a JOIN rates AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+    SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM groups AS g JOIN groups AS h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN sums AS s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+), named AS (
+    SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM rates WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM named)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from allometra.llm import oracles, toxicity
 from allometra.llm.common import table
 from allometra.llm.decontaminate import find_leaks
+from allometra.llm.divergence import audit
 from allometra.llm.jaccard_join import duplicate_components
 from allometra.llm.page_text import extract
 from allometra.llm.paragraph_dedup import repeated_paragraphs
@@ -57,6 +58,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score_documents(documents, model)
 
 
+def op11_source_divergence(spark, sf_dir):
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +75,7 @@ QUERIES = {
         op8_jaccard_join,
         op9_quality_rules,
         op10_toxicity,
+        op11_source_divergence,
     )
 }
-ORACLES = {"op7_source_mix": oracles.SOURCE_MIX, "op9_quality_rules": oracles.QUALITY_RULES}
+ORACLES = {"op7_source_mix": oracles.SOURCE_MIX, "op9_quality_rules": oracles.QUALITY_RULES, "op11_source_divergence": oracles.SOURCE_DIVERGENCE}
