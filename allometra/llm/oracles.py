@@ -124,3 +124,33 @@ WITH texts AS (
 )
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+COLLOCATIONS = r"""
+WITH texts AS (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+    SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+    FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts)
+), totals AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+), runs AS (
+    SELECT lang, size, w[i:i + size - 1] AS words FROM (
+        SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM pieces, range(1, 6) AS s(size) WHERE len(w) >= size)
+), counts AS (
+    SELECT lang, size, words, array_to_string(words, ' ') AS phrase, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+    SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM counts WHERE size > 1) AS c
+    JOIN counts AS l ON l.lang = c.lang AND l.words = c.words[1:k] JOIN counts AS r ON r.lang = c.lang AND r.words = c.words[k + 1:]
+    JOIN totals AS t ON t.lang = c.lang
+), scored AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+    SELECT DISTINCT c.lang, c.phrase FROM counts AS c JOIN counts AS o
+    ON o.lang = c.lang AND o.size > c.size AND c.size > 1 AND o.a >= c.a AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ')
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM scored ANTI JOIN inside USING (lang, phrase)
+) WHERE rank <= 2000
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from allometra.llm import oracles, toxicity
+from allometra.llm.collocations import collocations
 from allometra.llm.common import table
 from allometra.llm.decontaminate import find_leaks
 from allometra.llm.divergence import audit
@@ -62,6 +63,10 @@ def op11_source_divergence(spark, sf_dir):
     return audit(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +81,12 @@ QUERIES = {
         op9_quality_rules,
         op10_toxicity,
         op11_source_divergence,
+        op13_phrase_collocations,
     )
 }
-ORACLES = {"op7_source_mix": oracles.SOURCE_MIX, "op9_quality_rules": oracles.QUALITY_RULES, "op11_source_divergence": oracles.SOURCE_DIVERGENCE}
+ORACLES = {
+    "op7_source_mix": oracles.SOURCE_MIX,
+    "op9_quality_rules": oracles.QUALITY_RULES,
+    "op11_source_divergence": oracles.SOURCE_DIVERGENCE,
+    "op13_phrase_collocations": oracles.COLLOCATIONS,
+}
