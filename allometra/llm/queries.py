@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from allometra.llm import oracles, toxicity
+from allometra.llm import oracles, quality_model, toxicity
 from allometra.llm.collocations import collocations
 from allometra.llm.common import table
 from allometra.llm.decontaminate import find_leaks
@@ -63,6 +63,11 @@ def op11_source_divergence(spark, sf_dir):
     return audit(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_classifier(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return quality_model.score_documents(documents, quality_model.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op13_phrase_collocations(spark, sf_dir):
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES = {
         op9_quality_rules,
         op10_toxicity,
         op11_source_divergence,
+        op12_quality_classifier,
         op13_phrase_collocations,
     )
 }
