@@ -8,6 +8,7 @@ decides a result. Then phrases are scored by their worst cut, and those that a l
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from allometra.llm.common import materialise
 from allometra.llm.shingles import mix
-from allometra.llm.sketch import Cells, Survivors, merge, width_for
+from allometra.llm.sketch import Cells, Survivors, merge
 from allometra.llm.tokens import Vocabulary, byte_table, raw_texts, salted, stretches, tally
 
 LEAST = 100
@@ -27,8 +28,11 @@ TOP_PHRASES = 2000
 SCALE = 1000
 #: A longer phrase with this many hundredths of a phrase's occurrences explains it.
 SHARE = 100
-#: Bytes of text for each cell of the sketch: some twenty runs of words fall on one, against a threshold of 100.
-BYTES_PER_CELL = 24
+#: Cells of a row of the sketch, the same for every corpus: it discards what is rarer than about one in so many of all runs
+#: of words, so ``least`` should grow with the corpus. Where it does not, the sketch fills up and the exact count has more rows.
+WIDTH = 1 << 24
+#: Phrases that a task adds up before it hands them on.
+HELD = 1 << 20
 
 #: Characters that end a piece become full stops, tabs become blanks.
 _TABLE = byte_table({b",;:!?\n\x0b\x0c\r": b".", b"\t": b" "})
@@ -101,21 +105,35 @@ def _sketched(rows: DataFrame, width: int, least: int) -> DataFrame:
 
 
 def _counted(rows: DataFrame, survivors: Survivors) -> DataFrame:
-    """lang, phrase, a: occurrences of the surviving runs, and under the phrase '' of all words, added up by parts of a batch."""
+    """lang, phrase, a: occurrences of the surviving runs, and under the phrase '' of all words, added up by task."""
     shared = rows.sparkSession.sparkContext.broadcast(survivors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
         for batch in batches:
             for lang, texts in _by_language(batch):
                 vocabulary, hashes = Vocabulary(_BREAK), _Hashes(lang)
                 for ids, old in _runs(texts, vocabulary):
-                    yield from _part(lang, ids, old, hashes.of(vocabulary)[ids], list(vocabulary), shared.value)
+                    counts = held.setdefault(lang, Counter())
+                    for phrase, n in _part(ids, old, hashes.of(vocabulary)[ids], list(vocabulary), shared.value):
+                        counts[phrase] += n
+                    if sum(map(len, held.values())) > HELD:
+                        yield from _rows(held)
+                        held = {}
+        yield from _rows(held)
 
     return rows.mapInArrow(run, "lang string, phrase string, a long")
 
 
-def _part(lang: str, ids: np.ndarray, old: int, words: np.ndarray, names: list[bytes], survivors: Survivors) -> Iterator[pa.RecordBatch]:
-    phrases, counts = [b""], [np.array([np.count_nonzero(ids[old:])])]
+def _rows(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    for lang, counts in held.items():
+        phrases = [p.decode("utf-8") for p in counts]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(list(counts.values()), pa.int64())], schema=_COUNTS)
+
+
+def _part(ids: np.ndarray, old: int, words: np.ndarray, names: list[bytes], survivors: Survivors) -> Iterator[tuple[bytes, int]]:
+    """The surviving runs that end after the first ``old`` words, and how often they occur."""
+    yield b"", int(np.count_nonzero(ids[old:]))
     number, alive, run_hash = ids.astype(np.int64), ids != 0, words
     for size in range(1, LONGEST + 1):
         if size > 1:
@@ -130,19 +148,14 @@ def _part(lang: str, ids: np.ndarray, old: int, words: np.ndarray, names: list[b
         number = np.zeros(len(alive), dtype=np.int64)
         number[at] = inverse
         fresh, n_fresh = tally(inverse[at + size > old])
-        starts = at[first[fresh]].tolist()
-        phrases += [b" ".join([names[w] for w in ids[k : k + size].tolist()]) for k in starts]
-        counts.append(n_fresh)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(phrases), pa.string()), pa.array([p.decode("utf-8") for p in phrases], pa.string()), pa.array(np.concatenate(counts).astype(np.int64))], schema=_COUNTS
-    )
+        for k, n in zip(at[first[fresh]].tolist(), n_fresh.tolist()):
+            yield b" ".join([names[w] for w in ids[k : k + size].tolist()]), n
 
 
 def phrase_counts(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, phrase, a of every run of one to ``LONGEST`` words with ``least`` occurrences or more; phrase '' has the number of all words."""
     rows = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
-    width = width_for(rows, BYTES_PER_CELL)
-    survivors = merge(_sketched(rows, width, least), width, least)
+    survivors = merge(_sketched(rows, WIDTH, least), WIDTH, least)
     return _counted(rows, survivors).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("phrase") == ""))
 
 

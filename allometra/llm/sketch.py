@@ -1,11 +1,11 @@
 """Count-min sketches of a corpus: filled in tasks, merged block by block, read as bitmaps of the cells that reach a threshold.
 
 A cell never holds less than the count of any key that falls on it, so a key with one cell under the threshold can be
-discarded before anything is shuffled. Cells stop at the threshold, as more does not matter, and so fit a byte.
+discarded before anything is shuffled. Cells stop at the threshold, as more does not matter, and so fit a byte up to 255.
 
-Size: ``DEPTH`` rows of as many cells as the corpus calls for, at most ``MAX_WIDTH``. A task holds ``DEPTH * width`` bytes
-(128 MB at most); the driver and each executor hold a bit a cell (16 MB at most). Beyond that many cells the sketch fills
-up and discards less: results stay the same, and the exact count that follows has more rows.
+Size: ``DEPTH`` rows of at most ``MAX_WIDTH`` cells. A task holds a byte a cell (128 MB at most, more for thresholds above
+255); the driver and each executor hold a bit a cell (16 MB at most). Beyond that many cells the sketch fills up and
+discards less: results stay the same, and the exact count that follows has more rows.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class Cells:
 
     def __init__(self, width: int, least: int):
         self.width, self.least = width, least
-        self.cells = np.zeros((DEPTH, width), dtype=np.uint8)
+        self.cells = np.zeros((DEPTH, width), dtype=np.min_scalar_type(least))
 
     def add(self, hashes: np.ndarray) -> None:
         """Count each hash once more."""
@@ -85,16 +85,16 @@ def merge(partial: DataFrame, width: int, least: int) -> Survivors:
 
     ``partial`` has the rows of ``Cells.batches``. A task holds the sums of its blocks, never the blocks of all tasks.
     """
-    total = DEPTH * width
+    total, kind = DEPTH * width, np.min_scalar_type(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, sums = pa.Codec("zstd"), {}
         for batch in batches:
             for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 size = min(BLOCK, total - block * BLOCK)
-                part = np.frombuffer(codec.decompress(cells, size), dtype=np.uint8)
+                part = np.frombuffer(codec.decompress(cells, size * kind.itemsize), dtype=kind)
                 held = sums.get(block)
-                sums[block] = part if held is None else np.minimum(held.astype(np.uint16) + part, least).astype(np.uint8)
+                sums[block] = part if held is None else np.minimum(held.astype(np.int64) + part, least).astype(kind)
         for block, cells in sums.items():
             bits = np.packbits(cells >= least).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([codec.compress(bits, asbytes=True)], pa.binary())], schema=_SCHEMA)
