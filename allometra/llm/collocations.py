@@ -8,7 +8,7 @@ decides a result. Then phrases are scored by their worst cut, and those that a l
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +31,15 @@ SHARE = 100
 #: Cells of a row of the sketch, the same for every corpus: it discards what is rarer than about one in so many of all runs
 #: of words, so ``least`` should grow with the corpus. Where it does not, the sketch fills up and the exact count has more rows.
 WIDTH = 1 << 24
-#: Phrases that a task adds up before it hands them on.
+#: Phrases that a task adds up before it hands them on, and the blocks, by hash, in which it does.
 HELD = 1 << 20
+BLOCKS = 1024
 
 #: Characters that end a piece become full stops, tabs become blanks.
 _TABLE = byte_table({b",;:!?\n\x0b\x0c\r": b".", b"\t": b" "})
 _BREAK = b"."
 _COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64())])
+_PACKED = pa.schema([("lang", pa.string()), ("block", pa.int32()), ("phrases", pa.binary()), ("a", pa.list_(pa.int64()))])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,7 +107,10 @@ def _sketched(rows: DataFrame, width: int, least: int) -> DataFrame:
 
 
 def _counted(rows: DataFrame, survivors: Survivors) -> DataFrame:
-    """lang, phrase, a: occurrences of the surviving runs, and under the phrase '' of all words, added up by task."""
+    """lang, block, phrases, a: occurrences of the surviving runs, and under the phrase '' of all words, added up by task.
+
+    One row has the phrases of a block, between line ends, which no phrase contains.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(survivors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +123,38 @@ def _counted(rows: DataFrame, survivors: Survivors) -> DataFrame:
                     for phrase, n in _part(ids, old, hashes.of(vocabulary)[ids], list(vocabulary), shared.value):
                         counts[phrase] += n
                     if sum(map(len, held.values())) > HELD:
-                        yield from _rows(held)
+                        yield from _packed(held)
                         held = {}
+        yield from _packed(held)
+
+    return rows.mapInArrow(run, "lang string, block int, phrases binary, a array<long>")
+
+
+def _packed(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    for lang, counts in held.items():
+        blocks = defaultdict(list)
+        for phrase in counts:
+            blocks[xxhash.xxh3_64_intdigest(phrase) % BLOCKS].append(phrase)
+        columns = [[lang] * len(blocks), list(blocks), [b"\n".join(p) for p in blocks.values()], [[counts[x] for x in p] for p in blocks.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED)], schema=_PACKED)
+
+
+def _added(packed: DataFrame) -> DataFrame:
+    """lang, phrase, a: the blocks of all tasks added up, a phrase in more than one row only beyond ``HELD`` phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, phrases, a in zip(*(batch.column(n).to_pylist() for n in ("lang", "phrases", "a"))):
+                counts = held.setdefault(lang, Counter())
+                for phrase, n in zip(phrases.split(b"\n"), a):
+                    counts[phrase] += n
+            if sum(map(len, held.values())) > HELD:
+                yield from _rows(held)
+                held = {}
         yield from _rows(held)
 
-    return rows.mapInArrow(run, "lang string, phrase string, a long")
+    return packed.repartition("block").mapInArrow(run, "lang string, phrase string, a long")
 
 
 def _rows(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +188,7 @@ def phrase_counts(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, phrase, a of every run of one to ``LONGEST`` words with ``least`` occurrences or more; phrase '' has the number of all words."""
     rows = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
     survivors = merge(_sketched(rows, WIDTH, least), WIDTH, least)
-    return _counted(rows, survivors).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("phrase") == ""))
+    return _added(_counted(rows, survivors)).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("phrase") == ""))
 
 
 def _whole(value: Column) -> Column:
