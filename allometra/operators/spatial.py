@@ -1,8 +1,10 @@
 """Spatial joins: nearest point, nearest triangle and first ray hit.
 
-Points and triangles lie in blocks of bounded size, each in one cell of a uniform grid over its mesh. First the boxes of the
-blocks meet, without what is in them, and pairs that are too far apart, or that a ray misses, are left out. A task then tests one block against
-another with numpy, and the best of the blocks is an aggregate by point.
+Over each mesh lies a grid of cubes, halved again and again down to a size that suits its number of triangles. A triangle
+belongs to all cells that its box overlaps on the finest level where these are few, and on the coarser ones. A ray walks
+the grid from face to face and meets the triangles of the cells that it crosses. A point first learns how far its nearest
+triangle can be at most, from one corner in the cell around it on each level, then meets the triangles of the cells that
+lie within that distance. Everything joins on mesh and cell.
 """
 
 from __future__ import annotations
@@ -11,56 +13,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from allometra.functions import geometry as g
 from allometra.functions.geometry import ray_box
 from allometra.operators.clouds import face_areas
 
 XYZ = ("x", "y", "z")
 CORNERS = [f"{k}{c}" for k in "abc" for c in XYZ]
-BLOCK = 512
-PER_CELL = 64
-MAX_CELLS = 16
+#: Triangles for which a cell of the finest level is meant, where they lie on a surface.
+PER_CELL = 8
+#: The finest level has at most 2 ** MAX_LEVEL cells an axis.
+MAX_LEVEL = 10
+#: Cells an axis that a triangle may span on its own level; it goes to coarser cells otherwise.
+SPAN = 4
+#: Cells among which a point looks for its nearest triangle.
+AROUND = 64
 
 
-def closest_on_triangles(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Squared distance and barycentric (u, v) of the point of each triangle nearest to each point, as (points, triangles).
+def closest(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Squared distance and barycentric (u, v) of the point of each triangle nearest to its point; arrays (..., 3) that fit together.
 
     The nearest point is in the plane where its projection falls inside, else on one of the three edges.
     """
-    ab, ac = b - a, c - a
-    ap = p[:, None, :] - a[None]
-    d00, d01, d11 = (ab**2).sum(1), (ab * ac).sum(1), (ac**2).sum(1)
-    d20, d21 = (ap * ab).sum(2), (ap * ac).sum(2)
+    ab, ac, bc, ap = b - a, c - a, c - b, p - a
+    d00, d01, d11 = (ab * ab).sum(-1), (ab * ac).sum(-1), (ac * ac).sum(-1)
+    d20, d21 = (ap * ab).sum(-1), (ap * ac).sum(-1)
     area = d00 * d11 - d01**2
     safe = np.where(area > 0, area, 1)
     u, v = (d11 * d20 - d01 * d21) / safe, (d00 * d21 - d01 * d20) / safe
     inside = (area > 0) & (u >= 0) & (v >= 0) & (u + v <= 1)
 
-    def on_edge(start, along, offset):
-        length = (along**2).sum(1)
-        t = ((p[:, None, :] - start[None]) * along).sum(2) / np.where(length > 0, length, 1)
-        return np.clip(t, 0, 1), offset
-
-    choices = [(np.where(inside, u, 0), np.where(inside, v, 0), ~inside)]
-    t, _ = on_edge(a, ab, 0)
-    choices.append((t, np.zeros_like(t), inside))
-    t, _ = on_edge(a, ac, 0)
-    choices.append((np.zeros_like(t), t, inside))
-    t, _ = on_edge(b, c - b, 0)
-    choices.append((1 - t, t, inside))
-    best_d = best_u = best_v = None
-    for cu, cv, off in choices:
-        q = a[None] + cu[..., None] * ab[None] + cv[..., None] * ac[None]
-        d = ((p[:, None, :] - q) ** 2).sum(2)
-        d = np.where(off, np.inf, d)
-        if best_d is None:
-            best_d, best_u, best_v = d, cu, cv
+    def along(start, edge):
+        length = (edge * edge).sum(-1)
+        return np.clip(((p - start) * edge).sum(-1) / np.where(length > 0, length, 1), 0, 1)
+
+    on_ab, on_ac, on_bc = along(a, ab), along(a, ac), along(b, bc)
+    zero, best = np.zeros_like(on_ab), None
+    for off, cu, cv in ((~inside, u, v), (inside, on_ab, zero), (inside, zero, on_ac), (inside, 1 - on_bc, on_bc)):
+        q = a + cu[..., None] * ab + cv[..., None] * ac
+        d = np.where(off, np.inf, ((p - q) ** 2).sum(-1))
+        if best is None:
+            best = d, cu, cv
         else:
-            better = d < best_d
-            best_d, best_u, best_v = np.where(better, d, best_d), np.where(better, cu, best_u), np.where(better, cv, best_v)
-    return best_d, best_u, best_v
+            best = tuple(np.where(d < best[0], new, old) for new, old in zip((d, cu, cv), best))
+    return best
+
+
+def closest_on_triangles(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``closest`` of every point and every triangle, as (points, triangles)."""
+    return closest(p[:, None, :], a[None], b[None], c[None])
 
 
 def ray_hits(o: np.ndarray, d: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,56 +85,61 @@ def _total(values: list) -> Column:
     return sum(values, F.lit(0.0))
 
 
-def _grid(triangles: DataFrame) -> DataFrame:
-    """mesh_id, box of the triangles' centres and the number of cells an axis: about ``PER_CELL`` triangles a cell, ``MAX_CELLS`` an axis at most."""
-    centre = {c: (F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3 for c in XYZ}
-    facts = [f(centre[c]).alias(f"_{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
-    cells = F.greatest(F.lit(1), F.least(F.lit(MAX_CELLS), F.floor(F.cbrt(F.count(F.lit(1)) / PER_CELL)))).cast("int")
-    return triangles.groupBy("mesh_id").agg(*facts, cells.alias("_cells"))
+def _grid(soup: DataFrame) -> DataFrame:
+    """mesh_id, least corner _lox to _loz, side of the finest cells, their levels, and the last cell an axis that the mesh reaches."""
+    low, high = ({c: f(*[F.col(f"{k}{c}") for k in "abc"]) for c in XYZ} for f in (F.least, F.greatest))
+    facts = [f(of[c]).alias(f"_{n}{c}") for c in XYZ for n, f, of in (("lo", F.min, low), ("hi", F.max, high))]
+    grid = soup.groupBy("mesh_id").agg(*facts, F.count(F.lit(1)).alias("_n"))
+    extent = F.greatest(*[F.col(f"_hi{c}") - F.col(f"_lo{c}") for c in XYZ])
+    # Wider than the mesh by more than rounding moves anything.
+    pad = F.greatest(extent * 1e-9, F.greatest(*[F.abs(F.col(f"_{n}{c}")) for n in ("lo", "hi") for c in XYZ]) * 1e-12, F.lit(1e-12))
+    levels = F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), F.ceil(F.log2(F.sqrt(F.col("_n") / PER_CELL))))).cast("int")
+    grid = grid.withColumns({"_pad": pad, "_levels": levels})
+    grid = grid.withColumns({f"_lo{c}": F.col(f"_lo{c}") - F.col("_pad") for c in XYZ})
+    grid = grid.withColumn("_side", (extent + 2 * F.col("_pad")) / F.pow(F.lit(2.0), F.col("_levels")))
+    top = {f"_top{c}": F.floor((F.col(f"_hi{c}") + F.col("_pad") - F.col(f"_lo{c}")) / F.col("_side")).cast("int") for c in XYZ}
+    last = F.pow(F.lit(2.0), F.col("_levels")).cast("int") - 1
+    return grid.withColumns({n: F.least(v, last) for n, v in top.items()}).drop(*[f"_hi{c}" for c in XYZ], "_n")
 
 
-def _blocks(df: DataFrame, grid: DataFrame, ident: str, fields: list[str], centre: dict[str, Column], low: dict[str, Column], high: dict[str, Column], name: str) -> DataFrame:
-    """Rows in blocks: mesh_id, block, ``name`` (array of at most about ``BLOCK`` rows), n, and the box l_x to h_z of what is in it.
+def _place(value: Column, c: str) -> Column:
+    """Number of the finest cell in which a coordinate lies along axis ``c``; outside of the mesh the last one on that side."""
+    return F.greatest(F.lit(0), F.least(F.col(f"_top{c}"), F.floor((value - F.col(f"_lo{c}")) / F.col("_side")))).cast("int")
 
-    A block lies in one cell of the grid over its mesh; what lies outside of the grid counts to the next cell. A cell
-    with many rows makes several blocks.
-    """
-    at = df.join(grid, "mesh_id")
-    cells = F.col("_cells")
-    place = {c: F.coalesce(F.floor(F.try_divide((centre[c] - F.col(f"_lo{c}")) * cells, F.col(f"_hi{c}") - F.col(f"_lo{c}"))), F.lit(0)) for c in XYZ}
-    code = F.lit(0).cast("long")
-    for c in XYZ:
-        code = code * MAX_CELLS + F.greatest(F.lit(0), F.least(cells - 1, place[c]))
-    at = at.select("mesh_id", ident, *fields, code.alias("_cell"), *[low[c].alias(f"_l{c}") for c in XYZ], *[high[c].alias(f"_h{c}") for c in XYZ])
-    sizes = at.groupBy("mesh_id", "_cell").agg(F.expr(f"(count(1) + {BLOCK - 1}) div {BLOCK}").alias("_parts"))
-    at = at.join(sizes, ["mesh_id", "_cell"])
-    block = F.struct("_cell", F.pmod(F.xxhash64(ident), F.col("_parts")).alias("part")).alias("block")
-    boxes = [F.min(f"_l{c}").alias(f"l{c}") for c in XYZ] + [F.max(f"_h{c}").alias(f"h{c}") for c in XYZ]
-    return at.groupBy("mesh_id", block).agg(F.sort_array(F.collect_list(F.struct(ident, *fields))).alias(name), F.count(F.lit(1)).alias("n"), *boxes)
 
+def _code(k: str, x: str, y: str, z: str) -> str:
+    """SQL for one long of a cell: ``k`` levels above the finest, and its numbers there."""
+    bits = 1 << (MAX_LEVEL + 1)
+    return f"(((cast({k} as bigint) * {bits} + {x}) * {bits} + {y}) * {bits} + {z})"
 
-def _near_pairs(left: DataFrame, right: DataFrame, max_distance: float, least_rows: int = 1) -> DataFrame:
-    """mesh_id, block of left and block of right for the pairs that can hold a nearest match.
 
-    The boxes alone meet here. Some row of a right block is never farther than the corners of the boxes allow; what the
-    nearest such block promises rules out all blocks that begin farther off. Blocks of fewer than ``least_rows`` promise nothing.
-    """
-    box = lambda df, p: df.select("mesh_id", F.col("block").alias(f"{p}_block"), *[F.col(f"{e}{c}").alias(f"{p}{e}{c}") for e in "lh" for c in XYZ], F.col("n").alias(f"{p}n"))
-    both = box(left, "p").join(box(right, "q"), "mesh_id")
-    gap = [F.greatest(F.lit(0.0), F.col(f"pl{c}") - F.col(f"qh{c}"), F.col(f"ql{c}") - F.col(f"ph{c}")) for c in XYZ]
-    reach = [F.greatest(F.abs(F.col(f"ph{c}") - F.col(f"ql{c}")), F.abs(F.col(f"qh{c}") - F.col(f"pl{c}"))) for c in XYZ]
-    promise = F.when(F.col("qn") >= least_rows, _total([x * x for x in reach])).otherwise(float("inf"))
-    both = both.select("mesh_id", "p_block", "q_block", _total([x * x for x in gap]).alias("_gap"), promise.alias("_reach"))
-    best = F.min("_reach").over(Window.partitionBy("mesh_id", "p_block"))
-    # A little more than the bound, as the tasks round differently.
-    near = both.withColumn("_best", F.least(best, F.lit(max_distance * max_distance)) * (1 + 1e-9))
-    return near.where("_gap <= _best").select("mesh_id", "p_block", "q_block")
+def _least_step(fits: str) -> Column:
+    """How many levels above the finest a condition on the step ``k`` holds first; the coarsest level where it never does."""
+    return F.expr(f"coalesce(get(filter(sequence(0, _levels), k -> {fits}), 0), _levels)")
 
 
-def _meet(pairs: DataFrame, left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
-    """mesh_id and the arrays of both blocks of each pair."""
-    out = pairs.join(left.select("mesh_id", F.col("block").alias("p_block"), left_name), ["mesh_id", "p_block"])
-    return out.join(right.select("mesh_id", F.col("block").alias("q_block"), right_name), ["mesh_id", "q_block"]).select("mesh_id", left_name, right_name)
+def _filed(soup: DataFrame, grid: DataFrame, all_levels: bool) -> DataFrame:
+    """Triangles by mesh_id and cell.
+
+    Each lies in the cells that its box overlaps on its own level, the finest where these are few, under negative codes.
+    With ``all_levels`` it also lies in those on its own and every coarser level, under plain codes.
+    """
+    at = soup.join(grid, "mesh_id")
+    ends = {}
+    for c in XYZ:
+        corners = [F.col(f"{k}{c}") for k in "abc"]
+        ends[f"_l{c}"], ends[f"_h{c}"] = _place(F.least(*corners) - F.col("_pad"), c), _place(F.greatest(*corners) + F.col("_pad"), c)
+    at = at.withColumns(ends)
+    few = " AND ".join(f"shiftright(_h{c}, k) - shiftright(_l{c}, k) < {SPAN}" for c in XYZ)
+    at = at.withColumn("_own", _least_step(few))
+    at = at.withColumn("_k", F.explode(F.sequence(F.col("_own"), F.col("_levels"))) if all_levels else F.col("_own"))
+    for c in XYZ:
+        at = at.withColumn(f"_i{c}", F.explode(F.expr(f"sequence(shiftright(_l{c}, _k), shiftright(_h{c}, _k))")))
+    code = F.expr(_code("_k", "_ix", "_iy", "_iz"))
+    if not all_levels:
+        return at.select("mesh_id", (-1 - code).alias("cell"), "face_id", *CORNERS)
+    codes = F.when(F.col("_k") == F.col("_own"), F.array(code, -1 - code)).otherwise(F.array(code))
+    return at.select("mesh_id", F.explode(codes).alias("cell"), "face_id", *CORNERS)
 
 
 def triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -147,90 +155,138 @@ def triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return out.select("mesh_id", F.col("face_id").cast("long").alias("face_id"), *CORNERS)
 
 
-def _triangle_blocks(soup: DataFrame, grid: DataFrame) -> DataFrame:
-    side = lambda f: {c: f(*[F.col(f"{k}{c}") for k in "abc"]) for c in XYZ}
-    middle = lambda *v: (v[0] + v[1] + v[2]) / 3
-    return _blocks(soup, grid, "face_id", CORNERS, side(middle), side(F.least), side(F.greatest), "faces")
-
-
-def _point_blocks(points: DataFrame, grid: DataFrame, ident: str, name: str) -> DataFrame:
-    own = {c: F.col(c) for c in XYZ}
-    return _blocks(points, grid, ident, list(XYZ), own, own, own, name)
-
-
-def _columns(cell: pa.Scalar, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    rows = cell.values
-    return rows.field(0).to_numpy(), np.stack([rows.field(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
-
+def _bounds(points: DataFrame, soup: DataFrame, grid: DataFrame, max_distance: float, itself: bool) -> DataFrame:
+    """Points with _reach, a distance within which a triangle of their mesh lies for sure, and their mesh's grid.
 
-def nearest_on(points: DataFrame, soup: DataFrame, max_distance: float = float("inf")) -> DataFrame:
-    """``nearest_triangle`` over triangles (mesh_id, face_id, ax to cz) as ``triangles`` gives them."""
+    On each level the cell around a point promises one of the corners in it. Without ``itself`` a face of the point's own number promises nothing.
+    """
+    step = F.explode(F.expr("sequence(0, _levels)")).alias("_k")
+    cell = F.expr(_code("_k", *[f"shiftright(_i{c}, _k)" for c in XYZ])).alias("cell")
+    marks = soup.join(grid, "mesh_id").select("mesh_id", "face_id", *[f"a{c}" for c in XYZ], *[_place(F.col(f"a{c}"), c).alias(f"_i{c}") for c in XYZ], step)
+    mark = F.struct("face_id", *[f"a{c}" for c in XYZ])
+    marks = marks.groupBy("mesh_id", cell).agg(F.min(mark).alias("_one"), *[F.max(mark).alias("_two")] * (not itself))
+    own = points.join(grid, "mesh_id").select("mesh_id", "point_id", *XYZ, *[_place(F.col(c), c).alias(f"_i{c}") for c in XYZ], step)
+    met = own.select("mesh_id", "point_id", *XYZ, cell).join(marks, ["mesh_id", "cell"])
+
+    def gap(name: str) -> Column:
+        d = _total([(F.col(c) - F.col(f"{name}.a{c}")) * (F.col(c) - F.col(f"{name}.a{c}")) for c in XYZ])
+        return d if itself else F.when(F.col(f"{name}.face_id") != F.col("point_id"), d)
+
+    least = gap("_one") if itself else F.least(gap("_one"), gap("_two"))
+    met = met.groupBy("mesh_id", "point_id", *XYZ).agg(F.sqrt(F.min(least)).alias("_reach")).where("_reach IS NOT NULL")
+    # A little more than the bound, as tasks round differently.
+    return met.withColumn("_reach", F.least(F.col("_reach"), F.lit(float(max_distance))) * (1 + 1e-9)).join(grid, "mesh_id")
+
+
+def nearest_on(points: DataFrame, soup: DataFrame, max_distance: float = float("inf"), itself: bool = True) -> DataFrame:
+    """``nearest_triangle`` over triangles (mesh_id, face_id, ax to cz) as ``triangles`` gives them; without ``itself`` faces of a point's own number are left out."""
     grid = _grid(soup)
-    left, right = _point_blocks(points.select("mesh_id", "point_id", *XYZ), grid, "point_id", "points"), _triangle_blocks(soup, grid)
-    both = _meet(_near_pairs(left, right, max_distance), left, right, "points", "faces")
+    points = points.select(F.col("mesh_id").cast("long").alias("mesh_id"), F.col("point_id").cast("long").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in XYZ])
+    points = points.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in XYZ))
+    at = _bounds(points, soup, grid, max_distance, itself)
+    at = at.withColumns({f"_l{c}": _place(F.col(c) - F.col("_reach") - F.col("_pad"), c) for c in XYZ} | {f"_h{c}": _place(F.col(c) + F.col("_reach") + F.col("_pad"), c) for c in XYZ})
+    many = " * ".join(f"(shiftright(_h{c}, k) - shiftright(_l{c}, k) + 1)" for c in XYZ)
+    at = at.withColumn("_own", _least_step(f"{many} <= {AROUND}")).withColumn("_k", F.explode(F.sequence(F.col("_own"), F.col("_levels"))))
+    for c in XYZ:
+        at = at.withColumn(f"_i{c}", F.explode(F.expr(f"sequence(shiftright(_l{c}, _k), shiftright(_h{c}, _k))")))
+    wide = F.col("_side") * F.pow(F.lit(2.0), F.col("_k"))
+    gaps = []
+    for c in XYZ:
+        low = F.col(f"_lo{c}") + F.col(f"_i{c}") * wide
+        gaps.append(F.greatest(F.lit(0.0), low - F.col("_pad") - F.col(c), F.col(c) - low - wide - F.col("_pad")))
+    at = at.where(_total([x * x for x in gaps]) <= F.col("_reach") * F.col("_reach"))
+    # All triangles on the point's level, on coarser levels those that are too large for finer ones.
+    code = F.expr(_code("_k", "_ix", "_iy", "_iz"))
+    code = F.when(F.col("_k") == F.col("_own"), code).otherwise(-1 - code).alias("cell")
+    both = at.select("mesh_id", code, "point_id", *XYZ, "_reach").join(_filed(soup, grid, True), ["mesh_id", "cell"])
+    apart = [F.greatest(F.lit(0.0), F.least(*[F.col(f"{k}{c}") for k in "abc"]) - F.col(c), F.col(c) - F.greatest(*[F.col(f"{k}{c}") for k in "abc"])) for c in XYZ]
+    both = both.where(_total([x * x for x in apart]) <= F.col("_reach") * F.col("_reach"))
+    if not itself:
+        both = both.where("face_id <> point_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids, p = _columns(batch.column("points")[k], list(XYZ))
-                faces_, t = _columns(batch.column("faces")[k], CORNERS)
-                d, u, v = closest_on_triangles(p, t[:, :3], t[:, 3:6], t[:, 6:])
-                j = d.argmin(axis=1)
-                i = np.arange(len(p))
-                near = np.sqrt(d[i, j]) <= max_distance
-                a, b, c = t[j, :3], t[j, 3:6], t[j, 6:]
-                q = a + u[i, j][:, None] * (b - a) + v[i, j][:, None] * (c - a)
-                arrays = [np.full(len(p), batch.column("mesh_id")[k].as_py()), ids, faces_[j], np.sqrt(d[i, j]), u[i, j], v[i, j], *q.T]
-                yield pa.RecordBatch.from_arrays([pa.array(x[near]) for x in arrays], ["mesh_id", "point_id", "face_id", "distance", "u", "v", "px", "py", "pz"])
-
+            column = lambda names: np.stack([batch.column(n).to_numpy() for n in names], axis=-1)
+            mesh, ids, faces_ = (batch.column(n).to_numpy() for n in ("mesh_id", "point_id", "face_id"))
+            p, a, b, c = column(XYZ), column(CORNERS[:3]), column(CORNERS[3:6]), column(CORNERS[6:])
+            d, u, v = closest(p, a, b, c)
+            # The best of each point in this batch.
+            order = np.lexsort((faces_, d, ids, mesh))
+            first = np.append(True, (ids[order][1:] != ids[order][:-1]) | (mesh[order][1:] != mesh[order][:-1]))[: len(order)]
+            j = order[first]
+            q = a[j] + u[j, None] * (b[j] - a[j]) + v[j, None] * (c[j] - a[j])
+            arrays = [mesh[j], ids[j], faces_[j], np.sqrt(d[j]), u[j], v[j], *q.T]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["mesh_id", "point_id", "face_id", "distance", "u", "v", "px", "py", "pz"])
+
+    both = both.select("mesh_id", "point_id", "face_id", *XYZ, *CORNERS)
     found = both.mapInArrow(run, "mesh_id long, point_id long, face_id long, distance double, u double, v double, px double, py double, pz double")
     best = F.min(F.struct("distance", "face_id", "u", "v", "px", "py", "pz")).alias("best")
-    return found.groupBy("mesh_id", "point_id").agg(best).select("mesh_id", "point_id", "best.face_id", "best.distance", "best.u", "best.v", "best.px", "best.py", "best.pz")
+    found = found.where(F.col("distance") <= F.lit(float(max_distance))).groupBy("mesh_id", "point_id").agg(best)
+    return found.select("mesh_id", "point_id", "best.face_id", "best.distance", "best.u", "best.v", "best.px", "best.py", "best.pz")
 
 
 def nearest_triangle(points: DataFrame, vertices: DataFrame, faces: DataFrame, max_distance: float = float("inf")) -> DataFrame:
     """For each point (mesh_id, point_id, x, y, z) the nearest point of its mesh.
 
-    Returns mesh_id, point_id, face_id, distance, u, v, px, py, pz; no row where nothing is within ``max_distance``. Of
-    equally near faces the least number counts.
+    Returns mesh_id, point_id, face_id, distance, u, v, px, py, pz; no row where nothing is within ``max_distance`` or a
+    coordinate is missing. Of equally near faces the least number counts.
     """
     return nearest_on(points, triangles(vertices, faces), max_distance)
 
 
+def _walk(rays: DataFrame, grid: DataFrame, both_ways: bool) -> DataFrame:
+    """Rays by mesh_id and cell: all cells of all levels that they cross, ahead or both ways.
+
+    A ray is cut where it passes from cell to cell of the finest level; the middle of each part names the cell.
+    """
+    at = rays.join(grid, "mesh_id")
+    enter, leave = [F.lit(float("-inf") if both_ways else 0.0)], [F.lit(float("inf"))]
+    for c in XYZ:
+        o, d, low = F.col(c), F.col(f"d{c}"), F.col(f"_lo{c}")
+        high = low + (F.col(f"_top{c}") + 1) * F.col("_side")
+        near, far = F.try_divide(low - o, d), F.try_divide(high - o, d)
+        beside = (o < low) | (o > high)
+        enter.append(F.when(d == 0, F.when(beside, float("inf")).otherwise(float("-inf"))).otherwise(F.least(near, far)))
+        leave.append(F.when(d == 0, F.when(beside, float("-inf")).otherwise(float("inf"))).otherwise(F.greatest(near, far)))
+    at = at.withColumns({"_t0": F.greatest(*enter), "_t1": F.least(*leave)}).where("_t0 <= _t1")
+    at = at.withColumns({f"_{n}{c}": _place(F.col(c) + F.col(t) * F.col(f"d{c}"), c) for c in XYZ for n, t in (("b", "_t0"), ("e", "_t1"))})
+    cuts = []
+    for c in XYZ:
+        cuts.append(f"if(_b{c} = _e{c}, cast(array() as array<double>), transform(sequence(least(_b{c}, _e{c}) + 1, greatest(_b{c}, _e{c})), k -> (_lo{c} + k * _side - {c}) / d{c}))")
+    at = at.withColumn("_cuts", F.expr(f"array_sort(transform(concat(array(_t0, _t1), {', '.join(cuts)}), t -> greatest(_t0, least(_t1, t))))"))
+    middle = "transform(sequence(0, size(_cuts) - 2), j -> (_cuts[j] + _cuts[j + 1]) / 2)"
+    place = ", ".join(f"'{c}', cast(greatest(0, least(_top{c}, floor(({c} + t * d{c} - _lo{c}) / _side))) as int)" for c in XYZ)
+    at = at.withColumn("_cells", F.expr(f"array_distinct(transform({middle}, t -> named_struct({place})))"))
+    code = _code("k", *[f"shiftright(p.{c}, k)" for c in XYZ])
+    levels = f"flatten(transform(sequence(0, _levels), k -> array_distinct(transform(_cells, p -> -1 - {code}))))"
+    return at.select("mesh_id", "point_id", *XYZ, "dx", "dy", "dz", F.explode(F.expr(levels)).alias("cell"))
+
+
 def first_hits(rays: DataFrame, soup: DataFrame, both_ways: bool = False) -> DataFrame:
     """First hit of each ray (mesh_id, point_id, x, y, z, dx, dy, dz) with triangles as ``triangles`` gives them.
 
     Returns mesh_id, point_id, ahead and, with ``both_ways``, back (first hit the other way): structs t, face_id, u, v.
-    A ray goes to the blocks of triangles whose boxes it meets, and to no others.
+    A ray meets the triangles of the cells that it crosses, and no others. Rays without a direction, or with a missing number, hit nothing.
     """
     fields = [*XYZ, "dx", "dy", "dz"]
-    blocks = _triangle_blocks(soup, _grid(soup))
-    boxes = blocks.select("mesh_id", F.col("block").alias("q_block"), *[f"{e}{c}" for e in "lh" for c in XYZ])
-    side = lambda e: [F.col(f"{e}{c}") for c in XYZ]
-    meets = lambda sign: ray_box([F.col(c) for c in XYZ], [sign * F.col(f"d{c}") for c in XYZ], side("l"), side("h")).isNotNull()
     own = rays.select("mesh_id", F.col("point_id").cast("long").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in fields])
-    aimed = own.join(boxes, "mesh_id").where(meets(1) | meets(-1) if both_ways else meets(1))
-    aimed = aimed.groupBy("mesh_id", "q_block", F.expr(f"point_id div {BLOCK}").alias("_part")).agg(F.collect_list(F.struct("point_id", *fields)).alias("rays"))
-    both = aimed.join(blocks.select("mesh_id", F.col("block").alias("q_block"), "faces"), ["mesh_id", "q_block"]).select("mesh_id", "rays", "faces")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids, r = _columns(batch.column("rays")[k], fields)
-                faces_, t = _columns(batch.column("faces")[k], CORNERS)
-                for at in range(0, len(r), BLOCK):
-                    for back in (False, True)[: 1 + both_ways]:
-                        o, d = r[at : at + BLOCK, :3], r[at : at + BLOCK, 3:] * (-1 if back else 1)
-                        hit, u, v = ray_hits(o, d, t[:, :3], t[:, 3:6], t[:, 6:])
-                        j, i = hit.argmin(axis=1), np.arange(len(o))
-                        ok = np.isfinite(hit[i, j])
-                        arrays = [np.full(len(o), batch.column("mesh_id")[k].as_py()), ids[at : at + BLOCK], np.full(len(o), back), hit[i, j], faces_[j], u[i, j], v[i, j]]
-                        yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in arrays], ["mesh_id", "point_id", "back", "t", "face_id", "u", "v"])
-
-    found = both.mapInArrow(run, "mesh_id long, point_id long, back boolean, t double, face_id long, u double, v double")
-    hit = F.struct("t", "face_id", "u", "v")
-    wanted = [F.min(F.when(~F.col("back"), hit)).alias("ahead")] + [F.min(F.when(F.col("back"), hit)).alias("back")] * both_ways
-    return found.groupBy("mesh_id", "point_id").agg(*wanted)
+    own = own.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in fields)).where("dx <> 0 OR dy <> 0 OR dz <> 0")
+    grid = _grid(soup)
+    both = _walk(own, grid, both_ways).join(_filed(soup, grid, False), ["mesh_id", "cell"])
+    both = both.select("mesh_id", "point_id", "face_id", *fields, *CORNERS)
+    a, b, c, d = ([F.col(f"{k}{x}") for x in XYZ] for k in "abcd")
+    o = [F.col(x) for x in XYZ]
+    steps = {f"_u{x}": v for x, v in zip(XYZ, g.minus(b, a))} | {f"_v{x}": v for x, v in zip(XYZ, g.minus(c, a))} | {f"_s{x}": v for x, v in zip(XYZ, g.minus(o, a))}
+    both = both.withColumns(steps)
+    ab, ac, s = ([F.col(f"_{k}{x}") for x in XYZ] for k in "uvs")
+    both = both.withColumns({f"_h{x}": v for x, v in zip(XYZ, g.cross(d, ac))} | {f"_q{x}": v for x, v in zip(XYZ, g.cross(s, ab))})
+    h, q = ([F.col(f"_{k}{x}") for x in XYZ] for k in "hq")
+    both = both.withColumn("_det", g.dot(h, ab)).where(F.abs("_det") > 1e-14)
+    both = both.withColumns({"u": g.dot(s, h) / F.col("_det"), "v": g.dot(d, q) / F.col("_det"), "t": g.dot(ac, q) / F.col("_det")})
+    both = both.where("u >= 0 AND v >= 0 AND u + v <= 1")
+    hit = lambda t: F.struct(t.alias("t"), "face_id", "u", "v")
+    wanted = [F.min(F.when(F.col("t") >= 0, hit(F.col("t")))).alias("ahead")] + [F.min(F.when(F.col("t") <= 0, hit(-F.col("t")))).alias("back")] * both_ways
+    return both.groupBy("mesh_id", "point_id").agg(*wanted).where("ahead IS NOT NULL OR back IS NOT NULL" if both_ways else "ahead IS NOT NULL")
 
 
 def raycast(rays: DataFrame, vertices: DataFrame, faces: DataFrame, invert: bool = False) -> DataFrame:
@@ -264,28 +320,12 @@ def project(points: DataFrame, vertices: DataFrame, faces: DataFrame, max_ratio:
 def nearest_point(points: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """Of the other points with the same ``key`` the nearest to each point: key, point_id, nearest_id, distance.
 
-    A key is one cloud; both sides go through the grid of its points. A point is no neighbour of one with its own number. Of
+    A key is one cloud, its points are triangles without size. A point is no neighbour of one with its own number. Of
     equally near points the least number counts.
     """
-    left, right = (df.select(F.col(key).alias("mesh_id"), F.col("point_id").cast("long").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in XYZ]) for df in (points, others))
-    grid = _grid(right.select("mesh_id", *[F.col(c).alias(f"{k}{c}") for k in "abc" for c in XYZ]))
-    left, right = _point_blocks(left, grid, "point_id", "points"), _point_blocks(right, grid, "point_id", "others")
-    both = _meet(_near_pairs(left, right, float("inf"), 2), left, right, "points", "others")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                (ids, p), (jds, q) = _columns(batch.column("points")[k], list(XYZ)), _columns(batch.column("others")[k], list(XYZ))
-                d = sum((p[:, None, c] - q[None, :, c]) ** 2 for c in range(3))
-                d[ids[:, None] == jds[None]] = np.inf
-                j, i = d.argmin(axis=1), np.arange(len(p))
-                ok = np.isfinite(d[i, j])
-                arrays = [np.full(len(p), batch.column("mesh_id")[k].as_py()), ids, jds[j], np.sqrt(d[i, j])]
-                yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in arrays], ["mesh_id", "point_id", "nearest_id", "distance"])
-
-    found = both.mapInArrow(run, "mesh_id long, point_id long, nearest_id long, distance double")
-    best = F.min(F.struct("distance", "nearest_id")).alias("best")
-    return found.groupBy(F.col("mesh_id").alias(key), "point_id").agg(best).select(key, "point_id", "best.nearest_id", "best.distance")
+    soup = others.select(F.col(key).alias("mesh_id"), F.col("point_id").cast("long").alias("face_id"), *[F.col(c).cast("double").alias(f"{k}{c}") for k in "abc" for c in XYZ])
+    found = nearest_on(points.withColumnRenamed(key, "mesh_id"), soup, itself=False)
+    return found.select(F.col("mesh_id").alias(key), "point_id", F.col("face_id").alias("nearest_id"), "distance")
 
 
 def hit_objects(objects: DataFrame, vertices: DataFrame, faces: DataFrame, origin: tuple[float, float, float], direction: tuple[float, float, float]) -> DataFrame:

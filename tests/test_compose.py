@@ -43,13 +43,40 @@ def test_nearest_triangle_against_all(scattered):
     assert near.count() == sum(r.distance <= 0.5 for r in found.values())
 
 
-def test_far_blocks_are_left_out(scattered, monkeypatch):
-    monkeypatch.setattr(spatial, "PER_CELL", 4)
-    *_, vertices, faces, df, _ = scattered
+def test_rays_and_points_meet_few_triangles(scattered):
+    """Every triangle of a cell, no other: rows of the joins stay far below all pairs."""
+    *_, vertices, faces, df, rays = scattered
     soup = spatial.triangles(vertices, faces)
     grid = spatial._grid(soup)
-    left, right = spatial._point_blocks(df, grid, "point_id", "points"), spatial._triangle_blocks(soup, grid)
-    assert spatial._near_pairs(left, right, 0.05).count() < 0.5 * left.join(right, "mesh_id").count()
+    met = spatial._walk(rays, grid, False).join(spatial._filed(soup, grid, False), ["mesh_id", "cell"]).count()
+    assert met < 0.2 * df.join(soup, "mesh_id").count()
+
+
+@pytest.mark.parametrize("flat", [(1, 1, 0), (1, 0, 0), (1e-6, 1e6, 1), (0, 0, 0)])
+def test_grids_of_flat_and_long_meshes(spark, flat):
+    """Meshes without extent along an axis, far from the origin, with a triangle as large as all, against every triangle."""
+    rng = np.random.default_rng(9)
+    small = (rng.uniform(0, 9, size=(400, 1, 3)) + 0.2 * rng.normal(size=(400, 3, 3))) * flat + 100.0
+    soup = np.concatenate([small, [[[100, 100, 100], [100 + 9 * flat[0], 100, 100], [100, 100 + 9 * flat[1], 100]]]])
+    triangles = spark.createDataFrame([(1, i, *map(float, t.ravel())) for i, t in enumerate(soup)], f"mesh_id long, face_id long, {', '.join(f'{c} double' for c in spatial.CORNERS)}")
+    p = np.concatenate([soup[:60].mean(axis=1), soup[:60, 0] + rng.normal(size=(60, 3)) * np.maximum(flat, 0.5), rng.uniform(-300, 300, size=(40, 3))])
+    points = spark.createDataFrame([(1, i, *map(float, x)) for i, x in enumerate(p)], "mesh_id long, point_id long, x double, y double, z double")
+    d, _, _ = spatial.closest_on_triangles(p, *soup.transpose(1, 0, 2))
+    found = {r.point_id: r.distance for r in spatial.nearest_on(points, triangles).collect()}
+    assert np.allclose([found[i] for i in range(len(p))], np.sqrt(d.min(axis=1)))
+    ways = soup[rng.integers(len(soup), size=len(p))].mean(axis=1) - p
+    rays = points.join(spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(ways)], "point_id long, dx double, dy double, dz double"), "point_id")
+    t, _, _ = spatial.ray_hits(p, ways, *soup.transpose(1, 0, 2))
+    hits = {r.point_id: r.ahead.t for r in spatial.first_hits(rays, triangles).collect()}
+    assert np.allclose([hits.get(i, np.inf) for i in range(len(p))], t.min(axis=1))
+
+
+def test_points_and_rays_without_numbers(spark, scattered):
+    *_, vertices, faces, df, rays = scattered
+    odd = df.limit(1).select("mesh_id", "point_id", F.lit(None).cast("double").alias("x"), F.lit(float("nan")).alias("y"), "z")
+    assert spatial.nearest_triangle(odd, vertices, faces).isEmpty() and spatial.nearest_triangle(df.limit(0), vertices, faces).isEmpty()
+    still = rays.limit(3).withColumns({c: F.lit(0.0) for c in ("dx", "dy", "dz")})
+    assert spatial.raycast(still, vertices, faces).isEmpty() and spatial.raycast(rays, vertices.limit(0), faces).isEmpty()
 
 
 def test_raycast_against_all(scattered):
