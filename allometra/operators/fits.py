@@ -54,11 +54,21 @@ def _points(batch: pa.RecordBatch, name: str = "pos") -> Iterator[np.ndarray]:
 
 
 def fit_to(clouds: DataFrame, target: np.ndarray, allow: np.ndarray | None = None) -> DataFrame:
-    """Each cloud's similarity to the target and its transformed points: cloud_id, offs, cs, rot (row by row), pos."""
+    """Each cloud's similarity to the target and its transformed points: cloud_id, offs, cs, rot (row by row), pos.
+
+    ``allow`` picks the points that count for all clouds, a column ``allow`` (an array of booleans) those of each cloud;
+    null allows no point. With both, what both allow counts. All points are transformed.
+    """
+    masked = "allow" in clouds.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fits = [(x, *opa(target, x, allow)) for x in _points(batch)]
+            points = list(_points(batch))
+            masks = [allow] * len(points)
+            if masked:
+                own = [_mask(cell, len(x)) for cell, x in zip(batch.column("allow"), points)]
+                masks = own if allow is None else [m & allow for m in own]
+            fits = [(x, *opa(target, x, m)) for x, m in zip(points, masks)]
             doubles = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -71,7 +81,16 @@ def fit_to(clouds: DataFrame, target: np.ndarray, allow: np.ndarray | None = Non
                 ["cloud_id", "offs", "cs", "rot", "pos"],
             )
 
-    return clouds.select("cloud_id", "pos").mapInArrow(run, RIGID)
+    return clouds.select("cloud_id", "pos", *["allow"] * masked).mapInArrow(run, RIGID)
+
+
+def _mask(cell: pa.Scalar, n: int) -> np.ndarray:
+    """A cell's booleans, null as false; nothing is allowed where there is no array."""
+    out = np.zeros(n, dtype=bool)
+    if cell.is_valid:
+        given = cell.values.fill_null(False).to_numpy(zero_copy_only=False)
+        out[: len(given)] = given[:n]
+    return out
 
 
 def mean_row(clouds: DataFrame) -> np.ndarray:
@@ -139,7 +158,8 @@ def _blocked(rows: DataFrame) -> tuple[DataFrame, int]:
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("pos")), F.lit(1)).alias("width")).first()
     n_blocks = max(1, -(-facts.n // max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, facts.width))))))
     block = F.pmod(F.xxhash64("cloud_id"), F.lit(n_blocks))
-    return rows.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("cloud_id", "pos"))).alias("rows")), n_blocks
+    fields = [c for c in ("cloud_id", "pos", "allow") if c in rows.columns]
+    return rows.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows")), n_blocks
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
@@ -149,28 +169,39 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     return left.join(packed.select(F.col("block").alias("b"), F.col("rows").alias("_b")), "b").repartition("a", "b")
 
 
-def _block(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+def _block(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """ids, coordinates and, where the rows have them, masks of a block."""
     rows = cell.values
     ids = rows.field("cloud_id").to_numpy()
-    return ids, rows.field("pos").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    x = rows.field("pos").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    if rows.type.get_field_index("allow") < 0:
+        return ids, x, None
+    return ids, x, np.stack([_mask(m, x.shape[1] // 3) for m in rows.field("allow")])
 
 
-def distance_matrix(clouds: DataFrame, align: bool = False) -> DataFrame:
+def distance_matrix(clouds: DataFrame, align: bool = False, turn: bool = True) -> DataFrame:
     """a_id, b_id and distance of all pairs with a_id <= b_id: root mean square over vertices.
 
-    ``align`` fits b to a by a rigid motion first (sizes stay). The result is the matrix, so it has n (n + 1) / 2 rows;
+    ``align`` fits b to a by a rigid motion first (sizes stay), without ``turn`` by a shift alone. The result is the matrix, so it has n (n + 1) / 2 rows;
     clouds travel in blocks, each block once for every other block, and a pair of blocks is a handful of matrix products.
+
+    Where the clouds have masks (a column ``allow``, an array of booleans; null allows nothing), a pair counts the vertices
+    that both allow. A pair that shares none, or fewer than three with ``align``, has a null distance.
     """
-    both = _block_pairs(clouds)
+    masks = "allow" in clouds.columns
+    both = _block_pairs(clouds.select("cloud_id", "pos", *["allow"] * masks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                (ids, x), (jds, y) = _block(batch.column("_a")[k]), _block(batch.column("_b")[k])
-                d = (_rigid_rms if align else _raw_rms)(x, y)
+                (ids, x, mx), (jds, y, my) = _block(batch.column("_a")[k]), _block(batch.column("_b")[k])
+                if masks:
+                    d = _masked_rigid_rms(x, mx, y, my, turn) if align else _masked_raw_rms(x, mx, y, my)
+                else:
+                    d = _rigid_rms(x, y, turn) if align else _raw_rms(x, y)
                 i, j = np.triu_indices(len(ids)) if batch.column("a")[k].as_py() == batch.column("b")[k].as_py() else (c.ravel() for c in np.indices(d.shape))
                 lo, hi = np.minimum(ids[i], jds[j]), np.maximum(ids[i], jds[j])
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(d[i, j])], ["a_id", "b_id", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(d[i, j], mask=np.isnan(d[i, j]))], ["a_id", "b_id", "distance"])
 
     return both.mapInArrow(run, "a_id long, b_id long, distance double")
 
@@ -183,7 +214,7 @@ def _raw_rms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(out / (x.shape[1] // 3))
 
 
-def _rigid_rms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _rigid_rms(x: np.ndarray, y: np.ndarray, turn: bool = True) -> np.ndarray:
     """Least root mean square distances of all rows of x and y over rotations and translations.
 
     All cross-covariances are one product and their singular values one call; the least sum of squares follows from them.
@@ -192,12 +223,48 @@ def _rigid_rms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     p, q = (v.reshape(len(v), m, 3) for v in (x, y))
     p, q = p - p.mean(axis=1, keepdims=True), q - q.mean(axis=1, keepdims=True)
     cross = (p.transpose(0, 2, 1).reshape(-1, m) @ q.transpose(1, 0, 2).reshape(m, -1)).reshape(len(x), 3, len(y), 3).transpose(0, 2, 1, 3)
-    s = np.linalg.svd(cross, compute_uv=False)
-    best = s[..., 0] + s[..., 1] + np.sign(np.linalg.det(cross)) * s[..., 2]
-    squares = (p**2).sum(axis=(1, 2))[:, None] + (q**2).sum(axis=(1, 2))[None] - 2 * best
+    squares = (p**2).sum(axis=(1, 2))[:, None] + (q**2).sum(axis=(1, 2))[None] - 2 * _best(cross, turn)
     return np.sqrt(np.maximum(squares, 0) / m)
 
 
+def _masked_raw_rms(x: np.ndarray, mx: np.ndarray, y: np.ndarray, my: np.ndarray) -> np.ndarray:
+    """Root mean square distances over the vertices that both rows allow, NaN where there are none."""
+    out, n = np.empty((len(x), len(y))), mx.astype(float) @ my.T.astype(float)
+    y3 = y.reshape(len(y), -1, 3)
+    for i, row in enumerate(x.reshape(len(x), -1, 3)):
+        steps = ((y3[:, mx[i]] - row[mx[i]]) ** 2).sum(axis=2)
+        out[i] = np.where(my[:, mx[i]], steps, 0).sum(axis=1)
+    return np.sqrt(np.where(n > 0, out / np.maximum(n, 1), np.nan))
+
+
+def _masked_rigid_rms(x: np.ndarray, mx: np.ndarray, y: np.ndarray, my: np.ndarray, turn: bool = True) -> np.ndarray:
+    """As ``_rigid_rms`` over the vertices that both rows allow, NaN where these are fewer than three.
+
+    Products of masks and masked coordinates give every pair its count, sums and cross-covariance, from which its own
+    centroids are taken away. Each row is moved to the middle of what it allows first, so that little cancels.
+    """
+    v, w = mx.astype(float), my.astype(float)
+    p, q = (c.reshape(len(c), -1, 3) for c in (x, y))
+    middle = lambda c, m: (c * m[..., None]).sum(axis=1, keepdims=True) / np.maximum(m.sum(axis=1), 1)[:, None, None]
+    p, q = (np.where(m[..., None] > 0, c - middle(np.where(m[..., None] > 0, c, 0), m), 0) for c, m in ((p, v), (q, w)))
+    n = v @ w.T
+    safe = np.maximum(n, 1)
+    sum_p = np.stack([p[..., c] @ w.T for c in range(3)], axis=-1)
+    sum_q = np.stack([v @ q[..., c].T for c in range(3)], axis=-1)
+    cross = np.stack([np.stack([p[..., c] @ q[..., d].T for d in range(3)], axis=-1) for c in range(3)], axis=-2)
+    cross -= sum_p[..., :, None] * sum_q[..., None, :] / safe[..., None, None]
+    squares = (p**2).sum(axis=2) @ w.T + v @ (q**2).sum(axis=2).T - ((sum_p**2).sum(axis=-1) + (sum_q**2).sum(axis=-1)) / safe
+    return np.sqrt(np.where(n > 2, np.maximum(squares - 2 * _best(cross, turn), 0) / safe, np.nan))
+
+
+def _best(cross: np.ndarray, turn: bool) -> np.ndarray:
+    """Greatest trace of a cross-covariance over rotations, or its trace as it is."""
+    if not turn:
+        return np.trace(cross, axis1=-2, axis2=-1)
+    s = np.linalg.svd(cross, compute_uv=False)
+    return s[..., 0] + s[..., 1] + np.sign(np.linalg.det(cross)) * s[..., 2]
+
+
 @dataclass(frozen=True)
 class PcaModel:
     mean: np.ndarray

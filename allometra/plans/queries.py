@@ -317,6 +317,41 @@ def procrustes_raw_matrix(spark, sf_dir):
     return fits.distance_matrix(landmark_clouds(spark, sf_dir)).select("a_id", "b_id", r("distance").alias("distance"))
 
 
+def _masked(spark, sf_dir):
+    """The landmarks, with every third of them forbidden in turn, and none allowed in every fiftieth cloud."""
+    i = F.sequence(F.lit(0), F.lit(20))
+    allow = F.when(F.col("cloud_id") % 50 != 0, F.transform(i, lambda k: (k + F.col("cloud_id")) % 3 != 0))
+    return landmark_clouds(spark, sf_dir).select("cloud_id", "pos", allow.alias("allow"))
+
+
+_MASKED_SQL = f"{LANDMARKS_SQL}, am AS (SELECT cloud_id, vertex_id, x, y, z FROM lm WHERE (vertex_id + cloud_id) % 3 <> 0 AND cloud_id % 50 <> 0)"
+
+
+@query(f"""WITH {_MASKED_SQL}, d AS (
+    SELECT a.cloud_id AS a_id, b.cloud_id AS b_id, sqrt(avg((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) AS distance
+    FROM am AS a JOIN am AS b ON a.vertex_id = b.vertex_id AND a.cloud_id <= b.cloud_id GROUP BY 1, 2)
+SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(distance, 5) + 0 AS distance
+FROM embeddings AS a JOIN embeddings AS b ON a.vec_id <= b.vec_id LEFT JOIN d ON a.vec_id = a_id AND b.vec_id = b_id""")
+def masked_raw_matrix(spark, sf_dir):
+    return fits.distance_matrix(_masked(spark, sf_dir)).select("a_id", "b_id", r("distance").alias("distance"))
+
+
+@query(f"""WITH {_MASKED_SQL}, d AS (
+    SELECT a.cloud_id AS a_id, b.cloud_id AS b_id, count(*) AS n, sum((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS squares,
+        sum(a.x - b.x) AS dx, sum(a.y - b.y) AS dy, sum(a.z - b.z) AS dz
+    FROM am AS a JOIN am AS b ON a.vertex_id = b.vertex_id AND a.cloud_id <= b.cloud_id GROUP BY 1, 2)
+SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(sqrt((squares - (dx * dx + dy * dy + dz * dz) / n) / n), 5) + 0 AS shifted, n IS NULL AS apart, CASE WHEN n > 0 THEN true END AS shorter
+FROM embeddings AS a JOIN embeddings AS b ON a.vec_id <= b.vec_id LEFT JOIN d ON a.vec_id = a_id AND b.vec_id = b_id""")
+def masked_aligned_matrix(spark, sf_dir):
+    """Fitted pairs beside the same pairs only shifted (by each pair's own centroids): a fit is never farther, and is lost where nothing is shared."""
+    clouds = _masked(spark, sf_dir)
+    fitted = fits.distance_matrix(clouds, align=True)
+    moved = fits.distance_matrix(clouds, align=True, turn=False).withColumnRenamed("distance", "shifted")
+    both = fitted.join(moved, ["a_id", "b_id"])
+    shorter = F.col("distance") <= F.col("shifted") + 1e-6
+    return both.select("a_id", "b_id", r("shifted").alias("shifted"), F.col("distance").isNull().alias("apart"), shorter.alias("shorter"))
+
+
 @query()
 def procrustes_matrix(spark, sf_dir):
     return fits.distance_matrix(landmark_clouds(spark, sf_dir), align=True)

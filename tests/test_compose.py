@@ -133,6 +133,45 @@ def test_aligned_distances_against_pairs(spark):
         assert r.distance == pytest.approx(np.sqrt(((b @ u @ vt - a) ** 2).sum(axis=1).mean()), abs=1e-7)
 
 
+def test_masked_distances_against_pairs(spark):
+    """Fitted and plain distances over what both clouds allow; forbidden points may lie anywhere, or nowhere."""
+    rng = np.random.default_rng(16)
+    x, allow = rng.normal(size=(11, 14, 3)) + 1e4, rng.random((11, 14)) < 0.6
+    x[~allow] = rng.choice([np.nan, 1e9], size=(~allow).sum())[:, None]
+    allow[3], allow[4, 1:] = False, False
+    rows = [(i, c.ravel().tolist(), None if i == 3 else a.tolist()) for i, (c, a) in enumerate(zip(x, allow))]
+    df = spark.createDataFrame(rows, "cloud_id long, pos array<double>, allow array<boolean>")
+    for align in (False, True):
+        found = fits.distance_matrix(df, align=align).collect()
+        assert len(found) == 66
+        for r in found:
+            both = allow[r.a_id] & allow[r.b_id]
+            if both.sum() < (3 if align else 1):
+                assert r.distance is None
+                continue
+            a, b = x[r.a_id][both], x[r.b_id][both]
+            if align:
+                a, b = a - a.mean(axis=0), b - b.mean(axis=0)
+                u, _, vt = np.linalg.svd(b.T @ a)
+                u[:, -1] *= np.sign(np.linalg.det(u @ vt))
+                b = b @ u @ vt
+            assert r.distance == pytest.approx(np.sqrt(((b - a) ** 2).sum(axis=1).mean()), abs=1e-6)
+
+
+def test_fits_by_own_masks(spark):
+    rng = np.random.default_rng(17)
+    shape = rng.normal(size=(12, 3))
+    target, rows = fits._normalised(shape), []
+    for k in range(4):
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        moved, allow = shape @ (q * np.sign(np.linalg.det(q))) * (k + 1) - k, np.arange(12) % 4 != k
+        moved[~allow] += 5
+        rows.append((k, moved.ravel().tolist(), allow.tolist()))
+    for row in fits.fit_to(spark.createDataFrame(rows, "cloud_id long, pos array<double>, allow array<boolean>"), target).collect():
+        good = np.arange(12) % 4 != row.cloud_id
+        assert np.allclose(np.reshape(row.pos, (-1, 3))[good], target[good], atol=1e-9)
+
+
 def test_permute_and_flip(spark):
     df = spark.createDataFrame([(1, i, float(i), 0.0, 0.0) for i in range(4)], "cloud_id long, vertex_id int, x double, y double, z double")
     assert [(r.vertex_id, r.x) for r in clouds.permute(df, [2, 0, 2]).orderBy("vertex_id").collect()] == [(0, 2.0), (1, 0.0), (2, 2.0)]
