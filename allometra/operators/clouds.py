@@ -73,19 +73,23 @@ def dispersion(vertices: DataFrame, *by: str) -> DataFrame:
 def face_areas(clouds: DataFrame, faces: DataFrame) -> DataFrame:
     """cloud_id, face_id, i0, i1, i2, a0 to a2 (corner structs) and area.
 
-    ``clouds`` are packed, or in long form and are packed first; vertices are numbered from 0 without gaps. Faces go to
-    the clouds in blocks, as a broadcast up to ``MAX_FACES``, and each cloud reads its corners from its own array, so no
-    vertex is shuffled. Larger meshes are joined corner by corner.
+    ``clouds`` are packed, or in long form and are packed first; a face with a corner that a cloud lacks, by number or by
+    coordinates, has no row there. Faces go to the clouds in blocks, as a broadcast up to ``MAX_FACES``, and each cloud reads
+    its corners from its own array, so no vertex is shuffled. Larger meshes are joined corner by corner.
     """
     if faces.count() > MAX_FACES:
         return _face_areas_by_joins(unpack(clouds) if "pos" in clouds.columns else clouds, faces)
-    packed = clouds if "pos" in clouds.columns else pack(clouds)
+    packed = clouds if "pos" in clouds.columns else pack(clouds, gaps=True)
     ids = ("face_id", "i0", "i1", "i2")
     blocks = faces.groupBy(F.expr(f"face_id div {FACE_BLOCK}")).agg(F.collect_list(F.struct(*ids)).alias("_faces")).select("_faces")
     corner = lambda i: F.struct(*[F.get("pos", i * 3 + k).alias(c) for k, c in enumerate(XYZ)])
     of = lambda f: F.struct(*[f[n].alias(n) for n in ids], *[corner(f[f"i{k}"]).alias(f"a{k}") for k in range(3)])
     out = packed.select("cloud_id", "pos").join(F.broadcast(blocks)).select("cloud_id", F.inline(F.transform("_faces", of)))
-    return out.withColumn("area", g.triangle_area(*[g.point(f"a{k}") for k in range(3)]))
+    return _with_area(out)
+
+
+def _with_area(faces: DataFrame) -> DataFrame:
+    return faces.withColumn("area", g.triangle_area(*[g.point(f"a{k}") for k in range(3)])).where("area IS NOT NULL")
 
 
 def _face_areas_by_joins(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -93,8 +97,7 @@ def _face_areas_by_joins(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     for k in range(3):
         own = vertices.select("cloud_id", F.col("vertex_id").alias(f"i{k}"), F.struct(*XYZ).alias(f"a{k}"))
         out = out.join(own, ["cloud_id", f"i{k}"] if k else f"i{k}")
-    out = out.select("cloud_id", "face_id", "i0", "i1", "i2", "a0", "a1", "a2")
-    return out.withColumn("area", g.triangle_area(*[g.point(f"a{k}") for k in range(3)]))
+    return _with_area(out.select("cloud_id", "face_id", "i0", "i1", "i2", "a0", "a1", "a2"))
 
 
 def face_scaling(base: DataFrame, other: DataFrame, logarithm: bool = False, vertices: DataFrame | None = None) -> DataFrame:
@@ -155,10 +158,21 @@ def restore_size(vertices: DataFrame, sizes: DataFrame) -> DataFrame:
     return out.withColumns({c: F.col(c) * F.col("cs") for c in XYZ}).drop("cs")
 
 
-def pack(vertices: DataFrame, *keep: str) -> DataFrame:
-    """One row a cloud: cloud_id, ``keep`` and pos, its vertices in order as one array of doubles x0 y0 z0 x1 ..."""
-    ordered = F.array_sort(F.collect_list(F.struct("vertex_id", *XYZ)))
-    return vertices.groupBy("cloud_id", *keep).agg(F.flatten(F.transform(ordered, lambda p: F.array(p["x"], p["y"], p["z"]))).alias("pos"))
+def pack(vertices: DataFrame, *keep: str, gaps: bool = False) -> DataFrame:
+    """One row a cloud: cloud_id, ``keep`` and pos, its vertices in order as one array of doubles x0 y0 z0 x1 ...
+
+    With ``gaps`` a vertex stands at the place that its number, from 0, says, and missing numbers have nulls; otherwise
+    vertices close up, whatever their numbers are.
+    """
+    point = F.struct(F.col("vertex_id").cast("int").alias("vertex_id"), *XYZ)
+    rows = vertices.groupBy("cloud_id", *keep).agg(F.array_sort(F.collect_list(point)).alias("_p"))
+    if gaps:
+        last = F.element_at("_p", -1)["vertex_id"]
+        lacking = F.array_except(F.sequence(F.lit(0), last), F.col("_p.vertex_id"))
+        nothing = [F.lit(None).cast("double").alias(c) for c in XYZ]
+        filled = F.array_sort(F.concat("_p", F.transform(lacking, lambda i: F.struct(i.alias("vertex_id"), *nothing))))
+        rows = rows.withColumn("_p", F.when(F.size("_p") == last + 1, F.col("_p")).otherwise(filled))
+    return rows.select("cloud_id", *keep, F.flatten(F.transform("_p", lambda p: F.array(p["x"], p["y"], p["z"]))).alias("pos"))
 
 
 def unpack(clouds: DataFrame, *keep: str) -> DataFrame:

@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allometra.functions import geometry as g
 from allometra.functions.geometry import ray_box
 from allometra.operators.clouds import face_areas
 
@@ -66,19 +65,30 @@ def closest_on_triangles(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndar
     return closest(p[:, None, :], a[None], b[None], c[None])
 
 
-def ray_hits(o: np.ndarray, d: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """t >= 0 (infinite for a miss), u and v at which each ray meets each triangle."""
+def hits(o: np.ndarray, d: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """t (of either sign, infinite for a miss), u and v at which each line meets its triangle; arrays (..., 3) that fit together."""
     ab, ac = b - a, c - a
-    h = np.cross(d[:, None, :], ac[None])
-    det = (h * ab[None]).sum(2)
+    h = np.cross(d, ac)
+    det = (h * ab).sum(-1)
     inverse = 1 / np.where(np.abs(det) > 1e-14, det, np.inf)
-    s = o[:, None, :] - a[None]
-    u = (s * h).sum(2) * inverse
-    q = np.cross(s, ab[None])
-    v = (d[:, None, :] * q).sum(2) * inverse
-    t = (ac[None] * q).sum(2) * inverse
-    hit = (np.abs(det) > 1e-14) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0)
-    return np.where(hit, t, np.inf), u, v
+    s = o - a
+    u = (s * h).sum(-1) * inverse
+    q = np.cross(s, ab)
+    v = (d * q).sum(-1) * inverse
+    hit = (np.abs(det) > 1e-14) & (u >= 0) & (v >= 0) & (u + v <= 1)
+    return np.where(hit, (ac * q).sum(-1) * inverse, np.inf), u, v
+
+
+def ray_hits(o: np.ndarray, d: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """t >= 0 (infinite for a miss), u and v of every ray and every triangle, as (rays, triangles)."""
+    t, u, v = hits(o[:, None, :], d[:, None, :], a[None], b[None], c[None])
+    return np.where(t >= 0, t, np.inf), u, v
+
+
+def _first_of_each(mesh: np.ndarray, ids: np.ndarray, value: np.ndarray, face: np.ndarray) -> np.ndarray:
+    """Places of the least value of each point, and of the least face among equal ones."""
+    order = np.lexsort((face, value, ids, mesh))
+    return order[np.append(True, (ids[order][1:] != ids[order][:-1]) | (mesh[order][1:] != mesh[order][:-1]))[: len(order)]]
 
 
 def _total(values: list) -> Column:
@@ -210,10 +220,7 @@ def nearest_on(points: DataFrame, soup: DataFrame, max_distance: float = float("
             mesh, ids, faces_ = (batch.column(n).to_numpy() for n in ("mesh_id", "point_id", "face_id"))
             p, a, b, c = column(XYZ), column(CORNERS[:3]), column(CORNERS[3:6]), column(CORNERS[6:])
             d, u, v = closest(p, a, b, c)
-            # The best of each point in this batch.
-            order = np.lexsort((faces_, d, ids, mesh))
-            first = np.append(True, (ids[order][1:] != ids[order][:-1]) | (mesh[order][1:] != mesh[order][:-1]))[: len(order)]
-            j = order[first]
+            j = _first_of_each(mesh, ids, d, faces_)
             q = a[j] + u[j, None] * (b[j] - a[j]) + v[j, None] * (c[j] - a[j])
             arrays = [mesh[j], ids[j], faces_[j], np.sqrt(d[j]), u[j], v[j], *q.T]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["mesh_id", "point_id", "face_id", "distance", "u", "v", "px", "py", "pz"])
@@ -274,19 +281,22 @@ def first_hits(rays: DataFrame, soup: DataFrame, both_ways: bool = False) -> Dat
     grid = _grid(soup)
     both = _walk(own, grid, both_ways).join(_filed(soup, grid, False), ["mesh_id", "cell"])
     both = both.select("mesh_id", "point_id", "face_id", *fields, *CORNERS)
-    a, b, c, d = ([F.col(f"{k}{x}") for x in XYZ] for k in "abcd")
-    o = [F.col(x) for x in XYZ]
-    steps = {f"_u{x}": v for x, v in zip(XYZ, g.minus(b, a))} | {f"_v{x}": v for x, v in zip(XYZ, g.minus(c, a))} | {f"_s{x}": v for x, v in zip(XYZ, g.minus(o, a))}
-    both = both.withColumns(steps)
-    ab, ac, s = ([F.col(f"_{k}{x}") for x in XYZ] for k in "uvs")
-    both = both.withColumns({f"_h{x}": v for x, v in zip(XYZ, g.cross(d, ac))} | {f"_q{x}": v for x, v in zip(XYZ, g.cross(s, ab))})
-    h, q = ([F.col(f"_{k}{x}") for x in XYZ] for k in "hq")
-    both = both.withColumn("_det", g.dot(h, ab)).where(F.abs("_det") > 1e-14)
-    both = both.withColumns({"u": g.dot(s, h) / F.col("_det"), "v": g.dot(d, q) / F.col("_det"), "t": g.dot(ac, q) / F.col("_det")})
-    both = both.where("u >= 0 AND v >= 0 AND u + v <= 1")
-    hit = lambda t: F.struct(t.alias("t"), "face_id", "u", "v")
-    wanted = [F.min(F.when(F.col("t") >= 0, hit(F.col("t")))).alias("ahead")] + [F.min(F.when(F.col("t") <= 0, hit(-F.col("t")))).alias("back")] * both_ways
-    return both.groupBy("mesh_id", "point_id").agg(*wanted).where("ahead IS NOT NULL OR back IS NOT NULL" if both_ways else "ahead IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda names: np.stack([batch.column(n).to_numpy() for n in names], axis=-1)
+            mesh, ids, faces_ = (batch.column(n).to_numpy() for n in ("mesh_id", "point_id", "face_id"))
+            t, u, v = hits(column(XYZ), column(fields[3:]), column(CORNERS[:3]), column(CORNERS[3:6]), column(CORNERS[6:]))
+            for back in (False, True)[: 1 + both_ways]:
+                found = np.flatnonzero(np.isfinite(t) & (t <= 0 if back else t >= 0))
+                j = found[_first_of_each(mesh[found], ids[found], np.abs(t[found]), faces_[found])]
+                arrays = [mesh[j], ids[j], np.full(len(j), back), np.abs(t[j]), faces_[j], u[j], v[j]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["mesh_id", "point_id", "back", "t", "face_id", "u", "v"])
+
+    found = both.mapInArrow(run, "mesh_id long, point_id long, back boolean, t double, face_id long, u double, v double")
+    hit = F.struct("t", "face_id", "u", "v")
+    wanted = [F.min(F.when(~F.col("back"), hit)).alias("ahead")] + [F.min(F.when(F.col("back"), hit)).alias("back")] * both_ways
+    return found.groupBy("mesh_id", "point_id").agg(*wanted)
 
 
 def raycast(rays: DataFrame, vertices: DataFrame, faces: DataFrame, invert: bool = False) -> DataFrame:

@@ -189,7 +189,7 @@ def _encode(values: np.ndarray, encoding: int) -> bytes:
         return values.astype("<f4").tobytes()
     if encoding == FIXED:
         values = values.astype("<f4").astype(float)
-        low, high = values.min(axis=0), values.max(axis=0)
+        low, high = (values.min(axis=0), values.max(axis=0)) if len(values) else (np.zeros(values.shape[1]),) * 2
         scale = 65535.0 / np.where(high > low, high - low, np.inf)
         return np.stack([low, high], axis=1).astype("<f4").tobytes() + np.floor((values - low) * scale).astype("<u2").tobytes()
     if encoding == NORMALISED:

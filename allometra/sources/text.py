@@ -33,12 +33,48 @@ def cells(line: Column, separators: str) -> Column:
     other = "[^" + one[1:]
     # A separator in front of the first cell makes every match begin with one.
     found = F.regexp_extract_all(F.concat(F.lit(separators[0]), line), F.lit(f'{one}("[^"]*"?{other}*|{other}*)'), F.lit(1))
-    return F.transform(found, lambda c: F.regexp_replace(c, '^"([^"]*)"?', "$1"))
+    return F.transform(found, lambda c: F.regexp_replace(c, '(?s)^"([^"]*)"?', "$1"))
+
+
+def _open_after(line: Column, separators: str) -> Column:
+    """Whether a quoted cell is open at the end of a line: of one that begins a row, and of one that goes on inside a quoted cell."""
+    one = "[" + "".join("\\t" if s == "\t" else f"\\{s}" if s in "\\]^-" else s for s in separators) + "]"
+    other = "[^" + one[1:]
+    ends = f'("[^"]*"{other}*|(?!"){other}*)'
+    row = f'{ends}({one}{ends})*'
+    return F.struct((~line.rlike(f"^{row}$")).alias("fresh"), (~line.rlike(f'^[^"]*"{other}*({one}{ends})*$')).alias("inside"))
+
+
+def records(rows: DataFrame, separators: str) -> DataFrame:
+    """Lines (path, line_index, value) joined where a quoted cell goes on: path, line_index of the first line, and value.
+
+    Each line says what it makes of an open and of a closed cell; the windows, by file, have only lines with quotes.
+    """
+    judged = rows.withColumn("_open", _open_after(F.col("value"), separators))
+    # A line opens a cell, closes one, turns the state around, or leaves it; only the last kind needs no look at others.
+    marks = judged.where("_open.fresh OR NOT _open.inside").select("path", "line_index", "_open")
+    if marks.where("_open.fresh").isEmpty():  # every quote closes in its line
+        return rows
+    order = Window.partitionBy("path").orderBy("line_index")
+    marks = marks.withColumn("_turns", F.sum((F.col("_open.fresh") & ~F.col("_open.inside")).cast("int")).over(order))
+    fixed = F.when(F.col("_open.fresh") == F.col("_open.inside"), F.struct(F.col("_open.fresh").alias("open"), "_turns"))
+    marks = marks.withColumn("_fixed", F.last(fixed, ignorenulls=True).over(order))
+    turned = (F.col("_turns") - F.coalesce("_fixed._turns", F.lit(0))) % 2 == 1
+    marks = marks.withColumn("_is", F.coalesce("_fixed.open", F.lit(False)) != turned)
+    spans = marks.withColumn("_was", F.coalesce(F.lag("_is").over(order), F.lit(False))).where("_was <> _is")
+    spans = spans.withColumn("_end", F.lead("line_index").over(order)).where("_is").select("path", F.col("line_index").alias("_begin"), F.coalesce("_end", "line_index").alias("_end"))
+    inside = spans.select("path", "_begin", F.explode(F.sequence("_begin", "_end")).alias("line_index"))
+    placed = rows.join(inside, ["path", "line_index"], "left").withColumn("_begin", F.coalesce("_begin", "line_index"))
+    joined = placed.groupBy("path", "_begin").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_index", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    return joined.select("path", F.col("_begin").alias("line_index"), "value")
 
 
 def read_delimited(spark: SparkSession, path: str, separators: str = ",", skip_first: bool = False, skip_empty: bool = True) -> DataFrame:
-    """path, row_index (from 0, by file, of the rows that stay in order but not without gaps) and cells of every line; rows may differ in length."""
-    out = lines(spark, path)
+    """path, row_index (from 0, by file, of the rows that stay in order but not without gaps) and cells of every row; rows may differ in length.
+
+    A cell in double quotes may hold line ends. A quote that never closes opens nothing but its own line.
+    """
+    out = records(lines(spark, path), separators)
     if skip_first:
         out = out.where("line_index > 0")
     if skip_empty:
@@ -120,7 +156,7 @@ def as_lines(df: DataFrame, separator: str = ",", null_text: str = "") -> DataFr
 
     def cell(f: T.StructField) -> Column:
         text = F.coalesce(F.col(f"`{f.name}`").cast("string"), F.lit(null_text))
-        return F.when(F.contains(text, F.lit(separator)) | F.contains(text, F.lit('"')), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit("'")), F.lit('"'))).otherwise(text)
+        return F.when(F.contains(text, F.lit(separator)) | text.rlike('["\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit("'")), F.lit('"'))).otherwise(text)
 
     return df.select(F.concat_ws(separator, *[cell(f) for f in plain]).alias("value"))
 
@@ -135,4 +171,4 @@ def write_delimited(df: DataFrame, path: str, separator: str = ",", header: bool
         as_lines(df, separator, null_text).write.text(path)
         return
     quoted = df.select(*[F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(null_text)), F.lit('"'), F.lit("'")).alias(c) for c in plain])
-    quoted.write.option("header", True).option("sep", separator).option("emptyValue", "").option("escapeQuotes", False).csv(path)
+    quoted.write.option("header", True).option("sep", separator).option("emptyValue", "").option("escapeQuotes", False).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

@@ -122,3 +122,30 @@ def test_generated_meshes(spark, make, counts, area):
     # Faces look outward, so normals do.
     normals = topology.normals(areas).join(vertices, ["cloud_id", "vertex_id"])
     assert normals.where("nx * x + ny * y + nz * z <= 0").isEmpty()
+
+
+def test_cells_with_line_ends(spark, tmp_path):
+    rows = [(1, "a\nb", "z"), (2, "plain", 'q"x'), (3, "\n\n;x", "y"), (4, "ends\n", ""), (5, 'it""s', "w")]
+    df = spark.createDataFrame(rows, "i int, t string, u string")
+    text.write_delimited(df.coalesce(1), str(tmp_path / "t"), ";")
+    found = [r.cells for r in text.read_delimited(spark, str(tmp_path / "t"), ";", skip_first=True, skip_empty=False).orderBy("row_index").collect()]
+    assert found == [["1", "a\nb", "z"], ["2", "plain", "q'x"], ["3", "\n\n;x", "y"], ["4", "ends\n", ""], ["5", "it''s", "w"]]
+    (tmp_path / "odd.csv").write_text('5" pipe,x\n"open,\nstill" rest,y\n"a","b"\n"never closed,z\n')
+    found = [r.cells for r in text.read_delimited(spark, str(tmp_path / "odd.csv")).orderBy("row_index").collect()]
+    assert found == [['5" pipe', "x"], ["open,\nstill rest", "y"], ["a", "b"], ["never closed,z"]]
+
+
+def test_areas_where_numbers_are_missing(spark, monkeypatch):
+    points = [(1, 0, 0.0, 0.0, 0.0), (1, 2, 1.0, 0.0, 0.0), (1, 3, 0.0, 1.0, 0.0), (1, 4, 5.0, 5.0, 5.0), (2, 4, 1.0, 1.0, 1.0)]
+    vertices = spark.createDataFrame(points, "cloud_id long, vertex_id int, x double, y double, z double")
+    faces = spark.createDataFrame([(0, 0, 2, 3), (1, 1, 2, 3)], "face_id int, i0 int, i1 int, i2 int")
+    for most in (clouds.MAX_FACES, 0):
+        monkeypatch.setattr(clouds, "MAX_FACES", most)
+        assert [(r.cloud_id, r.face_id, r.area) for r in clouds.face_areas(vertices, faces).collect()] == [(1, 0, 0.5)]
+        assert sorted(tuple(r) for r in topology.normals(clouds.face_areas(vertices, faces)).select("vertex_id", "nz").collect()) == [(0, 1.0), (2, 1.0), (3, 1.0)]
+
+
+def test_empty_cloud_in_fixed_point():
+    content = meshes.compose_chunked([(meshes.POSITION, meshes.FIXED, np.zeros((0, 3)))])
+    vertices, faces = meshes.parse_chunked(content)
+    assert len(vertices) == 0 and len(faces) == 0
