@@ -36,7 +36,10 @@ _TYPES = {
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    """Canonical JSON. A ValueError where a number or a character cannot be written, a RecursionError where nesting is too deep."""
+    out = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    out.encode("utf-8")  # half of a surrogate pair is no character
+    return out
 
 
 def schema_errors(value: object, schema: Mapping, path: str = "$") -> list[str]:
@@ -75,13 +78,17 @@ def schema_errors(value: object, schema: Mapping, path: str = "$") -> list[str]:
 
 
 def _needs(value: object) -> set[str]:
-    if isinstance(value, dict):
-        if set(value) == {"$result"} and isinstance(value["$result"], str):
-            return {value["$result"]}
-        return set().union(*map(_needs, value.values())) if value else set()
-    if isinstance(value, list):
-        return set().union(*map(_needs, value)) if value else set()
-    return set()
+    found, open_ = set(), [value]
+    while open_:
+        value = open_.pop()
+        if isinstance(value, dict):
+            if set(value) == {"$result"} and isinstance(value["$result"], str):
+                found.add(value["$result"])
+            else:
+                open_ += value.values()
+        elif isinstance(value, list):
+            open_ += value
+    return found
 
 
 def _object(text: str | None) -> dict:
@@ -96,7 +103,17 @@ def _object(text: str | None) -> dict:
 
 
 def parse(role: str | None, text: str | None, tools: Mapping[str, dict]) -> list[tuple]:
-    """Parts of a message: (part, kind, call_id, name, needs, errors, content); a message without calls is one part."""
+    """Parts of a message: (part, kind, call_id, name, needs, errors, content); a message without calls is one part.
+
+    JSON that cannot be written again (nested too deep, half of a surrogate pair, an infinite number) is ordinary text.
+    """
+    try:
+        return _parse(role, text, tools)
+    except (ValueError, RecursionError):
+        return [(0, "message", None, None, [], [], canonical({"content": text, "role": role}))]
+
+
+def _parse(role: str | None, text: str | None, tools: Mapping[str, dict]) -> list[tuple]:
     value = _object(text) if role in ("assistant", "tool") else {}
     calls = value.get("tool_calls")
     if role == "assistant" and isinstance(calls, list) and calls:
@@ -109,8 +126,9 @@ def parse(role: str | None, text: str | None, tools: Mapping[str, dict]) -> list
             name, arguments, errors = function.get("name"), function.get("arguments"), []
             if isinstance(arguments, str):
                 try:
-                    arguments = json.loads(arguments)
-                    canonical(arguments)
+                    parsed = json.loads(arguments)
+                    canonical({"tool_calls": [{"function": {"arguments": parsed}}]})
+                    arguments = parsed
                 except (ValueError, RecursionError):
                     errors.append("$: not JSON")
             name = name if isinstance(name, str) else None
@@ -161,8 +179,8 @@ def format_conversations(conversations: DataFrame, tools: Mapping[str, dict] = T
     unmet_need (it needs a call that does not exist); cycle (calls that need each other; they keep their own turn).
     errors: how the arguments violate the tool's schema.
 
-    Null roles and texts are messages with null content; a text that is not a JSON object of the two shapes is an
-    ordinary message. A null conv_id never links. An empty table gives an
+    Null roles and texts are messages with null content; a text that is not a JSON object of the two shapes, or cannot be
+    written as JSON again, is an ordinary message. Repeated rows each give a row. A null conv_id never links. An empty table gives an
     empty result; other columns of the input are ignored.
     """
     parts = cut(_parts(conversations, tools))

@@ -399,3 +399,20 @@ def test_empty_tables_and_repeated_rows(spark):
     assert sorted((r.doc_id, r.n_assign) for r in secret_scan.secret_report(twice).collect()) == [(0, 1), (0, 1), (1, 0), (1, 0)]
     long = documents(spark, ["x " * 2_000_000 + "AKIA" + "Q7" * 8])
     assert secret_scan.secret_report(long).first().n_access == 1
+
+
+def test_tool_calls_of_odd_json(spark):
+    """Any text gives a row, however it is nested or escaped; what cannot be written again stays text."""
+    call = lambda arguments, ident="a": json.dumps({"tool_calls": [{"id": ident, "function": {"name": "search", "arguments": arguments}}]})
+    deep = "[" * 3000 + "]" * 3000
+    odd = ['{"content": "\\ud800"}', '{"tool_calls": [{"id": "\\ud800"}]}', '{"tool_calls": ' + "[" * 100_000, '{"tool_calls": [' + deep + "]}", '{"tool_calls": [{"id": "z", "arguments": ' + deep + "}]}"]
+    odd += ['{"tool_calls": [{"arguments": 1e999}]}', "{", '{"tool_calls": {}}', "\x00", "é" * 2_000_000]
+    texts = [*odd, call('{"query": "\\ud800"}', "b"), call('{"query": ' + deep + "}", "c"), call({"query": "x" * 1_000_000}, "d")]
+    rows = [(1, k, "assistant", t) for k, t in enumerate(texts)] + [(1, 90 + k, "tool", t) for k, t in enumerate(odd)]
+    df = spark.createDataFrame(rows * 2, "conv_id long, turn int, role string, text string")
+    found = tool_calls.format_conversations(df).collect()
+    assert len(found) == 2 * len(rows)
+    by_turn = {r.turn: r for r in found if r.status != "duplicate_call"}
+    assert all(json.loads(by_turn[k].json)["content"] == odd[k] for k in (0, 1, 2, 6, 9))
+    assert by_turn[10].errors == ["$: not JSON"] and by_turn[11].errors and by_turn[12].errors == []
+    assert {r.status for r in found if r.call_id == "d"} == {"no_result"}
