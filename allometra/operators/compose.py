@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from allometra.operators import clouds as c
 from allometra.operators import drift, fits, spatial, spline, statistics, topology
+from allometra.sources.scratch import written
 
 XYZ = ("x", "y", "z")
 _DOUBLES = pa.list_(pa.float64())
@@ -23,13 +24,17 @@ _DOUBLES = pa.list_(pa.float64())
 @dataclass(frozen=True)
 class CorrespondenceOptions:
     """``base``: cloud_id of the template; ``fair``: smooth it once; ``by_ray``: project along normals; areas may scale within
-    [low, high]; ``impute``: put rejected vertices where a spline takes them; ``refit``: align the results once more."""
+    [low, high]; vertices farther out than the upper quartile and ``fence`` ranges between quartiles are rejected, too, if
+    it is given; vertices that more than ``most`` clouds reject are rejected in all, if it is given; ``impute``: put rejected
+    vertices where a spline takes them; ``refit``: align the results once more."""
 
     base: int = 0
     fair: bool = False
     by_ray: bool = True
     low: float = 0.25
     high: float = 4.0
+    fence: float | None = None
+    most: int | None = None
     impute: bool = True
     impute_cells: int = 8
     refit: bool = True
@@ -70,43 +75,93 @@ def base_mesh(clouds: DataFrame, faces: DataFrame, base: int, fair: bool = False
     return np.array(row.pos).reshape(-1, 3)
 
 
+def _sound(clouds: DataFrame, least: int) -> DataFrame:
+    """Packed clouds with at least so many points, all with finite coordinates, not all in one place."""
+    finite = F.forall("pos", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    axis = lambda k: F.filter("pos", lambda v, i: i % 3 == k)
+    wide = F.greatest(*[F.array_max(axis(k)) - F.array_min(axis(k)) for k in range(3)]) > 0
+    return clouds.where((F.size("pos") >= 3 * least) & finite & wide)
+
+
 def correspond(meshes: DataFrame, faces: DataFrame, landmarks: DataFrame, options: CorrespondenceOptions | None = None) -> DataFrame:
-    """One template brought onto every mesh: cloud_id, pos, cs (size), rejected (a flag for each vertex), n_rejected.
+    """One template brought onto every mesh: cloud_id, status, pos, cs (size), rejected (a flag for each vertex), n_rejected,
+    rejection_rate, iterations and reason (of the registration).
 
     ``meshes`` and ``landmarks`` are packed (cloud_id, pos); ``faces`` are those of all meshes, the template's among them. Meshes are aligned
     by their landmarks, the template is registered to each by point drift and projected onto its surface, vertices of
-    faces that scale too much are rejected and imputed, and the results are aligned again. All steps are joins or maps
-    by cloud; one cloud, the template, goes through the driver. It is an error if every vertex is rejected.
+    faces that scale too much, or that lie too far out, are rejected and imputed, and the results are aligned again. All steps
+    are joins or maps by cloud; one cloud, the template, goes through the driver.
+
+    Every mesh ends as a row. ``status`` is ok, or says where a cloud was lost, and then it has no pos: ``no landmarks`` (missing,
+    without extent, or not as many as most have), ``broken mesh`` (a coordinate is missing, or no extent), ``not registered``,
+    ``all vertices rejected``. It is an error if the template's own mesh is lost or no cloud is left.
     """
     o = options or CorrespondenceOptions()
-    rigid = landmark_fit(landmarks).fitted.select("cloud_id", "offs", "cs", "rot").persist()
-    aligned = move(meshes, rigid)
+    marks = _sound(landmarks.select("cloud_id", "pos"), 4)
+    usual = marks.groupBy(F.size("pos").alias("_n")).agg(F.count(F.lit(1)).alias("_times")).orderBy(F.desc("_times"), "_n").first()
+    if usual is None:
+        raise ValueError("no landmarks")
+    marks = written(marks.where(F.size("pos") == usual["_n"]))
+    whole = written(_sound(meshes.select("cloud_id", "pos"), 4))
+    rigid = written(landmark_fit(marks.join(whole.select("cloud_id"), "cloud_id", "left_semi")).fitted.select("cloud_id", "offs", "cs", "rot"))
+    aligned = written(move(whole, rigid))
     template = base_mesh(aligned, faces, o.base, o.fair)
-    moved = drift.register_all(aligned, template, o.registration).select("cloud_id", "pos").persist()
+    registered = written(drift.register_all(aligned, template, o.registration))
+    moved = registered.where("reason <> 'numeric'").select("cloud_id", "pos")
     points = c.unpack(moved).withColumn("point_id", F.col("vertex_id").cast("long"))
-    normals = topology.normals(c.face_areas(moved, faces), robust=True) if o.by_ray else None
-    if normals is not None:
-        points = points.join(normals, ["cloud_id", "vertex_id"], "left")
+    if o.by_ray:
+        points = points.join(topology.normals(c.face_areas(moved, faces), robust=True), ["cloud_id", "vertex_id"], "left")
     else:
         points = points.withColumns({f"n{k}": F.lit(None).cast("double") for k in XYZ})
     onto = spatial.project(points.withColumnRenamed("cloud_id", "mesh_id"), aligned.withColumnRenamed("cloud_id", "mesh_id"), faces)
-    found = c.pack(onto.select(F.col("mesh_id").alias("cloud_id"), F.col("point_id").cast("int").alias("vertex_id"), *XYZ)).persist()
+    found = written(onto.select(F.col("mesh_id").alias("cloud_id"), F.col("point_id").cast("int").alias("vertex_id"), *XYZ))
 
-    areas = c.face_areas(found, faces)
     shape = meshes.sparkSession.createDataFrame(pa.table({"cloud_id": [o.base], "pos": pa.array([template.ravel()], _DOUBLES)}))
-    bad = c.reject_by_scaling(c.face_areas(shape, faces), areas, o.low, o.high)
-    bad = bad.groupBy("cloud_id").agg(F.collect_set("vertex_id").alias("_bad"))
-    flags = F.transform(F.sequence(F.lit(0), F.lit(len(template) - 1)), lambda i: F.coalesce(F.array_contains("_bad", i), F.lit(False)))
-    judged = found.join(bad, "cloud_id", "left").select("cloud_id", "pos", flags.alias("rejected"), F.coalesce(F.size("_bad"), F.lit(0)).alias("n_rejected")).persist()
-    if judged.where(F.col("n_rejected") < len(template)).isEmpty():
+    bad = c.reject_by_scaling(c.face_areas(shape, faces), c.face_areas(found, faces), o.low, o.high).select("cloud_id", "vertex_id")
+    if o.fence is not None:
+        pairs = c.homologous(found, c.unpack(shape).drop("cloud_id")).withColumns({f"d{k}": F.col(f"b{k}") - F.col(k) for k in XYZ})
+        bad = bad.union(c.reject_by_distance(pairs, o.fence).where("rejected").select("cloud_id", "vertex_id")).distinct()
+    flagged = found.join(bad.withColumn("_bad", F.lit(True)), ["cloud_id", "vertex_id"], "left").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
+    if o.most is not None:
+        kept = flagged.groupBy("vertex_id").agg((F.count_if("_bad") <= o.most).alias("_kept"))
+        flagged = flagged.join(kept, "vertex_id").withColumn("_bad", F.col("_bad") | ~F.col("_kept"))
+    rows = F.array_sort(F.collect_list(F.struct("vertex_id", *XYZ, "_bad")))
+    judged = flagged.groupBy("cloud_id").agg(rows.alias("_v")).select(
+        "cloud_id", F.flatten(F.transform("_v", lambda v: F.array(*[v[k] for k in XYZ]))).alias("pos"), F.col("_v._bad").alias("rejected"), F.size(F.filter("_v", lambda v: v["_bad"])).alias("n_rejected")
+    )
+    judged = written(judged.withColumn("rejection_rate", F.col("n_rejected") / len(template)))
+    left = judged.where(F.col("n_rejected") < len(template))
+    if left.isEmpty():
         raise ValueError("every vertex of every cloud is rejected")
-    full = spline.impute_clouds(judged, template, o.impute_cells) if o.impute else judged
+    full = spline.impute_clouds(left, template, o.impute_cells) if o.impute else left.select("cloud_id", "pos")
     sizes = rigid.select("cloud_id", "cs")
     if o.refit:
-        again = fits.gpa(full.select("cloud_id", "pos")).fitted
+        again = fits.gpa(written(full)).fitted
         sizes = sizes.join(again.select("cloud_id", F.col("cs").alias("_cs")), "cloud_id").select("cloud_id", (F.col("cs") * F.col("_cs")).alias("cs"))
-        full = again
-    return full.select("cloud_id", "pos").join(sizes, "cloud_id").join(judged.select("cloud_id", "rejected", "n_rejected"), "cloud_id")
+        full = again.select("cloud_id", "pos")
+    out = meshes.select("cloud_id").join(full, "cloud_id", "left").join(sizes, "cloud_id", "left")
+    out = out.join(judged.drop("pos"), "cloud_id", "left").join(registered.select("cloud_id", "iterations", "reason"), "cloud_id", "left")
+    for name, frame in (("_whole", whole), ("_marks", marks)):
+        out = out.join(frame.select("cloud_id", F.lit(True).alias(name)), "cloud_id", "left")
+    status = (
+        F.when(F.col("_whole").isNull(), "broken mesh")
+        .when(F.col("_marks").isNull(), "no landmarks")
+        .when(F.col("reason") == "numeric", "not registered")
+        .when(F.col("n_rejected") == len(template), "all vertices rejected")
+        .otherwise("ok")
+    )
+    return out.select("cloud_id", status.alias("status"), "pos", "cs", "rejected", "n_rejected", "rejection_rate", "iterations", "reason")
+
+
+def result_table(found: DataFrame, specimens: DataFrame, landmarks: DataFrame, restore: bool = False, strict: float | None = None) -> DataFrame:
+    """Specimens (cloud_id, ...) with what ``correspond`` found: points, landmarks, size, rejected vertices, their rate, and status.
+
+    ``restore`` gives points their size back; ``strict`` leaves out clouds that lost more than this share of their vertices.
+    """
+    out = specimens.join(found.withColumnRenamed("pos", "points"), "cloud_id", "left").join(landmarks.select("cloud_id", F.col("pos").alias("landmarks")), "cloud_id", "left")
+    if restore:
+        out = out.withColumn("points", F.transform("points", lambda v: v * F.col("cs")))
+    return out if strict is None else out.where((F.col("status") == "ok") & (F.col("rejection_rate") <= strict))
 
 
 def landmark_diagnosis(landmarks: DataFrame, meshes: DataFrame, faces: DataFrame, hover: float = 0.003, outlier: float = 0.1) -> DataFrame:
@@ -264,7 +319,7 @@ def symmetrise(meshes: DataFrame, landmarks: DataFrame, faces: DataFrame) -> Dat
     Each vertex meets its counterpart on the mirror image in two ways, as the mirror's nearest point and, at the same place of a face, where the
     mirror's own vertex lies nearest on the mesh. It moves half the way to the mean of both, back in the mesh's own position and size.
     """
-    pair = mirrored_pairs(meshes, landmarks).persist()
+    pair = written(mirrored_pairs(meshes, landmarks))
     own = pair.select(F.col("cloud_id").alias("mesh_id"), "pos")
     mirror = pair.select(F.col("cloud_id").alias("mesh_id"), F.col("mirror").alias("pos"))
     soup, mirror_soup = spatial.triangles(own, faces), spatial.triangles(mirror, faces)

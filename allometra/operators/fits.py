@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from allometra.sources.scratch import written
+
 MAX_SIDE = 4096
 #: Most rows and bytes of packed rows in one block.
 BLOCK = 256
@@ -105,7 +107,7 @@ def mean_row(clouds: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.ravel()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["i", "row", "n"])
 
     parts = clouds.select("pos").mapInArrow(run, "i int, row array<double>, n long")
-    sums = _sum_rows(parts.repartition("i"))
+    sums = sum_rows(parts.repartition("i"))
     if not sums:
         raise ValueError("no clouds")
     ((_, total, n),) = sums
@@ -132,10 +134,10 @@ class GpaResult:
 def gpa(clouds: DataFrame, max_iterations: int = 150, tolerance: float = 1e-5) -> GpaResult:
     """Generalised Procrustes: clouds fitted to their mean and the mean taken again until it settles.
 
-    Starts with the cloud of least id, centred and of size 1; fitted clouds have size 1. The clouds are held on the executors
-    (memory, then disk; lost parts are read again); each round sends one mean back and no lineage grows. At least 4 points a cloud.
+    Starts with the cloud of least id, centred and of size 1; fitted clouds have size 1. The clouds are written once; each
+    round reads them, sends one mean back, and no lineage grows. At least 4 points a cloud.
     """
-    clouds = clouds.select("cloud_id", "pos").persist()
+    clouds = written(clouds.select("cloud_id", "pos"))
     first = clouds.orderBy("cloud_id").select("pos").first()
     if first is None or len(first.pos) < 12:
         raise ValueError("clouds of 4 points at least")
@@ -296,7 +298,7 @@ def _sums(rows: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
             )
 
     parts = rows.select("pos").mapInArrow(run, "i int, row array<double>, n long")
-    sums = _sum_rows(parts.repartition("i"))
+    sums = sum_rows(parts.repartition("i"))
     if not sums:
         raise ValueError("no rows")
     out = np.zeros((width + 1, width))
@@ -305,7 +307,7 @@ def _sums(rows: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
     return int(sums[0][2]), out[0], out[1:]
 
 
-def _sum_rows(parts: DataFrame) -> list[tuple[int, np.ndarray, int]]:
+def sum_rows(parts: DataFrame) -> list[tuple[int, np.ndarray, int]]:
     """Sums of the arrays ``row`` and of ``n`` by ``i``, which lie together: one array a row of the matrix comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +364,7 @@ def weighted_sums(rows: DataFrame, ids: list[int], weights: np.ndarray) -> np.nd
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64())), pa.array([0] * len(total), pa.int64())], ["i", "row", "n"])
 
     parts = rows.select("cloud_id", "pos").mapInArrow(run, "i int, row array<double>, n long")
-    return np.stack([row for _, row, _ in sorted(_sum_rows(parts.repartition("i")), key=lambda x: x[0])])
+    return np.stack([row for _, row, _ in sorted(sum_rows(parts.repartition("i")), key=lambda x: x[0])])
 
 
 def _variances(rows: DataFrame, mean: np.ndarray) -> np.ndarray:
@@ -375,7 +377,7 @@ def _variances(rows: DataFrame, mean: np.ndarray) -> np.ndarray:
                 total, n = total + (r.values.to_numpy(zero_copy_only=False) - mean) ** 2, n + 1
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["i", "row", "n"])
 
-    ((_, total, n),) = _sum_rows(rows.select("pos").mapInArrow(run, "i int, row array<double>, n long").repartition("i"))
+    ((_, total, n),) = sum_rows(rows.select("pos").mapInArrow(run, "i int, row array<double>, n long").repartition("i"))
     return total / (n - 1)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -15,3 +15,10 @@ def scratch_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in a scratch folder, read again: nothing is computed twice, whatever executors are lost."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

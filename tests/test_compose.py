@@ -210,11 +210,33 @@ def test_correspondence_of_moved_copies(spark):
     marks = [x[[0, 7, 56, 63, 27]] for x in shapes]
     rows = compose.correspond(pack(shapes), sheet_faces(spark), pack(marks)).orderBy("cloud_id").collect()
     found = [np.reshape(r.pos, (-1, 3)) for r in rows]
-    assert len(rows) == 3 and all(r.n_rejected == 0 and len(r.rejected) == 64 for r in rows)
+    assert len(rows) == 3 and all(r.status == "ok" and r.n_rejected == 0 and len(r.rejected) == 64 and r.iterations > 0 for r in rows)
     assert np.allclose(found[1], found[0], atol=0.02) and np.allclose(found[2], found[0], atol=0.02)
     assert rows[1].cs / rows[0].cs == pytest.approx(2, rel=0.02) and rows[2].cs / rows[0].cs == pytest.approx(3, rel=0.02)
 
 
+def test_lost_clouds_are_rows(spark):
+    """One mesh without numbers, one without extent and one without landmarks among good ones; a fence and a whitelist join in."""
+    rng = np.random.default_rng(41)
+    base = np.stack([np.arange(64) % 8, np.arange(64) // 8, 0.5 * np.sin(np.arange(64))], axis=1)
+    shapes = [base + k + 0.01 * rng.normal(size=base.shape) for k in range(6)]
+    marks = [x[[0, 7, 56, 63, 27]] for x in shapes]
+    shapes[2] = shapes[2] * np.nan
+    shapes[3] = shapes[3] * 0 + 1.0
+    rows = lambda xs: spark.createDataFrame([(i, x.ravel().tolist()) for i, x in enumerate(xs)], "cloud_id long, pos array<double>")
+    options = compose.CorrespondenceOptions(fence=1.5, most=0)
+    found = compose.correspond(rows(shapes), sheet_faces(spark), rows(marks).where("cloud_id <> 4"), options)
+    by_id = {r.cloud_id: r for r in found.collect()}
+    assert {i: r.status for i, r in by_id.items()} == {0: "ok", 1: "ok", 2: "broken mesh", 3: "broken mesh", 4: "no landmarks", 5: "ok"}
+    assert all((r.pos is None) == (r.status != "ok") for r in by_id.values())
+    # With a whitelist of vertices that no cloud rejects, all clouds reject the same ones.
+    assert len({tuple(r.rejected) for r in by_id.values() if r.status == "ok"}) == 1
+    table = compose.result_table(found, rows(shapes).select("cloud_id", F.lit("x").alias("name")), rows(marks), restore=True, strict=1.0)
+    assert sorted(r.cloud_id for r in table.collect()) == [0, 1, 5]
+    sizes = {r.cloud_id: fits.centre_and_size(np.reshape(r.points, (-1, 3)))[1] / fits.centre_and_size(shapes[r.cloud_id])[1] for r in table.collect()}
+    assert all(v == pytest.approx(1, rel=0.05) for v in sizes.values())
+
+
 def test_unknown_columns_and_bad_literals_raise(spark):
     df = spark.createDataFrame([(1, True)], "row_index long, ok boolean")
     with pytest.raises(ValueError):
