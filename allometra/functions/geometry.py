@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -113,6 +114,41 @@ def ray_box(origin: Point, direction: Point, low: Point, high: Point) -> Column:
     return F.when(~outside & (near <= far), near)
 
 
+def least_eigen(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> Column:
+    """Struct (value, x, y, z): least eigenvalue of a symmetric 3 by 3 matrix and its unit eigenvector, the greatest part positive.
+
+    Closed form: the eigenvalue by the angle of the cubic, the vector as the longest cross product of two rows less the
+    eigenvalue. Where that is not unique (two least eigenvalues alike) it is one of those at right angles to the greatest, or an axis.
+    """
+    middle = (xx + yy + zz) / 3
+    spread = F.sqrt(((xx - middle) * (xx - middle) + (yy - middle) * (yy - middle) + (zz - middle) * (zz - middle) + 2 * (xy * xy + xz * xz + yz * yz)) / 6)
+    scaled = lambda v, diagonal=False: F.coalesce(F.try_divide(v - middle if diagonal else v, spread), F.lit(0.0))
+    a, b, c, d, e, f = scaled(xx, True), scaled(yy, True), scaled(zz, True), scaled(xy), scaled(xz), scaled(yz)
+    half = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)) / 2))
+    root = 2 * F.cos(F.acos(half) / 3 + 2 * math.pi / 3)
+
+    def vector(m: Column) -> Column:
+        r0, r1, r2 = [m["a"] - m["l"], m["d"], m["e"]], [m["d"], m["b"] - m["l"], m["f"]], [m["e"], m["f"], m["c"] - m["l"]]
+        made = [F.struct(dot(n, n).alias("n"), *[v.alias(k) for v, k in zip(n, "xyz")]) for n in (cross(r0, r1), cross(r0, r2), cross(r1, r2))]
+        # With two least eigenvalues alike all rows are along one line; any vector across it will do.
+        longest = F.array_max(F.array(*[F.struct(dot(r, r).alias("n"), *[v.alias(k) for v, k in zip(r, "xyz")]) for r in (r0, r1, r2)]))
+        across = F.when(longest["n"] > 1e-20, F.struct((longest["y"] * longest["y"] + longest["z"] * longest["z"]).alias("n"), F.lit(0.0).alias("x"), (-longest["z"]).alias("y"), longest["y"].alias("z")))
+        across = F.when(across["n"] > 1e-20, across).otherwise(F.struct(F.lit(1.0).alias("n"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z")))
+        best = F.array_max(F.array(*made))
+        return F.when(best["n"] > 1e-20, best).otherwise(across)
+
+    once = lambda value, body: F.transform(F.array(value), body)[0]
+    facts = F.struct(*[v.alias(k) for k, v in zip("abcdefl", (a, b, c, d, e, f, root))])
+    found = once(once(facts, vector), lambda v: F.struct(*[(v[k] / F.sqrt(v["n"])).alias(k) for k in "xyz"]))
+
+    def turned(v: Column) -> Column:
+        largest = F.greatest(*[F.abs(v[k]) for k in "xyz"])
+        sign = F.coalesce(*[F.when(F.abs(v[k]) >= largest * (1 - 1e-9), F.signum(v[k])) for k in "xyz"])
+        return F.struct((middle + spread * root).alias("value"), *[(v[k] * sign).alias(k) for k in "xyz"])
+
+    return once(found, turned)
+
+
 def reflect(p: Point, centre: Point, normal: Point) -> Point:
     """Mirror image in the plane through ``centre`` with the unit normal."""
     return minus(p, times(normal, 2 * dot(minus(p, centre), normal)))

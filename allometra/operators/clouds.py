@@ -33,6 +33,24 @@ def cloud_stats(vertices: DataFrame) -> DataFrame:
     return out.withColumn("max_side", F.greatest(*[F.col(f"max_{c}") - F.col(f"min_{c}") for c in XYZ]))
 
 
+def best_plane(points: DataFrame, *by: str) -> DataFrame:
+    """By key the plane with the least sum of squared distances: n, centre cx to cz, unit normal nx to nz and rms distance.
+
+    One aggregation of moments, then columns only. Rows without three coordinates do not count; points all in one place have a normal, too.
+    """
+    rows = points.where(" AND ".join(f"{k} IS NOT NULL" for k in XYZ))
+    moments = [F.covar_pop(a, b).alias(f"_{a}{b}") for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")]
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(k).alias(f"c{k}") for k in XYZ], *moments)
+    out = out.withColumn("_e", g.least_eigen(*[F.col(f"_{ab}") for ab in ("xx", "yy", "zz", "xy", "xz", "yz")]))
+    return out.select(*by, "n", "cx", "cy", "cz", *[F.col(f"_e.{k}").alias(f"n{k}") for k in XYZ], F.sqrt(F.greatest(F.lit(0.0), F.col("_e.value"))).alias("rms"))
+
+
+def add_clouds(a: DataFrame, b: DataFrame, factor: float = 1.0) -> DataFrame:
+    """Positions of ``a`` plus ``factor`` times those of ``b``, by cloud and vertex; other columns of ``a`` stay."""
+    other = b.select("cloud_id", "vertex_id", *[F.col(k).alias(f"_{k}") for k in XYZ])
+    return a.join(other, ["cloud_id", "vertex_id"]).withColumns({k: F.col(k) + factor * F.col(f"_{k}") for k in XYZ}).select(*a.columns)
+
+
 def homologous(a: DataFrame, b: DataFrame, *on: str) -> DataFrame:
     """Vertices of the same number side by side: x, y, z of a and bx, by, bz."""
     other = b.select("vertex_id", *on, *[F.col(c).alias(f"b{c}") for c in XYZ], *[F.col(c).alias(f"b{c}") for c in ("nx", "ny", "nz") if c in b.columns])

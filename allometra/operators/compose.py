@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allometra.operators import clouds as c
-from allometra.operators import drift, fits, spatial, spline, statistics, topology
+from allometra.operators import drift, fits, spatial, spline, statistics, table, topology
 from allometra.sources.scratch import written
 
 XYZ = ("x", "y", "z")
@@ -261,6 +261,21 @@ def average_differences(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
 # Symmetry
 
 
+def repeated_measurements(rows: DataFrame, vertices: DataFrame, operation: str, ident: str, row_index: str, order: str | None = None, first: str = "", second: str = "", min_points: int = 2) -> DataFrame:
+    """vertex_id, x, y, z: mean change a vertex over repeated measurements, by the operation chosen.
+
+    ``difference``: the mean step from each id's row of order value ``first`` to that of ``second``. ``regression``: the mean
+    slope of each id's rows in row order, of ``min_points`` rows at least. ``rows`` name clouds by ``row_index``.
+    """
+    if operation == "difference":
+        if order is None:
+            raise ValueError("a difference needs a column of order values")
+        return average_differences(table.pairs(rows, ident, order, first, second, row_index), vertices)
+    if operation == "regression":
+        return average_slopes(table.series(rows, ident, row_index, min_points), vertices)
+    raise ValueError(f"no operation {operation}")
+
+
 def bilateral_order(points: np.ndarray) -> np.ndarray:
     """For each landmark the one that is its mirror image, by the best plane between two landmarks.
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allometra.sources.scratch import written
@@ -334,7 +334,7 @@ def centred_gram(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> tuple[
         mean, scale = held.value
         for batch in batches:
             for k in range(batch.num_rows):
-                (own, x), (other, y) = _block(batch.column("_a")[k]), _block(batch.column("_b")[k])
+                (own, x, _), (other, y, _) = _block(batch.column("_a")[k]), _block(batch.column("_b")[k])
                 products = ((x - mean) * scale) @ ((y - mean) * scale).T
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([other] * len(own), pa.list_(pa.int64())), pa.array(list(products), pa.list_(pa.float64()))], ["i", "j", "v"])
 
@@ -433,16 +433,76 @@ def pca_scores(rows: DataFrame, model: PcaModel, allow: np.ndarray | None = None
     weights = model.components.copy()
     if allow is not None:
         weights[:, ~allow] = 0
+    held = rows.sparkSession.sparkContext.broadcast((model.mean, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = np.stack([r.values.to_numpy(zero_copy_only=False) for r in batch.column("pos")])
-                yield pa.RecordBatch.from_arrays([batch.column("cloud_id"), pa.array(list((x - model.mean) @ weights.T), pa.list_(pa.float64()))], ["cloud_id", "scores"])
+                mean, weights = held.value
+                yield pa.RecordBatch.from_arrays([batch.column("cloud_id"), pa.array(list((x - mean) @ weights.T), pa.list_(pa.float64()))], ["cloud_id", "scores"])
 
     return rows.select("cloud_id", "pos").mapInArrow(run, "cloud_id long, scores array<double>")
 
 
+# Keys of the matrices of a stored model.
+MEAN_AND_COMPONENTS, VARIANCES, ALLOWED, SCORES = 0, 1, 2, 3
+MATRIX = "key int, row long, id long, values array<double>"
+
+
+def model_matrices(spark: SparkSession, model: PcaModel, allow: np.ndarray | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """A model as keyed matrices (key, row, id, values): mean and components, variances, the allowed coordinates, and scores with the cloud's id.
+
+    Scores stay a DataFrame; the rest has the model's own size.
+    """
+    rows = [(MEAN_AND_COMPONENTS, k, None, v.tolist()) for k, v in enumerate([model.mean, *model.components])] + [(VARIANCES, 0, None, model.variances.tolist())]
+    if allow is not None:
+        rows.append((ALLOWED, 0, None, allow.astype(float).tolist()))
+    out = spark.createDataFrame(rows, MATRIX)
+    if scores is not None:
+        out = out.unionByName(scores.select(F.lit(SCORES).alias("key"), F.col("cloud_id").alias("row"), F.col("cloud_id").alias("id"), F.col("scores").alias("values")))
+    return out
+
+
+def matrix(matrices: DataFrame, key: int) -> DataFrame:
+    """row, id and values of one matrix, by its key; nothing is read before it is asked for."""
+    return matrices.where(F.col("key") == key).drop("key")
+
+
+def load_model(matrices: DataFrame) -> tuple[PcaModel, np.ndarray | None]:
+    """The model and its allowed coordinates (None: all) from keyed matrices; scores are not read."""
+    held = matrices.where(F.col("key") != SCORES).orderBy("key", "row").collect()
+    by_key: dict[int, list[np.ndarray]] = {}
+    for r in held:
+        by_key.setdefault(r.key, []).append(np.array(r["values"]))
+    if MEAN_AND_COMPONENTS not in by_key or VARIANCES not in by_key:
+        raise ValueError("no stored model")
+    mean, *components = by_key[MEAN_AND_COMPONENTS]
+    model = PcaModel(mean, np.array(components).reshape(len(components), len(mean)), by_key[VARIANCES][0])
+    return model, by_key[ALLOWED][0] > 0 if ALLOWED in by_key else None
+
+
+def pca_stage(found: DataFrame, restore: bool = False, strict: float | None = None, most: float = 1.0) -> DataFrame:
+    """Keyed matrices of the components of corresponding clouds (cloud_id, pos and, where needed, cs, rejected, rejection_rate, status).
+
+    Lost clouds are left out, and with ``strict`` those that lost more than this share of their vertices. ``restore`` gives
+    clouds their size back. Vertices that more than the share ``most`` of the clouds reject do not count. At most 50 components.
+    """
+    rows = found.where("pos IS NOT NULL")
+    if "status" in found.columns:
+        rows = rows.where("status = 'ok'")
+    if strict is not None:
+        rows = rows.where(F.col("rejection_rate") <= strict)
+    if restore:
+        rows = rows.withColumn("pos", F.transform("pos", lambda v: v * F.col("cs")))
+    rows, allow = written(rows), None
+    if most < 1.0:
+        rates = rows.select(F.posexplode("rejected").alias("i", "bad")).groupBy("i").agg(F.avg(F.col("bad").cast("double")).alias("rate")).orderBy("i").collect()
+        allow = np.repeat([r.rate <= most for r in rates], 3)
+    model = pca(rows.select("cloud_id", "pos"), allow=allow)
+    return model_matrices(found.sparkSession, model, allow, pca_scores(rows, model, allow))
+
+
 def gram_matrix(rows: DataFrame) -> DataFrame:
     """i, j (i <= j), covariance and n of the coordinates of packed rows; each partition sums its own products."""
     width = rows.select(F.size("pos").alias("m")).first()

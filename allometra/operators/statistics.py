@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from allometra.sources.scratch import written
+
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """bin and count; bin -1 holds what lies below, bin ``bins`` what lies above.
@@ -27,6 +29,26 @@ def prefix_sum(df: DataFrame, key: list[str], order: str, value: str, inclusive:
     return df.withColumn("running_sum", F.coalesce(F.sum(value).over(own), F.lit(0)))
 
 
+def scan(df: DataFrame, order: list[str], value: str, inclusive: bool = True) -> DataFrame:
+    """Add running_sum over all rows in an order, which should leave no ties.
+
+    Rows are dealt to ranges of the order and written; each range has one sum, sums of the ranges before (as many as there
+    are ranges) are joined back, and a window runs over one range at a time.
+    """
+    ranges = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = ranges.groupBy("_range").agg(F.sum(value).alias("_sum")).orderBy("_range").collect()
+    before, total = [], None
+    for r in sums:
+        before.append((r["_range"], total))
+        if r["_sum"] is not None:
+            total = r["_sum"] if total is None else total + r["_sum"]
+    kind = ranges.select(F.sum(value)).schema[0].dataType.simpleString()
+    offsets = df.sparkSession.createDataFrame(before, f"_range int, _before {kind}")
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = ranges.withColumn("_own", F.coalesce(F.sum(value).over(own), F.lit(0))).join(F.broadcast(offsets), "_range")
+    return out.withColumn("running_sum", F.coalesce("_before", F.lit(0)) + F.col("_own")).drop("_range", "_own", "_before")
+
+
 def quartile_fence(df: DataFrame, key: list[str], value: str, tie: list[str], factor: float = 1.5) -> DataFrame:
     """Add q1, q3 and rejected (value > q3 + factor * (q3 - q1)) by key.
 

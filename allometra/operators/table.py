@@ -97,6 +97,63 @@ def describe_selection(df: DataFrame, columns: Sequence[str], selected: str = "s
     return facts.join(F.broadcast(wrong)).select(text.alias("description"), F.col("_n").alias("n_selected"), (any_constant & (F.col("_wrong") == 0) & (F.col("_n") > 0)).alias("is_complete"))
 
 
+def declare(df: DataFrame, column: str, role: str, levels: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the role of a column (say factor, mesh, cloud, size) and, of a factor, its levels in order, in the column's metadata.
+
+    The metadata goes along through select, filter, join and Parquet, so a saved table knows its roles.
+    """
+    facts = {"role": role} | ({"levels": list(levels)} if levels else {})
+    return df.withColumn(column, F.col(column).alias(column, metadata=df.schema[column].metadata | facts))
+
+
+def roles(df: DataFrame) -> dict[str, str]:
+    """The declared role of each column that has one."""
+    return {f.name: f.metadata["role"] for f in df.schema if "role" in f.metadata}
+
+
+def columns_of_role(df: DataFrame, *wanted: str) -> list[str]:
+    """Names of the columns declared as one of some roles: which columns an analysis can take."""
+    return [name for name, role in roles(df).items() if role in wanted]
+
+
+def declared_levels(df: DataFrame, column: str) -> list[str]:
+    return list(df.schema[column].metadata.get("levels", []))
+
+
+def unique_values(df: DataFrame, column: str) -> DataFrame:
+    """level_index and level: all declared levels of a factor, also unused ones; false and true of a Boolean; the distinct values
+    of text and whole numbers, in order; nothing of other types."""
+    spark, kind, named = df.sparkSession, df.schema[column].dataType, declared_levels(df, column)
+    if isinstance(kind, T.BooleanType):
+        named = ["false", "true"]
+    if named or not isinstance(kind, (T.StringType, T.IntegralType)):
+        return spark.createDataFrame(list(enumerate(named)), "level_index int, level string")
+    found = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v")).distinct()
+    # Levels are few; numbering them takes one window.
+    return found.select((F.row_number().over(Window.orderBy("_v")) - 1).alias("level_index"), F.col("_v").cast("string").alias("level"))
+
+
+def level_counts(df: DataFrame, column: str) -> DataFrame:
+    """level and n of every declared level of a factor or both Booleans, 0 where no row has it."""
+    counts = df.groupBy(F.col(column).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return F.broadcast(unique_values(df, column).select("level")).join(counts, "level", "left").fillna(0, ["n"])
+
+
+def clear(df: DataFrame) -> Column:
+    """A selection of nothing."""
+    return F.lit(False)
+
+
+def add_column(df: DataFrame, other: DataFrame, row_index: str, column: str, force: bool = False) -> DataFrame:
+    """``df`` with a column of another table by row index. A name that exists is an error without ``force``, and so are tables of different rows."""
+    if column in df.columns and not force:
+        raise ValueError(f"column {column} exists")
+    own, rows = other.select(row_index, column), df.select(row_index)
+    if not (rows.join(own, row_index, "left_anti").isEmpty() and own.join(rows, row_index, "left_anti").isEmpty()):
+        raise ValueError("the tables have different rows")
+    return df.drop(column).join(own, row_index)
+
+
 def levels(df: DataFrame, column: str, row_index: str) -> DataFrame:
     """Distinct values of a text or whole-number column with the row that shows each first: level, first_row."""
     return df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("level")).agg(F.min(row_index).alias("first_row"))

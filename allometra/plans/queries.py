@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,45 @@ def xyz_sql(digits: int = 5) -> str:
     return ", ".join(f"round({k}, {digits}) + 0 AS {k}" for k in XYZ)
 
 
+# Scans, factors and predicates
+
+
+_LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+
+
+def _scan_sql(frame: str) -> str:
+    return f"SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity) OVER (ORDER BY {', '.join(_LINE_ORDER)} ROWS BETWEEN UNBOUNDED PRECEDING AND {frame}), 0) AS running_sum FROM lineitem"
+
+
+def _lines(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(*_LINE_ORDER)
+
+
+@query(_scan_sql("CURRENT ROW"))
+def scan_inclusive(spark, sf_dir):
+    return st.scan(_lines(spark, sf_dir), _LINE_ORDER, "l_quantity").select("l_orderkey", "l_linenumber", "running_sum")
+
+
+@query(_scan_sql("1 PRECEDING"))
+def scan_exclusive(spark, sf_dir):
+    return st.scan(_lines(spark, sf_dir), _LINE_ORDER, "l_quantity", inclusive=False).select("l_orderkey", "l_linenumber", "running_sum")
+
+
+@query("""SELECT c_mktsegment AS level, count(*) AS n, 'segment' AS factor FROM customer GROUP BY 1 UNION ALL SELECT 'UNUSED', 0, 'segment'
+UNION ALL SELECT b, (SELECT count(*) FROM customer WHERE (c_acctbal > 1e9) = (b = 'true')), 'rich' FROM (VALUES ('false'), ('true')) AS t(b)""")
+def declared_levels(spark, sf_dir):
+    """Levels of a factor from its metadata, after a merge and a round trip through Parquet, and both Booleans."""
+    customer = table(spark, sf_dir, "customer")
+    names = ("UNUSED", *sorted(x.c_mktsegment for x in customer.select("c_mktsegment").distinct().collect()))
+    factors = t.declare(customer.select("c_custkey", F.col("c_mktsegment").alias("segment")), "segment", "factor", names)
+    merged = t.merge(customer.select("c_custkey", (F.col("c_acctbal") > 1e9).alias("rich")), factors, "c_custkey")
+    path = scratch_folder(spark)
+    merged.write.parquet(path)
+    stored = spark.read.parquet(path)
+    (factor,) = t.columns_of_role(stored, "factor")
+    return t.level_counts(stored, factor).withColumn("factor", F.lit(factor)).unionByName(t.level_counts(stored, "rich").withColumn("factor", F.lit("rich")))
+
+
 # Predicates and selections
 
 ORDER_COLUMNS = ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
@@ -317,6 +357,40 @@ def procrustes_raw_matrix(spark, sf_dir):
     return fits.distance_matrix(landmark_clouds(spark, sf_dir)).select("a_id", "b_id", r("distance").alias("distance"))
 
 
+_MOMENTS_SQL = ", ".join(f"covar_pop({a}, {b}) AS {a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz"))
+
+
+@query(f"""WITH {LANDMARKS_SQL}, m AS (SELECT label, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, {_MOMENTS_SQL} FROM lm GROUP BY label),
+s AS (SELECT *, (xx + yy + zz) / 3 AS q FROM m),
+t AS (SELECT *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy ** 2 + xz ** 2 + yz ** 2)) / 6) AS p FROM s),
+u AS (SELECT *, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p) AS h FROM t)
+SELECT label, n, round(cx, 5) + 0 AS cx, round(cy, 5) + 0 AS cy, round(cz, 5) + 0 AS cz, true AS is_unit, true AS is_eigen,
+round(sqrt(q + 2 * p * cos(acos(greatest(-1, least(1, h))) / 3 + 2 * pi() / 3)), 5) + 0 AS rms FROM u""")
+def best_plane_by_label(spark, sf_dir):
+    """Planes through all landmarks of a label; the normal is of unit length, and the points' variance along it is the least eigenvalue."""
+    lm = landmarks(spark, sf_dir)
+    planes = c.best_plane(lm, "label")
+    along = sum((F.col(k) - F.col(f"c{k}")) * F.col(f"n{k}") for k in XYZ)
+    seen = lm.join(F.broadcast(planes), "label").groupBy("label").agg(F.sqrt(F.avg(along * along)).alias("_seen"))
+    unit = F.abs(sum(F.col(f"n{k}") * F.col(f"n{k}") for k in XYZ) - 1) < 1e-9
+    out = planes.join(seen, "label")
+    return out.select("label", "n", *[r(f"c{k}").alias(f"c{k}") for k in XYZ], unit.alias("is_unit"), (F.abs(F.col("_seen") - F.col("rms")) < 1e-7).alias("is_eigen"), r("rms").alias("rms"))
+
+
+@query("SELECT vec_id AS cloud_id, 10::INT AS n_scores, true AS is_same FROM embeddings")
+def pca_scores_reloaded(spark, sf_dir):
+    """Scores by a model that was stored as keyed matrices and read again, beside the stored ones."""
+    path = scratch_folder(spark)
+    rows = landmark_clouds(spark, sf_dir)
+    model = fits.pca(rows, 10)
+    fits.model_matrices(spark, model, scores=fits.pca_scores(rows, model)).write.partitionBy("key").parquet(path)
+    stored = spark.read.schema(fits.MATRIX).parquet(path)
+    again, _ = fits.load_model(stored)
+    both = fits.pca_scores(rows, again).join(fits.matrix(stored, fits.SCORES).select(F.col("id").alias("cloud_id"), "values"), "cloud_id")
+    same = F.forall(F.arrays_zip("scores", "values"), lambda p: F.abs(p["scores"] - p["values"]) < 1e-12)
+    return both.select("cloud_id", F.size("scores").alias("n_scores"), same.alias("is_same"))
+
+
 def _masked(spark, sf_dir):
     """The landmarks, with every third of them forbidden in turn, and none allowed in every fiftieth cloud."""
     i = F.sequence(F.lit(0), F.lit(20))
@@ -368,23 +442,30 @@ def nearest_point(spark, sf_dir):
 # Meshes
 
 
-@query(f"WITH {FACES_SQL}, e AS (SELECT unnest([(least(i0, i1), greatest(i0, i1)), (least(i1, i2), greatest(i1, i2)), (least(i0, i2), greatest(i0, i2))]) AS e FROM faces),"
+def _order_faces(spark, sf_dir):
+    """Each order line as a triangle between its part, its supplier and its order."""
+    at = lambda key, k: (F.col(key) * 3 + k).cast("int").alias(f"i{k}")
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("face_id"), at("l_partkey", 0), at("l_suppkey", 1), at("l_orderkey", 2))
+
+
+_ORDER_FACES_SQL = "faces AS (SELECT (l_partkey * 3)::INT AS i0, (l_suppkey * 3 + 1)::INT AS i1, (l_orderkey * 3 + 2)::INT AS i2 FROM lineitem)"
+_RING_SQL = "ring AS (SELECT DISTINCT unnest([i0, i0, i1, i1, i2, i2]) AS v, unnest([i1, i2, i0, i2, i0, i1]) AS w FROM faces)"
+
+
+@query(f"WITH {_ORDER_FACES_SQL}, e AS (SELECT unnest([(least(i0, i1), greatest(i0, i1)), (least(i1, i2), greatest(i1, i2)), (least(i0, i2), greatest(i0, i2))]) AS e FROM faces),"
        " o AS (SELECT e FROM e GROUP BY e HAVING count(*) = 1) SELECT DISTINCT unnest([e[1], e[2]])::INT AS vertex_id FROM o")
 def mesh_boundary(spark, sf_dir):
-    return top.boundary(sheet_faces(spark))
+    return top.boundary(_order_faces(spark, sf_dir))
 
 
-@query(f"WITH {FACES_SQL}, k AS (SELECT unnest([i0, i1, i2]) AS v FROM faces) SELECT v::INT AS vertex_id, count(*) AS valence FROM k GROUP BY 1")
+@query(f"WITH {_ORDER_FACES_SQL}, k AS (SELECT unnest([i0, i1, i2]) AS v FROM faces) SELECT v::INT AS vertex_id, count(*) AS valence FROM k GROUP BY 1")
 def vertex_valence(spark, sf_dir):
-    return top.valence(sheet_faces(spark))
-
-
-_RING_SQL = "ring AS (SELECT DISTINCT unnest([i0, i0, i1, i1, i2, i2]) AS v, unnest([i1, i2, i0, i2, i0, i1]) AS w FROM faces)"
+    return top.valence(_order_faces(spark, sf_dir))
 
 
-@query(f"WITH {FACES_SQL}, {_RING_SQL} SELECT v::INT AS vertex_id, w::INT AS neighbour FROM ring")
+@query(f"WITH {_ORDER_FACES_SQL}, {_RING_SQL} SELECT v::INT AS vertex_id, w::INT AS neighbour FROM ring")
 def one_ring(spark, sf_dir):
-    return top.one_ring(sheet_faces(spark))
+    return top.one_ring(_order_faces(spark, sf_dir))
 
 
 @query(f"""WITH {FACES_SQL}, {_RING_SQL}, m AS (SELECT vec_id AS cloud_id, v, avg(w % 8) AS mx, avg(w // 8) AS my, avg(embedding[w + 1]::DOUBLE) AS mz, any_value(embedding[v + 1]::DOUBLE) AS z
@@ -718,6 +799,53 @@ def compare_groups_registered(spark, sf_dir):
 # What any right fit keeps to
 
 
+@query(f"""WITH {LANDMARKS_SQL}, d AS (
+    SELECT a.cloud_id AS a_id, b.cloud_id AS b_id, sum((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS squares, sum(a.x - b.x) AS dx, sum(a.y - b.y) AS dy, sum(a.z - b.z) AS dz
+    FROM lm AS a JOIN lm AS b ON a.vertex_id = b.vertex_id AND a.cloud_id <= b.cloud_id GROUP BY 1, 2)
+SELECT a_id, b_id, round(sqrt(greatest(0, (squares - (dx * dx + dy * dy + dz * dz) / 21) / 21)), 5) + 0 AS shifted, true AS shorter, a_id = b_id AS is_zero FROM d""")
+def procrustes_matrix_bounds(spark, sf_dir):
+    """Fitted distances beside those of the same pairs only shifted: never farther, and 0 just from a cloud to itself."""
+    clouds = landmark_clouds(spark, sf_dir)
+    both = fits.distance_matrix(clouds, align=True).join(fits.distance_matrix(clouds, align=True, turn=False).withColumnRenamed("distance", "shifted"), ["a_id", "b_id"])
+    return both.select("a_id", "b_id", r("shifted").alias("shifted"), (F.col("distance") <= F.col("shifted") + 1e-6).alias("shorter"), (F.col("distance") < 1e-5).alias("is_zero"))
+
+
+@query("SELECT vec_id AS cloud_id, 0.0::DOUBLE AS cx, 0.0::DOUBLE AS cy, 0.0::DOUBLE AS cz, 1.0::DOUBLE AS size, true AS is_nearest FROM embeddings")
+def gpa_invariants(spark, sf_dir):
+    """Fitted clouds lie around the origin with size 1, and none comes nearer to the mean by one more fit."""
+    result = fits.gpa(landmark_clouds(spark, sf_dir))
+    mean = fits._normalised(result.mean)
+    gap = lambda a: F.sqrt(F.aggregate(F.zip_with(a, F.array(*map(F.lit, mean.ravel().tolist())), lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda t, v: t + v))
+    again = fits.fit_to(result.fitted.select("cloud_id", "pos"), mean).select("cloud_id", F.col("pos").alias("_again"))
+    stats = c.cloud_stats(c.unpack(result.fitted.select("cloud_id", "pos")))
+    out = result.fitted.select("cloud_id", "pos").join(again, "cloud_id").join(stats, "cloud_id")
+    return out.select("cloud_id", *[r(f"centre_{k}").alias(f"c{k}") for k in XYZ], r("size").alias("size"), (gap("_again") >= gap("pos") - 1e-9).alias("is_nearest"))
+
+
+@query(f"WITH {LANDMARKS_SQL} SELECT cloud_id, vertex_id::INT AS vertex_id, {xyz_sql()}, true AS is_finite FROM lm WHERE (vertex_id + cloud_id) % 7 <> 0 UNION ALL"
+       " SELECT cloud_id, vertex_id::INT, NULL, NULL, NULL, true FROM lm WHERE (vertex_id + cloud_id) % 7 = 0")
+def impute_keeps_allowed(spark, sf_dir):
+    """Imputation leaves the vertices that are not rejected where they are, and gives the others a place."""
+    known = (F.col("vertex_id") + F.col("cloud_id")) % 7 != 0
+    finite = F.forall(F.array(*XYZ), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e6))
+    return c.unpack(impute(spark, sf_dir)).select("cloud_id", "vertex_id", *[F.when(known, r(k)).alias(k) for k in XYZ], finite.alias("is_finite"))
+
+
+@query("SELECT vec_id AS cloud_id, true AS is_closer, true AS is_registered FROM embeddings")
+def drift_moves_closer(spark, sf_dir):
+    """The registered template lies nearer to each cloud, vertex by nearest vertex, than the one at rest."""
+    clouds = sheet_clouds(spark, sf_dir)
+    start = fits.mean_of(clouds)
+    found = drift.register_all(clouds, start).join(clouds.select("cloud_id", F.col("pos").alias("_target")), "cloud_id")
+    point = lambda a, i: [F.get(a, i * 3 + k) for k in range(3)]
+    squares = lambda p, q: sum(((u - v) * (u - v) for u, v in zip(p, q)), F.lit(0.0))
+    each = F.sequence(F.lit(0), F.lit(63))
+    far = lambda a: F.aggregate(F.transform(each, lambda i: F.array_min(F.transform(each, lambda j: squares(point(a, j), point("_target", i))))), F.lit(0.0), lambda t, v: t + v)
+    rest = F.array(*map(F.lit, start.ravel().tolist()))
+    found = found.withColumn("_rest", rest)
+    return found.select("cloud_id", (far("pos") < far("_rest")).alias("is_closer"), (F.col("reason") != "numeric").alias("is_registered"))
+
+
 @query(f"""WITH {LANDMARKS_SQL}, m AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM lm)
 SELECT vec_id AS cloud_id, 0.0::DOUBLE AS skew, 1.0::DOUBLE AS turn, {', '.join(f'round(m.{k}, 5) + 0 AS centre_{k}' for k in XYZ)} FROM embeddings, m""")
 def opa_invariants(spark, sf_dir):
@@ -792,13 +920,38 @@ def chunked_round_trip(spark, sf_dir):
     return vertices.select(F.col("path").cast("long").alias("cloud_id"), "vertex_id", *[r(k).alias(k) for k in XYZ])
 
 
+@query(f"WITH {LANDMARKS_SQL} SELECT cloud_id, vertex_id::INT AS vertex_id, {xyz_sql()} FROM lm")
+def landmark_files_round_trip(spark, sf_dir):
+    path = scratch_folder(spark)
+    line = lambda i: F.concat_ws("\t", F.concat(F.lit("point "), i), *[F.get("pos", i * 3 + k).cast("string") for k in range(3)])
+    files = landmark_clouds(spark, sf_dir).select("cloud_id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(20)), line), "\n").alias("value"))
+    files.write.partitionBy("cloud_id").text(path)
+    vertices, _, _ = meshes.read_meshes(spark, path, "landmarks")
+    return vertices.select(F.regexp_extract("path", "cloud_id=([0-9]+)", 1).cast("long").alias("cloud_id"), "vertex_id", *[r(k).alias(k) for k in XYZ])
+
+
+@query(f"WITH {SHEETS_SQL} SELECT cloud_id, vertex_id::INT AS vertex_id, {xyz_sql()} FROM sh")
+def ply_round_trip(spark, sf_dir):
+    """Binary PLY made of the sheets, as columns of bytes, and read again."""
+    head = "ply\nformat binary_little_endian 1.0\nelement vertex 64\n" + "".join(f"property double {k}\n" for k in XYZ) + "end_header\n"
+
+    def encode(batches):
+        for batch in batches:
+            content = [head.encode() + pos.values.to_numpy(zero_copy_only=False).astype("<f8").tobytes() for pos in batch.column("pos")]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(content, pa.binary())], ["path", "content"])
+
+    files = sheet_clouds(spark, sf_dir).select(F.col("cloud_id").cast("string").alias("path"), "pos").mapInArrow(encode, "path string, content binary")
+    vertices, _, _ = meshes.from_bytes(files, "ply")
+    return vertices.select(F.col("path").cast("long").alias("cloud_id"), "vertex_id", *[r(k).alias(k) for k in XYZ])
+
+
 # Functions
 
 
-@query("SELECT r::INT AS row, [m] AS words FROM (SELECT r, sum(CASE WHEN (r >> b) & 1 = 1 THEN 3 * 4 ** b ELSE 0 END)::BIGINT AS m FROM range(0, 16) AS t(r), range(0, 4) AS u(b) GROUP BY r)")
+@query("SELECT c_custkey, [m] AS words FROM (SELECT c_custkey, sum(CASE WHEN (c_custkey >> b) & 1 = 1 THEN 3 * 4 ** b ELSE 0 END)::BIGINT AS m FROM customer, range(0, 16) AS u(b) GROUP BY c_custkey)")
 def bit_mask_pack(spark, sf_dir):
-    bits = F.array(*[F.col("id").bitwiseAND(1 << b) != 0 for b in range(4)])
-    return spark.range(16).select(F.col("id").cast("int").alias("row"), g.mask_words(bits, 2).alias("words"))
+    bits = F.array(*[F.col("c_custkey").bitwiseAND(1 << b) != 0 for b in range(16)])
+    return table(spark, sf_dir, "customer").select("c_custkey", g.mask_words(bits, 2).alias("words"))
 
 
 @query("SELECT l_orderkey, l_linenumber, (least(l_linenumber, l_quantity::INT)::BIGINT << 32) + greatest(l_linenumber, l_quantity::INT) AS edge FROM lineitem")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,24 +14,59 @@ ENTRY = "id long, name string, kind string, deps array<long>, payload string"
 
 
 def save_project(spark: SparkSession, path: str, tables: dict[str, DataFrame], entries: list[dict]) -> None:
-    """Every table as Parquet under its name, and the manifest: one row for each entry (id, name, kind, deps, table, and what it was made with)."""
+    """A new version of the project: every table as Parquet, then the manifest, one row for each entry (id, name, kind, deps, table, and what it was made with).
+
+    Tables go to a folder of their own; the version counts from the moment its manifest is renamed into place, which is one
+    step of the file system. A save that fails before leaves the project as it was, and so does one of two at the same time.
+    Columns' roles and levels are kept with the tables.
+    """
+    version, folder = (_latest(spark, path) or 0) + 1, f"tables/{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
-    rows = [(e["id"], e["name"], e["kind"], e.get("deps", []), json.dumps({k: v for k, v in e.items() if k not in ("id", "name", "kind", "deps")}, sort_keys=True)) for e in entries]
-    spark.createDataFrame(rows, ENTRY).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+        df.write.parquet(f"{path}/{folder}/{name}.parquet")
+    rows = []
+    for e in entries:
+        made_with = {k: v for k, v in e.items() if k not in ("id", "name", "kind", "deps")} | {"folder": folder}
+        rows.append((e["id"], e["name"], e["kind"], e.get("deps", []), json.dumps(made_with, sort_keys=True)))
+    waiting = f"{path}/{folder}/manifest"
+    spark.createDataFrame(rows, ENTRY).coalesce(1).write.json(waiting)
+    files, at = _file_system(spark, path)
+    files.mkdirs(at(f"{path}/manifests"))
+    if not files.rename(at(waiting), at(f"{path}/manifests/{version}")) or files.exists(at(f"{path}/manifests/{version}/manifest")):
+        raise OSError(f"version {version} of the project exists already")
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _latest(spark: SparkSession, path: str) -> int | None:
+    """The newest version of a project, None if there is none."""
+    files, at = _file_system(spark, path)
+    folder = at(f"{path}/manifests")
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return max((int(n) for n in names if n.isdecimal()), default=None)
 
 
 def entries(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """The manifest's entries, of one kind if asked for."""
-    found = spark.read.schema(ENTRY).json(f"{path}/manifest")
+    """The entries of the project's newest manifest, of one kind if asked for."""
+    version = _latest(spark, path)
+    if version is None:
+        raise ValueError(f"no project at {path}")
+    found = spark.read.schema(ENTRY).json(f"{path}/manifests/{version}")
     return found if kind is None else found.where(F.col("kind") == kind)
 
 
+def _table(spark: SparkSession, path: str, payload: str) -> DataFrame:
+    facts = json.loads(payload)
+    return spark.read.parquet(f"{path}/{facts['folder']}/{facts['table']}.parquet")
+
+
 def entry_table(spark: SparkSession, path: str, entry_id: int) -> DataFrame:
     row = entries(spark, path).where(F.col("id") == entry_id).first()
     if row is None:
         raise ValueError(f"no entry {entry_id}")
-    return spark.read.parquet(f"{path}/{json.loads(row.payload)['table']}.parquet")
+    return _table(spark, path, row.payload)
 
 
 def full_table(spark: SparkSession, path: str, entry_id: int) -> DataFrame:
@@ -42,7 +78,7 @@ def full_table(spark: SparkSession, path: str, entry_id: int) -> DataFrame:
 
 def columns_of(spark: SparkSession, path: str) -> DataFrame:
     """entry_id, entry, column and type of every column of every table of the project."""
-    rows = [(r.id, r.name, f.name, f.dataType.simpleString()) for r in entries(spark, path).collect() for f in spark.read.parquet(f"{path}/{json.loads(r.payload)['table']}.parquet").schema]
+    rows = [(r.id, r.name, f.name, f.dataType.simpleString()) for r in entries(spark, path).collect() for f in _table(spark, path, r.payload).schema]
     return spark.createDataFrame(rows, "entry_id long, entry string, column string, type string")
 
 
@@ -70,6 +106,12 @@ def cube(spark: SparkSession, side: float = 2.0) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def double_point(spark: SparkSession, offset: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """vertices (cloud_id 0) of two points on either side of the origin, and no faces."""
+    rows = [(0, 0, -offset, 0.0, 0.0), (0, 1, offset, 0.0, 0.0)]
+    return spark.createDataFrame(rows, "cloud_id long, vertex_id int, x double, y double, z double"), spark.createDataFrame([], "face_id int, i0 int, i1 int, i2 int")
+
+
 def icosahedron(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """vertices (cloud_id 0) and faces of an icosahedron of edge 2: three golden rectangles, and the triples of corners at that distance."""
     golden = (1 + 5**0.5) / 2

@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from allometra.sources import text
+from allometra.sources.scratch import written
+
 XYZ = ("x", "y", "z")
 NORMAL = ("nx", "ny", "nz")
 _VERTEX = "path string, vertex_id int, x double, y double, z double, nx double, ny double, nz double"
@@ -48,7 +51,7 @@ def read_obj(spark: SparkSession, path: str, unshared: bool = False) -> tuple[Da
     broken = lambda rows: F.exists(rows, lambda r: (F.size(r) != 3) | F.exists(r, lambda x: x.isNull()))
     outside = F.exists("f", lambda f: (F.size(f) != 3) | F.exists(f, lambda c: F.coalesce((c[0] < 1) | (c[0] > F.size("v")), F.lit(True))))
     message = F.when(F.size("odd") > 0, F.concat(F.lit("unknown line: "), F.get("odd", F.lit(0)))).when(broken("v") | broken("n"), "not three numbers").when(outside, "a corner names no vertex")
-    judged = parsed.withColumn("message", message)
+    judged = written(parsed.withColumn("message", message))  # read and parsed once for all three tables
     good = judged.where("message IS NULL")
     errors = judged.where("message IS NOT NULL").select("path", "message")
     if not unshared:
@@ -66,29 +69,36 @@ def read_obj(spark: SparkSession, path: str, unshared: bool = False) -> tuple[Da
 # Binary files: parse(bytes) gives vertices (n, 6; normals may be NaN) and faces (m, 3), or raises ValueError
 
 
+_PARTS = f"kind string, {_VERTEX}, face_id int, i0 int, i1 int, i2 int, message string"
+_PARTS_ARROW = pa.schema(
+    [("kind", pa.string()), ("path", pa.string()), ("vertex_id", pa.int32()), *((n, pa.float64()) for n in (*XYZ, *NORMAL)), *((n, pa.int32()) for n in ("face_id", "i0", "i1", "i2")), ("message", pa.string())]
+)
+
+
+def _rows(kind: str, path: str, n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    columns |= {"kind": pa.array([kind] * n, pa.string()), "path": pa.array([path] * n, pa.string())}
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _PARTS_ARROW], schema=_PARTS_ARROW)
+
+
 def _parsed(files: DataFrame, parse: Callable[[bytes], tuple[np.ndarray, np.ndarray]]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    def rows(want: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                    message = None
-                    try:
-                        vertices, faces = parse(content.as_py() or b"")
-                    except (ValueError, struct.error) as error:
-                        message, vertices, faces = str(error), np.zeros((0, 6)), np.zeros((0, 3), dtype=np.int32)
-                    if want == "errors":
-                        found, names = [pa.array([message][: message is not None], pa.string())], ["message"]
-                    elif want == "faces":
-                        found, names = [pa.array(np.arange(len(faces), dtype=np.int32)), *(pa.array(np.ascontiguousarray(f), pa.int32()) for f in faces.T)], ["face_id", "i0", "i1", "i2"]
-                    else:
-                        found = [pa.array(np.arange(len(vertices), dtype=np.int32)), *(pa.array(np.ascontiguousarray(v), pa.float64(), mask=np.isnan(v)) for v in vertices.T)]
-                        names = ["vertex_id", *XYZ, *NORMAL]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(found[0]), pa.string()), *found], ["path", *names])
-
-        return run
-
-    own = files.select("path", "content")
-    return own.mapInArrow(rows("vertices"), _VERTEX), own.mapInArrow(rows("faces"), _FACE), own.mapInArrow(rows("errors"), "path string, message string")
+    """vertices, faces and errors of files, each read and parsed once: the parts are written by kind, and a table reads its own kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    vertices, faces = parse(content.as_py() or b"")
+                except (ValueError, struct.error) as error:
+                    yield _rows("error", path, 1, {"message": pa.array([str(error)])})
+                    continue
+                places = {c: pa.array(np.ascontiguousarray(v), pa.float64(), mask=np.isnan(v)) for c, v in zip((*XYZ, *NORMAL), vertices.T)}
+                yield _rows("vertex", path, len(vertices), {"vertex_id": pa.array(np.arange(len(vertices), dtype=np.int32)), **places})
+                ends = {f"i{k}": pa.array(np.ascontiguousarray(f), pa.int32()) for k, f in enumerate(faces.T)}
+                yield _rows("face", path, len(faces), {"face_id": pa.array(np.arange(len(faces), dtype=np.int32)), **ends})
+
+    parts = written(files.select("path", "content").mapInArrow(run, _PARTS), "kind")
+    of = lambda kind, *names: parts.where(F.col("kind") == kind).select("path", *names)
+    return of("vertex", "vertex_id", *XYZ, *NORMAL), of("face", "face_id", "i0", "i1", "i2"), of("error", "message")
 
 
 # Sizes of PLY's number types.
@@ -215,9 +225,30 @@ def read_chunked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return _parsed(spark.read.format("binaryFile").load(path), parse_chunked)
 
 
+#: Parsers of binary formats by name; a further format is one more entry.
+PARSERS: dict[str, Callable[[bytes], tuple[np.ndarray, np.ndarray]]] = {"ply": parse_ply, "chunked": parse_chunked}
+
+
 def from_bytes(files: DataFrame, form: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """vertices, faces and errors of files that are rows already (path, content): ``ply`` or ``chunked``."""
-    return _parsed(files, {"ply": parse_ply, "chunked": parse_chunked}[form])
+    """vertices, faces and errors of files that are rows already (path, content), of a format in ``PARSERS``."""
+    return _parsed(files, PARSERS[form])
+
+
+def read_meshes(spark: SparkSession, path: str, form: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """vertices (path, vertex_id, x, y, z, nx, ny, nz), faces (path, face_id, i0, i1, i2) and errors (path, message) of the files of one format.
+
+    ``form``: obj, landmarks, or one of ``PARSERS``. Spark's own readers open the files, wherever they lie, so paths may be
+    in any store that Spark reaches. An unknown format is an error.
+    """
+    if form == "obj":
+        return read_obj(spark, path)
+    if form == "landmarks":
+        vertices, errors = text.read_landmarks(spark, path)
+        nothing = [F.lit(None).cast("double").alias(c) for c in NORMAL]
+        return vertices.select("path", "vertex_id", *XYZ, *nothing), spark.createDataFrame([], _FACE), errors
+    if form not in PARSERS:
+        raise ValueError(f"no format {form}")
+    return _parsed(spark.read.format("binaryFile").load(path), PARSERS[form])
 
 
 def to_chunked(meshes: DataFrame, faces: np.ndarray | None = None, encoding: int = FLOAT) -> DataFrame:

@@ -17,8 +17,8 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in a scratch folder, read again: nothing is computed twice, whatever executors are lost."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` as Parquet in a scratch folder, in folders by the values of ``by``, read again: nothing is computed twice, whatever executors are lost."""
     path = scratch_folder(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from allometra.operators import clouds, topology
+from allometra.operators import clouds, table, topology
 from allometra.sources import catalog, meshes, text
 
 
@@ -149,3 +149,32 @@ def test_empty_cloud_in_fixed_point():
     content = meshes.compose_chunked([(meshes.POSITION, meshes.FIXED, np.zeros((0, 3)))])
     vertices, faces = meshes.parse_chunked(content)
     assert len(vertices) == 0 and len(faces) == 0
+
+
+def test_a_failed_save_leaves_the_project(spark, tmp_path):
+    path, entry = str(tmp_path / "p"), {"id": 1, "name": "specimens", "kind": "specimens", "table": "base"}
+    old = table.declare(spark.createDataFrame([(0, "a"), (1, "b")], "row_index long, sex string"), "sex", "factor", ["b", "a", "c"])
+    catalog.save_project(spark, path, {"base": old}, [entry])
+    broken = spark.createDataFrame([(0, "x")], "row_index long, sex string").withColumn("sex", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        catalog.save_project(spark, path, {"base": old.where("row_index = 0"), "other": broken}, [entry])
+    found = catalog.entry_table(spark, path, 1)
+    assert found.count() == 2 and table.declared_levels(found, "sex") == ["b", "a", "c"] and table.columns_of_role(found, "factor", "mesh") == ["sex"]
+    catalog.save_project(spark, path, {"base": old.where("row_index = 0")}, [entry])
+    assert catalog.entry_table(spark, path, 1).count() == 1
+    with pytest.raises(ValueError):
+        catalog.entries(spark, str(tmp_path / "nothing"))
+
+
+def test_formats_by_name(spark, tmp_path):
+    (tmp_path / "a.chunked").write_bytes(meshes.compose_chunked([(meshes.POSITION, meshes.FLOAT, np.eye(3)), (meshes.INDICES, meshes.TRIPLES, np.array([[0, 1, 2]]))]))
+    (tmp_path / "b.chunked").write_bytes(b"broken")
+    vertices, faces, errors = meshes.read_meshes(spark, str(tmp_path), "chunked")
+    assert [tuple(r)[2:5] for r in vertices.orderBy("vertex_id").collect()] == [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    assert [tuple(r)[2:] for r in faces.collect()] == [(0, 1, 2)] and errors.count() == 1
+    (tmp_path / "marks").mkdir()
+    (tmp_path / "marks" / "m.txt").write_text("a\t1\t2\t3\nb\t4\t5\t6\n")
+    vertices, faces, _ = meshes.read_meshes(spark, str(tmp_path / "marks"), "landmarks")
+    assert vertices.count() == 2 and faces.isEmpty()
+    with pytest.raises(ValueError):
+        meshes.read_meshes(spark, str(tmp_path), "stl")
