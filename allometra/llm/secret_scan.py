@@ -154,6 +154,27 @@ def _entropy_spans(candidate: Column) -> Column:
     return F.transform(merged, lambda s: F.struct(s["start"].alias("start"), F.when(is_hex, KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_base64")).alias("rank"), kind.alias("kind"), s["end"].alias("end")))
 
 
+def _marks(base: Column, spans: Column, at, before: bool, test) -> Column:
+    """'1' or '0' for each span, in order: ``test`` of the farthest end among the base spans that start before ``at`` of the span, and of the span.
+
+    ``spans`` are in order of ``at``; ``before`` counts base spans that start just there, too. Both arrays are walked once,
+    merged by place.
+    """
+    events = F.sort_array(
+        F.concat(
+            F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("order"), F.lit(0).alias("start"), b["end"].alias("end"))),
+            F.transform(spans, lambda s: F.struct(at(s).alias("at"), F.lit(2 if before else 0).alias("order"), s["start"].alias("start"), s["end"].alias("end"))),
+        )
+    )
+
+    def step(acc: Column, e: Column) -> Column:
+        is_base = e["order"] == 1
+        mark = F.when(is_base, "").when(test(acc["reach"], e), "1").otherwise("0")
+        return F.struct(F.when(is_base, F.greatest(acc["reach"], e["end"])).otherwise(acc["reach"]).alias("reach"), F.concat(acc["marks"], mark).alias("marks"))
+
+    return F.aggregate(events, F.struct(F.lit(-1).alias("reach"), F.lit("").alias("marks")), step, lambda acc: F.split(acc["marks"], ""))
+
+
 def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -185,11 +206,19 @@ def find_secrets(documents: DataFrame, allow: Sequence[str] = ALLOW) -> DataFram
         plain = run["detail"].rlike("[0-9]") & run["detail"].rlike("[A-Za-z]")
         for pattern in allow:
             plain = plain & ~run["detail"].rlike(pattern)
-        return plain & ~F.exists("base", lambda b: (b["start"] <= run["start"]) & (run["end"] <= b["end"]))
+        return plain
+
+    base, runs = F.col("base"), F.col("_runs")
+    inside = _marks(base, runs, lambda s: s["start"], True, lambda reach, s: reach >= s["end"])
+    own = let(inside, lambda marks: F.filter(runs, lambda run, i: suspicious(run) & (F.get(marks, i) == "0")))
+    added = let(F.flatten(F.transform(own, _entropy_spans)), lambda found: _apart(base, found))
+    return df.select("doc_id", "base", F.when(F.size("_runs") > 0, added).otherwise(none).alias("added"))
+
 
-    added = F.flatten(F.transform(F.filter("_runs", suspicious), _entropy_spans))
-    apart = F.filter(added, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return df.select("doc_id", "base", F.when(F.size("_runs") > 0, apart).otherwise(none).alias("added"))
+def _apart(base: Column, spans: Column) -> Column:
+    """The spans, in order, that overlap no base span."""
+    meets = _marks(base, spans, lambda s: s["end"], False, lambda reach, s: reach > s["start"])
+    return let(meets, lambda marks: F.filter(spans, lambda s, i: F.get(marks, i) == "0"))
 
 
 def secret_report(documents: DataFrame, allow: Sequence[str] = ALLOW) -> DataFrame:
