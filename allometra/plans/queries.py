@@ -831,19 +831,18 @@ def impute_keeps_allowed(spark, sf_dir):
     return c.unpack(impute(spark, sf_dir)).select("cloud_id", "vertex_id", *[F.when(known, r(k)).alias(k) for k in XYZ], finite.alias("is_finite"))
 
 
-@query("SELECT vec_id AS cloud_id, true AS is_closer, true AS is_registered FROM embeddings")
-def drift_moves_closer(spark, sf_dir):
-    """The registered template lies nearer to each cloud, vertex by nearest vertex, than the one at rest."""
+@query(f"""WITH {SHEETS_SQL}, m AS (SELECT vertex_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM sh GROUP BY 1), t AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(x * x + y * y + z * z) AS s FROM m),
+p AS (SELECT cloud_id, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(x * x + y * y + z * z) AS s FROM sh GROUP BY 1)
+SELECT cloud_id, round((p.s + t.s - 2 * (p.x * t.x + p.y * t.y + p.z * t.z)) / 3, 5) + 0 AS first_sigma2, true AS falls, true AS is_registered FROM p, t""")
+def drift_variance(spark, sf_dir):
+    """The variance that a registration starts with, and that it ends with a smaller one."""
     clouds = sheet_clouds(spark, sf_dir)
     start = fits.mean_of(clouds)
-    found = drift.register_all(clouds, start).join(clouds.select("cloud_id", F.col("pos").alias("_target")), "cloud_id")
-    point = lambda a, i: [F.get(a, i * 3 + k) for k in range(3)]
-    squares = lambda p, q: sum(((u - v) * (u - v) for u, v in zip(p, q)), F.lit(0.0))
-    each = F.sequence(F.lit(0), F.lit(63))
-    far = lambda a: F.aggregate(F.transform(each, lambda i: F.array_min(F.transform(each, lambda j: squares(point(a, j), point("_target", i))))), F.lit(0.0), lambda t, v: t + v)
-    rest = F.array(*map(F.lit, start.ravel().tolist()))
-    found = found.withColumn("_rest", rest)
-    return found.select("cloud_id", (far("pos") < far("_rest")).alias("is_closer"), (F.col("reason") != "numeric").alias("is_registered"))
+    centre, size = fits.centre_and_size(start)
+    stats = c.cloud_stats(c.unpack(clouds))
+    first = (F.col("size") * F.col("size") + size**2 + sum((F.col(f"centre_{k}") - float(v)) * (F.col(f"centre_{k}") - float(v)) for k, v in zip(XYZ, centre))) / 3
+    found = drift.register_all(clouds, start).join(stats.select("cloud_id", first.alias("_first")), "cloud_id")
+    return found.select("cloud_id", r("_first").alias("first_sigma2"), (F.col("sigma2") < F.col("_first")).alias("falls"), (F.col("reason") != "numeric").alias("is_registered"))
 
 
 @query(f"""WITH {LANDMARKS_SQL}, m AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM lm)
