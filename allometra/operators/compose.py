@@ -228,6 +228,45 @@ def compare_groups(a: DataFrame, b: DataFrame, faces: DataFrame, field: str = "v
     return values.withColumn("rms", F.lit(rms))
 
 
+# Meshes to look at
+
+
+def as_mesh(clouds: DataFrame, faces: DataFrame, robust: bool = False) -> DataFrame:
+    """Packed clouds with the faces of a mesh as vertices with normals: cloud_id, vertex_id, x, y, z, nx, ny, nz; loose vertices have no normal."""
+    normals = topology.normals(c.face_areas(clouds, faces), robust=robust)
+    return c.unpack(clouds).join(normals, ["cloud_id", "vertex_id"], "left")
+
+
+def _one(spark, points: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({"cloud_id": [0], "pos": pa.array([points.ravel()], _DOUBLES)}))
+
+
+def mean_mesh(clouds: DataFrame, faces: DataFrame, robust: bool = False) -> DataFrame:
+    """The mean of packed clouds as a mesh with normals."""
+    return as_mesh(_one(clouds.sparkSession, fits.mean_of(clouds)), faces, robust).drop("cloud_id")
+
+
+def synthesise(model: fits.PcaModel, faces: DataFrame, scores: dict[int, float]) -> DataFrame:
+    """The shape at some scores by component number (from 0), the others 0, as a mesh with normals."""
+    place = np.zeros(len(model.components))
+    for k, v in scores.items():
+        place[k] = v
+    return as_mesh(_one(faces.sparkSession, model.predict(place)), faces).drop("cloud_id")
+
+
+def diagnostics(found: DataFrame, faces: DataFrame, field: str = "rejection") -> DataFrame:
+    """The mean mesh of what ``correspond`` found with a value for each vertex: the share of clouds that reject it, or its number over the greatest."""
+    rows = found.where("pos IS NOT NULL").select("cloud_id", "pos", "rejected")
+    mesh = mean_mesh(rows, faces)
+    if field == "index":
+        last = mesh.agg(F.max("vertex_id")).first()[0]
+        return mesh.withColumn("value", F.col("vertex_id") / F.lit(max(1, last or 1)))
+    if field != "rejection":
+        raise ValueError(f"no field {field}")
+    rates = rows.select(F.posexplode("rejected").alias("vertex_id", "_bad")).groupBy("vertex_id").agg(F.avg(F.col("_bad").cast("double")).alias("value"))
+    return mesh.join(rates, "vertex_id", "left").fillna(0.0, ["value"])
+
+
 # Repeated measurements, vertex by vertex
 
 

@@ -20,7 +20,7 @@ def save_project(spark: SparkSession, path: str, tables: dict[str, DataFrame], e
     step of the file system. A save that fails before leaves the project as it was, and so does one of two at the same time.
     Columns' roles and levels are kept with the tables.
     """
-    version, folder = (_latest(spark, path) or 0) + 1, f"tables/{uuid.uuid4().hex}"
+    version, folder = (latest(spark, path) or 0) + 1, f"tables/{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{path}/{folder}/{name}.parquet")
     rows = []
@@ -40,7 +40,7 @@ def _file_system(spark: SparkSession, path: str):
     return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _latest(spark: SparkSession, path: str) -> int | None:
+def latest(spark: SparkSession, path: str) -> int | None:
     """The newest version of a project, None if there is none."""
     files, at = _file_system(spark, path)
     folder = at(f"{path}/manifests")
@@ -50,7 +50,7 @@ def _latest(spark: SparkSession, path: str) -> int | None:
 
 def entries(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """The entries of the project's newest manifest, of one kind if asked for."""
-    version = _latest(spark, path)
+    version = latest(spark, path)
     if version is None:
         raise ValueError(f"no project at {path}")
     found = spark.read.schema(ENTRY).json(f"{path}/manifests/{version}")
@@ -76,6 +76,32 @@ def full_table(spark: SparkSession, path: str, entry_id: int) -> DataFrame:
     return merge(own, entry_table(spark, path, row.deps[0])) if row and row.deps else own
 
 
+def summary(spark: SparkSession, path: str, entry_id: int) -> DataFrame:
+    """A report on an entry: place, section, key and value, from its manifest row and its table.
+
+    Sections: entry (id, name, kind, what it depends on), settings (all it was made with, nested ones by dotted names), table
+    (rows and columns), and, where the table has a column ``status``, how many rows ended in each.
+    """
+    row = entries(spark, path).where(F.col("id") == entry_id).first()
+    if row is None:
+        raise ValueError(f"no entry {entry_id}")
+    facts, table = json.loads(row.payload), _table(spark, path, row.payload)
+    said = [("entry", "id", row.id), ("entry", "name", row.name), ("entry", "kind", row.kind), ("entry", "depends on", ", ".join(f"#{d}" for d in row.deps))]
+
+    def settings(value: object, name: str) -> None:
+        if isinstance(value, dict) and value:
+            for k in sorted(value):
+                settings(value[k], f"{name}.{k}" if name else k)
+        else:
+            said.append(("settings", name, "none" if value is None else str(value)))
+
+    settings({k: v for k, v in facts.items() if k not in ("folder", "table")}, "")
+    said += [("table", "rows", table.count()), ("table", "columns", ", ".join(table.columns))]
+    if "status" in table.columns:
+        said += [("status", str(r.status), r["n"]) for r in table.groupBy("status").agg(F.count(F.lit(1)).alias("n")).orderBy("status").collect()]
+    return spark.createDataFrame([(k, s, n, str(v)) for k, (s, n, v) in enumerate(said)], "place int, section string, key string, value string")
+
+
 def columns_of(spark: SparkSession, path: str) -> DataFrame:
     """entry_id, entry, column and type of every column of every table of the project."""
     rows = [(r.id, r.name, f.name, f.dataType.simpleString()) for r in entries(spark, path).collect() for f in _table(spark, path, r.payload).schema]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from allometra.functions import geometry as g
 from allometra.operators import clouds, compose, fits, statistics, table, topology
+from allometra.plans.bindings import sheet_faces
 
 XYZ = "x double, y double, z double"
 
@@ -131,3 +132,16 @@ def test_repeated_measurements(spark):
     assert compose.repeated_measurements(rows, points, "regression", "id", "row_index").first().x == pytest.approx(1.0)
     with pytest.raises(ValueError):
         compose.repeated_measurements(rows, points, "median", "id", "row_index")
+
+
+def test_meshes_to_look_at(spark):
+    faces = sheet_faces(spark)
+    flat = np.stack([np.arange(64) % 8, np.arange(64) // 8, np.zeros(64)], axis=1).astype(float)
+    rows = [(0, flat.ravel().tolist(), [k == 3 for k in range(64)]), (1, (flat + [0, 0, 2.0]).ravel().tolist(), [False] * 64), (2, None, None)]
+    found = spark.createDataFrame(rows, "cloud_id long, pos array<double>, rejected array<boolean>")
+    mesh = {r.vertex_id: r for r in compose.diagnostics(found, faces).collect()}
+    assert len(mesh) == 64 and all(r.z == 1.0 and (r.nx, r.ny, abs(r.nz)) == (0.0, 0.0, 1.0) for r in mesh.values())
+    assert mesh[3].value == 0.5 and mesh[4].value == 0.0
+    assert {r.value for r in compose.diagnostics(found, faces, "index").where("vertex_id IN (0, 63)").collect()} == {0.0, 1.0}
+    model = fits.PcaModel(flat.ravel(), np.stack([np.tile([0, 0, 1.0], 64), np.tile([1.0, 0, 0], 64)]), np.ones(2))
+    assert {(r.z, r.x - flat[r.vertex_id][0]) for r in compose.synthesise(model, faces, {0: 3.0, 1: -1.0}).collect()} == {(3.0, -1.0)}

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from allometra import cli
 from allometra.operators import clouds, table, topology
 from allometra.sources import catalog, meshes, text
 
@@ -178,3 +179,19 @@ def test_formats_by_name(spark, tmp_path):
     assert vertices.count() == 2 and faces.isEmpty()
     with pytest.raises(ValueError):
         meshes.read_meshes(spark, str(tmp_path), "stl")
+
+
+def test_command_line(spark, tmp_path):
+    path, said = str(tmp_path / "p"), []
+    base = spark.createDataFrame([(0, "a"), (1, "b")], "row_index long, name string")
+    found = spark.createDataFrame([(0, "ok"), (1, "broken mesh")], "row_index long, status string")
+    entries = [{"id": 1, "name": "people", "kind": "specimens", "table": "base"}, {"id": 2, "name": "fit", "kind": "correspondence", "deps": [1], "table": "found", "options": {"low": 0.25, "fence": None}}]
+    catalog.save_project(spark, path, {"base": base, "found": found}, entries)
+    cli.run(spark, ["-o", path, "-i", "--list", "kind=correspondence", "-r", "2", "-e", "2", str(tmp_path / "out"), "separator=;"], said.append)
+    assert said[0].endswith("version 1") and said[1:4] == ["correspondence\t1", "specimens\t1", "2\tcorrespondence\tfit\t1"]
+    assert {"settings\toptions.fence\tnone", "settings\toptions.low\t0.25", "table\trows\t2", "status\tbroken mesh\t1", "entry\tdepends on\t#1"} <= set(said)
+    rows = text.read_delimited(spark, str(tmp_path / "out"), ";").collect()
+    assert ["0", "ok", "a"] in [r.cells for r in rows]
+    for wrong in (["-x"], ["lost"], ["-l"], ["-o", str(tmp_path / "none")], ["-o", path, "-r"], ["-o", path, "-r", "9"]):
+        with pytest.raises(ValueError):
+            cli.run(spark, wrong, said.append)
