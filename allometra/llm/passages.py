@@ -23,9 +23,8 @@ PASSAGE = 50
 SEED = 20
 #: A bitmap of 16 MB.
 SEED_BITS = 27
-#: Windows of a stretch are numbered in so many bits; a longer one goes on in the next row.
+#: Windows of a stretch are numbered in so many bits; a longer one goes on in the next row. Rows are numbered in the other 43.
 _PLACE_BITS = 20
-_ROW_BITS = 29
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -148,23 +147,48 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in open_run.T], ["code", "first", "windows"])
 
 
+def _periods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs that follow each other with the same first, as a text with a short period has them, as one."""
+    held = np.zeros((0, 3), dtype=np.int64)
+    for batch in _runs(batches):
+        rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+        if not len(rows):
+            continue
+        code, first, windows = rows.T
+        # A first itself, which has its own place, stays a run of its own.
+        begins = np.flatnonzero(np.append(True, (code[1:] != code[:-1] + windows[:-1]) | (first[1:] != first[:-1]) | (code[:-1] == first[:-1])))
+        rows = np.stack([code[begins], first[begins], np.add.reduceat(windows, begins)], axis=1)
+        held = rows[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[:-1].T], ["code", "first", "windows"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in held.T], ["code", "first", "windows"])
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` written in their order, with ``row``, their number in it; the driver sees one count a partition."""
+    rows = materialise(rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    before, total = [], 0
+    for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
+        before.append((r["_part"], total))
+        total += r["n"]
+    offsets = rows.sparkSession.createDataFrame(before, "_part int, _before long")
+    return rows.join(F.broadcast(offsets), "_part").withColumn("row", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def repeated_passages(documents: DataFrame, size: int = PASSAGE, seed: int = SEED) -> DataFrame:
     """One row for each run of words whose windows of ``size`` words all recur, with the place of their first occurrence.
 
     Returns doc_id, text_id (hash of the text), paragraph (line in which it begins), first_word (from 0), n_words,
     component_doc, component_paragraph, component_word and removed (false where it is the first itself). The first is
     that of the least doc_id, null ids last. All runs of ``size`` words or more that recur are found, also within one
-    text; words are compared in lower case, and white space of any kind parts them.
+    text; words are compared in lower case, and white space of any kind parts them. A run that goes on from its own first, as
+    in a text with a short period, is one row and begins where the first ends.
     """
-    found = _stretches(documents, size, seed)
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_id"), F.col("first_word")]
-    row = F.monotonically_increasing_id()
-    row = F.shiftleft(F.shiftright(row, 33), _ROW_BITS).bitwiseOR(row.bitwiseAND((1 << 33) - 1))
-    found = materialise(found.orderBy(*order).withColumn("row", row))
+    found = _numbered(_stretches(documents, size, seed).orderBy(*order))
     windows = found.select("row", F.posexplode("keys").alias("pos", "key")).select("key", F.shiftleft("row", _PLACE_BITS).bitwiseOR(F.col("pos").cast("long")).alias("code"))
     firsts = windows.repartition("key").sortWithinPartitions("key", "code").mapInArrow(_with_firsts, "code long, first long")
     firsts = firsts.repartition(F.shiftright("code", _PLACE_BITS)).sortWithinPartitions("code")
-    runs = firsts.mapInArrow(_runs, "code long, first long, windows long")
+    runs = firsts.mapInArrow(_periods, "code long, first long, windows long")
     places = found.select("row", "doc_id", "text_id", "first_word", "paragraph", "breaks")
 
     def placed(df: DataFrame, code: str, names: dict[str, str]) -> DataFrame:
@@ -173,10 +197,15 @@ def repeated_passages(documents: DataFrame, size: int = PASSAGE, seed: int = SEE
         df = df.withColumn("paragraph", F.col("paragraph") + F.size(F.filter("breaks", lambda x: x <= F.col("_word")))).drop("row", "first_word", "breaks")
         return df.withColumnsRenamed(names)
 
+    # What overlaps its own first, in the same stretch, begins after it: a first has as many windows as it is ahead, or all of the run.
+    ahead = F.col("code") - F.col("first")
+    near = (F.shiftright("code", _PLACE_BITS) == F.shiftright("first", _PLACE_BITS)) & (ahead > 0)
+    cut = F.when(near, F.greatest(F.lit(0), F.least(ahead, F.col("windows")) + (size - 1) - ahead)).otherwise(0)
+    runs = runs.withColumn("words", F.col("windows") + (size - 1) - cut).withColumn("code", F.col("code") + cut).drop("windows").where("words > 0")
     out = placed(runs, "first", {"doc_id": "component_doc", "text_id": "_text", "paragraph": "component_paragraph", "_word": "component_word"})
     out = placed(out, "code", {"_word": "first_word"})
     same = F.col("doc_id").eqNullSafe(F.col("component_doc")) & (F.col("text_id") == F.col("_text")) & (F.col("first_word") == F.col("component_word"))
-    n_words = (F.col("windows") + (size - 1)).cast("int").alias("n_words")
+    n_words = F.col("words").cast("int").alias("n_words")
     return out.select("doc_id", "text_id", "paragraph", "first_word", n_words, "component_doc", "component_paragraph", "component_word", (~same).alias("removed"))
 
 

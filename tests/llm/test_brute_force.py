@@ -199,6 +199,20 @@ def test_packs_are_full(spark, sf_dir):
     assert twice == 2 * once
 
 
+def test_firsts_of_periodic_texts_stay(spark):
+    """A first is never cut, a period makes one row, and what follows it goes."""
+    period = " ".join(f"p{i}" for i in range(10))
+    texts = [f"a b {' '.join([period] * 10)}", "x " * 300, f"{' '.join([period] * 6)} end", "q r s"]
+    df = documents(spark, texts)
+    rows = sorted((r.doc_id, r.first_word, r.n_words, r.component_doc, r.component_word, r.removed) for r in paragraph_dedup.repeated_passages(df).collect())
+    assert rows == [(0, 2, 59, 0, 2, False), (0, 61, 41, 0, 2, True), (1, 0, 50, 1, 0, False), (1, 50, 250, 1, 0, True), (2, 0, 60, 0, 2, True)]
+    lines = paragraph_dedup.remove_repeats(df.withColumn("text", F.concat("text", F.lit("")))).collect()
+    kept = {r.doc_id: (r.text or "").split() for r in lines}
+    assert kept[0] == texts[0].split()[:61] and kept[1] == ["x"] * 50 and kept[2] == ["end"] and kept[3] == texts[3].split()
+    twice = paragraph_dedup.repeated_passages(df.union(df).withColumn("doc_id", F.lit(7))).collect()
+    assert len(twice) >= len(rows) and paragraph_dedup.repeated_passages(df.limit(0)).isEmpty()
+
+
 CLASHES = "place keys grp hub_rank id n sig set_digest paragraph component copies words grams text_id first_word slot block rank size target quota begin end".split()
 HIDDEN = "_text _row _words _key _source _slots _first _lines _runs _id _own _place _size _hashes".split()
 
