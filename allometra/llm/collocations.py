@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from allometra.llm.common import materialise
 from allometra.llm.shingles import mix
 from allometra.llm.sketch import Cells, Survivors, merge
-from allometra.llm.tokens import Vocabulary, byte_table, raw_texts, salted, stretches, tally
+from allometra.llm.tokens import Vocabulary, WordHashes, byte_table, raw_texts, stretches, tally
 
 LEAST = 100
 LONGEST = 5
@@ -65,20 +65,6 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
     yield from groups.items()
 
 
-class _Hashes:
-    """Hashes of words, as they are met."""
-
-    def __init__(self, lang: str):
-        self.salt, self.known = xxhash.xxh3_64_intdigest(lang.encode()), np.zeros(0, dtype=np.uint64)
-
-    def of(self, vocabulary: Vocabulary) -> np.ndarray:
-        new = list(vocabulary)[len(self.known) :]
-        if new:
-            hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=np.uint64, count=len(new))
-            self.known = np.concatenate([self.known, salted(hashed, self.salt)])
-        return self.known
-
-
 def _longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Hashes of runs with one more word."""
     return mix(hashes * _STEP + words)
@@ -91,7 +77,7 @@ def _sketched(rows: DataFrame, width: int, least: int) -> DataFrame:
         cells = Cells(width, least)
         for batch in batches:
             for lang, texts in _by_language(batch):
-                vocabulary, hashes = Vocabulary(_BREAK), _Hashes(lang)
+                vocabulary, hashes = Vocabulary(_BREAK), WordHashes(lang)
                 for ids, old in _runs(texts, vocabulary):
                     words = hashes.of(vocabulary)[ids]
                     at, run_hash = np.flatnonzero(ids), words
@@ -117,7 +103,7 @@ def _counted(rows: DataFrame, survivors: Survivors) -> DataFrame:
         held: dict[str, Counter] = {}
         for batch in batches:
             for lang, texts in _by_language(batch):
-                vocabulary, hashes = Vocabulary(_BREAK), _Hashes(lang)
+                vocabulary, hashes = Vocabulary(_BREAK), WordHashes(lang)
                 for ids, old in _runs(texts, vocabulary):
                     counts = held.setdefault(lang, Counter())
                     for phrase, n in _part(ids, old, hashes.of(vocabulary)[ids], list(vocabulary), shared.value):

@@ -12,13 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allometra.llm.common import materialise
 from allometra.llm.sketch import Cells, Survivors, merge, width_for
-from allometra.llm.tokens import Vocabulary, byte_table, raw_texts, salted, stretches, tally
+from allometra.llm.tokens import Vocabulary, WordHashes, byte_table, raw_texts, stretches, tally
 
 #: A term has to stand in so many documents of its language.
 MIN_DOCUMENTS = 3
@@ -26,6 +25,8 @@ TOP_TERMS = 200
 SCALE = 1_000_000_000
 #: Bytes of text for each cell of the sketch; the given tables have a new term every 300 bytes or so.
 BYTES_PER_CELL = 64
+#: Words whose postings are made at once, besides those of one text.
+PART = 1 << 19
 
 #: ASCII other than letters separates terms.
 _TABLE = byte_table({bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]): b" "})
@@ -33,21 +34,28 @@ _COUNTS = "lang string, source string, term string, n_docs long, n long"
 _COUNTS_ARROW = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n_docs", pa.int64()), ("n", pa.int64())])
 
 
-def _postings(texts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, word number and count of the distinct words of each text."""
-    codes, counts, waiting, size = [], [], [], 0
+def _postings(texts: list[bytes], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Text number, word number and count of the distinct words of each text, for some whole texts at a time."""
+    codes, counts, waiting, size, began = [], [], [], 0, 0
+
+    def squeeze() -> None:
+        code, n = tally(np.concatenate([np.zeros(0, dtype=np.int64), *waiting]))
+        codes.append(code)
+        counts.append(n)
+        waiting.clear()
+
     for k, raw in enumerate(texts):
         for piece in stretches(raw.translate(_TABLE)):
             waiting.append(vocabulary.ids(piece.split()).astype(np.int64) | k << 32)
             size += len(waiting[-1])
-            if size > 1 << 21:
-                code, n = tally(np.concatenate(waiting))
-                codes.append(code)
-                counts.append(n)
-                waiting, size = [], 0
-    code, n = tally(np.concatenate([np.zeros(0, dtype=np.int64), *waiting]))
-    code, n = tally(np.concatenate([*codes, code]), np.concatenate([*counts, n]))
-    return code >> 32, code & 0xFFFFFFFF, n
+            if size - began > PART:
+                squeeze()
+                began = size
+        if size > PART or k == len(texts) - 1:
+            squeeze()
+            code, n = tally(np.concatenate(codes), np.concatenate(counts)) if len(codes) > 1 else (codes[0], counts[0])
+            yield code >> 32, code & 0xFFFFFFFF, n
+            codes, counts, size, began = [], [], 0, 0
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str], list[bytes]]]:
@@ -61,10 +69,6 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str], list[b
         yield lang, sources, texts
 
 
-def _hashes(words: list[bytes], lang: str) -> np.ndarray:
-    return salted(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)), xxhash.xxh3_64_intdigest(lang.encode()))
-
-
 def _sketched(rows: DataFrame, width: int, least: int) -> DataFrame:
     """Each task's sketch of document frequencies."""
 
@@ -72,9 +76,9 @@ def _sketched(rows: DataFrame, width: int, least: int) -> DataFrame:
         cells = Cells(width, least)
         for batch in batches:
             for lang, _, texts in _by_language(batch):
-                vocabulary = Vocabulary()
-                _, word, _ = _postings(texts, vocabulary)
-                cells.add(_hashes(list(vocabulary), lang)[word])
+                vocabulary, hashes = Vocabulary(), WordHashes(lang)
+                for _, word, _ in _postings(texts, vocabulary):
+                    cells.add(hashes.of(vocabulary)[word])
         yield from cells.batches()
 
     return rows.mapInArrow(run, "block int, cells binary")
@@ -87,15 +91,15 @@ def _counted(rows: DataFrame, survivors: Survivors) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, sources, texts in _by_language(batch):
-                vocabulary, source_ids = Vocabulary(), Vocabulary()
-                text, word, n = _postings(texts, vocabulary)
-                words = list(vocabulary)
-                kept = shared.value.may(_hashes(words, lang))[word]
-                source = source_ids.ids(sources).astype(np.int64)[text[kept]]
-                code, order = source << 32 | word[kept], n[kept]
-                keys, n_docs = tally(code)
-                _, total = tally(code, order)
-                names = list(source_ids)
+                vocabulary, source_ids, hashes, parts = Vocabulary(), Vocabulary(), WordHashes(lang), []
+                own = source_ids.ids(sources).astype(np.int64)
+                for text, word, n in _postings(texts, vocabulary):
+                    kept = shared.value.may(hashes.of(vocabulary))[word]
+                    code = own[text[kept]] << 32 | word[kept]
+                    parts.append((*tally(code), tally(code, n[kept])[1]))
+                code, docs_in, times = (np.concatenate(c) for c in zip(*parts))
+                (keys, n_docs), (_, total) = tally(code, docs_in), tally(code, times)
+                words, names = list(vocabulary), list(source_ids)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([lang] * len(keys), pa.string()),

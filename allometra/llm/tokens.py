@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from allometra.llm.shingles import mix
 
@@ -56,6 +58,20 @@ class Vocabulary(defaultdict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 
 
+class WordHashes:
+    """64-bit hashes of the words of a vocabulary, by number, as they are met; one family for each salt."""
+
+    def __init__(self, salt: str):
+        self.salt, self.known = np.uint64(xxhash.xxh3_64_intdigest(salt.encode())), np.zeros(0, dtype=np.uint64)
+
+    def of(self, vocabulary: Vocabulary) -> np.ndarray:
+        new = list(islice(vocabulary, len(self.known), None))
+        if new:
+            hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=np.uint64, count=len(new))
+            self.known = np.concatenate([self.known, mix(hashed ^ self.salt)])
+        return self.known
+
+
 def tally(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes in order, and how often each occurs, or the sum of its weights."""
     if weights is None:
@@ -66,8 +82,3 @@ def tally(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndar
     codes = codes[order]
     first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, dtype=np.int64)
     return codes[first], np.add.reduceat(weights[order], first) if len(first) else weights[:0]
-
-
-def salted(hashes: np.ndarray, salt: int) -> np.ndarray:
-    """The hashes as another family, one for each salt."""
-    return mix(hashes ^ np.uint64(salt))
