@@ -184,7 +184,8 @@ def repeated_passages(documents: DataFrame, size: int = PASSAGE, seed: int = SEE
     in a text with a short period, is one row and begins where the first ends.
     """
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_id"), F.col("first_word")]
-    found = _numbered(_stretches(documents, size, seed).orderBy(*order))
+    # Written first: ordering reads its input twice, once to find the ranges.
+    found = _numbered(materialise(_stretches(documents, size, seed)).orderBy(*order))
     windows = found.select("row", F.posexplode("keys").alias("pos", "key")).select("key", F.shiftleft("row", _PLACE_BITS).bitwiseOR(F.col("pos").cast("long")).alias("code"))
     firsts = windows.repartition("key").sortWithinPartitions("key", "code").mapInArrow(_with_firsts, "code long, first long")
     firsts = firsts.repartition(F.shiftright("code", _PLACE_BITS)).sortWithinPartitions("code")
