@@ -187,17 +187,28 @@ def group_mean(clouds: DataFrame, form: bool = False, register: bool = False) ->
     """Mean of one group's packed clouds (cloud_id, pos, cs).
 
     A shape is the mean of the clouds as they are, a form that of the clouds times their size, over their number. With
-    ``register`` the clouds are first aligned among themselves.
+    ``register`` the clouds are first aligned among themselves. A column ``weight`` weighs the clouds; weights of 0 in all, or
+    a missing one, are an error.
     """
+    weights = clouds.select("cloud_id", "weight") if "weight" in clouds.columns else None
     if register:
         fitted = fits.gpa(clouds)
-        if not form:
+        if not form and weights is None:
             return fitted.mean
+        if not form:
+            return _weighted_mean(fitted.fitted.select("cloud_id", "pos").join(weights, "cloud_id"))
         weight = fitted.fitted.select("cloud_id", F.col("cs").alias("_cs"))
         clouds = clouds.join(weight, "cloud_id").withColumn("cs", F.col("cs") / F.col("_cs"))
     if form:
         clouds = clouds.withColumn("pos", F.transform("pos", lambda v: v * F.col("cs")))
-    return fits.mean_of(clouds)
+    return fits.mean_of(clouds) if weights is None else _weighted_mean(clouds)
+
+
+def _weighted_mean(clouds: DataFrame) -> np.ndarray:
+    facts = clouds.agg(F.avg("weight").alias("w"), F.count_if(F.col("weight").isNull()).alias("lacking")).first()
+    if not facts.w or facts.lacking:
+        raise ValueError("weights that are missing, or 0 in all")
+    return fits.mean_of(clouds.select("cloud_id", F.transform("pos", lambda v: v * F.col("weight")).alias("pos"))) / facts.w
 
 
 def compare_groups(a: DataFrame, b: DataFrame, faces: DataFrame, field: str = "vertex_distance", form: bool = False, register: bool = False) -> DataFrame:

@@ -145,3 +145,29 @@ def test_meshes_to_look_at(spark):
     assert {r.value for r in compose.diagnostics(found, faces, "index").where("vertex_id IN (0, 63)").collect()} == {0.0, 1.0}
     model = fits.PcaModel(flat.ravel(), np.stack([np.tile([0, 0, 1.0], 64), np.tile([1.0, 0, 0], 64)]), np.ones(2))
     assert {(r.z, r.x - flat[r.vertex_id][0]) for r in compose.synthesise(model, faces, {0: 3.0, 1: -1.0}).collect()} == {(3.0, -1.0)}
+
+
+def test_weighted_groups(spark):
+    rng = np.random.default_rng(53)
+    x, w = rng.normal(size=(5, 64, 3)), np.array([1.0, 0.0, 2.0, 0.5, 4.0])
+    rows = [(i, c.ravel().tolist(), 2.0, float(v)) for i, (c, v) in enumerate(zip(x, w))]
+    df = spark.createDataFrame(rows, "cloud_id long, pos array<double>, cs double, weight double")
+    expected = (x * w[:, None, None]).sum(axis=0) / w.sum()
+    assert np.allclose(compose.group_mean(df), expected) and np.allclose(compose.group_mean(df, form=True), 2 * expected)
+    even = df.withColumn("weight", F.lit(3.0))
+    assert np.allclose(compose.group_mean(even, register=True), compose.group_mean(df.drop("weight"), register=True), atol=1e-4)
+    found = compose.compare_groups(df, even, sheet_faces(spark)).orderBy("vertex_id").collect()
+    assert np.allclose([r.value for r in found], np.linalg.norm(expected - x.mean(axis=0), axis=1))
+    for wrong in (F.lit(0.0), F.when(F.col("cloud_id") > 0, 1.0)):
+        with pytest.raises(ValueError):
+            compose.group_mean(df.withColumn("weight", wrong))
+
+
+def test_clusters_are_found(spark):
+    rng = np.random.default_rng(54)
+    rows = [(i, (rng.normal(size=6) + 20 * (i % 3)).tolist()) for i in range(60)]
+    found = fits.kmeans(spark.createDataFrame(rows, "cloud_id long, pos array<double>"), 3).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.cluster, set()).add(r.cloud_id % 3)
+    assert len(found) == 60 and sorted(map(sorted, groups.values())) == [[0], [1], [2]]
