@@ -184,13 +184,14 @@ def repeated_passages(documents: DataFrame, size: int = PASSAGE, seed: int = SEE
     in a text with a short period, is one row and begins where the first ends.
     """
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_id"), F.col("first_word")]
-    # Written first: ordering reads its input twice, once to find the ranges.
-    found = _numbered(materialise(_stretches(documents, size, seed)).orderBy(*order))
-    windows = found.select("row", F.posexplode("keys").alias("pos", "key")).select("key", F.shiftleft("row", _PLACE_BITS).bitwiseOR(F.col("pos").cast("long")).alias("code"))
+    # Written first: ordering reads its input twice, once to find the ranges. The windows stay out of it.
+    found = materialise(_stretches(documents, size, seed).withColumn("_id", F.monotonically_increasing_id()))
+    places = _numbered(found.drop("keys").orderBy(*order))
+    windows = found.select("_id", "keys").join(places.select("_id", "row"), "_id").select("row", F.posexplode("keys").alias("pos", "key")).select("key", F.shiftleft("row", _PLACE_BITS).bitwiseOR(F.col("pos").cast("long")).alias("code"))
     firsts = windows.repartition("key").sortWithinPartitions("key", "code").mapInArrow(_with_firsts, "code long, first long")
     firsts = firsts.repartition(F.shiftright("code", _PLACE_BITS)).sortWithinPartitions("code")
     runs = firsts.mapInArrow(_periods, "code long, first long, windows long")
-    places = found.select("row", "doc_id", "text_id", "first_word", "paragraph", "breaks")
+    places = places.drop("_id")
 
     def placed(df: DataFrame, code: str, names: dict[str, str]) -> DataFrame:
         word = F.col("first_word") + F.col(code).bitwiseAND((1 << _PLACE_BITS) - 1).cast("int")
