@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from allometra.sources.scratch import written
 
 MAX_SIDE = 4096
-#: Most rows and bytes of packed rows in one block.
-BLOCK = 256
+#: Most bytes of packed rows in one block, how many blocks there are at least if they are not small, and rows that are compared at once.
 BLOCK_BYTES = 16 << 20
+SPREAD = 32
+BLOCK = 256
 RIGID = "cloud_id long, offs array<double>, cs double, rot array<double>, pos array<double>"
 
 
@@ -153,19 +154,25 @@ def gpa(clouds: DataFrame, max_iterations: int = 150, tolerance: float = 1e-5) -
 
 
 def _blocked(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Packed rows in blocks of at most about ``BLOCK_BYTES`` and ``BLOCK`` rows (block, rows: ids and pos), and their number.
+    """Packed rows in blocks of at most about ``BLOCK_BYTES`` (block, rows: ids and pos), and their number.
 
-    Blocks are drawn by hashed id, so they hold about as many rows each whatever the ids are.
+    There are ``SPREAD`` blocks where that leaves them ``BLOCK`` rows or more, so that what travels to pairs of blocks grows as
+    the input does. Blocks are ranges of ids between quantiles, so they hold about as many rows each whatever the ids are.
     """
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("pos")), F.lit(1)).alias("width")).first()
-    n_blocks = max(1, -(-facts.n // max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, facts.width))))))
-    block = F.pmod(F.xxhash64("cloud_id"), F.lit(n_blocks))
+    whole = max(1, BLOCK_BYTES // (8 * max(1, facts.width)))
+    n_blocks = max(1, -(-facts.n // whole), min(SPREAD, -(-facts.n // BLOCK)))
+    block = F.lit(0).cast("long")
+    if n_blocks > 1:
+        ends = rows.agg(F.percentile_approx("cloud_id", [k / n_blocks for k in range(1, n_blocks)], max(10_000, 100 * n_blocks)).alias("ends")).first().ends
+        held = F.array(*[F.lit(e).cast("long") for e in ends])
+        block = F.size(F.filter(held, lambda e: e < F.col("cloud_id"))).cast("long")
     fields = [c for c in ("cloud_id", "pos", "allow") if c in rows.columns]
     return rows.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows")), n_blocks
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Each pair of blocks once, those of a block with itself included: a, b, _a, _b."""
+    """Each pair of blocks once, those of a block with itself included: a, b, _a, _b; ids of a lower block are lower."""
     packed, n_blocks = _blocked(rows)
     left = packed.select(F.col("block").alias("a"), F.col("rows").alias("_a"), F.explode(F.sequence(F.col("block"), F.lit(n_blocks - 1).cast("long"))).alias("b"))
     return left.join(packed.select(F.col("block").alias("b"), F.col("rows").alias("_b")), "b").repartition("a", "b")
@@ -181,31 +188,39 @@ def _block(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     return ids, x, np.stack([_mask(m, x.shape[1] // 3) for m in rows.field("allow")])
 
 
-def distance_matrix(clouds: DataFrame, align: bool = False, turn: bool = True) -> DataFrame:
+def distance_matrix(clouds: DataFrame, align: bool = False, turn: bool = True, shifted: bool = False) -> DataFrame:
     """a_id, b_id and distance of all pairs with a_id <= b_id: root mean square over vertices.
 
-    ``align`` fits b to a by a rigid motion first (sizes stay), without ``turn`` by a shift alone. The result is the matrix, so it has n (n + 1) / 2 rows;
-    clouds travel in blocks, each block once for every other block, and a pair of blocks is a handful of matrix products.
+    ``align`` fits b to a by a rigid motion first (sizes stay), without ``turn`` by a shift alone. ``shifted`` gives the distance by a shift
+    alone beside the fitted one, from the same products. The result is the matrix, so it has n (n + 1) / 2 rows;
+    clouds travel in blocks, each block once for every other block, and ``BLOCK`` rows against as many are a handful of matrix products.
 
     Where the clouds have masks (a column ``allow``, an array of booleans; null allows nothing), a pair counts the vertices
     that both allow. A pair that shares none, or fewer than three with ``align``, has a null distance.
     """
     masks = "allow" in clouds.columns
+    turns = (turn, False) if shifted else (turn,)
+    names = ["a_id", "b_id", "distance", "shifted"][: 2 + len(turns)]
     both = _block_pairs(clouds.select("cloud_id", "pos", *["allow"] * masks))
 
+    def distances(x, mx, y, my) -> list[np.ndarray]:
+        if align:
+            return _masked_rigid_rms(x, mx, y, my, *turns) if masks else _rigid_rms(x, y, *turns)
+        return [_masked_raw_rms(x, mx, y, my) if masks else _raw_rms(x, y)] * len(turns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 (ids, x, mx), (jds, y, my) = _block(batch.column("_a")[k]), _block(batch.column("_b")[k])
-                if masks:
-                    d = _masked_rigid_rms(x, mx, y, my, turn) if align else _masked_raw_rms(x, mx, y, my)
-                else:
-                    d = _rigid_rms(x, y, turn) if align else _raw_rms(x, y)
-                i, j = np.triu_indices(len(ids)) if batch.column("a")[k].as_py() == batch.column("b")[k].as_py() else (c.ravel() for c in np.indices(d.shape))
-                lo, hi = np.minimum(ids[i], jds[j]), np.maximum(ids[i], jds[j])
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(d[i, j], mask=np.isnan(d[i, j]))], ["a_id", "b_id", "distance"])
+                alone = batch.column("a")[k].as_py() == batch.column("b")[k].as_py()
+                for at in range(0, len(ids), BLOCK):
+                    for to in range(at if alone else 0, len(jds), BLOCK):
+                        p, q = slice(at, at + BLOCK), slice(to, to + BLOCK)
+                        d = distances(x[p], mx[p] if masks else None, y[q], my[q] if masks else None)
+                        i, j = np.triu_indices(len(ids[p])) if alone and at == to else (c.ravel() for c in np.indices(d[0].shape))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[p][i]), pa.array(jds[q][j]), *(pa.array(v[i, j], mask=np.isnan(v[i, j])) for v in d)], names)
 
-    return both.mapInArrow(run, "a_id long, b_id long, distance double")
+    return both.mapInArrow(run, ", ".join(f"{n} {'long' if n.endswith('_id') else 'double'}" for n in names))
 
 
 def _raw_rms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -216,8 +231,8 @@ def _raw_rms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(out / (x.shape[1] // 3))
 
 
-def _rigid_rms(x: np.ndarray, y: np.ndarray, turn: bool = True) -> np.ndarray:
-    """Least root mean square distances of all rows of x and y over rotations and translations.
+def _rigid_rms(x: np.ndarray, y: np.ndarray, *turns: bool) -> list[np.ndarray]:
+    """Least root mean square distances of all rows of x and y over rotations and translations, or over translations alone, for each of ``turns``.
 
     All cross-covariances are one product and their singular values one call; the least sum of squares follows from them.
     """
@@ -225,8 +240,8 @@ def _rigid_rms(x: np.ndarray, y: np.ndarray, turn: bool = True) -> np.ndarray:
     p, q = (v.reshape(len(v), m, 3) for v in (x, y))
     p, q = p - p.mean(axis=1, keepdims=True), q - q.mean(axis=1, keepdims=True)
     cross = (p.transpose(0, 2, 1).reshape(-1, m) @ q.transpose(1, 0, 2).reshape(m, -1)).reshape(len(x), 3, len(y), 3).transpose(0, 2, 1, 3)
-    squares = (p**2).sum(axis=(1, 2))[:, None] + (q**2).sum(axis=(1, 2))[None] - 2 * _best(cross, turn)
-    return np.sqrt(np.maximum(squares, 0) / m)
+    squares = (p**2).sum(axis=(1, 2))[:, None] + (q**2).sum(axis=(1, 2))[None]
+    return [np.sqrt(np.maximum(squares - 2 * _best(cross, turn), 0) / m) for turn in turns]
 
 
 def _masked_raw_rms(x: np.ndarray, mx: np.ndarray, y: np.ndarray, my: np.ndarray) -> np.ndarray:
@@ -239,7 +254,7 @@ def _masked_raw_rms(x: np.ndarray, mx: np.ndarray, y: np.ndarray, my: np.ndarray
     return np.sqrt(np.where(n > 0, out / np.maximum(n, 1), np.nan))
 
 
-def _masked_rigid_rms(x: np.ndarray, mx: np.ndarray, y: np.ndarray, my: np.ndarray, turn: bool = True) -> np.ndarray:
+def _masked_rigid_rms(x: np.ndarray, mx: np.ndarray, y: np.ndarray, my: np.ndarray, *turns: bool) -> list[np.ndarray]:
     """As ``_rigid_rms`` over the vertices that both rows allow, NaN where these are fewer than three.
 
     Products of masks and masked coordinates give every pair its count, sums and cross-covariance, from which its own
@@ -256,7 +271,7 @@ def _masked_rigid_rms(x: np.ndarray, mx: np.ndarray, y: np.ndarray, my: np.ndarr
     cross = np.stack([np.stack([p[..., c] @ q[..., d].T for d in range(3)], axis=-1) for c in range(3)], axis=-2)
     cross -= sum_p[..., :, None] * sum_q[..., None, :] / safe[..., None, None]
     squares = (p**2).sum(axis=2) @ w.T + v @ (q**2).sum(axis=2).T - ((sum_p**2).sum(axis=-1) + (sum_q**2).sum(axis=-1)) / safe
-    return np.sqrt(np.where(n > 2, np.maximum(squares - 2 * _best(cross, turn), 0) / safe, np.nan))
+    return [np.sqrt(np.where(n > 2, np.maximum(squares - 2 * _best(cross, turn), 0) / safe, np.nan)) for turn in turns]
 
 
 def _best(cross: np.ndarray, turn: bool) -> np.ndarray:

@@ -418,10 +418,7 @@ SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(sqrt((squares - (dx * dx + dy *
 FROM embeddings AS a JOIN embeddings AS b ON a.vec_id <= b.vec_id LEFT JOIN d ON a.vec_id = a_id AND b.vec_id = b_id""")
 def masked_aligned_matrix(spark, sf_dir):
     """Fitted pairs beside the same pairs only shifted (by each pair's own centroids): a fit is never farther, and is lost where nothing is shared."""
-    clouds = _masked(spark, sf_dir)
-    fitted = fits.distance_matrix(clouds, align=True)
-    moved = fits.distance_matrix(clouds, align=True, turn=False).withColumnRenamed("distance", "shifted")
-    both = fitted.join(moved, ["a_id", "b_id"])
+    both = fits.distance_matrix(_masked(spark, sf_dir), align=True, shifted=True)
     shorter = F.col("distance") <= F.col("shifted") + 1e-6
     return both.select("a_id", "b_id", r("shifted").alias("shifted"), F.col("distance").isNull().alias("apart"), shorter.alias("shorter"))
 

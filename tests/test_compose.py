@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from allometra.operators import clouds, compose, fits, spatial
 from allometra.operators import table as t
-from allometra.plans.bindings import sheet_faces
+from allometra.plans import queries
+from allometra.plans.bindings import landmark_clouds, sheet_faces
 
 
 @pytest.fixture(scope="module")
@@ -255,3 +256,22 @@ def test_groups_of_equal_clouds_do_not_differ(spark):
     for field in compose.FIELDS:
         rows = compose.compare_groups(a, b, sheet_faces(spark), field, form=field == "vertex_distance", register=field == "surface_distance").collect()
         assert len(rows) == 64 and all(abs(r.value - (field == "face_scaling")) < 1e-7 and r.rms < 1e-7 for r in rows)
+
+
+def test_distance_matrix_gives_both_distances_in_one_pass_and_travels_in_few_blocks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(fits, "BLOCK", 16)  # several comparisons a block
+    clouds = landmark_clouds(spark, sf_dir).where("cloud_id % 5 = 0").withColumn("cloud_id", F.col("cloud_id") * F.col("cloud_id") - 999)
+    both = fits.distance_matrix(clouds, align=True, shifted=True)
+    found = {(r.a_id, r.b_id): (r.distance, r.shifted) for r in both.collect()}
+    assert len(found) == 100 * 101 // 2 and all(a <= b for a, b in found)
+    for k, turn in enumerate((True, False)):
+        assert all(abs(found[r.a_id, r.b_id][k] - r.distance) < 1e-6 for r in fits.distance_matrix(clouds, align=True, turn=turn).collect())
+    monkeypatch.setattr(fits, "SPREAD", 3)
+    packed, n = fits._blocked(clouds)
+    assert n == 3 and packed.count() == 3
+
+
+@pytest.mark.parametrize("name", ["procrustes_matrix_bounds", "masked_aligned_matrix"])
+def test_matrices_of_pairs_are_not_joined(spark, sf_dir, name):
+    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
