@@ -90,3 +90,24 @@ def test_predicates_treat_null_as_no_match(spark):
     df = spark.createDataFrame([(1, None), (2, "a"), (3, "b")], "row_index long, name string")
     assert [r.row_index for r in table.select_rows(df, ("name", "eq", "a")).collect()] == [2]
     assert table.levels(df, "name", "row_index").count() == 2
+
+
+def test_many_fits_at_once_equal_single_ones(spark, monkeypatch):
+    """Slices, masks of rows and a mask for all; the mean of fitted clouds is that of ``fit_to``."""
+    monkeypatch.setattr(fits, "SLICE_BYTES", 3 * 8 * 3 * 9)  # three clouds
+    rng = np.random.default_rng(8)
+    x, allow, target = rng.normal(size=(17, 9, 3)) + 5, rng.random((17, 9)) < 0.8, rng.normal(size=(9, 3))
+    every = np.arange(9) != 4
+    rows = [(i, c.ravel().tolist(), a.tolist()) for i, (c, a) in enumerate(zip(x, allow))]
+    df = spark.createDataFrame(rows, "cloud_id long, pos array<double>, allow array<boolean>")
+    for frame, common, mask in ((df, every, allow & every), (df, None, allow), (df.drop("allow"), every, np.tile(every, (17, 1))), (df.drop("allow"), None, np.ones((17, 9), dtype=bool))):
+        found = fits.fit_to(frame, target, common).collect()
+        assert len(found) == 17
+        for r in found:
+            offs, cs, rot = fits.opa(target, x[r.cloud_id], mask[r.cloud_id])
+            assert np.allclose(r.offs, offs) and np.isclose(r.cs, cs) and np.allclose(r.rot, rot.ravel())
+            assert np.allclose(r.pos, fits.apply(x[r.cloud_id], offs, cs, rot).ravel())
+    assert np.allclose(fits.fitted_mean(df, target), fits.mean_of(fits.fit_to(df.drop("allow"), target)))
+    ragged = spark.createDataFrame([(0, [1.0, 0.0, 0.0] * 8), (1, [0.0, 1.0, 0.0] * 10)], "cloud_id long, pos array<double>").coalesce(1)
+    with pytest.raises(Exception, match="different length"):
+        fits.fitted_mean(ragged, target)
