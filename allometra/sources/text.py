@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from allometra.sources.scratch import written
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_index (from 0, by file) and value of every line of the text files under ``path``.
@@ -136,18 +138,19 @@ def read_landmarks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """Landmark files: a label, a tab, and two or three numbers parted by tabs in each line; lines without a tab are left out.
 
     Returns vertices (path, vertex_id, x, y, z; z null in the plane) and errors (path, message) of files whose lines
-    differ in length or hold something else; these give no vertices.
+    differ in length or hold something else; these give no vertices. A landmark file is small: each is one row, read and
+    parsed once for both tables.
     """
-    rows = lines(spark, path).where(F.instr("value", "\t") > 0)
-    rows = rows.select("path", "line_index", floats(F.substring_index(F.substring(F.col("value"), F.instr("value", "\t") + 1, F.length("value")), "\n", 1), "\t").alias("v"))
-    rows = rows.where(F.size("v") > 0)
-    facts = rows.groupBy("path").agg(F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high"), F.count_if(F.exists("v", lambda x: x.isNull())).alias("bad"))
-    message = F.when(F.col("low") != F.col("high"), "lines of different length").when(~F.col("low").isin(2, 3), "neither two nor three numbers").when(F.col("bad") > 0, "not a number")
-    judged = facts.select("path", message.alias("message"))
-    good = rows.join(judged.where("message IS NULL").select("path"), "path", "left_semi")
-    # One landmark file is small.
-    number = (F.row_number().over(Window.partitionBy("path").orderBy("line_index")) - 1).alias("vertex_id")
-    return good.select("path", number, *[F.get("v", F.lit(k)).alias(c) for k, c in enumerate("xyz")]), judged.where("message IS NOT NULL")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r\n|\r|\n").alias("lines"))
+    marked = F.filter("lines", lambda line: F.instr(line, "\t") > 0)
+    numbers = F.transform(marked, lambda line: floats(F.substring(line, F.instr(line, "\t") + 1, F.length(line)), "\t"))
+    rows = files.select("path", F.filter(numbers, lambda v: F.size(v) > 0).alias("v")).where(F.size("v") > 0)
+    sizes = F.transform("v", lambda v: F.size(v))
+    bad = F.exists("v", lambda v: F.exists(v, lambda x: x.isNull()))
+    message = F.when(F.array_min(sizes) != F.array_max(sizes), "lines of different length").when(~F.array_min(sizes).isin(2, 3), "neither two nor three numbers").when(bad, "not a number")
+    judged = written(rows.withColumn("message", message))
+    good = judged.where("message IS NULL").select("path", F.posexplode("v").alias("vertex_id", "p"))
+    return good.select("path", "vertex_id", *[F.get("p", F.lit(k)).alias(c) for k, c in enumerate("xyz")]), judged.where("message IS NOT NULL").select("path", "message")
 
 
 def as_lines(df: DataFrame, separator: str = ",", null_text: str = "") -> DataFrame:

@@ -195,3 +195,13 @@ def test_command_line(spark, tmp_path):
     for wrong in (["-x"], ["lost"], ["-l"], ["-o", str(tmp_path / "none")], ["-o", path, "-r"], ["-o", path, "-r", "9"]):
         with pytest.raises(ValueError):
             cli.run(spark, wrong, said.append)
+
+
+def test_landmark_files_are_read_once(spark, tmp_path):
+    """A file is a row: no shuffle by path, whatever ends its lines; the files are opened once for both tables."""
+    (tmp_path / "a.txt").write_bytes(b"point 0\t1\t2\t3\r\nno tab\npoint 1\t4\t5\t6\rpoint 2\t7\t8\t9")
+    (tmp_path / "b.txt").write_text("p\t1\t2\np\t3\n")
+    vertices, errors = text.read_landmarks(spark, str(tmp_path))
+    assert sorted((r.vertex_id, r.x, r.y, r.z) for r in vertices.collect()) == [(0, 1.0, 2.0, 3.0), (1, 4.0, 5.0, 6.0), (2, 7.0, 8.0, 9.0)]
+    assert [r.message for r in errors.collect()] == ["lines of different length"]
+    assert "Exchange" not in vertices._jdf.queryExecution().executedPlan().toString()
