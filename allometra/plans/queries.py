@@ -931,7 +931,7 @@ def ply_round_trip(spark, sf_dir):
     head = "ply\nformat binary_little_endian 1.0\nelement vertex 64\n" + "".join(f"property double {k}\n" for k in XYZ) + "end_header\n"
 
     def encode(batches):
-        for batch in batches:
+        for batch in meshes.slices(batches):
             content = [head.encode() + pos.values.to_numpy(zero_copy_only=False).astype("<f8").tobytes() for pos in batch.column("pos")]
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(content, pa.binary())], ["path", "content"])
 

@@ -75,6 +75,13 @@ _PARTS_ARROW = pa.schema(
 )
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of some rows, so that what a task makes of them at once does not grow with its input."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _rows(kind: str, path: str, n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     columns |= {"kind": pa.array([kind] * n, pa.string()), "path": pa.array([path] * n, pa.string())}
     return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _PARTS_ARROW], schema=_PARTS_ARROW)
@@ -84,7 +91,7 @@ def _parsed(files: DataFrame, parse: Callable[[bytes], tuple[np.ndarray, np.ndar
     """vertices, faces and errors of files, each read and parsed once: the parts are written by kind, and a table reads its own kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 try:
                     vertices, faces = parse(content.as_py() or b"")
@@ -255,7 +262,7 @@ def to_chunked(meshes: DataFrame, faces: np.ndarray | None = None, encoding: int
     """cloud_id and content: each packed cloud (cloud_id, pos) as a chunked file, with the faces that all of them share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for pos in batch.column("pos"):
                 chunks = [(POSITION, encoding, pos.values.to_numpy(zero_copy_only=False).reshape(-1, 3))]
