@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allometra.operators.fits import sum_rows
+from allometra.sources.meshes import slices
 from allometra.sources.scratch import written
 
 MAX_VERTICES = 100_000
@@ -27,6 +28,7 @@ CHUNK = 1 << 20
 BLOCK = 4096
 _DOUBLES = pa.list_(pa.float64())
 _STATE = "cloud_id long, n long, moves array<double>, sigma2 double, likelihood double, iterations int, reason string"
+_PLACED = "cloud_id long, pos array<double>, iterations int, sigma2 double, reason string"
 _STATE_ARROW = pa.schema([("cloud_id", pa.int64()), ("n", pa.int64()), ("moves", _DOUBLES), ("sigma2", pa.float64()), ("likelihood", pa.float64()), ("iterations", pa.int32()), ("reason", pa.string())])
 
 
@@ -220,10 +222,17 @@ def _array(cell: pa.Scalar) -> np.ndarray:
 
 def _in_place(clouds: DataFrame, held, options: DriftOptions) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _pack({i: register(held.value, _array(x).reshape(-1, 3), options) for i, x in zip(batch.column("cloud_id").to_pylist(), batch.column("pos"))})
+        for batch in slices(batches):
+            states = {i: register(held.value, _array(x).reshape(-1, 3), options) for i, x in zip(batch.column("cloud_id").to_pylist(), batch.column("pos"))}
+            yield _placed(held.value, _pack(states))
+
+    return clouds.mapInArrow(run, _PLACED)
 
-    return clouds.mapInArrow(run, _STATE)
+
+def _placed(k: Kernel, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The template of each state after its moves."""
+    pos = [moved(k, s.moves).ravel() for s in _states(batch).values()]
+    return pa.RecordBatch.from_arrays([batch.column("cloud_id"), pa.array(pos, _DOUBLES), *(batch.column(n) for n in ("iterations", "sigma2", "reason"))], ["cloud_id", "pos", "iterations", "sigma2", "reason"])
 
 
 def _round(blocks: DataFrame, states: DataFrame | None, held, options: DriftOptions) -> DataFrame:
@@ -270,22 +279,22 @@ def register_all(clouds: DataFrame, template: np.ndarray, options: DriftOptions
     held = spark.sparkContext.broadcast(kernel(spark, template, options))
     clouds = clouds.select("cloud_id", "pos")
     large = F.coalesce(F.size("pos") > 3 * BLOCK, F.lit(False))
-    out = _in_place(clouds.where(~large), held, options)
+    out, ended = _in_place(clouds.where(~large), held, options), None
     spread = clouds.where(large)
     if not spread.isEmpty():
         begin = F.explode(F.sequence(F.lit(1), F.size("pos"), F.lit(3 * BLOCK)))
         blocks = written(spread.select("cloud_id", "pos", begin.alias("_at")).select("cloud_id", F.slice("pos", F.col("_at"), 3 * BLOCK).alias("points")))
         states = written(_round(blocks, None, held, options))
         while True:
-            out = out.union(states.where("reason IS NOT NULL"))
+            last = states.where("reason IS NOT NULL")
+            ended = last if ended is None else ended.union(last)
             running = states.where("reason IS NULL")
             if running.isEmpty():
                 break
             states = written(_round(blocks, running, held, options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pos = [moved(held.value, s.moves).ravel() for s in _states(batch).values()]
-            yield pa.RecordBatch.from_arrays([batch.column("cloud_id"), pa.array(pos, _DOUBLES), *(batch.column(n) for n in ("iterations", "sigma2", "reason"))], ["cloud_id", "pos", "iterations", "sigma2", "reason"])
+        for batch in slices(batches, 16):
+            yield _placed(held.value, batch)
 
-    return out.mapInArrow(run, "cloud_id long, pos array<double>, iterations int, sigma2 double, reason string")
+    return out if ended is None else out.union(ended.mapInArrow(run, _PLACED))

@@ -83,3 +83,12 @@ def test_failed_clouds_are_rows(spark, shapes, monkeypatch):
     assert drift.register_all(rows(spark, odd).limit(0), template).isEmpty()
     with pytest.raises(ValueError):
         drift.register_all(rows(spark, odd), template[:3])
+
+
+def test_small_clouds_take_one_python_stage_and_go_in_slices(spark):
+    """The moved template comes from the task that registers it."""
+    rows = [(i, (np.random.default_rng(i).normal(size=(9, 3))).ravel().tolist()) for i in range(300)]
+    clouds = spark.createDataFrame(rows, "cloud_id long, pos array<double>").coalesce(1)
+    out = drift.register_all(clouds, np.random.default_rng(0).normal(size=(9, 3)))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r.cloud_id for r in out.select("cloud_id").collect()) == list(range(300))
