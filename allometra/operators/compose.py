@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from allometra.operators import clouds as c
 from allometra.operators import drift, fits, spatial, spline, statistics, table, topology
+from allometra.sources.meshes import slices
 from allometra.sources.scratch import written
 
 XYZ = ("x", "y", "z")
@@ -347,17 +348,22 @@ def bilateral_order(points: np.ndarray) -> np.ndarray:
     return order
 
 
-def _align_two(a: np.ndarray, b: np.ndarray, rounds: int = 150) -> list[tuple[np.ndarray, float, np.ndarray]]:
-    """Similarities that bring two clouds to their common mean of size 1."""
-    normal = lambda x: (x - x.mean(axis=0)) / fits.centre_and_size(x)[1]
-    mean = normal(a)
+def _align_pairs(a: np.ndarray, b: np.ndarray, rounds: int = 150) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Similarities that bring two clouds of each pair (pairs, points, 3) to their common mean of size 1; a pair that has settled takes no more rounds."""
+
+    def normal(x: np.ndarray) -> np.ndarray:
+        x = x - x.mean(axis=1, keepdims=True)
+        return x / np.sqrt((x**2).sum(axis=2).mean(axis=1))[:, None, None]
+
+    mean, going = normal(a), np.arange(len(a))
     for _ in range(rounds):
-        found = [fits.opa(mean, x) for x in (a, b)]
-        new = normal(sum(fits.apply(x, *f) for x, f in zip((a, b), found, strict=True)))
-        if np.abs(new - mean).max() < 1e-12:
+        new = normal(sum(fits._applied(x[going], *fits._opas(mean[going], x[going], None)) for x in (a, b)))
+        still = np.abs(new - mean[going]).max(axis=(1, 2)) >= 1e-12
+        going = going[still]
+        if not len(going):
             break
-        mean = new
-    return [fits.opa(mean, x) for x in (a, b)]
+        mean[going] = new[still]
+    return [fits._opas(mean, x, None) for x in (a, b)]
 
 
 def mirrored_pairs(meshes: DataFrame, landmarks: DataFrame) -> DataFrame:
@@ -365,15 +371,20 @@ def mirrored_pairs(meshes: DataFrame, landmarks: DataFrame) -> DataFrame:
     both = meshes.select("cloud_id", "pos").join(landmarks.select("cloud_id", F.col("pos").alias("marks")), "cloud_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for pos, marks in zip(batch.column("pos"), batch.column("marks"), strict=True):
-                x, m = (v.values.to_numpy(zero_copy_only=False).reshape(-1, 3) for v in (pos, marks))
-                own, other = _align_two(m, m[bilateral_order(m)] * [-1, 1, 1])
-                rows.append((fits.apply(x, *own).ravel(), fits.apply(x * [-1, 1, 1], *other).ravel(), own[0], own[1], own[2].ravel()))
-            kinds = (_DOUBLES, _DOUBLES, _DOUBLES, pa.float64(), _DOUBLES)
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("cloud_id"), *(pa.array(v, k) for v, k in zip(columns, kinds, strict=True))], ["cloud_id", "pos", "mirror", "offs", "cs", "rot"])
+        for batch in slices(batches):
+            kinds: dict[int, list[int]] = {}  # rows by their number of landmarks
+            cell = lambda name, i: batch.column(name)[i].values.to_numpy(zero_copy_only=False).reshape(-1, 3)
+            for i in range(batch.num_rows):
+                kinds.setdefault(len(batch.column("marks")[i]), []).append(i)
+            for at in kinds.values():
+                marks = np.stack([cell("marks", i) for i in at])
+                found = _align_pairs(marks, np.stack([m[bilateral_order(m)] for m in marks]) * [-1, 1, 1])
+                rows = []
+                for i, own, other in zip(at, *(zip(*f) for f in found)):
+                    x = cell("pos", i)
+                    rows.append((fits.apply(x, *own).ravel(), fits.apply(x * [-1, 1, 1], *other).ravel(), own[0], own[1], own[2].ravel()))
+                types = (_DOUBLES, _DOUBLES, _DOUBLES, pa.float64(), _DOUBLES)
+                yield pa.RecordBatch.from_arrays([batch.column("cloud_id").take(pa.array(at)), *(pa.array(v, k) for v, k in zip(zip(*rows), types, strict=True))], ["cloud_id", "pos", "mirror", "offs", "cs", "rot"])
 
     return both.mapInArrow(run, "cloud_id long, pos array<double>, mirror array<double>, offs array<double>, cs double, rot array<double>")
 
@@ -387,13 +398,11 @@ def symmetrise(meshes: DataFrame, landmarks: DataFrame, faces: DataFrame) -> Dat
     pair = written(mirrored_pairs(meshes, landmarks))
     own = pair.select(F.col("cloud_id").alias("mesh_id"), "pos")
     mirror = pair.select(F.col("cloud_id").alias("mesh_id"), F.col("mirror").alias("pos"))
-    soup, mirror_soup = spatial.triangles(own, faces), spatial.triangles(mirror, faces)
     points = lambda df: c.unpack(df.withColumnRenamed("mesh_id", "cloud_id")).select(F.col("cloud_id").alias("mesh_id"), F.col("vertex_id").cast("long").alias("point_id"), *XYZ)
     key = ["mesh_id", "point_id"]
-    first = spatial.nearest_on(points(own), mirror_soup).select(*key, *[F.col(f"p{k}").alias(f"_s{k}") for k in XYZ])
-    second = spatial.nearest_on(points(mirror), soup).select(*key, "face_id", "u", "v").join(mirror_soup, ["mesh_id", "face_id"])
-    at = lambda k: F.col(f"a{k}") + F.col("u") * (F.col(f"b{k}") - F.col(f"a{k}")) + F.col("v") * (F.col(f"c{k}") - F.col(f"a{k}"))
-    second = second.select(*key, *[at(k).alias(f"_m{k}") for k in XYZ])
+    first = spatial.nearest_triangle(points(own), mirror, faces).select(*key, *[F.col(f"p{k}").alias(f"_s{k}") for k in XYZ])
+    second = spatial.place_on(spatial.nearest_triangle(points(mirror), own, faces).select(*key, "face_id", "u", "v"), mirror, faces)
+    second = second.select(*key, *[F.col(k).alias(f"_m{k}") for k in XYZ])
     met = points(own).join(first, key).join(second, key)
     half = [(F.col(k) / 2 + (F.col(f"_s{k}") + F.col(f"_m{k}")) / 4).alias(k) for k in XYZ]
     snapped = c.pack(met.select(F.col("mesh_id").alias("cloud_id"), F.col("point_id").cast("int").alias("vertex_id"), *half))

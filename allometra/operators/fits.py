@@ -69,11 +69,11 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _opas(target: np.ndarray, x: np.ndarray, masks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``opa`` of many clouds (clouds, points, 3) at once, each with its own mask or all with every point."""
-    if x.shape[1:] != target.shape:
+    """``opa`` of many clouds (clouds, points, 3) at once, each with its own mask or all with every point, to one target or each to its own."""
+    if x.shape[1:] != target.shape[-2:]:
         raise ValueError("clouds and target of different length")
     if masks is None:
-        n, w, a, b = np.full(len(x), x.shape[1]), 1.0, target[None], x
+        n, w, a, b = np.full(len(x), x.shape[1]), 1.0, target.reshape(-1, *x.shape[1:]), x
     else:
         n, w = masks.sum(axis=1), masks[..., None]
         a, b = np.where(w, target, 0), np.where(w, x, 0)

@@ -275,3 +275,36 @@ def test_distance_matrix_gives_both_distances_in_one_pass_and_travels_in_few_blo
 def test_matrices_of_pairs_are_not_joined(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_few_shared_faces_meet_their_points_directly_with_the_same_results(spark, monkeypatch):
+    """Against the grid; a mesh lacks a coordinate, another a vertex, points lie in several blocks, some have no normal."""
+    rng = np.random.default_rng(21)
+    shapes = [rng.normal(size=(12, 3)).ravel().tolist() for _ in range(4)]
+    shapes[1][7], shapes[2] = None, shapes[2][:33]
+    meshes = spark.createDataFrame([(m, p) for m, p in enumerate(shapes)], "mesh_id long, pos array<double>")
+    faces = spark.createDataFrame([(7 - f, *map(int, rng.choice(12, 3, replace=False))) for f in range(8)], "face_id int, i0 int, i1 int, i2 int")
+    fields = ("x", "y", "z", "nx", "ny", "nz")
+    rows = [(m, 5 * i, *map(float, rng.normal(size=3)), *([None] * 3 if i % 9 == 0 else [0.0] * 3 if i % 9 == 1 else map(float, rng.normal(size=3)))) for m in range(5) for i in range(120)]
+    points = spark.createDataFrame(rows, "mesh_id long, point_id long, " + ", ".join(f"{c} double" for c in fields))
+    rays = points.select("mesh_id", "point_id", "x", "y", "z", *[F.col(f"n{c}").alias(f"d{c}") for c in "xyz"])
+    cases = [lambda: spatial.nearest_triangle(points, meshes, faces), lambda: spatial.nearest_triangle(points, meshes, faces, 0.4), lambda: spatial.raycast(rays, meshes, faces), lambda: spatial.project(points, meshes, faces)]
+    for case in cases:
+        direct = {(r.mesh_id, r.point_id): r for r in case().collect()}
+        with monkeypatch.context() as patch:
+            patch.setattr(spatial, "FEW", 2)
+            grid = {(r.mesh_id, r.point_id): r for r in case().collect()}
+        assert direct.keys() == grid.keys() and len(grid) > 50
+        for key, r in grid.items():
+            assert all(direct[key][n] == pytest.approx(r[n], abs=1e-12) for n in r.asDict())
+
+
+def test_pairs_settle_together_as_they_do_alone():
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(2, 9, 6, 3))
+    together = compose._align_pairs(a, b)
+    for i in range(9):
+        for many, one, x in zip(together, compose._align_pairs(a[i : i + 1], b[i : i + 1]), (a, b), strict=True):
+            assert all(np.allclose(m[i], o[0], atol=1e-9) for m, o in zip(many, one, strict=True))
+    fitted = [fits._applied(x, *f) for x, f in zip((a, b), together, strict=True)]
+    assert np.allclose(fitted[0].mean(axis=1), 0) and np.allclose(fitted[1].mean(axis=1), 0)
