@@ -277,6 +277,13 @@ def test_matrices_of_pairs_are_not_joined(spark, sf_dir, name):
     assert plan.count("MapInArrow") == 1
 
 
+@pytest.mark.parametrize("name", ["procrustes_matrix", "procrustes_raw_matrix", "masked_raw_matrix"])
+def test_clouds_travel_once_for_all_pairs(spark, sf_dir, name):
+    """Pairs of blocks read what one exchange by blocks left; no copy of a block is shuffled to a pair."""
+    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "hashpartitioning" not in plan
+
+
 def test_few_shared_faces_meet_their_points_directly_with_the_same_results(spark, monkeypatch):
     """Against the grid; a mesh lacks a coordinate, another a vertex, points lie in several blocks, some have no normal."""
     rng = np.random.default_rng(21)
