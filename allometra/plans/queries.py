@@ -890,17 +890,24 @@ def delimited_round_trip(spark, sf_dir):
     return text.typed(text.read_delimited(spark, path, ";", skip_first=True), [text.Field(*f, levels.get(f[0], ())) for f in fields])
 
 
+def _cloud_name() -> Column:
+    return F.concat(F.lit("cloud_id="), "cloud_id").alias("name")
+
+
+def _cloud_named() -> Column:
+    return F.regexp_extract("path", "#cloud_id=(-?[0-9]+)$", 1).cast("long").alias("cloud_id")
+
+
 @query(f"WITH {SHEETS_SQL} SELECT cloud_id, vertex_id::INT AS vertex_id, {xyz_sql()} FROM sh")
 def obj_round_trip(spark, sf_dir):
     path = scratch_folder(spark)
     point = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat_ws(" ", F.lit("v"), *[F.get("pos", i * 3 + k).cast("string") for k in range(3)]))
     face = sheet_faces(spark).agg(F.transform(F.array_sort(F.collect_list(F.struct("face_id", "i0", "i1", "i2"))), lambda f: F.concat_ws(" ", F.lit("f"), *[(f[f"i{k}"] + 1).cast("string") for k in range(3)])).alias("faces"))
     # The faces are one row of 98.
-    files = sheet_clouds(spark, sf_dir).join(F.broadcast(face)).select("cloud_id", F.array_join(F.concat(point, "faces"), "\n").alias("value"))
-    files.write.partitionBy("cloud_id").text(path)
-    vertices, _, _ = meshes.read_obj(spark, path)
-    cloud = F.regexp_extract("path", "cloud_id=([0-9]+)", 1).cast("long").alias("cloud_id")
-    return vertices.select(cloud, "vertex_id", *[r(k).alias(k) for k in XYZ])
+    files = sheet_clouds(spark, sf_dir).join(F.broadcast(face)).select(_cloud_name(), F.array_join(F.concat(point, "faces"), "\n").alias("value"))
+    text.write_pages(files, path)
+    vertices, _, _ = meshes.read_obj(spark, path, paged=True)
+    return vertices.select(_cloud_named(), "vertex_id", *[r(k).alias(k) for k in XYZ])
 
 
 _CODED_SQL = "lo + floor((v - lo) * (65535.0::DOUBLE / (hi - lo))) * ((hi - lo) / 65535.0::DOUBLE)"
@@ -919,10 +926,10 @@ def chunked_round_trip(spark, sf_dir):
 def landmark_files_round_trip(spark, sf_dir):
     path = scratch_folder(spark)
     line = lambda i: F.concat_ws("\t", F.concat(F.lit("point "), i), *[F.get("pos", i * 3 + k).cast("string") for k in range(3)])
-    files = landmark_clouds(spark, sf_dir).select("cloud_id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(20)), line), "\n").alias("value"))
-    files.write.partitionBy("cloud_id").text(path)
-    vertices, _, _ = meshes.read_meshes(spark, path, "landmarks")
-    return vertices.select(F.regexp_extract("path", "cloud_id=([0-9]+)", 1).cast("long").alias("cloud_id"), "vertex_id", *[r(k).alias(k) for k in XYZ])
+    files = landmark_clouds(spark, sf_dir).select(_cloud_name(), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(20)), line), "\n").alias("value"))
+    text.write_pages(files, path)
+    vertices, _, _ = meshes.read_meshes(spark, path, "landmarks", paged=True)
+    return vertices.select(_cloud_named(), "vertex_id", *[r(k).alias(k) for k in XYZ])
 
 
 @query(f"WITH {SHEETS_SQL} SELECT cloud_id, vertex_id::INT AS vertex_id, {xyz_sql()} FROM sh")

@@ -30,14 +30,15 @@ def _numbers(line: Column) -> Column:
     return F.transform(F.slice(F.split(F.trim(line), r"\s+"), 2, 3), lambda t: t.try_cast("double"))
 
 
-def read_obj(spark: SparkSession, path: str, unshared: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_obj(spark: SparkSession, path: str, unshared: bool = False, paged: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """vertices (path, vertex_id, x, y, z, nx, ny, nz), faces (path, face_id, i0, i1, i2) and errors (path, message) of OBJ files.
 
     Numbers begin at 0. A face is its first three corners. ``unshared`` gives each corner a vertex of its own, with the normal that the
     face names; otherwise vertices are as listed, without normals. A line of ``v`` that is no vertex, normal or texture place, a number that
-    does not parse and a corner that names no vertex are errors, and such a file gives no rows.
+    does not parse and a corner that names no vertex are errors, and such a file gives no rows. ``paged`` files hold many meshes (``text.texts``),
+    each with numbers of its own, and a page counts as a file.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("lines"))
+    files = text.texts(spark, path, paged).select("path", F.split("value", r"\r?\n").alias("lines"))
     pick = lambda pattern: F.filter("lines", lambda line: line.rlike(pattern))
     corner = lambda t: F.transform(F.split(t, "/"), lambda p: p.try_cast("int"))
     tokens = lambda line: F.transform(F.slice(F.split(F.trim(line), r"\s+"), 2, 3), corner)
@@ -241,20 +242,20 @@ def from_bytes(files: DataFrame, form: str) -> tuple[DataFrame, DataFrame, DataF
     return _parsed(files, PARSERS[form])
 
 
-def read_meshes(spark: SparkSession, path: str, form: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_meshes(spark: SparkSession, path: str, form: str, paged: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """vertices (path, vertex_id, x, y, z, nx, ny, nz), faces (path, face_id, i0, i1, i2) and errors (path, message) of the files of one format.
 
     ``form``: obj, landmarks, or one of ``PARSERS``. Spark's own readers open the files, wherever they lie, so paths may be
-    in any store that Spark reaches. An unknown format is an error.
+    in any store that Spark reaches. An unknown format is an error, and so are pages (``text.texts``) of binary files.
     """
     if form == "obj":
-        return read_obj(spark, path)
+        return read_obj(spark, path, paged=paged)
     if form == "landmarks":
-        vertices, errors = text.read_landmarks(spark, path)
+        vertices, errors = text.read_landmarks(spark, path, paged)
         nothing = [F.lit(None).cast("double").alias(c) for c in NORMAL]
         return vertices.select("path", "vertex_id", *XYZ, *nothing), spark.createDataFrame([], _FACE), errors
-    if form not in PARSERS:
-        raise ValueError(f"no format {form}")
+    if form not in PARSERS or paged:
+        raise ValueError(f"no {'paged ' * paged}format {form}")
     return _parsed(spark.read.format("binaryFile").load(path), PARSERS[form])
 
 

@@ -12,6 +12,28 @@ from pyspark.sql import types as T
 from allometra.sources.scratch import written
 
 
+#: Parts the texts of a file that holds many of them.
+PAGE = "\f"
+
+
+def texts(spark: SparkSession, path: str, paged: bool = False) -> DataFrame:
+    """path and value of the text files under ``path``, a file one row; if they are ``paged``, each page is one.
+
+    Pages are as ``write_pages`` makes them: the first line is a name, and the path is the file's, ``#`` and that name. Files are split between pages.
+    """
+    if not paged:
+        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    parts = F.split("value", r"\r?\n", 2)
+    return spark.read.text(path, lineSep=PAGE).select(F.concat("_metadata.file_path", F.lit("#"), parts[0]).alias("path"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("value"))
+
+
+def write_pages(rows: DataFrame, path: str) -> None:
+    """Many small texts (name, value) in few files, one a partition, each text a page under its name; a form feed in a text, or a name of several lines, is an error."""
+    odd = F.contains("value", F.lit(PAGE)) | F.col("name").rlike(r"[\f\r\n]") | F.col("name").isNull()
+    page = F.when(odd, F.raise_error(F.lit("a form feed in a text, or a name that is no line"))).otherwise(F.concat_ws("\n", "name", "value"))
+    rows.select(page.alias("value")).write.text(path, lineSep=PAGE)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_index (from 0, by file) and value of every line of the text files under ``path``.
 
@@ -134,14 +156,14 @@ def floats(text: Column, separator: str) -> Column:
     return F.when(F.trim(text) == "", F.array().cast("array<double>")).otherwise(F.transform(parts, lambda p: F.trim(p).try_cast("double")))
 
 
-def read_landmarks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_landmarks(spark: SparkSession, path: str, paged: bool = False) -> tuple[DataFrame, DataFrame]:
     """Landmark files: a label, a tab, and two or three numbers parted by tabs in each line; lines without a tab are left out.
 
     Returns vertices (path, vertex_id, x, y, z; z null in the plane) and errors (path, message) of files whose lines
-    differ in length or hold something else; these give no vertices. A landmark file is small: each is one row, read and
-    parsed once for both tables.
+    differ in length or hold something else; these give no vertices. A landmark file, or a page of ``paged`` files, is small: each is one row,
+    read and parsed once for both tables.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r\n|\r|\n").alias("lines"))
+    files = texts(spark, path, paged).select("path", F.split("value", r"\r\n|\r|\n").alias("lines"))
     marked = F.filter("lines", lambda line: F.instr(line, "\t") > 0)
     numbers = F.transform(marked, lambda line: floats(F.substring(line, F.instr(line, "\t") + 1, F.length(line)), "\t"))
     rows = files.select("path", F.filter(numbers, lambda v: F.size(v) > 0).alias("v")).where(F.size("v") > 0)

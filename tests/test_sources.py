@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from allometra import cli
 from allometra.operators import clouds, table, topology
+from allometra.plans import queries
 from allometra.sources import catalog, meshes, text
 
 
@@ -205,3 +206,32 @@ def test_landmark_files_are_read_once(spark, tmp_path):
     assert sorted((r.vertex_id, r.x, r.y, r.z) for r in vertices.collect()) == [(0, 1.0, 2.0, 3.0), (1, 4.0, 5.0, 6.0), (2, 7.0, 8.0, 9.0)]
     assert [r.message for r in errors.collect()] == ["lines of different length"]
     assert "Exchange" not in vertices._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name, form", [("obj_round_trip", "obj"), ("landmark_files_round_trip", "landmarks")])
+def test_many_small_texts_lie_in_few_files(spark, sf_dir, tmp_path, monkeypatch, name, form):
+    """No folder a cloud: files are as many as tasks, whatever the clouds; every split begins with a page of its own."""
+    monkeypatch.setattr(queries, "scratch_folder", lambda _: str(tmp_path / "pages"))
+    first = sorted(map(tuple, queries.QUERIES[name](spark, sf_dir).collect()))
+    assert 0 < len(list((tmp_path / "pages").glob("**/part-*"))) <= 8
+    monkeypatch.setattr(queries, "scratch_folder", lambda _: str(tmp_path / "again"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001b")
+    try:
+        assert sorted(map(tuple, queries.QUERIES[name](spark, sf_dir).collect())) == first
+        assert spark.read.text(str(tmp_path / "pages"), lineSep=text.PAGE).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_pages_are_meshes_of_their_own(spark, tmp_path):
+    rows = [("a", "v 0 0 0\nv 1 0 0\r\nv 0 1 0\nf 1 2 3"), ("b", "v 0 0 0\nf 1 2 3\n"), ("c", "v 5 0 0"), ("d", "")]
+    text.write_pages(spark.createDataFrame(rows, "name string, value string").coalesce(1), str(tmp_path / "p"))
+    vertices, faces, errors = meshes.read_obj(spark, str(tmp_path / "p"), paged=True)
+    assert sorted((r.path.rsplit("#", 1)[1], r.vertex_id, r.x) for r in vertices.collect()) == [("a", 0, 0.0), ("a", 1, 1.0), ("a", 2, 0.0), ("c", 0, 5.0)]
+    assert [(r.path[-2:], r.i2) for r in faces.collect()] == [("#a", 2)]
+    assert [(r.path[-2:], r.message) for r in errors.collect()] == [("#b", "a corner names no vertex")]
+    for odd in (("e", "v 0\f0 0"), ("e\n", "v 0 0 0"), (None, "")):
+        with pytest.raises(Exception, match="form feed"):
+            text.write_pages(spark.createDataFrame([odd], "name string, value string"), str(tmp_path / f"odd{odd[0]}{odd[1][:3]}"))
+    with pytest.raises(ValueError):
+        meshes.read_meshes(spark, str(tmp_path), "ply", paged=True)
