@@ -84,6 +84,31 @@ def _sound(clouds: DataFrame, least: int) -> DataFrame:
     return clouds.where((F.size("pos") >= 3 * least) & finite & wide)
 
 
+def _flagged(clouds: DataFrame, bad: DataFrame, lost: list[int]) -> DataFrame:
+    """cloud_id, pos, rejected (a flag for each vertex) and n_rejected of packed clouds with gaps, which close up.
+
+    Rejected are the vertices of a cloud that ``bad`` (cloud_id, vertex_id) names, and in all clouds those in ``lost``.
+    """
+    both = clouds.select("cloud_id", "pos").join(bad.groupBy("cloud_id").agg(F.collect_list("vertex_id").alias("_bad")), "cloud_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            places, flags = [], []
+            for pos, own in zip(batch.column("pos"), batch.column("_bad"), strict=True):
+                known = pos.values.is_valid().to_numpy(zero_copy_only=False).reshape(-1, 3).all(axis=1)
+                out = np.zeros(len(known), dtype=bool)
+                out[[i for i in lost if i < len(out)]] = True
+                if own.is_valid:
+                    out[own.values.to_numpy()] = True
+                places.append(pos.values.to_numpy(zero_copy_only=False).reshape(-1, 3)[known].ravel())
+                flags.append(out[known])
+            n = pa.array([int(f.sum()) for f in flags], pa.int32())
+            columns = [batch.column("cloud_id"), pa.array(places, _DOUBLES), pa.array(flags, pa.list_(pa.bool_())), n]
+            yield pa.RecordBatch.from_arrays(columns, ["cloud_id", "pos", "rejected", "n_rejected"])
+
+    return both.mapInArrow(run, "cloud_id long, pos array<double>, rejected array<boolean>, n_rejected int")
+
+
 def correspond(meshes: DataFrame, faces: DataFrame, landmarks: DataFrame, options: CorrespondenceOptions | None = None) -> DataFrame:
     """One template brought onto every mesh: cloud_id, status, pos, cs (size), rejected (a flag for each vertex), n_rejected,
     rejection_rate, iterations and reason (of the registration).
@@ -115,22 +140,20 @@ def correspond(meshes: DataFrame, faces: DataFrame, landmarks: DataFrame, option
     else:
         points = points.withColumns({f"n{k}": F.lit(None).cast("double") for k in XYZ})
     onto = spatial.project(points.withColumnRenamed("cloud_id", "mesh_id"), aligned.withColumnRenamed("cloud_id", "mesh_id"), faces)
-    found = written(onto.select(F.col("mesh_id").alias("cloud_id"), F.col("point_id").cast("int").alias("vertex_id"), *XYZ))
+    projected = onto.select(F.col("mesh_id").alias("cloud_id"), F.col("point_id").cast("int").alias("vertex_id"), *XYZ)
+    found = written(c.pack(projected, gaps=True))  # from here on a cloud is a row: only rejected vertices are dealt out by number
 
     shape = meshes.sparkSession.createDataFrame(pa.table({"cloud_id": [o.base], "pos": pa.array([template.ravel()], _DOUBLES)}))
     bad = c.reject_by_scaling(c.face_areas(shape, faces), c.face_areas(found, faces), o.low, o.high).select("cloud_id", "vertex_id")
     if o.fence is not None:
-        pairs = c.homologous(found, c.unpack(shape).drop("cloud_id")).withColumns({f"d{k}": F.col(f"b{k}") - F.col(k) for k in XYZ})
+        placed = c.unpack(found).where("x IS NOT NULL")
+        pairs = c.homologous(placed, c.unpack(shape).drop("cloud_id")).withColumns({f"d{k}": F.col(f"b{k}") - F.col(k) for k in XYZ})
         bad = bad.union(c.reject_by_distance(pairs, o.fence).where("rejected").select("cloud_id", "vertex_id")).distinct()
-    flagged = found.join(bad.withColumn("_bad", F.lit(True)), ["cloud_id", "vertex_id"], "left").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
+    lost = []
     if o.most is not None:
-        kept = flagged.groupBy("vertex_id").agg((F.count_if("_bad") <= o.most).alias("_kept"))
-        flagged = flagged.join(kept, "vertex_id").withColumn("_bad", F.col("_bad") | ~F.col("_kept"))
-    rows = F.array_sort(F.collect_list(F.struct("vertex_id", *XYZ, "_bad")))
-    judged = flagged.groupBy("cloud_id").agg(rows.alias("_v")).select(
-        "cloud_id", F.flatten(F.transform("_v", lambda v: F.array(*[v[k] for k in XYZ]))).alias("pos"), F.col("_v._bad").alias("rejected"), F.size(F.filter("_v", lambda v: v["_bad"])).alias("n_rejected")
-    )
-    judged = written(judged.withColumn("rejection_rate", F.col("n_rejected") / len(template)))
+        bad = written(bad)
+        lost = [r.vertex_id for r in bad.groupBy("vertex_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > o.most).collect()]  # of the template's size
+    judged = written(_flagged(found, bad, lost).withColumn("rejection_rate", F.col("n_rejected") / len(template)))
     left = judged.where(F.col("n_rejected") < len(template))
     if left.isEmpty():
         raise ValueError("every vertex of every cloud is rejected")

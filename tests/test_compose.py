@@ -315,3 +315,25 @@ def test_pairs_settle_together_as_they_do_alone():
             assert all(np.allclose(m[i], o[0], atol=1e-9) for m, o in zip(many, one, strict=True))
     fitted = [fits._applied(x, *f) for x, f in zip((a, b), together, strict=True)]
     assert np.allclose(fitted[0].mean(axis=1), 0) and np.allclose(fitted[1].mean(axis=1), 0)
+
+
+def test_rejected_vertices_are_flagged_in_packed_clouds(spark):
+    """A vertex without a place closes up; what one cloud lost is flagged there, what all lose everywhere."""
+    clouds = spark.createDataFrame([(1, [float(v) for v in range(12)]), (2, [1.0, 2.0, 3.0, None, None, None, 7.0, 8.0, 9.0]), (3, [0.0] * 6)], "cloud_id long, pos array<double>")
+    bad = spark.createDataFrame([(1, 0), (1, 2), (2, 2)], "cloud_id long, vertex_id int")
+    found = {r.cloud_id: (len(r.pos), r.rejected, r.n_rejected) for r in compose._flagged(clouds, bad, [3]).collect()}
+    assert found == {1: (12, [True, False, True, True], 3), 2: (6, [False, True], 1), 3: (6, [False, False], 0)}
+
+
+def test_correspondence_joins_no_vertices_to_their_flags(spark, sf_dir, monkeypatch):
+    """Projected clouds are packed before they are judged, so only rejected vertices are shuffled by number."""
+    plans, written = [], compose.written
+
+    def kept(df, *by):
+        plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        return written(df, *by)
+
+    monkeypatch.setattr(compose, "written", kept)
+    queries.QUERIES["dense_correspondence"](spark, sf_dir)
+    (judged,) = [plan for columns, plan in plans if "rejection_rate" in columns]
+    assert not [line for line in judged.splitlines() if "Join" in line and "vertex_id" in line]
