@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,12 +86,17 @@ def _opas(target: np.ndarray, x: np.ndarray, masks: np.ndarray | None) -> tuple[
     target_centre, centre = a.sum(axis=1) / (per if masks is not None else x.shape[1]), b.sum(axis=1) / per
     a, b = (a - target_centre[:, None]) * w, (b - centre[:, None]) * w
     target_size, size = (np.sqrt((v**2).sum(axis=(1, 2)) / (n if len(v) == len(n) else x.shape[1])) for v in (a, b))
-    u, _, vt = np.linalg.svd(b.transpose(0, 2, 1) @ a / (size * target_size)[:, None, None])
-    u[:, :, -1] *= np.sign(np.linalg.det(u @ vt))[:, None]
-    rot, scale = u @ vt, size / target_size
+    rot, scale = _rotations(b.transpose(0, 2, 1) @ a / (size * target_size)[:, None, None]), size / target_size
     return centre - (rot @ np.broadcast_to(target_centre, centre.shape)[..., None])[..., 0] * scale[:, None], scale, rot
 
 
+def _rotations(cross: np.ndarray) -> np.ndarray:
+    """The best rotations, no reflections, of cross-covariances (clouds, 3, 3)."""
+    u, _, vt = np.linalg.svd(cross)
+    u[:, :, -1] *= np.sign(np.linalg.det(u @ vt))[:, None]
+    return u @ vt
+
+
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in slices whose packed clouds have some megabytes."""
     rows = max(1, SLICE_BYTES // (8 * max(1, len(batch.column("pos").flatten()) // max(1, batch.num_rows))))
@@ -161,14 +167,48 @@ def mean_row(clouds: DataFrame) -> np.ndarray:
     return _summed(clouds, _matrix)
 
 
-def fitted_mean(clouds: DataFrame, target: np.ndarray) -> np.ndarray:
-    """Mean points of packed clouds, each fitted to the target; no fitted cloud leaves its task."""
+def shapes(clouds: DataFrame) -> RDD:
+    """Packed clouds moved to the origin and brought to size 1, in slices: how many clouds, and their doubles as bytes, x, y and z of each cloud one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _parts(whole)):
+            x = _points(batch).transpose(0, 2, 1)
+            x = x - x.mean(axis=2, keepdims=True)
+            x /= np.sqrt((x**2).sum(axis=(1, 2)) / x.shape[2])[:, None, None]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["n", "pos"])
+
+    return clouds.select("pos").mapInArrow(run, "n long, pos binary").rdd.map(tuple)
 
-    def rows(batch: pa.RecordBatch) -> np.ndarray:
-        x = _points(batch)
-        return _applied(x, *_opas(target, x, None))
 
-    return _summed(clouds, rows).reshape(-1, 3)
+def shapes_mean(slices: RDD, target: np.ndarray) -> np.ndarray:
+    """Mean points of ``shapes``, each fitted to the target.
+
+    As shapes have no centre and no size left, a fit is a rotation: a slice takes one product for all cross-covariances and one for the sum.
+    A partition makes one sum; sums of more than ``BLOCK_BYTES`` in all are added up on the executors before the driver gets them.
+    """
+    if len(target) < 3:
+        raise ValueError("three points at least")
+    centre, size = centre_and_size(target)
+
+    def run(rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, int]]:
+        total, n = 0.0, 0
+        for k, held in rows:
+            flat = np.frombuffer(held)
+            if len(flat) != k * target.size:
+                raise ValueError("clouds and target of different length")
+            x = flat.reshape(-1, len(target))
+            total, n = x.T @ _rotations((x @ (target - centre)).reshape(-1, 3, 3)).reshape(-1, 3) + total, n + k
+        if n:
+            yield total, n
+
+    depth = 1 if slices.getNumPartitions() * target.nbytes <= BLOCK_BYTES else 2
+    total, n = slices.mapPartitions(run).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), depth)
+    return total / n * size + centre
+
+
+def fitted_mean(clouds: DataFrame, target: np.ndarray) -> np.ndarray:
+    """Mean points of packed clouds, each fitted to the target; no fitted cloud leaves its task."""
+    return shapes_mean(shapes(clouds), target)
 
 
 def mean_of(clouds: DataFrame) -> np.ndarray:
@@ -191,21 +231,24 @@ class GpaResult:
 def gpa(clouds: DataFrame, max_iterations: int = 150, tolerance: float = 1e-5) -> GpaResult:
     """Generalised Procrustes: clouds fitted to their mean and the mean taken again until it settles.
 
-    Starts with the cloud of least id, centred and of size 1; fitted clouds have size 1. The clouds are written once; each
-    round reads them, sends one mean back, and no lineage grows. At least 4 points a cloud.
+    Starts with the cloud of least id, centred and of size 1; fitted clouds have size 1. The clouds are written once, dealt out evenly
+    however the input lies; their shapes stay on the executors' disks, and are made again from the written clouds if these are lost. Each round
+    reads the shapes and sends one mean back, and no lineage grows. At least 4 points a cloud.
     """
-    clouds = written(clouds.select("cloud_id", "pos"))
+    clouds = written(clouds.select("cloud_id", "pos").repartition(clouds.sparkSession.sparkContext.defaultParallelism))
     first = clouds.orderBy("cloud_id").select("pos").first()
     if first is None or len(first.pos) < 12:
         raise ValueError("clouds of 4 points at least")
     mean, error, errors = _normalised(np.array(first.pos).reshape(-1, 3)), 1.0, []
+    slices = shapes(clouds).persist(StorageLevel.DISK_ONLY)
     for _ in range(max_iterations):
-        new = fitted_mean(clouds, _normalised(mean))
+        new = shapes_mean(slices, _normalised(mean))
         moved = float(np.sqrt(((new - mean) ** 2).sum(axis=1).mean()))
         errors.append(moved)
         if moved == 0 or (error - moved) / moved < tolerance:
             break
         mean, error = new, moved
+    slices.unpersist()
     return GpaResult(mean, fit_to(clouds, _normalised(mean)), errors)
 
 

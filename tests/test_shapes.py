@@ -92,6 +92,23 @@ def test_predicates_treat_null_as_no_match(spark):
     assert table.levels(df, "name", "row_index").count() == 2
 
 
+def test_rounds_of_gpa_are_dealt_out_evenly(spark, monkeypatch):
+    """Clouds of one partition go to all cores; rounds give the mean of plain ones, also where sums meet before the driver."""
+    rng = np.random.default_rng(9)
+    x = [(shape @ similarity(rng)) * rng.uniform(1, 4) + rng.normal(size=3) for shape in rng.normal(size=(6, 3)) + 0.3 * rng.normal(size=(40, 6, 3))]
+    df = spark.createDataFrame([(i, c.ravel().tolist()) for i, c in enumerate(x)], "cloud_id long, pos array<double>").coalesce(1)
+    mean = fits._normalised(x[0])
+    for _ in range(4):
+        target = fits._normalised(mean)
+        mean = np.mean([fits.apply(c, *fits.opa(target, c)) for c in x], axis=0)
+    for most in (fits.BLOCK_BYTES, 1):
+        monkeypatch.setattr(fits, "BLOCK_BYTES", most)
+        result = fits.gpa(df, max_iterations=4, tolerance=-1.0)
+        assert len(result.errors) == 4 and np.allclose(result.mean, mean)
+        assert result.fitted.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+        assert fits.shapes(df).map(lambda row: row[0]).sum() == 40
+
+
 def test_many_fits_at_once_equal_single_ones(spark, monkeypatch):
     """Slices, masks of rows and a mask for all; the mean of fitted clouds is that of ``fit_to``."""
     monkeypatch.setattr(fits, "SLICE_BYTES", 3 * 8 * 3 * 9)  # three clouds
