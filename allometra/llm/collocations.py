@@ -1,13 +1,15 @@
 """Phrase collocation mining: frequent phrases of a language, scored by how much they exceed chance.
 
-First pass: every run of one to ``LONGEST`` words goes into merged count-min sketches, which overestimate. Second pass:
-a run is counted exactly if neither it nor any run within it is certainly rarer than ``least``; nothing frequent is
-lost, as a phrase is at most as frequent as its parts. Counts are added up by word numbers within a batch, so no hash
-decides a result. Then phrases are scored by their worst cut, and those that a longer phrase explains are dropped.
+Runs of one to ``LONGEST`` words go into merged count-min sketches, which overestimate, in passes of growing size: a run
+enters only if no run within it is certainly rarer than ``least``. Last pass: a run is counted exactly if that holds for
+itself, too; nothing frequent is lost, as a phrase is at most as frequent as its parts. Counts are added up by word
+numbers within a batch, so no hash decides a result. Then phrases are scored by their worst cut, and those that a longer
+phrase explains are dropped.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from allometra.llm.common import materialise
 from allometra.llm.shingles import mix
-from allometra.llm.sketch import Cells, Survivors, merge
+from allometra.llm.sketch import Cells, Survivors, merge, width_for
 from allometra.llm.tokens import Vocabulary, WordHashes, byte_table, raw_texts, stretches, tally
 
 LEAST = 100
@@ -28,9 +30,12 @@ TOP_PHRASES = 2000
 SCALE = 1000
 #: A longer phrase with this many hundredths of a phrase's occurrences explains it.
 SHARE = 100
-#: Cells of a row of the sketch, the same for every corpus: it discards what is rarer than about one in so many of all runs
-#: of words, so ``least`` should grow with the corpus. Where it does not, the sketch fills up and the exact count has more rows.
-WIDTH = 1 << 24
+#: Sizes of runs that are sketched in one pass. Most pairs of words are common enough to tell nothing, longer runs are few once those
+#: with a rare run in them are left out.
+PASSES = ((1, 2), (3, 4, 5))
+#: Bytes of text for each cell of a row of a sketch and each occurrence asked for: up to ``MAX_WIDTH`` a cell gets a sixth of ``least`` in pairs of words.
+BYTES_PER_CELL = 1.25
+LEAST_WIDTH = 1 << 22
 #: Phrases that a task adds up before it hands them on, and the blocks, by hash, in which it does.
 HELD = 1 << 20
 BLOCKS = 1024
@@ -70,8 +75,24 @@ def _longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(hashes * _STEP + words)
 
 
-def _sketched(rows: DataFrame, width: int, least: int) -> DataFrame:
-    """Each task's sketch of the runs of one to ``LONGEST`` words."""
+def _possible(ids: np.ndarray, words: np.ndarray, survivors: dict[int, Survivors], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size up to ``longest``: size, the hash of the run that begins at each place, and whether it can be frequent, by the sketches so far."""
+    alive, run_hash = ids != 0, words
+    for size in range(1, longest + 1):
+        if size > 1:
+            n = max(0, len(ids) - size + 1)
+            alive, run_hash = alive[:n] & alive[1 : n + 1], _longer(run_hash[:n], words[size - 1 :])
+        if size in survivors:
+            at = np.flatnonzero(alive)
+            at = at[survivors[size].may(run_hash[at])]
+            alive = np.zeros(len(alive), dtype=bool)
+            alive[at] = True
+        yield size, run_hash, alive
+
+
+def _sketched(rows: DataFrame, width: int, least: int, sizes: tuple[int, ...], survivors: dict[int, Survivors]) -> DataFrame:
+    """Each task's sketch of the runs of ``sizes`` words that the sketches of shorter runs leave possible."""
+    shared = rows.sparkSession.sparkContext.broadcast(survivors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = Cells(width, least)
@@ -79,20 +100,16 @@ def _sketched(rows: DataFrame, width: int, least: int) -> DataFrame:
             for lang, texts in _by_language(batch):
                 vocabulary, hashes = Vocabulary(_BREAK), WordHashes(lang)
                 for ids, old in _runs(texts, vocabulary):
-                    words = hashes.of(vocabulary)[ids]
-                    at, run_hash = np.flatnonzero(ids), words
-                    for size in range(1, LONGEST + 1):
-                        if size > 1:  # runs go on where the next word is one, too
-                            at = at[at + size <= len(ids)]
-                            at = at[ids[at + size - 1] != 0]
-                            run_hash = _longer(run_hash[:-1], words[size - 1 :])
-                        cells.add(run_hash[at[at + size > old]])
+                    for size, run_hash, alive in _possible(ids, hashes.of(vocabulary)[ids], shared.value, max(sizes)):
+                        if size in sizes:
+                            fresh = max(0, old - size + 1)  # runs before this place ended in the part before
+                            cells.add(run_hash[fresh:][alive[fresh:]])
         yield from cells.batches()
 
     return rows.mapInArrow(run, "block int, cells binary")
 
 
-def _counted(rows: DataFrame, survivors: Survivors) -> DataFrame:
+def _counted(rows: DataFrame, survivors: dict[int, Survivors]) -> DataFrame:
     """lang, block, phrases, a: occurrences of the surviving runs, and under the phrase '' of all words, added up by task.
 
     One row has the phrases of a block, between line ends, which no phrase contains.
@@ -149,19 +166,14 @@ def _rows(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(list(counts.values()), pa.int64())], schema=_COUNTS)
 
 
-def _part(ids: np.ndarray, old: int, words: np.ndarray, names: list[bytes], survivors: Survivors) -> Iterator[tuple[bytes, int]]:
+def _part(ids: np.ndarray, old: int, words: np.ndarray, names: list[bytes], survivors: dict[int, Survivors]) -> Iterator[tuple[bytes, int]]:
     """The surviving runs that end after the first ``old`` words, and how often they occur."""
     yield b"", int(np.count_nonzero(ids[old:]))
-    number, alive, run_hash = ids.astype(np.int64), ids != 0, words
-    for size in range(1, LONGEST + 1):
+    number = ids.astype(np.int64)
+    for size, _, alive in _possible(ids, words, survivors, LONGEST):
         if size > 1:
-            n = max(0, len(ids) - size + 1)
-            alive, run_hash = alive[:n] & alive[1 : n + 1], _longer(run_hash[:n], words[size - 1 :])
-            number = number[:n] << 32 | ids[size - 1 :]
+            number = number[: len(alive)] << 32 | ids[size - 1 :]
         at = np.flatnonzero(alive)
-        at = at[survivors.may(run_hash[at])]
-        alive = np.zeros(len(alive), dtype=bool)
-        alive[at] = True
         distinct, first, inverse = np.unique(number[at], return_index=True, return_inverse=True)
         number = np.zeros(len(alive), dtype=np.int64)
         number[at] = inverse
@@ -173,7 +185,10 @@ def _part(ids: np.ndarray, old: int, words: np.ndarray, names: list[bytes], surv
 def phrase_counts(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, phrase, a of every run of one to ``LONGEST`` words with ``least`` occurrences or more; phrase '' has the number of all words."""
     rows = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
-    survivors = merge(_sketched(rows, WIDTH, least), WIDTH, least)
+    width, survivors = max(LEAST_WIDTH, width_for(rows, math.ceil(BYTES_PER_CELL * least))), {}
+    for sizes in PASSES:
+        own = merge(_sketched(rows, width, least, sizes, survivors), width, least)
+        survivors = survivors | dict.fromkeys(sizes, own)
     return _added(_counted(rows, survivors)).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("phrase") == ""))
 
 

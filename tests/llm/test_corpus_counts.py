@@ -105,6 +105,21 @@ def test_collocations_of_few_rows_and_a_long_text(spark):
     assert {tuple(r) for r in collocations(corpus(spark, rows)).collect()} == set(plain_collocations(rows, 100, 100, 2000))
 
 
+def test_runs_with_a_rare_part_are_not_counted_in_a_crowded_sketch(spark, monkeypatch):
+    from allometra.llm import collocations as c
+
+    for name in ("WIDTH", "LEAST_WIDTH"):
+        monkeypatch.setattr(c, name, 1 << 16, raising=False)
+    words = np.random.default_rng(35).integers(0, 1000, (400, 500))  # each word some 200 times, hardly a pair 10 times, some 15 runs for each cell
+    rows = [(" ".join(f"w{w}" for w in text), "en", "a") for text in words] + [("w1 w2 w3 " * 20, "en", "a")]
+    counted = []
+    added = c._added
+    monkeypatch.setattr(c, "_added", lambda packed: counted.append(packed.agg(F.sum(F.size("a"))).first()[0]) or added(packed))
+    found = {tuple(r) for r in collocations(corpus(spark, rows), 10, 100, 2000).collect()}
+    assert found == set(plain_collocations(rows, 10, 100, 2000)) and len(found) > 2
+    assert counted[0] < 20_000  # of some 1,000,000 runs
+
+
 def test_same_rows_as_sql(spark, sf_dir):
     from compare import same_rows
 
