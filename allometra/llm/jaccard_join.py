@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from allometra.llm.common import materialise, packed
 from allometra.llm.shingles import digest, shingle_set, word_hashes
-from allometra.llm.similarity import PARITY, Bitmap, id_place, linked_components, parity, signature
+from allometra.llm.similarity import PARITY, Bitmap, id_place, linked_components, meet, parity, signature
 
 SHINGLE = 5
 SIMILARITY = (8, 10)
@@ -116,7 +116,7 @@ def _linked(documents: DataFrame, size: int, similarity: tuple[int, int]) -> tup
     classes = materialise(classes.withColumns({"id": F.monotonically_increasing_id(), "hub_rank": F.lit(0)}))
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = classes.select("id", "first_id", "set_digest").join(ids, "id")
+        wanted = meet(classes.select("id", "first_id", "set_digest"), ids, "id")
         asked = Bitmap(wanted.select(id_place("first_id")))
         texts = documents.select("text", id_place("doc_id"))
 
@@ -126,10 +126,10 @@ def _linked(documents: DataFrame, size: int, similarity: tuple[int, int]) -> tup
                 yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_digest", "grams"])
 
         found = texts.mapInArrow(run, "set_digest binary, grams binary")
-        return found.join(wanted.select("id", "set_digest"), "set_digest").groupBy("id").agg(F.first("grams").alias("grams"))
+        return meet(found, wanted.select("id", "set_digest"), "set_digest").groupBy("id").agg(F.first("grams").alias("grams"))
 
     labels = linked_components(classes, fetch, num, den, ordered=True, hold=materialise)
-    named = classes.select("id", "set_digest", "first_id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = meet(classes.select("id", "set_digest", "first_id"), labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return rows, named
 
 
@@ -145,9 +145,9 @@ def duplicate_components(documents: DataFrame, size: int = SHINGLE, similarity:
     rows, named = _linked(documents.select("doc_id", "text"), size, similarity)
     # Held, so that the joins read plain tables, whose large keys Spark can split.
     least = materialise(named.groupBy("component").agg(F.min("first_id").alias("component_id")))
-    named = materialise(named.join(least, "component").select("set_digest", "component_id"))
+    named = materialise(meet(named, least, "component").select("set_digest", "component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_digest")
-    some = out.where("n_shingles > 0").join(named, "set_digest").select("doc_id", "n_shingles", "component_id")
+    some = meet(out.where("n_shingles > 0"), named, "set_digest").select("doc_id", "n_shingles", "component_id")
     # Rows without a shingle all have one digest and link with nothing: they stay out of the join.
     return some.unionByName(out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
@@ -162,7 +162,8 @@ def keep_first(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int,
     rows, named = _linked(documents.select("doc_id", text_id, "text"), size, similarity)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_digest", "_text_id")
     some = rows.where("n > 0")
-    first = some.groupBy("set_digest").agg(F.min(place).alias("_place")).join(named.select("set_digest", "component"), "set_digest")
+    first = some.groupBy("set_digest").agg(F.min(place).alias("_place"))
+    first = meet(first, named.select("set_digest", "component"), "set_digest")
     first = first.groupBy("component").agg(F.min("_place").alias("_place")).select(F.col("_place.doc_id").alias("_doc"), F.col("_place._text_id").alias("_text"))
     own = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("_text_id") == F.col(b))
     going = some.select("doc_id", "_text_id").distinct().join(first, own("_doc", "_text"), "left_anti")

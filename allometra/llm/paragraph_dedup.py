@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from allometra.llm.common import materialise, packed
 from allometra.llm.passages import repeated_passages, without
 from allometra.llm.shingles import digest, mix, shingle_sets, word_hashes
-from allometra.llm.similarity import PARITY, SIGNATURE, Bitmap, digest_place, digest_places, id_place, linked_components
+from allometra.llm.similarity import PARITY, SIGNATURE, Bitmap, digest_place, digest_places, id_place, linked_components, meet
 
 SHINGLE = 5
 SIMILARITY = (8, 10)
@@ -151,7 +151,7 @@ def _repeated_lines(documents: DataFrame, size: int, similarity: tuple[int, int]
     classes = materialise(classes.withColumns({"id": F.monotonically_increasing_id(), "grp": F.lit(None).cast("binary"), "hub_rank": 127 - F.least("copies", F.lit(127))}))
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = classes.join(ids, "id").select("id", "set_digest", F.col("place.doc_id").alias("first_id"))
+        wanted = meet(classes, ids, "id").select("id", "set_digest", F.col("place.doc_id").alias("first_id"))
         asked, needed = Bitmap(wanted.select(id_place("first_id"))), Bitmap(wanted.select(digest_place("set_digest")))
         texts = documents.select("text", id_place("doc_id"))
 
@@ -167,7 +167,7 @@ def _repeated_lines(documents: DataFrame, size: int, similarity: tuple[int, int]
                     )
 
         found = texts.mapInArrow(run, "set_digest binary, grams binary")
-        return found.join(wanted.select("id", "set_digest"), "set_digest").groupBy("id").agg(F.first("grams").alias("grams"))
+        return meet(found, wanted.select("id", "set_digest"), "set_digest").groupBy("id").agg(F.first("grams").alias("grams"))
 
     labels = linked_components(classes, fetch, num, den, ordered=False, hold=materialise)
     named = classes.select("id", "set_digest", "place", "copies").join(labels, "id", "left").where("component IS NOT NULL OR copies > 1")

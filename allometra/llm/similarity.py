@@ -47,6 +47,12 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
+def meet(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that shuffles both sides, whatever Spark takes them for: what is exploded, or encoded well, is many times what Spark
+    reckons, and as a broadcast it would lie whole on the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def components(edges: DataFrame, hold: Hold = cut) -> DataFrame:
     """id and component (its least id) of every end of the undirected ``edges`` (a, b).
 
@@ -61,17 +67,17 @@ def components(edges: DataFrame, hold: Hold = cut) -> DataFrame:
         moved = True
         while moved:
             up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("_up"))
-            parents = hold(parents.join(up, "parent").select("id", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("_moved")))
+            parents = hold(meet(parents, up, "parent").select("id", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("_moved")))
             moved = not parents.where("_moved").isEmpty()
             parents = parents.select("id", "parent")
         if labels is None:
             labels = parents.withColumnRenamed("parent", "component")
         else:
             to = parents.select(F.col("id").alias("component"), "parent")
-            labels = hold(labels.join(to, "component", "left").select("id", F.coalesce("parent", "component").alias("component")))
+            labels = hold(meet(labels, to, "component", "left").select("id", F.coalesce("parent", "component").alias("component")))
         a = parents.select(F.col("id").alias("a"), F.col("parent").alias("_a"))
         b = parents.select(F.col("id").alias("b"), F.col("parent").alias("_b"))
-        edges = edges.join(a, "a").join(b, "b").where("_a <> _b")
+        edges = meet(meet(edges, a, "a"), b, "b").where("_a <> _b")
         edges = hold(edges.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
     return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
@@ -110,7 +116,7 @@ def _similar_signatures(pairs: DataFrame, items: DataFrame, num: int, den: int)
     left = items.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("sig").alias("_sig"))
     right = items.select(F.col("id").alias("b"), F.col("n").alias("_m"), F.col("sig").alias("_gis"))
     sizes = F.least("_n", "_m") * den >= F.greatest("_n", "_m") * num
-    both = pairs.join(left, "a").join(right, "b").where(sizes)
+    both = meet(meet(pairs, left, "a"), right, "b").where(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,8 +134,8 @@ def verify(pairs: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], Data
     asked = hold(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     # Held, so that the joins read a plain table and Spark can split a large hub.
     sets = hold(fetch(asked))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("_a")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("_b")), "b")
+    both = meet(pairs, sets.select(F.col("id").alias("a"), F.col("grams").alias("_a")), "a")
+    both = meet(both, sets.select(F.col("id").alias("b"), F.col("grams").alias("_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,30 +162,30 @@ def linked_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     of their key's hub; in the second round pairs of groups are expanded to pairs of members.
     """
     grouped = items.where("grp IS NOT NULL").groupBy("grp", "n").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("gsize"))
-    members = items.select("id", "grp", "n").join(grouped.where("gsize > 1"), ["grp", "n"])
+    members = meet(items.select("id", "grp", "n"), grouped.where("gsize > 1"), ["grp", "n"])
     members = hold(members.select("id", "gid", "gsize"))
-    leaders = items.join(members.where("id <> gid").select("id"), "id", "left_anti")
+    leaders = meet(items, members.where("id <> gid").select("id"), "id", "left_anti")
     postings = leaders.select("id", "hub_rank", F.posexplode("keys").alias("pos", "key"))
     rank = F.least("pos", F.lit(127)) if ordered else F.col("hub_rank")
     code = F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.col("id"))
     hubs = postings.groupBy("key").agg(F.min(code).alias("_code"), F.count(F.lit(1)).alias("_count")).where("_count > 1")
     hubs = hubs.select("key", F.col("_code").bitwiseAND((1 << 56) - 1).alias("hub"), "_count")
-    shared = hold(postings.select("key", "id", "pos").join(hubs, "key"))
+    shared = hold(meet(postings.select("key", "id", "pos"), hubs, "key"))
     pairs = shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     pairs = hold(pairs.union(members.where("id <> gid").select(F.col("id").alias("a"), F.col("gid").alias("b"))).distinct())
     first = hold(verify(pairs, items, fetch, num, den, hold))
     labels = components(first, hold)
 
     own = F.coalesce("component", "id")
-    spread = members.join(labels, "id", "left").groupBy("gid").agg(F.min(own).alias("_low"), F.max(own).alias("_high"), F.max("gsize").alias("_size"))
+    spread = meet(members, labels, "id", "left").groupBy("gid").agg(F.min(own).alias("_low"), F.max(own).alias("_high"), F.max("gsize").alias("_size"))
     spread = hold(spread.select(F.col("gid").alias("id"), "_low", "_high", "_size"))
-    placed = leaders.select("id", "n", *PARITY).join(labels, "id", "left").join(spread, "id", "left")
+    placed = meet(meet(leaders.select("id", "n", *PARITY), labels, "id", "left"), spread, "id", "left")
     placed = placed.select("id", "n", *PARITY, F.coalesce("_low", "component", "id").alias("low"), F.coalesce("_high", "component", "id").alias("high"), F.coalesce("_size", F.lit(1)).alias("size"))
     # Keys whose items are all in one component, or whose two items were all that there was to compare, are done.
-    left = shared.join(placed.select("id", "low", "high", "size"), "id")
+    left = meet(shared, placed.select("id", "low", "high", "size"), "id")
     sums = left.groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high"), F.max("size").alias("_size"), F.max("_count").alias("_n"))
     open_keys = hold(sums.where("_low < _high AND (_n > 2 OR _size > 1)").select("key"))
-    left = hold(shared.join(open_keys, "key").select("key", "hub", "id", "pos").join(placed, "id"))
+    left = hold(meet(meet(shared, open_keys, "key").select("key", "hub", "id", "pos"), placed, "id"))
     # Of two sets that are similar enough, the larger lies in the smaller one's bin of size or in the next; a key's items meet by bin.
     width = math.log(den / num) * 1.001
     bins = F.floor(F.log(F.col("n")) / width)
@@ -198,17 +204,17 @@ def linked_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     flips = sum(F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in PARITY)
     # Members of a group have parity bits of their own.
     near = near & ((F.col("a.size") > 1) | (F.col("b.size") > 1) | (flips <= total - 2 * least))
-    crossing = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.bin") == F.col("b.bin")) & (F.struct("a.n", "a.id") > F.struct("b.n", "b.id")) & ~done & apart & near)
+    crossing = meet(a, b, (F.col("a.key") == F.col("b.key")) & (F.col("a.bin") == F.col("b.bin")) & (F.struct("a.n", "a.id") > F.struct("b.n", "b.id")) & ~done & apart & near)
     crossing = crossing.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     inside = spread.where("_low < _high").select(F.col("id").alias("a"), F.col("id").alias("b"))
     group_pairs = hold(crossing.union(inside).distinct())
 
-    own_bits = items.select("id", "n", *PARITY).join(labels, "id", "left").select("id", "n", *PARITY, own.alias("own"))
+    own_bits = meet(items.select("id", "n", *PARITY), labels, "id", "left").select("id", "n", *PARITY, own.alias("own"))
     of = members.select("gid", F.col("id").alias("_member"))
 
     def expand(df: DataFrame, end: str) -> DataFrame:
-        wide = df.join(of.withColumnRenamed("gid", end), end, "left").withColumn(end, F.coalesce("_member", end)).drop("_member")
-        return wide.join(own_bits.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("n", "own", *PARITY)]), end)
+        wide = meet(df, of.withColumnRenamed("gid", end), end, "left").withColumn(end, F.coalesce("_member", end)).drop("_member")
+        return meet(wide, own_bits.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("n", "own", *PARITY)]), end)
 
     flips = sum(F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in PARITY)
     total = F.col("a_n") + F.col("b_n")
@@ -216,5 +222,5 @@ def linked_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     found = found.where(flips <= total - 2 * F.expr(f"(({num}L * (a_n + b_n) + {num + den - 1}) div {num + den})"))
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = verify(found.join(tried, ["a", "b"], "left_anti"), items, fetch, num, den, hold)
+    second = verify(meet(found, tried, ["a", "b"], "left_anti"), items, fetch, num, den, hold)
     return components(first.union(second), hold)

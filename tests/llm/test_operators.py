@@ -43,6 +43,20 @@ def test_jaccard_join_of_nothing(spark):
     assert duplicate_components(documents(spark, [])).count() == 0
 
 
+def test_similarity_joins_send_no_table_through_the_driver(spark, monkeypatch):
+    from allometra.llm import jaccard_join
+
+    plans, held = [], jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or held(df))
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[:200] + [f"x{i}"] + words[200:]) for i in range(6)] + [" ".join(words[i : i + 40]) for i in range(0, 200, 5)]
+    found = duplicate_components(documents(spark, texts), 3, (9, 10))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {r.component_id for r in found.where("n_shingles > 200").collect()} == {found.agg({"doc_id": "min"}).first()[0]}
+    assert len(plans) > 10 and not [p for p in plans if "BroadcastExchange" in p]
+
+
+
 def test_keep_first_with_shared_and_null_ids(spark):
     rng = np.random.default_rng(7)
     a, b, c, d = ([f"{x}{i}" for i in rng.permutation(60)] for x in "abcd")
