@@ -134,6 +134,31 @@ def test_aligned_distances_against_pairs(spark):
         assert r.distance == pytest.approx(np.sqrt(((b @ u @ vt - a) ** 2).sum(axis=1).mean()), abs=1e-7)
 
 
+def test_roots_of_pairs_are_singular_values(monkeypatch):
+    """Fits by Newton's steps agree with singular values, also of flat, straight, mirrored, equal and empty clouds; those are few calls."""
+    rng = np.random.default_rng(17)
+    x, y = rng.normal(size=(40, 9, 3)), rng.normal(size=(30, 9, 3))
+    x[0, :, 2], x[1, :, 1:], x[2], x[3], x[4], x[5] = 0, 0, 0, y[3], y[4] * [-1, 1, 1], y[5] @ np.linalg.qr(rng.normal(size=(3, 3)))[0] + 5
+    x[6], y[6] = x[6] * 1e-60, y[6] * 1e-60
+    plain = np.empty((2, len(x), len(y)))
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            p, q = a - a.mean(axis=0), b - b.mean(axis=0)
+            s, det = np.linalg.svd(p.T @ q, compute_uv=False), np.linalg.det(p.T @ q)
+            squares = (p**2).sum() + (q**2).sum()
+            plain[:, i, j] = squares - 2 * (s[0] + s[1] + np.sign(det) * s[2]), squares - 2 * (p * q).sum()
+    decomposed, svd = [], np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda c, **kind: decomposed.append(len(c.reshape(-1, 3, 3))) or svd(c, **kind))
+    found = fits._rigid_rms(x.reshape(len(x), -1), y.reshape(len(y), -1), True, False)
+    assert np.allclose(found, np.sqrt(np.maximum(plain, 0) / 9), rtol=1e-9, atol=1e-7)
+    assert sum(decomposed) < len(x) * len(y) / 3
+    mx, my = rng.random((40, 9)) < 0.7, rng.random((30, 9)) < 0.7
+    raw = fits._masked_raw_rms(x.reshape(len(x), -1), mx, y.reshape(len(y), -1), my)
+    for i, j in ((3, 3), (0, 1), (2, 2), (6, 6), (20, 20)):
+        both = mx[i] & my[j]
+        assert raw[i, j] == pytest.approx(np.sqrt(((x[i] - y[j])[both] ** 2).sum(axis=1).mean()), rel=1e-12, abs=1e-300)
+
+
 def test_masked_distances_against_pairs(spark):
     """Fitted and plain distances over what both clouds allow; forbidden points may lie anywhere, or nowhere."""
     rng = np.random.default_rng(16)
