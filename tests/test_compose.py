@@ -159,6 +159,15 @@ def test_roots_of_pairs_are_singular_values(monkeypatch):
         assert raw[i, j] == pytest.approx(np.sqrt(((x[i] - y[j])[both] ** 2).sum(axis=1).mean()), rel=1e-12, abs=1e-300)
 
 
+def test_distances_are_rounded_as_spark_rounds(spark):
+    rng = np.random.default_rng(18)
+    halves = (rng.integers(0, 10**7, 3000) + 0.5) / 1e5
+    values = np.concatenate([rng.random(3000) * 10, halves, np.nextafter(halves, 0), np.nextafter(halves, 99), rng.random(99) * 1e9, rng.random(9) * 10.0 ** np.arange(10, 19), [0.0, 5e-6, 4.9e-6, 1e-300, np.inf]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    assert fits._rounded(values, 5).tolist() == [r[0] for r in df.select(queries.r("v")).collect()]
+    assert np.isnan(fits._rounded(np.array([np.nan]), 5)).all()
+
+
 def test_masked_distances_against_pairs(spark):
     """Fitted and plain distances over what both clouds allow; forbidden points may lie anywhere, or nowhere."""
     rng = np.random.default_rng(16)
