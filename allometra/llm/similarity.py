@@ -164,7 +164,8 @@ def linked_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     grouped = items.where("grp IS NOT NULL").groupBy("grp", "n").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("gsize"))
     members = meet(items.select("id", "grp", "n"), grouped.where("gsize > 1"), ["grp", "n"])
     members = hold(members.select("id", "gid", "gsize"))
-    leaders = meet(items, members.where("id <> gid").select("id"), "id", "left_anti")
+    # Only the ids, written as they are, can become a broadcast here, so Spark may choose; else items and their keys are shuffled.
+    leaders = items.join(members.where("id <> gid").select("id"), "id", "left_anti")
     postings = leaders.select("id", "hub_rank", F.posexplode("keys").alias("pos", "key"))
     rank = F.least("pos", F.lit(127)) if ordered else F.col("hub_rank")
     code = F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.col("id"))
